@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, mpeg, quality
+from . import bpe, mixing, mpeg, quality, suffix_dedup
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op9_mixing_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
