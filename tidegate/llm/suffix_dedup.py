@@ -414,11 +414,11 @@ def compressed(docs: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, found array<struct<kind, data>>) of the documents that lose bytes; docs has doc_id and text."""
     parts = partitions(docs.sparkSession)
-    dealt = docs.mapInArrow(find_anchors(parts), SCHEMA).repartition(parts, "key")
+    dealt = docs.mapInArrow(find_anchors(parts), SCHEMA).repartitionById(parts, F.col("key").cast("int"))
     shared = dealt.mapInArrow(share_anchors, SCHEMA)
     found = shared.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("found"))
     near = found.join(compressed(docs.where("doc_id is not null")), "doc_id").select("doc_id", "found", "text")
-    marks = near.mapInArrow(surround(parts), SCHEMA).repartition(parts, "key").mapInArrow(compare, SCHEMA)
+    marks = near.mapInArrow(surround(parts), SCHEMA).repartitionById(parts, F.col("key").cast("int")).mapInArrow(compare, SCHEMA)
     return marks.groupBy("doc_id").agg(F.collect_list("data").alias("marks"))
 
 
