@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, mixing, mpeg, quality, suffix_dedup
+from . import bpe, jaccard_join, language_id, mixing, mpeg, quality, suffix_dedup
 from .common import table
 
 
@@ -13,6 +13,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
