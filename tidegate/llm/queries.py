@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, language_id, mixing, mpeg, quality, suffix_dedup
+from . import bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe_encoding(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,14 @@ def op6_media_columns(spark, sf_dir):
     return mpeg.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_fixity(spark, sf_dir):
+    return warc.fixity(table(spark, sf_dir, "pages"))
+
+
+def op8_html_extraction(spark, sf_dir):
+    return html_template.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
