@@ -64,7 +64,7 @@ def with_rates(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "_symbol_rate": F.lit(1000.0) * F.col("_n_symbols") / F.greatest(F.col("_word_chars"), F.lit(1)),
-            "_dup_line_rate": F.lit(1000.0) * F.col("_n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
+            "_dup_line_rate": F.lit(1000.0) * F.col("_n_dup_lines") / (F.col("_n_lines") + F.lit(2)),
             "_repeat_rate": F.lit(1000.0) * F.col("_n_repeat_words") / some,
             "_base_failed": (F.col("_n_words") < 50) | (F.lit(100) * F.col("_n_repeat_words") > F.lit(50) * F.col("_n_words")),
         }
