@@ -3,7 +3,7 @@
 Sorting every suffix of a large corpus at once is out of reach, so the suffixes are first brought
 together by content. Of each 50-byte string, the 16-byte gram with the least hash is its anchor: equal
 strings have equal anchors, wherever they stand. Anchors are dealt by hash; those that two documents
-share get their surroundings (the 84 bytes that hold all 50-byte strings around the anchor). The
+share (with the 17 bytes on one side, as any 50-byte string has) get their surroundings (the 84 bytes that hold all 50-byte strings around the anchor). The
 surroundings of one anchor are two sets of suffixes, to its right and (reversed) to its left. Each set is
 merge-sorted; two suffixes are compared through prefix polynomial hashes, where binary search finds
 their common extension, and the extensions of neighbours are verified byte by byte. A string around
@@ -23,16 +23,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, partitions, small_batches
+from .common import as_bytes, frugal, mix, partitions, small_batches
 
 SPAN, GRAM = 50, 16
 LEFT, RIGHT = SPAN - GRAM, SPAN
 WIDTH = LEFT + RIGHT
+#: A 50-byte string reaches at least so far beyond its anchor on one side.
+HALF = LEFT // 2
 #: Documents are taken together until they have so many bytes.
 CHUNK = 4 << 20
 U64 = np.uint64
 C1, C2, BASE = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x100000001B3)
-MARKS, ANCHORS = 1, 0
+#: Kinds of rows; where several meet, texts come last.
+ANCHORS, MARKS, TEXT = 0, 1, 2
+#: Bytes of the compression dictionary, and texts that it is made from.
+DICTIONARY, DICTIONARY_TEXTS = 48_000, 400
 SCHEMA = "key long, doc_id long, kind int, data binary"
 
 
@@ -90,15 +95,68 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x[0], x[1]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array by significance, so that high bytes, mostly equal, compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def side_hashes(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 17 bytes to the left and to the right of the anchors at these places; v: words_of() the buffer."""
+    with np.errstate(over="ignore"):
+        sides = []
+        for a, b, c in ((-HALF, -HALF + 8, -8), (GRAM, GRAM + 8, GRAM + HALF - 8)):
+            sides.append(mix((v[at + a] * C1 ^ v[at + b]) * C2 ^ v[at + c]))
+    return sides[0], sides[1]
+
+
+def doc_bucket(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.astype(np.int64).view(U64)) % U64(parts)).astype(np.int64)
+
+
+def dealt(bucket: np.ndarray, kind: int, arrays: list):
+    """(bucket, 0, kind, data) rows, one for each bucket, of parallel arrays; read again by columns()."""
+    o = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[o])) + 1
+    for s in np.split(o, cut):
+        if len(s):
+            yield int(bucket[s[0]]), 0, kind, np.array([len(s)], "<u4").tobytes() + b"".join(planes(x[s]) for x in arrays)
+
+
+def columns(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    """The parallel arrays of blobs of dealt(), put together."""
+    out: list[list] = [[np.zeros(0, k)] for k in kinds]
+    for d in blobs:
+        n, at = int(np.frombuffer(d, "<u4", 1)[0]), 4
+        for x, k in zip(out, kinds):
+            x.append(unplaned(d, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) for x in out]
+
+
 def marks_rows(doc, a, b, parts):
-    """(key, doc, kind, data) for the intervals of each document."""
-    o = np.argsort(doc, kind="stable")
-    doc, a, b = doc[o], a[o], b[o]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)]):
-        if hi > lo:
-            d = int(doc[lo])
-            yield int(mix(np.array([d], np.int64).view(U64))[0] % U64(parts)), d, MARKS, pack(*merged(a[lo:hi], b[lo:hi]))
+    """Rows for the intervals [a, b) of documents, merged within each."""
+    o = np.lexsort((a, doc))
+    doc, a, b = doc[o].astype(np.int64), a[o].astype(np.int64), b[o].astype(np.int64)
+    if not len(doc):
+        return
+    # Running ends, begun anew in each document: documents are laid far apart on one line.
+    step = int(b.max()) + 2
+    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+    base = (np.cumsum(new_doc) - 1) * step
+    top = np.maximum.accumulate(b + base)
+    new = np.concatenate([[True], (a + base)[1:] > top[:-1]])
+    ends = np.concatenate([top[:-1][new[1:]], top[-1:]]) - base[new]
+    doc, a = doc[new], a[new]
+    yield from dealt(doc_bucket(doc, parts), MARKS, [doc.astype("<i8"), a.astype("<u4"), ends.astype("<u4")])
+
+
+MARK_KINDS = ("<i8", "<u4", "<u4")
+FOUND_KINDS = ("<i8", "<u4", "<u8")
 
 
 def deal(rows):
@@ -145,8 +203,13 @@ def find_anchors(parts: int):
                 same = whole[x] & whole[y] & (raw[at[x][:, None] + span] == raw[at[y][:, None] + span]).all(axis=1)
                 gone[x[same]] = True
             yield from marks_rows(doc[gone], pos[gone] - LEFT, pos[gone] + RIGHT, parts)
+        left, right = side_hashes(v, at + 40)
+        for x, short in ((left, lav < HALF), (right, rav < GRAM + HALF)):
+            x[short] = mix(at[short].astype(U64))
+        # 40 bits of the anchor's hash, then 12 of what stands to its left and 12 of what stands to its right.
+        h = h >> U64(24) << U64(24) | left >> U64(52) << U64(12) | right >> U64(52)
         doc, pos, h = doc[~gone], pos[~gone], h[~gone]
-        bucket = (h >> U64(20)) % U64(parts)
+        bucket = (h >> U64(24)) % U64(parts)
         o = np.argsort(bucket, kind="stable")
         doc, pos, h, bucket = doc[o], pos[o], h[o], bucket[o]
         cut = np.flatnonzero(np.diff(bucket)) + 1
@@ -154,7 +217,7 @@ def find_anchors(parts: int):
             if hi > lo:
                 new = np.flatnonzero(np.concatenate([[True], np.diff(doc[lo:hi]) != 0]))
                 head = np.array([hi - lo, len(new)], "<u4").tobytes()
-                yield int(bucket[lo]), 0, ANCHORS, head + h[lo:hi].astype("<u8").tobytes() + pos[lo:hi].astype("<u4").tobytes() + doc[lo:hi][new].astype("<i8").tobytes() + np.diff([*new, hi - lo]).astype("<u4").tobytes()
+                yield int(bucket[lo]), 0, ANCHORS, head + h[lo:hi].astype("<u8").tobytes() + planes(pos[lo:hi].astype("<u4")) + planes(doc[lo:hi][new].astype("<i8")) + planes(np.diff([*new, hi - lo]).astype("<u4"))
 
     def run(batches):
         ids, texts, size = [], [], 0
@@ -174,73 +237,83 @@ def find_anchors(parts: int):
     return run
 
 
-def share_anchors(batches):
-    """Of a bucket's anchors, those in more than one document, as rows of each document; marks pass."""
+def share_anchors(parts: int):
+    """Of a bucket's anchors, those that another document may share with half of their surroundings, by document's bucket; marks pass."""
+
+    def run(batches):
+        blobs = []
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield deal([(r["key"], 0, MARKS, r["data"]) for r in rows if r["kind"] == MARKS])
+            blobs += [r["data"] for r in rows if r["kind"] == ANCHORS]
+        if blobs:
+            yield deal(shared_in(blobs, parts))
+
+    return run
+
+
+def shared_in(blobs: list[bytes], parts: int):
     hs, docs, poss = [], [], []
-    for batch in batches:
-        rows = batch.to_pylist()
-        yield deal([(0, r["doc_id"], MARKS, r["data"]) for r in rows if r["kind"] == MARKS])
-        for r in rows:
-            if r["kind"] == ANCHORS:
-                d = r["data"]
-                n, m = np.frombuffer(d, "<u4", 2).tolist()
-                hs.append(np.frombuffer(d, "<u8", n, 8))
-                poss.append(np.frombuffer(d, "<u4", n, 8 + 8 * n))
-                docs.append(np.repeat(np.frombuffer(d, "<i8", m, 8 + 12 * n), np.frombuffer(d, "<u4", m, 8 + 12 * n + 8 * m)))
-    if not hs:
-        return
+    for d in blobs:
+        n, m = np.frombuffer(d, "<u4", 2).tolist()
+        hs.append(np.frombuffer(d, "<u8", n, 8))
+        poss.append(unplaned(d, "<u4", n, 8 + 8 * n))
+        docs.append(np.repeat(unplaned(d, "<i8", m, 8 + 12 * n), unplaned(d, "<u4", m, 8 + 12 * n + 8 * m)))
     h, doc, pos = np.concatenate(hs), np.concatenate(docs), np.concatenate(poss)
-    o = np.argsort(h)
-    h, doc, pos = h[o], doc[o], pos[o]
-    runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    shared = np.repeat(np.minimum.reduceat(doc, runs) != np.maximum.reduceat(doc, runs), np.diff([*runs, len(h)]))
-    h, doc, pos = h[shared], doc[shared], pos[shared]
-    o = np.argsort(doc, kind="stable")
+    # Candidates: another document has the anchor with the same left side, or with the same right side.
+    shared = np.zeros(len(h), bool)
+    for key in (h >> U64(12), h >> U64(24) << U64(12) | h & U64(4095)):
+        o = np.argsort(key)
+        runs = np.flatnonzero(np.concatenate([[True], key[o][1:] != key[o][:-1]]))
+        shared[o] |= np.repeat(np.minimum.reduceat(doc[o], runs) != np.maximum.reduceat(doc[o], runs), np.diff([*runs, len(h)]))
+    h, doc, pos = h[shared] >> U64(24), doc[shared], pos[shared]
+    o = np.lexsort((pos, doc))
     h, doc, pos = h[o], doc[o], pos[o]
-    cut = [*(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)] if len(doc) else []
-    lo, rows = 0, []
-    for hi in cut:
-        rows.append((0, int(doc[lo]), ANCHORS, pos[lo:hi].astype("<u4").tobytes() + h[lo:hi].astype("<u8").tobytes()))
-        lo = hi
-        if len(rows) == 4096:
-            yield deal(rows)
-            rows = []
-    yield deal(rows)
+    yield from dealt(doc_bucket(doc, parts), ANCHORS, [doc.astype("<i8"), pos.astype("<u4"), h.astype("<u8")])
 
 
-def surround(parts: int):
-    """Batches (doc_id, found, text) to the surroundings of the shared anchors, by bucket; marks pass."""
+def surround(parts: int, dictionary: bytes):
+    """A document bucket's shared anchors, then its texts, to the surroundings of the anchors, by anchor's bucket; marks pass."""
 
     def run(batches):
-        held, size = [], 0
+        blobs, found, held, size = [], None, [], 0
+        unpacked = decompressor(dictionary)
 
         def flush():
             doc, pos, h, lav, rav, ctx = (np.concatenate(x) for x in zip(*held))
-            bucket = (h >> U64(20)) % U64(parts)
+            bucket = h % U64(parts)
             o = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[o])) + 1
             for s in np.split(o, cut):
                 if len(s):
-                    raw = b"".join([np.array([len(s)], "<u4").tobytes(), h[s].astype("<u8").tobytes(), doc[s].astype("<i8").tobytes(), pos[s].astype("<u4").tobytes(), lav[s].astype(np.uint8).tobytes(), rav[s].astype(np.uint8).tobytes(), ctx[s].tobytes()])
-                    yield int(bucket[s[0]]), 0, ANCHORS, zstandard.compress(raw, 1)
+                    raw = b"".join([np.array([len(s)], "<u4").tobytes(), planes(h[s].astype("<u8")), planes(doc[s].astype("<i8")), planes(pos[s].astype("<u4")), lav[s].astype(np.uint8).tobytes(), rav[s].astype(np.uint8).tobytes(), ctx[s].tobytes()])
+                    yield int(bucket[s[0]]), 0, ANCHORS, zstandard.compress(raw, 3)
 
         for batch in batches:
             out = []
-            for i, found, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out += [(int(mix(np.array([i], np.int64).view(U64))[0] % U64(parts)), i, MARKS, f["data"]) for f in found if f["kind"] == MARKS]
-                some = [f["data"] for f in found if f["kind"] == ANCHORS]
-                if not some:
+            for key, i, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == MARKS:
+                    out.append((key, 0, MARKS, data))
                     continue
-                text = zstandard.decompress(text)
-                pos = np.concatenate([np.frombuffer(d, "<u4", len(d) // 12) for d in some]).astype(np.int64)
-                h = np.concatenate([np.frombuffer(d, "<u8", len(d) // 12, len(d) // 3) for d in some])
+                if kind == ANCHORS:
+                    blobs.append(data)
+                    continue
+                if found is None:
+                    doc, pos, h = columns(blobs, FOUND_KINDS)
+                    o = np.lexsort((pos, doc))
+                    found, blobs = (doc[o], pos[o].astype(np.int64), h[o]), []
+                lo, hi = np.searchsorted(found[0], [i, i + 1])
+                if lo == hi:
+                    continue
+                text = unpacked(data)
+                pos, h = found[1][lo:hi], found[2][lo:hi]
                 inside = pos + GRAM <= len(text)
                 pos, h = pos[inside], h[inside]
                 raw = np.frombuffer(b"\0" * LEFT + text + b"\0" * RIGHT, np.uint8)
                 ctx = raw[pos[:, None] + np.arange(WIDTH)]
                 held.append((np.full(len(pos), i, np.int64), pos, h, np.minimum(LEFT, pos), np.minimum(RIGHT, len(text) - pos), ctx))
                 size += len(pos)
-                if size > 100_000:
+                if size > 200_000:
                     out += flush()
                     held, size = [], 0
             yield deal(out)
@@ -382,51 +455,95 @@ def repeated(h, doc, pos, lav, rav, ctx) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def compare(batches):
-    """Surroundings of a bucket to marks; marks pass."""
-    held = []
+def compare(parts: int):
+    """Surroundings of an anchor bucket to marks by document's bucket; marks pass."""
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield deal([(r["key"], 0, MARKS, r["data"]) for r in rows if r["kind"] == MARKS])
+            for r in rows:
+                if r["kind"] == ANCHORS:
+                    d = zstandard.decompress(r["data"])
+                    n = int(np.frombuffer(d, "<u4", 1)[0])
+                    held.append((unplaned(d, "<u8", n, 4), unplaned(d, "<i8", n, 4 + 8 * n), unplaned(d, "<u4", n, 4 + 16 * n).astype(np.int64), np.frombuffer(d, np.uint8, n, 4 + 20 * n).astype(np.int64), np.frombuffer(d, np.uint8, n, 4 + 21 * n).astype(np.int64), np.frombuffer(d, np.uint8, n * WIDTH, 4 + 22 * n).reshape(n, WIDTH)))
+        if held:
+            doc, a, b = repeated(*(np.concatenate(x) for x in zip(*held)))
+            yield deal(marks_rows(doc, a, b, parts))
+
+    return run
+
+
+def gather_marks(batches):
+    """A document bucket's marks to one row for each document."""
+    blobs = []
     for batch in batches:
-        rows = batch.to_pylist()
-        yield deal([(0, r["doc_id"], MARKS, r["data"]) for r in rows if r["kind"] == MARKS])
-        for r in rows:
-            if r["kind"] == ANCHORS:
-                d = zstandard.decompress(r["data"])
-                n = int(np.frombuffer(d, "<u4", 1)[0])
-                held.append((np.frombuffer(d, "<u8", n, 4), np.frombuffer(d, "<i8", n, 4 + 8 * n), np.frombuffer(d, "<u4", n, 4 + 16 * n).astype(np.int64), np.frombuffer(d, np.uint8, n, 4 + 20 * n).astype(np.int64), np.frombuffer(d, np.uint8, n, 4 + 21 * n).astype(np.int64), np.frombuffer(d, np.uint8, n * WIDTH, 4 + 22 * n).reshape(n, WIDTH)))
-    if held:
-        doc, a, b = repeated(*(np.concatenate(x) for x in zip(*held)))
-        rows = list(marks_rows(doc, a, b, 1))
-        for lo in range(0, len(rows), 4096):
-            yield deal(rows[lo : lo + 4096])
-
-
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): texts as compressed bytes, so that joins move less; null is empty."""
+        blobs += batch.column(3).to_pylist()
+    doc, a, b = columns(blobs, MARK_KINDS)
+    o = np.argsort(doc, kind="stable")
+    doc, a, b = doc[o], a[o].astype(np.int64), b[o].astype(np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+    rows = []
+    for lo, hi in zip(cut, cut[1:]):
+        if hi > lo:
+            rows.append((0, int(doc[lo]), MARKS, pack(*merged(a[lo:hi], b[lo:hi]))))
+        if len(rows) == 4096:
+            yield deal(rows)
+            rows = []
+    yield deal(rows)
+
+
+def compressor(dictionary: bytes):
+    kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(level=3, dict_data=kept).compress
+
+
+def decompressor(dictionary: bytes):
+    kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdDecompressor(dict_data=kept).decompress
+
+
+def dictionary_of(docs: DataFrame) -> bytes:
+    """A dictionary that makes compressed texts smaller, from a bounded number of texts; empty if there are too few. It changes sizes only."""
+    rows = docs.where("text is not null").select(F.substring("text", 1, 4000).alias("text")).limit(DICTIONARY_TEXTS).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [r.text.encode() for r in rows]).as_bytes() if len(rows) >= 50 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def compressed(docs: DataFrame, dictionary: bytes, parts: int) -> DataFrame:
+    """(key, doc_id, kind, data): texts as compressed bytes, so that shuffles move less; null is empty."""
     import pyarrow as pa
 
     def run(batches):
+        packed = compressor(dictionary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(t or b"", 3) for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "text"])
+            n = len(batch)
+            ids = batch.column(0)
+            key = doc_bucket(np.array([x or 0 for x in ids.to_pylist()], np.int64), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), ids, pa.array([TEXT] * n, pa.int32()), pa.array([packed(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], names=["key", "doc_id", "kind", "data"])
 
-    return docs.mapInArrow(run, "doc_id long, text binary")
+    return docs.mapInArrow(run, SCHEMA)
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, found array<struct<kind, data>>) of the documents that lose bytes; docs has doc_id and text."""
+def removed_spans(docs: DataFrame, dictionary: bytes) -> DataFrame:
+    """(doc_id, marks binary) of the documents that lose bytes; docs has doc_id and text."""
     parts = partitions(docs.sparkSession)
-    dealt = docs.mapInArrow(find_anchors(parts), SCHEMA).repartitionById(parts, F.col("key").cast("int"))
-    shared = dealt.mapInArrow(share_anchors, SCHEMA)
-    found = shared.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("found"))
-    near = found.join(compressed(docs.where("doc_id is not null")), "doc_id").select("doc_id", "found", "text")
-    marks = near.mapInArrow(surround(parts), SCHEMA).repartitionById(parts, F.col("key").cast("int")).mapInArrow(compare, SCHEMA)
-    return marks.groupBy("doc_id").agg(F.collect_list("data").alias("marks"))
+    to = lambda df: df.repartitionById(parts, F.col("key").cast("int"))
+    shared = to(docs.mapInArrow(frugal(find_anchors(parts)), SCHEMA)).mapInArrow(frugal(share_anchors(parts)), SCHEMA)
+    texts = compressed(docs.where("doc_id is not null"), dictionary, parts)
+    near = to(shared.unionByName(texts)).sortWithinPartitions("kind").mapInArrow(frugal(surround(parts, dictionary)), SCHEMA)
+    marks = to(near).mapInArrow(frugal(compare(parts)), SCHEMA)
+    return to(marks).mapInArrow(gather_marks, SCHEMA).select("doc_id", F.col("data").alias("marks"))
 
 
 def without(text: bytes, marks) -> tuple[bytes, int]:
     """The bytes that are left and the number of maximal removed runs."""
     if not marks:
         return text, 0
-    a, b = merged(*(np.concatenate(x) for x in zip(*map(unpack, marks))))
+    a, b = unpack(marks)
     b = np.minimum(b, len(text))
     a, b = a[a < b], b[a < b]
     edges = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(text)]
@@ -448,12 +565,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = plain(docs)
+    parts, dictionary = partitions(docs.sparkSession), dictionary_of(rows)
 
     def run(batches):
+        unpacked = decompressor(dictionary)
         for batch in batches:
             n, m, k, s = [], [], [], []
             for data, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = zstandard.decompress(data)
+                text = unpacked(data)
                 kept, spans = without(text, marks)
                 n.append(len(text))
                 m.append(len(text) - len(kept))
@@ -461,7 +580,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 s.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = compressed(rows).join(removed_spans(rows), "doc_id", "left").select("doc_id", "text", "marks")
+    out = compressed(rows, dictionary, parts).select("doc_id", "data").join(removed_spans(rows, dictionary), "doc_id", "left")
     return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -472,9 +591,9 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([t if m is None or t is None else without(t.encode(), list(m))[0].decode("utf-8", "ignore") for t, m in zip(text, marks)], dtype=object)
+        return pd.Series([t if m is None or t is None else without(t.encode(), m)[0].decode("utf-8", "ignore") for t, m in zip(text, marks)], dtype=object)
 
     own = docs.select(F.col("doc_id").cast("long").alias("_k"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    joined = own.join(removed_spans(plain(docs)).withColumnRenamed("doc_id", "_k"), "_k", "left").select("_row", cut(F.col("_row")["text"].cast("string"), F.col("marks")).alias("_text"))
+    joined = own.join(removed_spans(plain(docs), dictionary_of(plain(docs))).withColumnRenamed("doc_id", "_k"), "_k", "left").select("_row", cut(F.col("_row")["text"].cast("string"), F.col("marks")).alias("_text"))
     put = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return joined.select(*((put[c] if c in put else F.col("_row").getField(c)).alias(c) for c in names))
