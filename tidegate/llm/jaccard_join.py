@@ -28,16 +28,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, components, mix, partitions, small_batches, stored
+from .common import LOWER, as_bytes, components, frugal, mix, partitions, small_batches, stored
 
 SHINGLE, PERCENT = 5, 80
-CHUNK, CACHE_WORDS = 2 << 20, 300_000
+CHUNK, CACHE_WORDS = 2 << 20, 150_000
 #: Sets of at most so many shingles are linked only if they are equal.
 EQUAL_ONLY = 3
 #: A shingle in more than so many documents and one in so many of all is common. Candidates kept by a task.
-COMMON_LEAST, COMMON_SHARE, COMMON_KEPT = 64, 1000, 8192
+COMMON_LEAST, COMMON_SHARE, COMMON_KEPT = 64, 1000, 32768
+#: Shingles that a task gathers before it counts them.
+GATHERED = 3_000_000
 #: Sets in a block at most, about.
-BLOCK = 2048
+BLOCK = 1024
+#: Members of a ball that get no index of their own.
+FEW = 24
 U64 = np.uint64
 P1, P2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 NODE = "node long, root long, block int, role int, data binary"
@@ -115,23 +119,34 @@ def summed(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tok[runs], np.add.reduceat(n, runs) if len(tok) else n
 
 
+def counted(held: list, tok: np.ndarray, num: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts with those of the gathered sets: shingles in two sets at least, the most frequent if they are many."""
+    if held:
+        t, n = summed(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
+        tok, num = summed(np.concatenate([tok, t[n > 1]]), np.concatenate([num, n[n > 1]]))
+    if len(tok) > 8 * COMMON_KEPT:
+        keep = np.argpartition(num, -4 * COMMON_KEPT)[-4 * COMMON_KEPT :]
+        tok, num = tok[keep], num[keep]
+    return tok, num
+
+
 def summarise(batches):
     """Rows (kind 0) of each document's set and (kind 1) of the shingles that many of the task's documents have."""
     import pyarrow as pa
 
-    tok, num = np.zeros(0, U64), np.zeros(0, np.int64)
+    tok, num, held, size = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
     schema = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())]
     for ids, sets in chunks(batches):
         prints = [fingerprint(s) for s in sets]
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], names=[n for n, _ in schema])
-        once = {p: s for p, s in zip(prints, sets)}
-        t, n = summed(np.concatenate(list(once.values())), np.ones(sum(map(len, once.values())), np.int64))
-        tok, num = summed(np.concatenate([tok, t[n > 1]]), np.concatenate([num, n[n > 1]]))
-        if len(tok) > 8 * COMMON_KEPT:
-            keep = np.argpartition(num, -COMMON_KEPT)[-COMMON_KEPT:]
-            tok, num = tok[keep], num[keep]
+        held += {p: s for p, s in zip(prints, sets)}.values()
+        size = size + sum(map(len, sets))
+        if size >= GATHERED:
+            tok, num = counted(held, tok, num)
+            held, size = [], 0
+    tok, num = counted(held, tok, num)
     keep = np.argsort(num)[-COMMON_KEPT:]
-    keep = keep[num[keep] > 3]
+    keep = keep[num[keep] > 1]
     yield pa.RecordBatch.from_arrays([pa.array([1] * len(keep), pa.int32()), pa.array([0] * len(keep), pa.int64()), pa.array(num[keep], pa.int64()), pa.array(tok[keep].view(np.int64), pa.int64()), pa.array([0] * len(keep), pa.int64())], names=[n for n, _ in schema])
 
 
@@ -338,8 +353,10 @@ class Linker:
             elif 5 * both >= 3 * (n + m - both):
                 near.append(y)
         for y in near:
-            if self.root(x) != self.root(y):
-                for z in self.ball(y).search(tokens, -(-PERCENT * n // 100)):
+            # A leader alone in its ball has been compared already; few members are compared one by one.
+            members = self.balls[y][0]
+            if len(members) > 1 and self.root(x) != self.root(y):
+                for z in members[1:] if len(members) <= FEW else self.ball(y).search(tokens, -(-PERCENT * n // 100)):
                     if linked(overlap(s, self.sets[z]), n, len(self.sets[z])):
                         self.join(x, z)
                         break
@@ -412,7 +429,7 @@ def link_groups(batches):
 
 def in_groups(rows: DataFrame, parts: int) -> DataFrame:
     rows = rows.select("node", "root", "block", "role", "data")
-    return rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block").mapInArrow(link_groups, "a long, b long")
+    return rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block").mapInArrow(frugal(link_groups), "a long, b long")
 
 
 def sets_of(batches):
@@ -441,13 +458,13 @@ def links(rows: DataFrame, summary: DataFrame, copies: DataFrame) -> DataFrame:
     often = summary.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON_LEAST, total // COMMON_SHARE))
     # Bounded: a shingle takes a thousandth of the documents to get here, and tasks name a bounded number.
     common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "f1").limit(1 << 16).collect()], np.int64).view(U64))
-    met = rows.mapInArrow(sign(common, parts), "key long, data binary").repartitionById(parts, F.col("key").cast("int")).mapInArrow(meet, "a long, b long")
+    met = rows.mapInArrow(frugal(sign(common, parts)), "key long, data binary").repartitionById(parts, F.col("key").cast("int")).mapInArrow(frugal(meet), "a long, b long")
     for end in ("a", "b"):
         met = met.join(copies.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     coarse = stored(components(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    texts = rows.where("doc_id is not null").mapInArrow(compressed, "doc_id long, text binary")
-    sets = texts.join(coarse, texts.doc_id == coarse.node).select("node", "root", "text").mapInArrow(sets_of, "node long, root long, data binary")
+    texts = rows.where("doc_id is not null").mapInArrow(frugal(compressed), "doc_id long, text binary")
+    sets = texts.join(coarse, texts.doc_id == coarse.node).select("node", "root", "text").mapInArrow(frugal(sets_of), "node long, root long, data binary")
     sets = stored(sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     base = sets.withColumn("role", F.lit(0))
     firsts = base.where("node = root and blocks > 1").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> block").drop("block").withColumnRenamed("at", "block")
@@ -477,9 +494,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     linked with nothing; a null doc_id neither, and its component is null. doc_id is a key: repeated rows give
     repeated results. Other columns are ignored; an empty table gives no row.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)
     rows = plain(docs)
-    summary = stored(rows.mapInArrow(summarise, "kind int, doc_id long, n long, f1 long, f2 long"))
+    summary = stored(rows.mapInArrow(frugal(summarise), "kind int, doc_id long, n long, f1 long, f2 long"))
     own = summary.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     same = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     own = stored(own.join(same, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")))
