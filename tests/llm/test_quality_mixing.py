@@ -49,6 +49,26 @@ def test_thresholds_adapt(spark):
     assert kept == {*range(50), *range(100, 150)}
 
 
+def test_clean_group_has_low_limits(spark):
+    """Symbols under the former floor of 100 per thousand of a corpus without symbols go; noise of a fifth of a group does not lift its limit."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
+    rows = [(i, words(i), "en", "ab"[i % 2]) for i in range(400)]
+    rows += [(1000 + i, words(1000 + i) + " ##" * 12, "en", "a") for i in range(40)]
+    rows += [(2000, words(2000) + " # &", "en", "a"), (2001, words(2001), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}
+    assert kept == {*range(400), 2000, 2001}
+    assert {r.doc_id for r in quality.quality_filter(docs).collect()} == kept
+
+
+def test_limits_decide_on_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed").collect()
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert not any(bad) and sum(good) >= 0.99 * len(good)
+
+
 def test_mix_against_sql(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, mixing.mix_plan(documents).collect()))

@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Counts of every text come from array and string functions. Thresholds are not fixed cutoffs: each
-(lang, source) group gets its own, from mergeable quantile sketches (percentile_approx), and every
-row is judged by its group's thresholds through a join.
+(lang, source) group gets its own, from mergeable quantile sketches (percentile_approx) of the group, of its
+language and of all documents, and every row is judged by its group's thresholds through a join.
 """
 
 from __future__ import annotations
@@ -14,10 +14,18 @@ from .common import WS, stored
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Rates (per thousand) that are judged, and the least threshold of each: no group is so clean that less is rejected.
-FLOORS = {"symbol_rate": 100.0, "dup_line_rate": 300.0, "repeat_rate": 350.0}
-#: A threshold is SLACK times the upper quartile plus REACH times the distance from the median to it, and at least the floor.
-SLACK, REACH, ACCURACY = 1.5, 6.0, 2000
+#: Rates (per thousand) that are judged, and the step between neighbouring LEVELS that parts a group's clean mass from its noise.
+GAPS = {"symbol_rate": 10.0, "dup_line_rate": 100.0, "repeat_rate": 100.0}
+#: Least thresholds: none, as EXCUSED spares what is single.
+FLOORS = {"symbol_rate": 0.0, "dup_line_rate": 0.0, "repeat_rate": 0.0}
+#: Quantiles walked to the end of the clean mass. A threshold is SLACK times the value there, or for a group that has
+#: the like in a quarter of its documents SLACK times its upper quartile plus REACH times the distance from the median
+#: to it; at most the CAP quantile of all documents.
+LEVELS, SLACK, REACH, CAP, ACCURACY = [0.5, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99, 0.995], 2.0, 6.0, 0.999, 2000
+#: A group's quantiles count as its rows, its language's as so many.
+BACKING = 100.0
+#: Occurrences that any text may have: symbols, one repeated line, two repeats of a window of three words.
+EXCUSED = {"n_symbols": 2, "n_dup_lines": 1, "n_repeat_words": 12}
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -60,22 +68,49 @@ def let(value, body):
 
 
 def with_rates(df: DataFrame) -> DataFrame:
-    some = F.greatest(F.col("_n_words"), F.lit(1))
+    over = {m: F.lit(1000.0) * F.greatest(F.col(f"_{m}") - F.lit(n), F.lit(0)) for m, n in EXCUSED.items()}
     return df.withColumns(
         {
-            "_symbol_rate": F.lit(1000.0) * F.col("_n_symbols") / F.greatest(F.col("_word_chars"), F.lit(1)),
-            "_dup_line_rate": F.lit(1000.0) * F.col("_n_dup_lines") / (F.col("_n_lines") + F.lit(2)),
-            "_repeat_rate": F.lit(1000.0) * F.col("_n_repeat_words") / some,
+            "_symbol_rate": over["n_symbols"] / F.greatest(F.col("_word_chars"), F.lit(1)),
+            "_dup_line_rate": over["n_dup_lines"] / (F.col("_n_lines") + F.lit(2)),
+            "_repeat_rate": over["n_repeat_words"] / F.greatest(F.col("_n_words"), F.lit(1)),
             "_base_failed": (F.col("_n_words") < 50) | (F.lit(100) * F.col("_n_repeat_words") > F.lit(50) * F.col("_n_words")),
         }
     )
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """One row for each (lang, source): what each rate may reach there. Sketches merge across tasks."""
-    q = {m: F.percentile_approx(f"_{m}", F.array(F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY)) for m in FLOORS}
-    out = measured.groupBy("_lang", "_source").agg(*(v.alias(f"_q_{m}") for m, v in q.items()))
-    return out.select("_lang", "_source", *(F.greatest(F.lit(SLACK) * F.get(f"_q_{m}", F.lit(1)) + F.lit(REACH) * (F.get(f"_q_{m}", F.lit(1)) - F.get(f"_q_{m}", F.lit(0))), F.lit(floor)).alias(f"_max_{m}") for m, floor in FLOORS.items()))
+def thresholds(rated: DataFrame) -> DataFrame:
+    """One row for each (lang, source): what each rate may reach there. Sketches merge across tasks.
+
+    The clean mass is that of rows that pass the base rules; a group's median and upper quartile are of all its rows.
+    rated is read three times.
+    """
+    passed = ~F.col("_base_failed")
+
+    def sketch(column, levels):
+        return F.percentile_approx(column, F.array(*map(F.lit, levels)), F.lit(ACCURACY))
+
+    def sketches(name, levels=LEVELS):
+        return [sketch(F.when(passed, F.col(f"_{m}")), levels).alias(f"_{name}_{m}") for m in GAPS]
+
+    groups = rated.groupBy("_lang", "_source").agg(F.count_if(passed).alias("_n"), *sketches("group"), *(sketch(F.col(f"_{m}"), [0.5, 0.75]).alias(f"_own_{m}") for m in GAPS))
+    langs = rated.groupBy(F.col("_lang").alias("_of")).agg(*sketches("lang"))
+    caps = rated.agg(*sketches("cap", [CAP]))
+    joined = groups.join(F.broadcast(langs), F.col("_lang").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(caps))
+
+    def limit(m, gap):
+        backed = F.zip_with(f"_group_{m}", f"_lang_{m}", lambda g, x: (g * F.col("_n") + x * F.lit(BACKING)) / (F.col("_n") + F.lit(BACKING)))
+        start = F.struct(F.get(backed, F.lit(0)).alias("end"), F.lit(True).alias("on"))
+
+        def step(a, x):
+            on = a["on"] & (x - a["end"] <= F.lit(gap))
+            return F.struct(F.when(on, x).otherwise(a["end"]).alias("end"), on.alias("on"))
+
+        half, quarter = (F.get(f"_own_{m}", F.lit(k)) for k in (0, 1))
+        own = F.lit(SLACK) * quarter + F.lit(REACH) * (quarter - half)
+        return F.greatest(F.least(F.greatest(F.lit(SLACK) * F.aggregate(backed, start, step)["end"], own), F.get(f"_cap_{m}", F.lit(0))), F.lit(FLOORS[m])).alias(f"_max_{m}")
+
+    return joined.select("_lang", "_source", *(limit(m, gap) for m, gap in GAPS.items()))
 
 
 def measured(docs: DataFrame, keep: list | None = None) -> DataFrame:
@@ -91,7 +126,7 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     r, t = rows.alias("r"), limits.alias("t")
     joined = r.join(t, F.col("r._lang").eqNullSafe(F.col("t._lang")) & F.col("r._source").eqNullSafe(F.col("t._source")), "left")
     ok = F.lit(True)
-    for m in FLOORS:
+    for m in GAPS:
         ok = ok & (F.col(f"_{m}") <= F.col(f"_max_{m}"))
     return joined.select("r.*", (~F.col("_base_failed") & F.coalesce(ok, F.lit(False))).alias("_kept"))
 
@@ -113,6 +148,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     A first pass gives the thresholds, a second judges each row by them, so no text is shuffled.
     """
     names = docs.columns
-    limits = stored(thresholds(with_rates(measured(docs))))
+    rates = stored(with_rates(measured(docs)).select("_lang", "_source", "_base_failed", *(f"_{m}" for m in GAPS)))
+    limits = stored(thresholds(rates))
     own = with_rates(measured(docs, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")]))
     return judged(own, limits).where("_kept").select(*(F.col("_row").getField(c).alias(c) for c in names))
