@@ -51,6 +51,29 @@ def test_counts_cover_all_documents(spark):
     assert model.words[b"common"] == 0 and len(model.words) == 501
 
 
+def test_rare_words_have_their_own_counts(spark, monkeypatch):
+    """A word outside the vocabulary has the share of its own count in the rare class."""
+    monkeypatch.setattr(lm, "VOCABULARY", 2)
+    docs = spark.createDataFrame([(1, "a a a b b b p"), (2, "a a a b b b q"), (3, "a a a b b b q"), (4, "r r r r"), (4, "q")], "doc_id long, text string")
+    counts = lm.counted(docs)
+    model = lm.fit(docs, counts)
+    with_own, mean = ({r.doc_id: r.pll for r in lm.scored(docs, model, c).collect()} for c in (counts, None))
+    rare = 4 + 3 + 1  # r, q, p
+    assert abs((with_own[2] - with_own[1]) - math.log(3) - (mean[2] - mean[1])) < 1e-6
+    assert abs((with_own[1] - mean[1]) - (math.log(1 / rare) - model.inside[model.rare])) < 1e-6
+
+
+def test_every_document_trains(spark):
+    """Words that no sampled prefix holds change the network too."""
+    long = "a b " * 60_000
+    docs = spark.createDataFrame([(i, long) for i in range(4)] + [(9, "a b " * 60_000 + "late words here " * 50)], "doc_id long, text string")
+    model = lm.fit(docs)
+    before = lm.WindowModel(sorted([(b"a", 300_000), (b"b", 300_000), (b"here", 50), (b"late", 50), (b"words", 50)], key=lambda x: (-x[1], x[0])), 0, 0)
+    assert model.words == before.words
+    for w in (b"late", b"words", b"here"):
+        assert np.abs(model.tables[:, model.words[w]] - before.tables[:, model.words[w]]).max() > 1e-3
+
+
 def test_edges(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a"), (2, None), (3, " !!"), (4, "z " * 90_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))

@@ -4,12 +4,15 @@ Every token of a text is predicted from the words on both sides: P(word | two wo
 P(class | window) * P(word | class). A network with one hidden layer, trained in numpy, gives the first factor; the
 second comes from counts of all words of all documents. The sum of the logarithms scores a document.
 
-Counted over all documents: every word (for the vocabulary, the classes and the share of a word in its class),
-and the distinct words outside the vocabulary. Only the network is fitted on a sample of bounded size.
+Counted over all documents: every word, for the vocabulary, the classes and the share of a word in its class. Words
+outside the vocabulary have one class and one row of the network, and their own counts, which are joined. The network
+starts from a fit on a small sample and is then trained on every token of all documents: each task goes over its own,
+and the changes are averaged, each row of a table by how often a task used it.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 
 import numpy as np
@@ -20,10 +23,12 @@ from .common import as_bytes, small_batches, stored
 
 #: Words of the vocabulary, classes that are one word, classes of the rest; hidden units; words on each side.
 VOCABULARY, SINGLE, SHARED, HIDDEN, SIDE = 16384, 40, 23, 16, 2
-#: The network's sample: documents at most, tokens of all of them at most; training passes and step.
+#: The start of the network: documents at most, tokens of all of them at most; training passes and step.
 SAMPLE_DOCS, SAMPLE_TOKENS, PASSES, RATE = 400, 200_000, 3, 0.05
 #: Distinct words that a task counts before it hands them on; tokens scored at once.
 HELD_WORDS, AT_ONCE = 400_000, 65_536
+#: Tokens of a step on all documents, rows of a table that move together.
+BATCH, BLOCK = 2048, 2048
 #: Letters and digits lower-cased, bytes of longer characters as they are, all else between words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -72,6 +77,7 @@ class WindowModel:
         weight = np.bincount(cls, full, minlength=SINGLE + SHARED + 1)
         inside = np.append(counts, weight[-1] / max(rare_words, 1))
         self.inside = np.log(inside / weight[cls])
+        self.rare_level = float(np.log(inside[-1]))
         self.prior = np.log(np.maximum(weight, 0.5) / np.maximum(weight, 0.5).sum())
         rng = np.random.default_rng(seed)
         self.tables = (rng.standard_normal((2 * SIDE, v + 2, HIDDEN)) * 0.1).astype(np.float32)
@@ -96,31 +102,79 @@ class WindowModel:
 
     def train(self, parts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 6) -> None:
         """Adagrad on the cross-entropy of the masked token's class, in mini-batches."""
-        padded, places = self.windows(parts)
-        if not len(places):
-            return
-        offsets = [o for o in range(-SIDE, SIDE + 1) if o]
+        memory = self.memory()
         rng = np.random.default_rng(seed)
-        memory = [np.full(x.shape, 1e-4, np.float32) for x in (self.tables, self.bias, self.out, self.out_bias)]
+        padded, places = self.windows(parts)
         for _ in range(passes):
             order = rng.permutation(places)
             for lo in range(0, len(order), 256):
-                at = order[lo : lo + 256]
-                h = self.hidden(padded, at)
-                s = h @ self.out + self.out_bias
-                p = np.exp(s - s.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(at)), self.cls[padded[at]]] -= 1
-                back = (p @ self.out.T) * (1 - h * h)
-                for x, m, g in ((self.out, memory[2], h.T @ p), (self.out_bias, memory[3], p.sum(axis=0)), (self.bias, memory[1], back.sum(axis=0))):
-                    m += g * g
-                    x -= rate * g / np.sqrt(m)
-                for k, o in enumerate(offsets):
-                    rows, where = np.unique(padded[at + o], return_inverse=True)
-                    g = np.zeros((len(rows), HIDDEN), np.float32)
-                    np.add.at(g, where, back)
-                    memory[0][k][rows] += g * g
-                    self.tables[k][rows] -= rate * g / np.sqrt(memory[0][k][rows])
+                self.step(padded, order[lo : lo + 256], memory, rate)
+
+    def memory(self) -> list[np.ndarray]:
+        return [np.full(x.shape, 1e-4, np.float32) for x in (self.tables, self.bias, self.out, self.out_bias)]
+
+    def step(self, padded: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float = RATE) -> None:
+        h = self.hidden(padded, at)
+        s = h @ self.out + self.out_bias
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(at)), self.cls[padded[at]]] -= 1
+        back = (p @ self.out.T) * (1 - h * h)
+        for x, m, g in ((self.out, memory[2], h.T @ p), (self.out_bias, memory[3], p.sum(axis=0)), (self.bias, memory[1], back.sum(axis=0))):
+            m += g * g
+            x -= rate * g / np.sqrt(m)
+        for k, o in enumerate(o for o in range(-SIDE, SIDE + 1) if o):
+            near = padded[at + o]
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            starts = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+            rows, g = near[starts], np.add.reduceat(back[order], starts, axis=0)
+            memory[0][k][rows] += g * g
+            self.tables[k][rows] -= rate * g / np.sqrt(memory[0][k][rows])
+
+    def changes(self, texts):
+        """(block, change times weight and weight) of the parameters by one pass over all tokens of texts; no rows without a token."""
+        own = copy.copy(self)
+        own.tables, own.bias, own.out, own.out_bias = (x.copy() for x in (self.tables, self.bias, self.out, self.out_bias))
+        memory, rng, total = own.memory(), np.random.default_rng(6), 0
+        used = np.zeros(self.tables.shape[:2], np.float32)
+
+        def learn(parts):
+            padded, places = own.windows(parts)
+            order = rng.permutation(places)
+            for lo in range(0, len(order), BATCH):
+                own.step(padded, order[lo : lo + BATCH], memory)
+            for k, o in enumerate(o for o in range(-SIDE, SIDE + 1) if o):
+                used[k] += np.bincount(padded[places + o], minlength=used.shape[1])
+            return len(places)
+
+        parts, held = [], 0
+        for t in texts:
+            parts.append(own.ids(t))
+            held += len(parts[-1])
+            if held >= AT_ONCE:
+                total += learn(parts)
+                parts, held = [], 0
+        total += learn(parts) if held else 0
+        if not total:
+            return
+        for k in range(2 * SIDE):
+            for lo in range(0, used.shape[1], BLOCK):
+                w = used[k, lo : lo + BLOCK, None]
+                yield k * (1 << 20) + lo, np.hstack([(own.tables[k, lo : lo + BLOCK] - self.tables[k, lo : lo + BLOCK]) * w, w])
+        yield -1, np.append(np.concatenate([(getattr(own, x) - getattr(self, x)).ravel() for x in ("bias", "out", "out_bias")]) * np.float32(total), np.float32(total))
+
+    def change(self, block: int, values: np.ndarray) -> None:
+        """Applies a block's sum over all tasks."""
+        if block >= 0:
+            v = values.reshape(-1, HIDDEN + 1)
+            k, lo = divmod(block, 1 << 20)
+            self.tables[k, lo : lo + len(v)] += v[:, :-1] / np.maximum(v[:, -1:], 1)
+            return
+        v, at = values[:-1] / values[-1], 0
+        for x in (self.bias, self.out, self.out_bias):
+            x += v[at : at + x.size].reshape(x.shape)
+            at += x.size
 
     def log_probs(self, parts: list[np.ndarray]) -> np.ndarray:
         """Conditional log-probability of each token of all parts, in order."""
@@ -144,41 +198,72 @@ class WindowModel:
         return n, [float(x) for x in sums[ends] - sums[ends - np.array(n, int)]] if n else []
 
 
-def fit(docs: DataFrame) -> WindowModel:
-    """Counts all words of all documents, then trains the network on the sample."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of all documents."""
+    return stored(plain(docs).mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def fit(docs: DataFrame, counts: DataFrame | None = None) -> WindowModel:
+    """Counts all words of all documents, then trains the network: a start on the sample, a pass over all documents."""
     rows = plain(docs)
-    counts = stored(rows.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    # The vocabulary is bounded, so these rows are.
+    counts = counted(docs) if counts is None else counts
+    # The network's vocabulary is bounded, so these rows are.
     words = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     total = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     model = WindowModel(words, total.words - len(words), total.tokens - sum(n for _, n in words))
     n = rows.count()
     lot = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (lot * n <= SAMPLE_DOCS)).limit(4 * SAMPLE_DOCS).collect()
-    parts, left = [], SAMPLE_TOKENS
-    for r in sorted(sample, key=lambda r: (r.doc_id, r.text)):
-        ids = model.ids(r.text.encode())[: max(0, left)]
-        left -= len(ids)
-        parts.append(ids)
-    model.train(parts)
+    each = SAMPLE_TOKENS // max(1, len(sample))
+    model.train([model.ids(r.text.encode())[:each] for r in sorted(sample, key=lambda r: (r.doc_id, r.text))])
+    train_on_all(rows, model)
     return model
 
 
-def scored(docs: DataFrame, model: WindowModel) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token of every whole text."""
+def train_on_all(rows: DataFrame, model: WindowModel) -> None:
+    """A pass over every token: tasks' changes are summed by block where they are, so the driver gets one model."""
+    import pyarrow as pa
+
+    small_batches(rows.sparkSession, 256)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches):
+        for block, v in shared.value.changes(t for batch in batches for t in as_bytes(batch.column(1))):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["block", "v"])
+
+    def add(table):
+        v = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in table.column("v"))
+        return pa.table({"block": table.column("block")[:1], "v": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
+
+    for r in rows.mapInArrow(learn, "block long, v binary").groupBy("block").applyInArrow(add, "block long, v binary").collect():
+        model.change(r.block, np.frombuffer(bytes(r.v), np.float32))
+
+
+def scored(docs: DataFrame, model: WindowModel, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, pll, pll_per_token of every whole text.
+
+    With counts, words outside the vocabulary have the share of their own count in their class, by a join; without, its mean.
+    """
     import pyarrow as pa
 
     small_batches(docs.sparkSession, 256)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    apart = counts is not None
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            n, s = m.score(as_bytes(batch.column(1)))
-            each = [x / k if k else None for x, k in zip(s, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(each, pa.float64())], names=["doc_id", "n_tokens", "pll", "pll_per_token"])
+            texts = as_bytes(batch.column(1))
+            n, s = m.score(texts)
+            rare = [[w for w in tokens(t) if w not in m.words] if apart else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "pll", "rare"])
 
-    return plain(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
+    out = plain(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, rare array<binary>")
+    if apart:
+        out = stored(out.withColumn("row", F.monotonically_increasing_id()))
+        more = out.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log("n") - F.lit(model.rare_level)).alias("more"))
+        out = out.drop("rare").join(more, "row", "left").withColumn("pll", F.col("pll") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_per_token"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -187,4 +272,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     A text without a word (null, empty) has 0 tokens, pll 0 and no pll_per_token. Repeated rows count as often as they
     come and score alike. Other columns are ignored; an empty table gives no row.
     """
-    return scored(docs, fit(docs))
+    counts = counted(docs)
+    return scored(docs, fit(docs, counts), counts)
