@@ -24,6 +24,12 @@ def test_template_without_names():
     assert any(set(v) == {1} and len(k) > 8 for v, k in classes.items())
 
 
+def test_template_text_in_articles():
+    """A line without a telling class that all pages of a host have goes inside articles as well."""
+    page = "<html><body><article><h1>Head {i}</h1><p>Body {i} text</p><div class='x1'><p>Read more at our shop</p><p>Thank you</p></div></article></body></html>"
+    assert ht.extract([page.format(i=i) for i in range(12)]) == [f"Head {i} Body {i} text" for i in range(12)]
+
+
 def test_malformed():
     assert ht.extract([None, "", "<", "<p>a", "a <b", "<script>x", "<article>t</p></article></div>u", "<!-- open"]) == ["", "", "<", "a", "a <b", "", "t", ""]
     assert ht.extract(["<article>" + "<p>x y" * 50_000])[0] == " ".join(["x y"] * 50_000)

@@ -3,9 +3,9 @@
 Pages of one host, in lots of bounded size, are tokenised: tags with the path of elements that holds them, and
 pieces of text. Tokens with the same occurrence vector (how often each page has them) form a class. Classes
 that many pages have are kept if their tokens stand in the same order in every page and if their spans nest in
-one gap of the class around them; together they are the template. Its gaps are the slots. A slot's text is
-extracted if it belongs to the article; where no page element says so, if it varies between pages and is no
-part of the template. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are left out
+one gap of the class around them; together they are the template. Its gaps are the slots. Template text is no page's
+own and goes on all pages, in articles too if enough pages bear witness. Of the slots' text, that in the article is
+extracted where a page element says what the article is. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are left out
 wherever they stand.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions, small_batches
 
-#: Pages of a host that a template is deduced from.
-LOT = 96
+#: Pages of a host that a template is deduced from; distinct ones that must have a text in an article before it counts
+#: as template: fewer may be copies of one article.
+LOT, WITNESSES = 96, 8
 SCHEMA = "page_id long, url string, text string, n_chars long"
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -145,7 +146,7 @@ def deduce(pages: list[list[Piece]]) -> list[set]:
     if len(pages) < 2:
         return valid
     classes = occurrence_classes(pages)
-    for vector, keys in sorted(classes.items(), key=lambda x: (-min(x[0]), -sum(1 for v in x[0] if v), -len(x[1]), str(x[0]))):
+    for vector, keys in sorted(classes.items(), key=lambda x: (-sum(1 for v in x[0] if v), max(x[0]), -len(x[1]), str(x[0]))):
         own = set(keys)
         if len(own) < 2:
             continue
@@ -205,6 +206,8 @@ def extract(pages: list[str | None]) -> list[str]:
     # Copies of one page say nothing about a template.
     once = list({h: p for h, p in zip(pages, parsed) if h}.values())
     template = set().union(*deduce(once)) if len(once) > 1 else set()
+    seen = Counter(k for p in once for k in {x.key for x in p if x.text is not None and x.key in template})
+    sure = {k for k, n in seen.items() if n >= WITNESSES}
     out = []
     for page in parsed:
         level = max((p.level for p in page if p.text is not None and not p.skipped and p.text.strip()), default=0)
@@ -213,7 +216,7 @@ def extract(pages: list[str | None]) -> list[str]:
             for p in slot:
                 if p.key is None:
                     chosen.append(p)
-                elif p.text is not None and not p.skipped and p.level >= level and (level > 1 or p.key not in template):
+                elif p.text is not None and not p.skipped and p.level >= level and p.key not in (sure if level > 1 else template):
                     chosen.append(p)
         out.append(joined(chosen))
     return out
