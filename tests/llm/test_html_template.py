@@ -1,5 +1,9 @@
 import html
+import random
 import re
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from tidegate.llm import html_template as ht
 
@@ -9,6 +13,77 @@ PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{margin:0}}</s
 <ul><li>a<li>b</ul><div class="comments"><p>reader {i}</p></div></article><aside>x</aside><footer>&copy; f</footer></body></html>"""
 
 
+def brute_classes(pages):
+    """Tokens by their whole occurrence vector, of tokens that more than half of the pages have."""
+    counts = [Counter(p) for p in pages]
+    out = defaultdict(list)
+    for t in set().union(*counts):
+        if 2 * sum(t in c for c in counts) > len(pages):
+            out[tuple(c[t] for c in counts)].append(t)
+    return out
+
+
+def brute_template(pages):
+    """Tokens of the classes that are ordered alike in every page and nest with those before them."""
+
+    def runs(page, own):
+        at = [k for k, t in enumerate(page) if t in own]
+        return [at[k : k + len(own)] for k in range(0, len(at), len(own))]
+
+    def whole(own):
+        orders = {tuple(page[k] for k in run) for page in pages for run in runs(page, own)}
+        return len(orders) == 1 and len(set(next(iter(orders)))) == len(own)
+
+    def crosses(page, a, b):
+        return any(page[k] in b for run in runs(page, a) for k in range(run[0], run[-1])) and any(page[k] in a for run in runs(page, b) for k in range(run[0], run[-1]))
+
+    taken = []
+    ranked = [(-sum(v > 0 for v in vector), max(vector), -len(own), min(np.array(own, np.uint64).view(np.int64)), set(own)) for vector, own in brute_classes(pages).items() if len(own) > 1]
+    for *_, own in sorted(ranked, key=lambda x: x[:4]):
+        if whole(own) and not any(crosses(page, own, other) for page in pages for other in taken):
+            taken.append(own)
+    return set().union(*taken)
+
+
+def site(r, n):
+    """Pages of a made-up host: a frame, repeated rows, swapped parts, crossing and odd tokens."""
+    out = []
+    for i in range(n):
+        rows = "".join(f"<li><b>key</b> v{r.random()} <i>unit</i></li>" for _ in range(r.randint(0, 3)))
+        parts = ["<div><h4>About</h4><p>Us</p></div>", "<div><h5>Mail</h5><p>Now</p></div>"]
+        r.shuffle(parts)
+        cross = "<u>one</u><s>two</s><u>uno</u><s>due</s>" if i % 3 else "<s>two</s><u>one</u><s>due</s><u>uno</u>"
+        out.append(f"<html><body><div>Top</div><ul>{rows}</ul>{cross if i % 2 else ''}{''.join(parts)}<section><h2>T{i}</h2><p>text {r.random()}</p></section><div>End</div></body></html>")
+    return out
+
+
+def test_deduction_against_brute_force(spark):
+    """Templates deduced by merging over tasks are those of whole occurrence vectors; the same over any number of partitions."""
+    r = random.Random(4)
+    sites = {f"h{k}": site(r, n) for k, n in enumerate((1, 2, 3, 5, 9, 30))}
+    rows = [(name, page) for name, pages in sites.items() for page in pages] + [("h4", sites["h4"][0])] * 30 + [("h3", None), ("h3", "")]
+    for parts in (1, 3, 40):
+        df = spark.createDataFrame(rows, "host string, html string").repartition(parts)
+        got = {x.host: set(np.frombuffer(x.template, np.uint64).tolist()) for x in ht.templates(df).collect()}
+        for name, pages in sites.items():
+            want = brute_template([ht.skeleton(p).tolist() for p in pages]) if len(pages) > 1 else set()
+            assert got.get(name, set()) == want
+            assert len(pages) < 3 or want
+            assert set(ht.deduce([ht.skeleton(p) for p in pages])[0].tolist()) == want
+
+
+def test_any_partitions(spark, monkeypatch):
+    """One host without article elements: the frame goes on all pages, however they are dealt out; without deduction it stays."""
+    page = "<html><body><div>Site name</div><div>Home</div><div><h2>Head {i}</h2><div>Body {i}</div></div><div>All rights reserved</div></body></html>"
+    rows = [(i, f"http://h/{i}", page.format(i=i)) for i in range(200)]
+    want = {i: f"Head {i} Body {i}" for i in range(200)}
+    for parts in (1, 3, 150):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r.page_id: r.text for r in ht.main_text(df).collect()} == want
+    monkeypatch.setattr(ht, "template_of", lambda *a: (np.zeros(0, np.uint64),) * 2)
+    assert ht.extract([p for _, _, p in rows])[3] == "Site name Home Head 3 Body 3 All rights reserved"
+
+
 def test_article():
     got = ht.extract([PAGE.format(i=i) for i in range(4)])
     assert got == [f"Title {i} & more Onetwo three four é {i} Five six a b" for i in range(4)]
@@ -20,8 +95,7 @@ def test_template_without_names():
     """No element says what the article is: the template's own text goes, the slots stay."""
     pages = [f"<html><body><table><tr><td>Home</td><td>About us</td></tr></table><div><h2>Head {i}</h2><div>Body {i} text {i * i}</div></div><div>All rights reserved</div></body></html>" for i in range(6)]
     assert ht.extract(pages) == [f"Head {i} Body {i} text {i * i}" for i in range(6)]
-    classes = ht.occurrence_classes([ht.parse(p) for p in pages])
-    assert any(set(v) == {1} and len(k) > 8 for v, k in classes.items())
+    assert any(set(v) == {1} and len(k) > 8 for v, k in brute_classes([[p.key for p in ht.parse(x) if p.key is not None] for x in pages]).items())
 
 
 def test_template_text_in_articles():

@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches that stay small when single texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches that stay small when single texts are long. Lowers the session's limits where they are higher, and leaves lower ones alone."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder."""
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/t{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder, in folders by these columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark)
+    df.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -84,10 +100,46 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the edges (a, b), without the least ones: fewer rows than nodes."""
+    if not len(a):
+        return a, b
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[x], label[y]
+        open_ = x != y
+        if not open_.any():
+            break
+        x, y = np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+        np.minimum.at(label, y, x)
+        while (label[label] != label).any():
+            label = label[label]
+    pick = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[pick], nodes[label[pick]]
+
+
+def edge_batches(a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    for lo in range(0, len(a), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000].copy(), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def merge_forests(batches):
+    """Edges of a task to a spanning forest of them."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+    yield from edge_batches(*forest(np.concatenate(a), np.concatenate(b)))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b: long): the smallest node that its links reach.
+    """(node, root) of every node of edges (a, b: long), stored: the smallest node that its links reach.
 
-    Alternating large and small stars; each round cuts its lineage in shared storage. Only
+    Alternating large and small stars; each round cuts its lineage in shared storage and drops the table before it. Only
     (node, neighbour) rows move, and minima combine before the shuffle.
     """
     from pyspark.sql import functions as F
@@ -102,10 +154,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = stored(small)
+        last, e = e, stored(small)
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)
     roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    dropped(e)
+    return out
