@@ -58,34 +58,95 @@ def result(spark, rows, parts=3):
 
 
 def test_against_brute_force(spark):
-    for seed in (1,):
+    for seed in (0, 1):
         texts = corpus(seed)
         ids = random.Random(seed).sample(range(-3, 900), len(texts))
         rows = list(zip(ids, texts))
         assert result(spark, rows) == brute(rows)
 
 
-def test_blocks_and_common_shingles(spark, monkeypatch):
-    """Groups in blocks of a few sets, and shingles of a few documents left out of the parts."""
+def test_blocks(spark, monkeypatch):
+    """Groups in blocks of a few sets: what a block leaves apart is searched in the others."""
     monkeypatch.setattr(jj, "BLOCK", 5)
-    monkeypatch.setattr(jj, "COMMON_LEAST", 5)
-    monkeypatch.setattr(jj, "COMMON_SHARE", 10)
+    monkeypatch.setattr(jj, "AGREE", 0)
     texts = corpus(7, 160)
     rows = list(enumerate(texts))
     assert result(spark, rows) == brute(rows)
 
 
-def test_parts_lose_nothing():
-    """Any two linked sets share a signature, whatever is common."""
+def random_pair(r, n):
+    """Two sets of hashes, linked or nearly so."""
+    s = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64) * np.uint64(3))
+    return s, np.unique(np.concatenate([s[r.random(len(s)) > r.random() * 0.2], r.integers(0, 1 << 62, int(r.integers(0, n // 4 + 1))).astype(np.uint64)]))
+
+
+def test_signatures_bring_linked_sets_together():
+    """Each linked pair shares a signature under which it may link; sets that share a fifth hardly ever meet."""
     r = np.random.default_rng(0)
-    for k in range(1500):
-        n = int(r.integers(4, 120))
-        s = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
-        t = np.unique(np.concatenate([s[r.random(len(s)) > r.random() * 0.2], r.integers(0, 1 << 62, int(r.integers(0, n // 4 + 1))).astype(np.uint64)]))
-        if not jj.linked(jj.overlap(s, t), len(s), len(t)) or len(s) <= 3 or len(t) <= 3:
-            continue
-        common = np.sort(s[r.random(len(s)) < r.choice((0, 0.5, 0.95))])
-        assert set(jj.signatures(s, common).tolist()) & set(jj.signatures(t, common).tolist())
+    pairs = [random_pair(r, int(r.integers(4, 400))) for _ in range(3000)]
+    pairs = [(s, t) for s, t in pairs if min(len(s), len(t)) > 3 and jj.linked(jj.overlap(s, t), len(s), len(t))]
+    assert len(pairs) > 1000
+    sets = [x for p in pairs for x in p]
+    sig, sketches = jj.signed(sets)
+    sizes = np.array([len(s) for s in sets])
+    x, y = np.arange(0, len(sets), 2), np.arange(1, len(sets), 2)
+    assert (sig[x] == sig[y]).any(axis=1).all() and jj.may_link(x, y, sizes, sketches).all()
+    base = r.integers(0, 1 << 62, 60).astype(np.uint64)
+    shared = [np.unique(np.concatenate([base, r.integers(0, 1 << 62, 240).astype(np.uint64)])) for _ in range(200)]
+    sig, sketches = jj.signed(shared)
+    x, y = np.triu_indices(200, 1)
+    assert ((sig[x] == sig[y]).any(axis=1) & jj.may_link(x, y, np.array(list(map(len, shared))), sketches)).mean() < 0.001
+
+
+def test_brought_together_against_all_pairs():
+    """Edges of runs of any size connect what all pairs of a run would; large and open runs come together whole."""
+    r = np.random.default_rng(5)
+    for large in (3, 1000):
+        n = 60
+        ids, sizes, sketches = r.permutation(n), r.integers(90, 130, n), r.integers(0, 256, (8, 32))[r.integers(0, 8, n)].astype(np.uint8)
+        sketches ^= (r.random((n, 32)) < 0.3).astype(np.uint8)
+        sig, at = r.integers(0, 12, 200).astype(np.uint64), r.integers(0, n, 200)
+        open_ = np.array([3], np.uint64)
+        jj.LARGE, kept = large, jj.LARGE
+        x, y = jj.brought_together(sig, ids[at], sizes[at], sketches[at], open_)
+        x, y = at[x], at[y]
+        jj.LARGE = kept
+        want = list(range(n))
+        edges = []
+        for k in range(12):
+            run = at[sig == k]
+            for i in run:
+                for j in run:
+                    if k == 3 or len(run) > large or jj.may_link(np.array([i]), np.array([j]), sizes, sketches)[0]:
+                        edges.append((i, j))
+        for _ in range(n):
+            for i, j in edges:
+                want[i] = want[j] = min(want[i], want[j])
+        got = list(range(n))
+        for _ in range(n):
+            for i, j in zip(x, y):
+                got[i] = got[j] = min(got[i], got[j])
+        assert got == want
+
+
+def test_packed_and_hot(monkeypatch):
+    """What a chunk sends on is read again; a signature of many sets is one open row and edges."""
+    monkeypatch.setattr(jj, "HOT", 4)
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.append(base[:199], U)) for U in r.integers(0, 1 << 62, 9).astype(np.uint64)] + [np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(5)]
+    docs = np.arange(100, 114)[::-1].copy()
+    blobs = list(jj.packed(docs, sets, 3))
+    assert len(blobs) == 3
+    got = [jj.unpacked(*b) for b in blobs]
+    edges = {(int(x), int(y)) for g in got for x, y in zip(g[1], g[2])}
+    assert edges == {(d, 105) for d in range(106, 114)}
+    sig, _ = jj.signed(sets)
+    near = {d: set((sig[k] >> np.uint64(16)).tolist()) for k, d in enumerate(docs.tolist())}
+    for docs_, _, _, sizes, sketches, sigs, hot in got:
+        for s, d, h in zip((sigs >> np.uint64(16)).tolist(), docs_.tolist(), hot):
+            assert s in near[d] and (not h or d < 110)
+    assert any(g[6].any() for g in got)
 
 
 @settings(max_examples=300, deadline=None)

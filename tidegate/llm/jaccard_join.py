@@ -1,12 +1,12 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Every text becomes its set of shingle hashes; sets that are equal are one from then on.
-2. Blocking without loss. Two linked sets of n and m shingles differ in at most (n + m) / 9 of them. Each
-   set is cut into more parts (by shingle hash) than linked sets can have differences, so linked sets have
-   an equal part and meet under its hash. Shingles that a large share of all documents has (counted over
-   all documents) are left out of the parts of every set alike, so passages that everyone quotes bring nobody
-   together; which shingles are left out changes the work, never the result.
-3. Sets that meet are searched exactly by T-occurrence. The index holds leaders: a set that links with a
+2. Blocking. A set has 48 signatures, each of four minima of hashes over its shingles; two sets of similarity J share none
+   with probability (1 - J^4)^48, at J = 0.8 once in 10^11. Under a signature, sets are brought together if their sizes
+   allow a link and 28 of 64 further four-bit minima agree: that loses a pair of similarity 0.8 five times in 10^12, and
+   parts sets that only share a passage. Under a signature of very many sets all come together, unasked. What is
+   brought together are coarse groups; nobody in different groups is linked.
+3. Each group is searched exactly by T-occurrence. The index holds leaders: a set that links with a
    leader joins its ball. By the triangle inequality of the Jaccard distance, whatever links with a member of a
    ball has a similarity of 0.6 or more with its leader; so a set looks for leaders of that overlap, and only
    inside the balls of those does it look for links. Both searches are DivideSkip: short inverted lists are
@@ -14,13 +14,14 @@
    Inside a dense group each set needs one leader, not all pairs.
 4. Large groups are split into blocks of bounded size, the group's first set in each. What a block could not
    connect with the group's largest component is searched in every other block.
+
+Sets are compared by 64-bit hashes of their shingles, and taken for equal if 128 bits of all of them and their number are.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from math import ceil
 
 import numpy as np
 import xxhash
@@ -28,18 +29,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, components, frugal, mix, partitions, small_batches, stored
+from .common import LOWER, as_bytes, components, dropped, edge_batches, forest, frugal, merge_forests, mix, partitions, small_batches, stored
 
 SHINGLE, PERCENT = 5, 80
-CHUNK, CACHE_WORDS = 2 << 20, 150_000
+CHUNK, SIGNED, CACHE_WORDS = 2 << 20, 6 << 20, 150_000
 #: Sets of at most so many shingles are linked only if they are equal.
 EQUAL_ONLY = 3
-#: A shingle in more than so many documents and one in so many of all is common. Candidates kept by a task.
-COMMON_LEAST, COMMON_SHARE, COMMON_KEPT = 64, 1000, 32768
-#: Shingles that a task gathers before it counts them.
-GATHERED = 3_000_000
-#: Sets in a block at most, about.
-BLOCK = 1024
+#: Signatures of a set, minima in each; minima of a sketch, and how many must agree.
+BANDS, ROWS, SKETCH, AGREE = 48, 4, 64, 28
+#: Sets under one signature that come together unasked: in a chunk of texts, and in all.
+HOT, LARGE = 64, 512
+#: Sets and shingles in a block at most, about.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Members of a ball that get no index of their own.
 FEW = 24
 U64 = np.uint64
@@ -91,7 +92,7 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def chunks(batches):
+def chunks(batches, most: int = CHUNK):
     """(ids, sets) of some megabytes of text at a time."""
     ids, sets, size = [], [], 0
     for batch in batches:
@@ -99,7 +100,7 @@ def chunks(batches):
             ids.append(i)
             sets.append(shingle_set(t))
             size += len(t or b"")
-            if size >= CHUNK:
+            if size >= most:
                 yield ids, sets
                 ids, sets, size = [], [], 0
     if ids:
@@ -112,147 +113,160 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
-def summed(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    o = np.argsort(tok, kind="stable")
-    tok, n = tok[o], n[o]
-    runs = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-    return tok[runs], np.add.reduceat(n, runs) if len(tok) else n
-
-
-def counted(held: list, tok: np.ndarray, num: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counts with those of the gathered sets: shingles in two sets at least, the most frequent if they are many."""
-    if held:
-        t, n = summed(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
-        tok, num = summed(np.concatenate([tok, t[n > 1]]), np.concatenate([num, n[n > 1]]))
-    if len(tok) > 8 * COMMON_KEPT:
-        keep = np.argpartition(num, -4 * COMMON_KEPT)[-4 * COMMON_KEPT :]
-        tok, num = tok[keep], num[keep]
-    return tok, num
-
-
 def summarise(batches):
-    """Rows (kind 0) of each document's set and (kind 1) of the shingles that many of the task's documents have."""
+    """Size and fingerprint of each document's set."""
     import pyarrow as pa
 
-    tok, num, held, size = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
-    schema = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())]
     for ids, sets in chunks(batches):
         prints = [fingerprint(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], names=[n for n, _ in schema])
-        held += {p: s for p, s in zip(prints, sets)}.values()
-        size = size + sum(map(len, sets))
-        if size >= GATHERED:
-            tok, num = counted(held, tok, num)
-            held, size = [], 0
-    tok, num = counted(held, tok, num)
-    keep = np.argsort(num)[-COMMON_KEPT:]
-    keep = keep[num[keep] > 1]
-    yield pa.RecordBatch.from_arrays([pa.array([1] * len(keep), pa.int32()), pa.array([0] * len(keep), pa.int64()), pa.array(num[keep], pa.int64()), pa.array(tok[keep].view(np.int64), pa.int64()), pa.array([0] * len(keep), pa.int64())], names=[n for n, _ in schema])
+        cols = [ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n", "f1", "f2"])
 
 
-def bands() -> np.ndarray:
-    """The least size of each band: sizes of linked sets are in the same band or in neighbouring ones."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        x = ceil(1.25 ** (len(out)))
-        out.append(max(x, out[-1]))
-    return np.array(out)
+def odd_numbers(n: int, seed: int) -> np.ndarray:
+    return (mix(np.arange(1, n + 1, dtype=U64) * P1 + U64(seed)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-BANDS = bands()
+MUL, XOR = odd_numbers(BANDS * ROWS, 1), odd_numbers(BANDS * ROWS, 2)
+#: Equal halves of a byte, by the exclusive or of two bytes.
+EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 
 
-def plan_of(band: int) -> tuple[int, int]:
-    """(differences, parts) of the sets that meet in a band's group: those of the band and of the next one."""
-    top = int(BANDS[band + 1]) - 1
-    most = (top + top * 5 // 4) // 9
-    return most, most + 1 + ceil(0.12 * (most + 1))
+def minima(s: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set of shingles."""
+    x, out = (s >> U64(32)).astype(np.uint32), np.full(len(MUL), 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(x), 1024):
+        out = np.minimum(out, ((x[None, lo : lo + 1024] ^ XOR[:, None]) * MUL[:, None]).min(axis=1))
+    return out
 
 
-def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Hashes of the parts of a set, for both groups in which it can meet others."""
-    n = len(s)
-    if n <= EQUAL_ONLY:
-        return np.zeros(0, U64)
-    band = int(np.searchsorted(BANDS, n, side="right")) - 1
-    if len(common):
-        at = np.searchsorted(common, s)
-        at[at == len(common)] = 0
-        s = s[common[at] != s]
-    out = []
-    for g in {band, max(0, band - 1)}:
-        _, parts = plan_of(g)
-        seed = mix(np.array([g + 1], U64))[0]
-        with np.errstate(over="ignore"):
-            h = mix(s * P2 + seed)
-            part = ((h >> U64(33)) % U64(parts)).astype(np.int64)
-            sums = np.zeros(parts, U64)
-            np.add.at(sums, part, mix(h ^ P1))
-            sig = mix((sums ^ seed) + (np.arange(parts, dtype=U64) + U64(1)) * P1)
-        full = np.bincount(part, minlength=parts) > 0
-        empty = parts - int(full.sum())
-        worst = (n + min(int(BANDS[g + 2]) - 1, n * 5 // 4)) // 9
-        out.append(sig if empty >= parts - worst else sig[full])
-    return np.concatenate(out)
-
-
-def sign(common: np.ndarray, parts: int):
-    """Signatures by bucket; of the equal sets of a chunk only one signs."""
+def signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, sketch) of each set, one row each."""
+    low = np.array([minima(s) for s in sets], np.uint32).reshape(len(sets), BANDS * ROWS)
+    sig = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * P2, (len(sets), BANDS))
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            sig = mix((sig ^ low[:, k::ROWS].astype(U64)) * P1)
+    half = (low[:, :: BANDS * ROWS // SKETCH] & np.uint32(15)).astype(np.uint8)
+    return sig, half[:, ::2] | half[:, 1::2] << 4
+
+
+def may_link(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Of the pairs (x, y) of rows, those whose sizes and sketches allow a link."""
+    n, m = sizes[x], sizes[y]
+    ok = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    at = np.flatnonzero(ok)
+    ok[at] = EQUAL[sketches[x[at]] ^ sketches[y[at]]].sum(axis=1) >= AGREE
+    return ok
+
+
+def brought_together(sig: np.ndarray, docs: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, open_: np.ndarray):
+    """Edges (rows) between sets that a signature brings together; open_: signatures under which all come together."""
+    at = np.lexsort((docs, sig))
+    sig = sig[at]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff([*first, len(sig)])
+    unasked = np.repeat((size > LARGE) | np.isin(sig[first], open_), size)
+    start, size = np.repeat(first, size), np.repeat(size, size)
+    # Each with the first of its run; whom that leaves out, with all the others.
+    place = np.arange(len(sig))
+    rest = np.flatnonzero(place != start)
+    ok = unasked[rest]
+    ok[~ok] = may_link(at[rest][~ok], at[start[rest]][~ok], sizes, sketches)
+    a, b = [at[rest[ok]]], [at[start[rest[ok]]]]
+    alone = np.zeros(len(sig), bool)
+    alone[rest[~ok]] = True
+    left = np.flatnonzero(alone)
+    ends = np.cumsum(size[left])
+    for lo, hi in spans(ends, 500_000):
+        u = np.repeat(left[lo:hi], size[left[lo:hi]])
+        v = start[u] + np.arange(len(u)) - np.repeat(ends[lo:hi] - size[left[lo:hi]] - (ends[lo - 1] if lo else 0), size[left[lo:hi]])
+        pick = (v != start[u]) & (v != u) & (~alone[v] | (v < u))
+        u, v = at[u[pick]], at[v[pick]]
+        ok = may_link(u, v, sizes, sketches)
+        a.append(u[ok])
+        b.append(v[ok])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def spans(ends: np.ndarray, most: int):
+    """[lo, hi) ranges whose sums, ending at ends, are about `most` at most."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
+        yield lo, hi
+        lo = hi
+
+
+def sign(parts: int):
+    """Signatures by bucket, with sizes and sketches, and edges between documents that met.
+
+    Of the equal sets of a chunk of texts only one signs. Sets under one signature that are many in a chunk are brought
+    together there and send on the least of them, so a signature of a third of all documents is one row a chunk.
+    """
     import pyarrow as pa
 
     def run(batches):
-        for ids, sets in chunks(batches):
+        for ids, sets in chunks(batches, SIGNED):
             once: dict = {}
             for i, s in zip(ids, sets):
                 if i is not None and len(s) > EQUAL_ONLY:
                     p = (len(s), *fingerprint(s))
                     if p not in once or i < once[p][0]:
                         once[p] = (i, s)
-            if not once:
-                continue
-            sigs = [signatures(s, common) for _, s in once.values()]
-            sig = np.concatenate(sigs)
-            doc = np.repeat(np.array([i for i, _ in once.values()], np.int64), [len(x) for x in sigs])
-            bucket = sig % U64(parts)
-            o = np.argsort(bucket, kind="stable")
-            sig, doc, bucket = sig[o], doc[o], bucket[o]
-            cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(sig)]
-            keys, blobs = [], []
-            for lo, hi in zip(cut, cut[1:]):
-                if hi > lo:
-                    new = np.flatnonzero(np.concatenate([[True], np.diff(doc[lo:hi]) != 0]))
-                    six = (sig[lo:hi] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    keys.append(int(bucket[lo]))
-                    blobs.append(np.array([hi - lo, len(new)], "<u4").tobytes() + six.tobytes() + doc[lo:hi][new].astype("<i8").tobytes() + np.diff([*new, hi - lo]).astype("<u2" if hi - lo < 65536 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "data"])
+            if once:
+                docs = np.array([i for i, _ in once.values()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed(docs, [s for _, s in once.values()], parts)), (pa.int64(), pa.binary()))], names=["key", "data"])
 
     return run
 
 
-def meet(batches):
-    """Pairs (least document, other) of the documents under one signature."""
-    import pyarrow as pa
+def packed(docs: np.ndarray, sets: list[np.ndarray], parts: int):
+    """(bucket, blob) rows of a chunk; see unpacked()."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    sig, sketches = signed(sets)
+    at = np.repeat(np.arange(len(docs)), BANDS)
+    sig = sig.ravel()
+    o = np.lexsort((docs[at], sig))
+    sig, at = sig[o], at[o]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff([*first, len(sig)])
+    hot = np.repeat(size > HOT, size)
+    start = np.repeat(first, size)
+    a, b = forest(docs[at[hot]], docs[at[start[hot]]])
+    keep = ~hot | (start == np.arange(len(sig)))
+    sig, at, hot = sig[keep], at[keep], hot[keep]
+    there, bucket = (mix(b.view(U64)) % U64(parts)).astype(np.int64), (sig % U64(parts)).astype(np.int64)
+    e, o = np.argsort(there, kind="stable"), np.argsort(bucket, kind="stable")
+    a, b, there, sig, at, hot, bucket = a[e], b[e], there[e], sig[o], at[o], hot[o], bucket[o]
+    keys = np.unique(np.concatenate([bucket, there]))
+    for key, lo, hi, elo, ehi in zip(keys.tolist(), *(np.searchsorted(x, keys, side) for x in (bucket, there) for side in ("left", "right"))):
+        rows = at[lo:hi]
+        six = (sig[lo:hi] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        head = np.array([hi - lo, ehi - elo], "<u4")
+        yield key, b"".join(x.tobytes() for x in (head, docs[rows].astype("<i8"), a[elo:ehi].astype("<i8"), b[elo:ehi].astype("<i8"), sizes[rows].astype("<u4"), sketches[rows], hot[lo:hi].astype(np.uint8), six))
+
+
+def unpacked(bucket: int, data: bytes):
+    """(documents, edges' ends, sizes, sketches, signatures, whether all come together); a row for each signature of a document."""
+    n, e = np.frombuffer(data, "<u4", 2).tolist()
+    out, at = [], 8
+    for kind, k in (("<i8", n), ("<i8", e), ("<i8", e), ("<u4", n), ("u1", n * SKETCH // 2), ("u1", n), ("u1", 6 * n)):
+        out.append(np.frombuffer(data, kind, k, at))
+        at += out[-1].nbytes
+    docs, a, b, sizes, sketches, hot, six = out
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = six.reshape(n, 6)
+    return docs, a, b, sizes.astype(np.int64), sketches.reshape(n, -1), wide.view("<u8").ravel() << U64(16) | U64(bucket & 0xFFFF), hot.astype(bool)
 
-    sigs, docs = [], []
-    for batch in batches:
-        for bucket, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n, m = np.frombuffer(d, "<u4", 2).tolist()
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(d, np.uint8, 6 * n, 8).reshape(n, 6)
-            sigs.append(wide.view("<u8").ravel() << U64(16) | U64(bucket & 0xFFFF))
-            docs.append(np.repeat(np.frombuffer(d, "<i8", m, 8 + 6 * n), np.frombuffer(d, "<u2" if n < 65536 else "<u4", m, 8 + 6 * n + 8 * m)))
-    if not sigs:
-        return
-    key, doc = np.concatenate(sigs), np.concatenate(docs)
-    o = np.lexsort((doc, key))
-    key, doc = key[o], doc[o]
-    runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(doc[runs], np.diff([*runs, len(key)]))
-    pick = least != doc
-    pairs = np.unique(np.stack([least[pick], doc[pick]], axis=1), axis=0)
-    for lo in range(0, len(pairs), 50_000):
-        p = pairs[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy(), pa.int64()), pa.array(p[:, 1].copy(), pa.int64())], names=["a", "b"])
+
+def meet(batches):
+    """A bucket's signatures and edges to a spanning forest (document, least document of its tree)."""
+    got = [unpacked(bucket, d) for batch in batches for bucket, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    if got:
+        docs, a, b, sizes, sketches, sig, hot = (np.concatenate(x) for x in zip(*got))
+        x, y = brought_together(sig, docs, sizes, sketches, np.unique(sig[hot]))
+        yield from edge_batches(*forest(np.concatenate([a, docs[x]]), np.concatenate([b, docs[y]])))
 
 
 def divide_skip(lists: list[list[int]], need: int, mu: float = 0.01) -> list[int]:
@@ -410,21 +424,21 @@ def groups_of(batches):
         yield rows
 
 
-def link_groups(batches):
-    import pyarrow as pa
+def set_in(row: dict) -> np.ndarray:
+    return shingle_set(zstandard.decompress(row["data"]))
+
 
+def link_groups(batches):
     for rows in groups_of(batches):
         base = [r for r in rows if r["role"] == 0]
         ask = [r for r in rows if r["role"] == 1]
-        sets = [np.frombuffer(r["data"], "<u8") for r in base]
+        sets = [set_in(r) for r in base]
         if ask:
-            links = cross_links([r["node"] for r in base], sets, [r["node"] for r in ask], [np.frombuffer(r["data"], "<u8") for r in ask])
+            links = cross_links([r["node"] for r in base], sets, [r["node"] for r in ask], [set_in(r) for r in ask])
         else:
             links = group_links([r["node"] for r in base], sets)
-        links = [x for x in links if x[0] != x[1]]
-        if links:
-            a, b = zip(*links)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if links := [x for x in links if x[0] != x[1]]:
+            yield from edge_batches(*np.array(links, np.int64).T)
 
 
 def in_groups(rows: DataFrame, parts: int) -> DataFrame:
@@ -432,59 +446,65 @@ def in_groups(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "root", "block").sortWithinPartitions("root", "block").mapInArrow(frugal(link_groups), "a long, b long")
 
 
-def sets_of(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        data = [shingle_set(zstandard.decompress(t)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["node", "root", "data"])
-
-
 def compressed(batches):
     import pyarrow as pa
 
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(t or b"", 3) for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "text"])
 
 
-def links(rows: DataFrame, summary: DataFrame, copies: DataFrame) -> DataFrame:
-    """Verified links (a, b) that connect the components of the different sets.
+def links(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Verified links (a, b), stored, that connect the components of the different sets.
 
-    rows: doc_id, text. summary: of summarise(). copies: (doc_id, rep) of documents whose set a smaller one has.
+    rows: doc_id, text. own: (doc_id, n_shingles, rep), rep the least document with the same set.
     """
     spark = rows.sparkSession
     parts = partitions(spark)
-    total = summary.where("kind = 0").count()
-    often = summary.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON_LEAST, total // COMMON_SHARE))
-    # Bounded: a shingle takes a thousandth of the documents to get here, and tasks name a bounded number.
-    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "f1").limit(1 << 16).collect()], np.int64).view(U64))
-    met = rows.mapInArrow(frugal(sign(common, parts)), "key long, data binary").repartitionById(parts, F.col("key").cast("int")).mapInArrow(frugal(meet), "a long, b long")
+    met = rows.mapInArrow(frugal(sign(parts)), "key long, data binary").repartitionById(parts, F.col("key").cast("int")).mapInArrow(frugal(meet), "a long, b long")
+    # A document's trees meet under it: what is left is about one edge a document, whatever the buckets.
+    met = met.repartition(parts, "a").mapInArrow(frugal(merge_forests), "a long, b long")
+    copies = own.where("rep < doc_id").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     for end in ("a", "b"):
         met = met.join(copies.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-    coarse = stored(components(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    coarse = components(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    weights = own.where("rep = doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
+    heavy = coarse.join(weights, "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    placed = heavy.join(heavy.groupBy("root").agg(blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = stored(placed.select("node", "root", "n", "blocks", "block"))
+    dropped(coarse)
     texts = rows.where("doc_id is not null").mapInArrow(frugal(compressed), "doc_id long, text binary")
-    sets = texts.join(coarse, texts.doc_id == coarse.node).select("node", "root", "text").mapInArrow(frugal(sets_of), "node long, root long, data binary")
-    sets = stored(sets.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    # Repeated rows of a doc_id are one node.
+    # A merge join at every size: the nodes are no bounded number.
+    sets = stored(texts.join(placed.hint("merge"), texts.doc_id == placed.node).select("node", "root", "n", "blocks", "block", F.col("text").alias("data")))
     base = sets.withColumn("role", F.lit(0))
     firsts = base.where("node = root and blocks > 1").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> block").drop("block").withColumnRenamed("at", "block")
     found = stored(in_groups(base.unionByName(firsts), parts))
-    large = sets.where("blocks > 1")
+    large = placed.where("blocks > 1")
     if large.isEmpty():
+        dropped(placed, sets)
         return found
-    part = stored(large.drop("data").join(components(found).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")))
-    main = part.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    rest = stored(part.join(main, "root").where("part <> main").select("node"))
-    if rest.isEmpty():
-        return found
-    # Each block meets each bounded lot of what the largest component lacks; block numbers name both.
-    lots = large.join(rest, "node").withColumn("lots", F.lit(1))
-    counts = lots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
-    lots = lots.drop("lots").join(counts, "root").withColumn("lot", F.pmod(F.xxhash64("node", F.lit(7)), F.col("lots")).cast("int"))
-    asked = lots.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("at") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(1))
-    there = large.join(counts, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("block", F.col("block") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(0))
-    cols = ["node", "root", "block", "role", "data"]
-    return found.unionByName(stored(in_groups(there.select(cols).unionByName(asked.select(cols)), parts)))
+    again = components(found)
+    part = stored(large.join(again.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")))
+    dropped(again)
+    main = part.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    rest = stored(part.join(main, "root").where("part <> main").select("node", "root", "n", "blocks"))
+    dropped(part)
+    if not rest.isEmpty():
+        # Each block meets each bounded lot of what the largest component lacks; block numbers name both.
+        lots = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        counts = rest.groupBy("root").agg(lots.alias("lots"))
+        asking = rest.join(counts, "root").select("node", F.pmod(F.xxhash64("node", F.lit(7)), F.col("lots")).cast("int").alias("lot"), "lots")
+        wide = sets.where("blocks > 1")
+        asked = wide.join(asking, "node").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("at") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(1))
+        there = wide.join(counts, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("block", F.col("block") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(0))
+        cols = ["node", "root", "block", "role", "data"]
+        more = stored(in_groups(there.select(cols).unionByName(asked.select(cols)), parts))
+        first, found = found, stored(found.unionByName(more))
+        dropped(first, more)
+    dropped(placed, sets, rest)
+    return found
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -496,13 +516,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession, 256)
     rows = plain(docs)
-    summary = stored(rows.mapInArrow(frugal(summarise), "kind int, doc_id long, n long, f1 long, f2 long"))
-    own = summary.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
+    summary = stored(rows.mapInArrow(frugal(summarise), "doc_id long, n long, f1 long, f2 long"))
+    own = summary.withColumnRenamed("n", "n_shingles")
     same = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     own = stored(own.join(same, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")))
-    copies = own.where("rep < doc_id").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    roots = components(links(rows, summary, copies)).withColumnRenamed("node", "rep")
-    return own.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
+    found = links(rows, own)
+    roots = components(found)
+    dropped(summary, found)
+    return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
