@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import HOUR, MINUTE, minutes
-from .temporal import as_of, in_window
+from .temporal import as_of
 
 # Summaries as (parameter, hours, statistic).
 ROLLING = [("t2m", 6, "mean"), ("t2m", 6, "min"), ("t2m", 6, "max"), ("t2m", 24, "min"), ("t2m", 24, "max"), ("ws_10min", 6, "max"), ("wg_10min", 6, "max"), ("r_1h", 6, "sum"), ("r_1h", 24, "sum"), ("snow_aws", 24, "change")]
@@ -37,16 +38,33 @@ def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple
     """(qid, parameter, hours, n, mean, min, max, sum, change): of values in [deadline - hours, deadline).
 
     Summaries are null unless three quarters of the hours are covered and the last value is fresh; n always counts.
+    Queries and values go through one sorted pass by parameter, in slices of time as in as_of(): no pair is made.
     """
-    longest = max(hours)
-    asked = deadlines(q, lag).select("qid", "deadline", F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
-    rows = in_window(asked, series, ["parameter"], "t", F.col("deadline") - F.lit(longest * HOUR), F.col("deadline"), longest * HOUR)
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, hours))).alias("hours")).where(F.col("t") >= F.col("deadline") - F.col("hours") * F.lit(HOUR))
-    g = rows.groupBy("qid", "parameter", "hours").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("sum"), (F.max_by("value", "t") - F.min_by("value", "t")).alias("change"), F.max("t").alias("used"))
-    grid = asked.select("*", F.explode(F.array(*map(F.lit, hours))).alias("hours"))
-    need = F.ceil(F.col("hours") * F.lit(COVERAGE))
-    ok = (F.col("n") >= need) & (F.col("used") >= F.col("deadline") - F.lit(stale * MINUTE))
-    return grid.join(g, ["qid", "parameter", "hours"], "left").select("qid", "parameter", "hours", F.coalesce("n", F.lit(0)).alias("n"), *(F.when(ok, F.col(c)).alias(c) for c in ("mean", "min", "max", "sum", "change")), "used")
+    width = 4 * max(hours) * HOUR
+    asked = deadlines(q, lag).select("qid", F.col("deadline").alias("_t"), F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
+    asked = asked.select("parameter", "_t", F.floor(F.col("_t") / F.lit(width)).alias("_slice"), "qid", F.lit(True).alias("_asks"), F.lit(None).cast("double").alias("value"))
+    here = F.floor(F.col("t") / F.lit(width))
+    known = series.where(F.col("parameter").isin(parameters)).select("parameter", F.col("t").alias("_t"), F.explode(F.array(here, here + 1)).alias("_slice"), F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), F.lit(False).alias("_asks"), F.col("value").cast("double").alias("value"))
+    order = W.partitionBy("parameter", "_slice").orderBy("_t")
+    at = F.when(F.col("value").isNotNull(), F.col("_t"))
+    past = []
+    for h in hours:
+        w = order.rangeBetween(-h * HOUR, -1)
+        past.append(
+            F.struct(
+                F.lit(h).alias("hours"),
+                F.count("value").over(w).alias("n"),
+                F.min("value").over(w).alias("min"),
+                F.max("value").over(w).alias("max"),
+                F.sum("value").over(w).alias("sum"),
+                (F.last("value", ignorenulls=True).over(w) - F.first("value", ignorenulls=True).over(w)).alias("change"),
+                F.last(at, ignorenulls=True).over(w).alias("used"),
+            )
+        )
+    rows = asked.unionByName(known).withColumn("_past", F.array(*past)).where("_asks").select("qid", "parameter", "_t", F.inline("_past"))
+    rows = rows.withColumn("mean", F.try_divide("sum", F.col("n").cast("double")))
+    ok = (F.col("n") >= F.ceil(F.col("hours") * F.lit(COVERAGE))) & (F.col("used") >= F.col("_t") - F.lit(stale * MINUTE))
+    return rows.select("qid", "parameter", "hours", "n", *(F.when(ok, F.col(c)).alias(c) for c in ("mean", "min", "max", "sum", "change")), "used")
 
 
 def wide(q: DataFrame, now: DataFrame, past: DataFrame, parameters: list[str], prefix: str = "fmi") -> DataFrame:
