@@ -20,14 +20,22 @@ KEY, RUN = ["d", "n", "st", "ty", "s"], ["d", "n"]
 NAMES = {"d": "departureDate", "n": "trainNumber", "st": "stationUICCode", "ty": "type"}
 
 
+def input_order(df: DataFrame, order: str | None):
+    """The input order as a column: the given one, or a hash of the row, the same however files are split. Equal rows are interchangeable."""
+    if order:
+        return F.col(order).cast("long")
+    return F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in sorted(df.columns)))
+
+
 def plan_of(schedules: DataFrame, order: str | None = None) -> DataFrame:
-    """Engine columns of a timetable; columns it lacks are null. order: the column with the input order."""
+    """Engine columns of a timetable; columns it lacks are null. order: the column with the input order; without one, rows that
+    only their place tells apart have an arbitrary but repeatable order."""
     have = set(schedules.columns)
     opt = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
     time = lambda name: micros(schedules, name) if name in have else F.lit(None).cast("long")
     return schedules.select(
         F.col("departureDate").cast("date").alias("d"), F.col("trainNumber").cast("long").alias("n"), F.col("stationUICCode").cast("int").alias("st"), F.col("type").alias("ty"),
-        time("scheduledTime").alias("s"), time("timetableAcceptanceDate").alias("acc"), (F.col(order).cast("long") if order else F.monotonically_increasing_id()).alias("ord"),
+        time("scheduledTime").alias("s"), time("timetableAcceptanceDate").alias("acc"), input_order(schedules, order).alias("ord"),
         opt("trainCategory", "string").alias("cat"), opt("trainStopping", "boolean").alias("stopping"), opt("commercialStop", "boolean").alias("commercial"), opt("trainType", "string").alias("train_type"), opt("timetableType", "string").alias("table_type"),
     )
 
@@ -36,7 +44,7 @@ def reports_of(observed: DataFrame, order: str | None = None) -> DataFrame:
     """(key, act, delay, ord) of observations."""
     return observed.select(
         F.col("departureDate").cast("date").alias("d"), F.col("trainNumber").cast("long").alias("n"), F.col("stationUICCode").cast("int").alias("st"), F.col("type").alias("ty"),
-        micros(observed, "scheduledTime").alias("s"), micros(observed, "actualTime").alias("act"), number(F.col("differenceInMinutes")).alias("delay"), (F.col(order).cast("long") if order else F.monotonically_increasing_id()).alias("ord"),
+        micros(observed, "scheduledTime").alias("s"), micros(observed, "actualTime").alias("act"), number(F.col("differenceInMinutes")).alias("delay"), input_order(observed, order).alias("ord"),
     )
 
 

@@ -36,10 +36,14 @@ def expanding(df: DataFrame, n: int, k: int, time: str = "t") -> DataFrame:
     return df.withColumn("fold", fold)
 
 
-def purged(df: DataFrame, folds: DataFrame, label_time: str = "act", cut: str = "cut", k: int = 5) -> DataFrame:
-    """(fold, row_id) of training rows: before the fold's first row, with labels strictly older than its least cut."""
-    edge = folds.where("fold >= 0").groupBy("fold").agg(F.min("row_id").alias("begin"), F.min(cut).alias("least"))
-    return df.select("row_id", label_time, F.explode(F.array(*(F.struct(F.lit(r.fold).alias("fold"), F.lit(r.begin).alias("begin"), F.lit(r.least).alias("least")) for r in edge.limit(k).collect()))).alias("e")).where((F.col("row_id") < F.col("e.begin")) & (F.col(label_time) < F.col("e.least"))).select("e.fold", "row_id")
+def purged(df: DataFrame, folds: DataFrame, label_time: str = "act", cut: str = "cut") -> DataFrame:
+    """(fold, row_id) of training rows: before the fold's first row, with labels strictly older than its least cut. As many folds as there are."""
+    edges = folds.where("fold >= 0").groupBy("fold").agg(F.min("row_id").alias("begin"), F.min(cut).alias("least")).orderBy("fold").collect()
+    if not edges:
+        return df.select(F.lit(0).alias("fold"), "row_id").limit(0)
+    each = F.array(*(F.struct(F.lit(r.fold).alias("fold"), F.lit(r.begin).alias("begin"), F.lit(r.least).alias("least")) for r in edges))
+    rows = df.select("row_id", label_time, F.explode(each).alias("e"))
+    return rows.where((F.col("row_id") < F.col("e.begin")) & (F.col(label_time) < F.col("e.least"))).select("e.fold", "row_id")
 
 
 def describe(df: DataFrame, by: list[str], time: str, label: str) -> DataFrame:
@@ -119,13 +123,16 @@ def input_ages(df: DataFrame, prediction: str, stamps: list[str]) -> DataFrame:
 
 
 def audit_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, n, mean, low quartile, median, high quartile, least, most) of columns."""
-    out = None
-    for c in columns:
+    """(name, n, mean, low quartile, median, high quartile, least, most) of columns, in one scan."""
+
+    def summary(c):
         q = F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-        row = df.agg(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), q.alias("q"), F.min(c).alias("least"), F.max(c).alias("most")).select("name", "n", "mean", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "least", "most")
-        out = row if out is None else out.unionByName(row)
-    return out
+        parts = {"name": F.lit(c), "n": F.count(c), "mean": F.avg(c).cast("double")}
+        parts |= {name: F.get(q, F.lit(k)) for k, name in enumerate(("q25", "q50", "q75"))}
+        parts |= {"least": F.min(c).cast("double"), "most": F.max(c).cast("double")}
+        return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+    return df.agg(F.array(*map(summary, columns)).alias("_s")).select(F.inline("_s"))
 
 
 def sampled_parameters(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:

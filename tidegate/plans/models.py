@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Levels of a category; one with more is refused.
+MOST_LEVELS = 1000
+
+
 class Preparation:
     """Medians for missing values, an indicator of them, and scales, all from training rows; other columns one-hot."""
 
@@ -24,7 +28,10 @@ class Preparation:
             row = train.agg(*(F.median(c).alias(f"m_{c}") for c in self.numeric), *(F.stddev_pop(c).alias(f"s_{c}") for c in self.numeric)).first()
             self.stats = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in self.numeric}
         for c in self.categorical:
-            self.levels[c] = sorted(r[0] for r in train.select(F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).distinct().limit(1000).collect())
+            found = train.select(F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).distinct().limit(MOST_LEVELS + 1).collect()
+            if len(found) > MOST_LEVELS:
+                raise ValueError(f"{c} has more than {MOST_LEVELS} levels; it is no category for one-hot columns")
+            self.levels[c] = sorted(r[0] for r in found)
         return self
 
     def columns(self) -> list:
@@ -49,14 +56,23 @@ class Ridge:
         self.preparation.fit(train)
         x = train.where(F.col(label).isNotNull()).select(self.preparation.vector().alias("x"), F.col(label).cast("double").alias("y"))
         p = 1 + len(self.preparation.columns())
-        sums = x.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i + 1)), *(F.sum(F.col("x")[i] * F.col("y")).alias(f"b{i}") for i in range(p))).first()
-        g = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i + 1):
-                g[i, j] = g[j, i] = sums[f"g{i}_{j}"] or 0.0
+
+        def products(batches):
+            """A task's sum of the outer products of (x, y)."""
+            import pyarrow as pa
+
+            total = np.zeros((p, p + 1))
+            for b in batches:
+                m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), p)
+                total += m.T @ np.hstack([m, b.column(1).to_numpy(zero_copy_only=False)[:, None]])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        # One row of p * (p + 1) sums for each task.
+        sums = np.sum([r.g for r in x.mapInArrow(products, "g array<double>").collect()] or [np.zeros(p * (p + 1))], axis=0).reshape(p, p + 1)
+        g, b = sums[:, :p], sums[:, p]
         penalty = self.alpha * np.eye(p)
         penalty[0, 0] = 0
-        self.coefficients = np.linalg.lstsq(g + penalty, np.array([sums[f"b{i}"] or 0.0 for i in range(p)]), rcond=None)[0].tolist()
+        self.coefficients = np.linalg.lstsq(g + penalty, b, rcond=None)[0].tolist()
         return self
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -148,21 +164,62 @@ class Network:
         return out
 
 
-def boosted(train: DataFrame, features: list[str], label: str, ones_weight: float = 1.0, **settings):
-    """Spark ML's boosted trees; missing features are -1 beside an indicator, labels equal to one may weigh more. Gives predict(df)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+class Boosted:
+    """Spark ML's boosted trees; missing features are -1 beside an indicator, labels equal to one may weigh more."""
+
+    def __init__(self, features: list[str], ones_weight: float = 1.0, **settings):
+        self.features, self.ones_weight, self.settings, self.model = features, float(ones_weight), settings, None
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        known = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"_f_{c}") for c in self.features]
+        missing = [F.col(c).isNull().cast("double").alias(f"_n_{c}") for c in self.features]
+        return VectorAssembler(inputCols=[f"_{k}_{c}" for k in "fn" for c in self.features], outputCol="_features").transform(df.select("*", *known, *missing))
+
+    def fit(self, train: DataFrame, label: str) -> Boosted:
+        from pyspark.ml.regression import GBTRegressor
+
+        rows = self.prepared(train.withColumn("_w", F.when(F.col(label) == 1, self.ones_weight).otherwise(1.0)))
+        self.model = GBTRegressor(featuresCol="_features", labelCol=label, weightCol="_w", predictionCol="prediction", seed=42, **self.settings).fit(rows)
+        return self
 
-    def filled(df):
-        return df.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"_f_{c}") for c in features), *(F.col(c).isNull().cast("double").alias(f"_n_{c}") for c in features))
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.prepared(df)).select(*df.columns, "prediction")
+
+    def save(self, path: str) -> None:
+        """The trees at path, by Spark; features and settings beside them, as a table of one row."""
+        self.model.write().overwrite().save(f"{path.rstrip('/')}/trees")
+        spec = json.dumps({"family": "boosted", "features": self.features, "ones_weight": self.ones_weight, "settings": self.settings})
+        _session().createDataFrame([(spec,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/spec")
+
+    @classmethod
+    def load(cls, path: str) -> Boosted:
+        from pyspark.ml.regression import GBTRegressionModel
+
+        d = json.loads(_session().read.text(f"{path.rstrip('/')}/spec").first()[0])
+        out = cls(d["features"], d["ones_weight"], **d["settings"])
+        out.model = GBTRegressionModel.load(f"{path.rstrip('/')}/trees")
+        return out
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession()
+
+
+def boosted(train: DataFrame, features: list[str], label: str, ones_weight: float = 1.0, **settings):
+    """A fitted Boosted's predict(df)."""
+    return Boosted(features, ones_weight, **settings).fit(train, label).predict
 
-    assembler = VectorAssembler(inputCols=[f"_{k}_{c}" for k in "fn" for c in features], outputCol="_features")
-    rows = assembler.transform(filled(train).withColumn("_w", F.when(F.col(label) == 1, float(ones_weight)).otherwise(1.0)))
-    model = GBTRegressor(featuresCol="_features", labelCol=label, weightCol="_w", predictionCol="prediction", seed=42, **settings).fit(rows)
 
-    def predict(df):
-        out = model.transform(assembler.transform(filled(df)))
-        return out.select(*df.columns, "prediction")
+def load(path: str):
+    """A saved model of any family: a file of ridge or network, or a folder of trees."""
+    import os
 
-    predict.model = model
-    return predict
+    if os.path.isdir(path) or "://" in path:
+        return Boosted.load(path)
+    with open(path, encoding="utf-8") as f:
+        family = json.load(f)["family"]
+    return {"ridge": Ridge, "network": Network}[family].load(path)

@@ -117,14 +117,18 @@ def provenance_violations(df: DataFrame, cut: str, stamps: dict[str, int], count
         raise ValueError(f"undeclared clocks: {sorted(set(counts) - set(stamps))}")
     if missing := (set(stamps) | {c for x in counts.values() for c in x}) - set(df.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    out = None
-    for name, lag in stamps.items():
+    if bad := {n: lag for n, lag in stamps.items() if not math.isfinite(lag) or lag < 0}:
+        raise ValueError(f"lags must be finite and not negative: {bad}")
+
+    def found(name, lag):
         used = F.lit(False)
         for c in counts.get(name, []):
             used = used | yes(F.col(c) > 0)
-        row = df.agg(F.lit(name).alias("stamp"), F.count_if(F.col(name) >= F.col(cut) - F.lit(lag * MINUTE)).alias("late"), F.count_if(used & F.col(name).isNull()).alias("missing"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        late = F.count_if(F.col(name) >= F.col(cut) - F.lit(int(lag * MINUTE)))
+        return F.struct(F.lit(name).alias("stamp"), late.alias("late"), F.count_if(used & F.col(name).isNull()).alias("missing"))
+
+    # One scan for all clocks.
+    return df.agg(F.array(*(found(*x) for x in stamps.items())).alias("_s")).select(F.inline("_s"))
 
 
 def require_provenance(df: DataFrame, cut: str, stamps: dict[str, int], counts: dict[str, list[str]] | None = None) -> None:
@@ -154,6 +158,173 @@ def mismatches(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> Data
     return j.agg(F.array(*e).alias("_e")).select(F.inline("_e"))
 
 
+def require_aligned(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> None:
+    """Refuses two profiles that do not have the same keys with the same values."""
+    if bad := {r.name: r.differing for r in mismatches(a, b, key, columns).where("differing > 0").collect()}:
+        raise ValueError(f"profiles differ: {bad}")
+
+
 def deployable(df: DataFrame, prediction: str, cut: str, not_before: int, lag: int = 30) -> DataFrame:
-    """(young, early): rows whose snapshot is less than lag minutes old, and rows before the model existed."""
-    return df.agg(F.count_if(F.col(prediction) - F.col(cut) < lag * MINUTE).alias("young"), F.count_if(F.col(prediction) < F.lit(not_before)).alias("early"))
+    """(young, early): rows whose snapshot is less than lag minutes old, and rows before the model existed. An unknown time is both."""
+    old = yes(F.col(prediction) - F.col(cut) >= lag * MINUTE)
+    return df.agg(F.count_if(~old).alias("young"), F.count_if(~yes(F.col(prediction) >= F.lit(not_before))).alias("early"))
+
+
+def require_deployable(df: DataFrame, prediction: str, cut: str, not_before: int, stamps: dict[str, int] | None = None, counts: dict[str, list[str]] | None = None, lag: int = 30) -> DataFrame:
+    """df, or an error: before a model may predict, its inputs must be old enough, later than the model, and of declared clocks."""
+    r = deployable(df, prediction, cut, not_before, lag).first()
+    if r.young:
+        raise ValueError(f"{r.young} rows come from a snapshot that is less than {lag} minutes old")
+    if r.early:
+        raise ValueError(f"{r.early} rows are from before the model was available")
+    if stamps:
+        require_provenance(df, cut, stamps, counts)
+    return df
+
+
+@dataclass(frozen=True)
+class Invariants:
+    """What a table of queries must keep. Times are micros; columns that a table lacks are not judged unless they are required."""
+
+    rows: int | None = None
+    lag: int = 30
+    #: Clocks that must be before the cut where they are known, and those that must be known where there is history.
+    clocks: tuple[str, ...] = ()
+    sources: tuple[str, ...] = ()
+    #: Timetable facts, all unknown where the plan was not known.
+    masked: tuple[str, ...] = ()
+    #: Pairs (source's column, query's column) that are equal where there is history.
+    same_run: tuple[tuple[str, str], ...] = ()
+
+    def violations(self, df: DataFrame) -> DataFrame:
+        """(invariant, rows) in one scan, beside one count by row_id; 0 where it holds."""
+        have = set(df.columns)
+        if missing := {"row_id", "prediction", "cut"} - have:
+            raise ValueError(f"missing columns: {sorted(missing)}")
+        history = yes(F.col("history_count") > 0) if "history_count" in have else F.lit(False)
+        tests = {
+            "row_id_known": F.col("row_id").isNull(),
+            "row_id_in_range": yes(F.col("row_id") < 0) | (F.lit(False) if self.rows is None else yes(F.col("row_id") >= self.rows)),
+            "snapshot_age": ~yes(F.col("prediction") - F.col("cut") >= self.lag * MINUTE),
+        }
+        if "s" in have:
+            tests["prediction_is_schedule"] = ~F.col("prediction").eqNullSafe(F.col("s"))
+        if "prediction_cut" in have:
+            tests["cuts_agree"] = ~F.col("prediction_cut").eqNullSafe(F.col("cut"))
+        tests |= {f"before_cut:{c}": yes(F.col(c) >= F.col("cut")) for c in self.clocks if c in have}
+        tests |= {f"history_has:{c}": history & F.col(c).isNull() for c in self.sources}
+        if self.masked:
+            shown = F.lit(False)
+            for c in self.masked:
+                shown = shown | F.col(c).isNotNull()
+            tests["masked_plan"] = ~yes(F.col("known")) & shown
+        tests |= {f"same_run:{a}": history & ~F.col(a).eqNullSafe(F.col(b)) for a, b in self.same_run}
+        each = F.array(*(F.struct(F.lit(k).alias("invariant"), F.count_if(v).alias("rows")) for k, v in tests.items()))
+        repeats = df.where("row_id is not null").groupBy("row_id").count().where("count > 1").agg(F.lit("row_id_unique").alias("invariant"), F.count("*").alias("rows"))
+        return df.agg(each.alias("_e")).select(F.inline("_e")).unionByName(repeats)
+
+    def require(self, df: DataFrame) -> DataFrame:
+        """df, or an error that names what is broken."""
+        if bad := {r.invariant: r.rows for r in self.violations(df).where("rows > 0").collect()}:
+            raise ValueError(f"invariants broken: {bad}")
+        return df
+
+
+def unordered(df: DataFrame, order: str = "row_id", time: str = "prediction") -> DataFrame:
+    """(rows): how many rows are earlier than one before them in order. Ranges are compared by their extremes, then inside, so no task sorts all."""
+    from pyspark.sql import Window as W
+
+    from ..operators.ingest import row_ids
+
+    width = 1 << 16
+    rows = row_ids(df.select(order, time), [order], "_at").withColumn("_range", F.floor(F.col("_at") / width))
+    tops = rows.groupBy("_range").agg(F.max(time).alias("_top"))
+    before = tops.select("_range", F.max("_top").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max(time).over(W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("_inside", inside).join(before, "_range").agg(F.count_if(yes(F.col(time) < F.greatest("_inside", "_before"))).alias("rows"))
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """A tracked recipe: what was selected, bound to its files by their hashes. It loads only as it was written."""
+
+    name: str
+    features: tuple[str, ...]
+    policy: dict
+    files: dict[str, str]
+
+    def digest(self) -> str:
+        return _digest({"name": self.name, "features": list(self.features), "policy": self.policy, "files": self.files})
+
+    def write(self, path: str) -> str:
+        import json
+
+        body = {"name": self.name, "features": list(self.features), "policy": self.policy, "files": self.files}
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(body | {"digest": _digest(body)}, f, indent=1, sort_keys=True)
+        return _digest(body)
+
+    @classmethod
+    def load(cls, path: str, directory: str, digest: str | None = None) -> Recipe:
+        """The recipe at path, or an error if it, or a file that it names in the directory, is not as it was.
+
+        digest: the one that is expected from elsewhere; the file's own only shows accidents.
+        """
+        import hashlib
+        import json
+        import os
+
+        with open(path, encoding="utf-8") as f:
+            body = json.load(f)
+        own = body.pop("digest", None)
+        if set(body) != {"name", "features", "policy", "files"}:
+            raise ValueError(f"not a recipe: {sorted(body)}")
+        if own != _digest(body) or digest is not None and digest != own:
+            raise ValueError("the recipe was changed")
+        if len(set(body["features"])) != len(body["features"]):
+            raise ValueError("features repeat")
+        for name, want in body["files"].items():
+            if os.path.basename(name) != name:
+                raise ValueError(f"not a file of the directory: {name}")
+            h = hashlib.sha256()
+            with open(os.path.join(directory, name), "rb") as f:
+                while piece := f.read(1 << 20):
+                    h.update(piece)
+            if h.hexdigest() != want:
+                raise ValueError(f"changed since the recipe was written: {name}")
+        policy_of(body["policy"])
+        return cls(body["name"], tuple(body["features"]), body["policy"], body["files"])
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        return policy_of(self.policy).apply(df)
+
+
+def _digest(body: dict) -> str:
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def policy_of(settings: dict) -> Policy:
+    """A policy from plain values; unknown or missing names are an error, and so are values that Policy and Rule refuse."""
+    values = dict(settings)
+    rule = Rule(**values.pop("rule", {}))
+    try:
+        return Policy(**values, rule=rule)
+    except TypeError as e:
+        raise ValueError(f"not a policy: {e}") from None
+
+
+def replayed(df: DataFrame, policy: Policy, saved: str = "saved", key: str = "row_id", tolerance: float = 1e-9) -> DataFrame:
+    """Rows whose saved prediction the policy does not give again: key, saved, final. A missing one differs from a known one."""
+    out = policy.apply(df)
+    near = F.abs(F.col(saved) - F.col("final")) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col("final")))
+    same = F.when(F.col(saved).isNull() | F.col("final").isNull(), F.col(saved).isNull() & F.col("final").isNull()).otherwise(near)
+    return out.where(~same).select(key, saved, "final")
+
+
+def require_replay(df: DataFrame, policy: Policy, saved: str = "saved", key: str = "row_id") -> None:
+    """Refuses saved predictions that were not made by the policy."""
+    if bad := replayed(df, policy, saved, key).limit(5).collect():
+        raise ValueError(f"saved predictions differ from the policy's: {[r[key] for r in bad]}")

@@ -12,31 +12,70 @@ from ..functions.clock import MINUTE
 from ..operators.feed import KEY
 
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-POINT = "struct<MeasurementTVP: struct<time: string, value: string>>"
-COLLECTION = f"""member array<struct<PointTimeSeriesObservation: struct<observedProperty: struct<_href: string>,
- featureOfInterest: struct<SF_SpatialSamplingFeature: struct<sampledFeature: struct<LocationCollection: struct<member: struct<Location: struct<identifier: struct<_VALUE: string>, name: array<struct<_VALUE: string>>>>>>>>,
- result: struct<MeasurementTimeseries: struct<point: array<{POINT}>>>>>>"""
+def observations(text: str):
+    """(parameter, station, time, value) of each point of each member of a feature collection, whatever lies between them.
+
+    A member is an observation with one identifier, one observed property and its points at any depth. What is no feature
+    collection, or a member that lacks one of these, is an error; a collection without members has no rows.
+    """
+    from urllib.parse import parse_qs, urlsplit
+    from xml.etree import ElementTree
+
+    if "<!DOCTYPE" in text:
+        raise ValueError("not a feature collection: a document type is declared")
+    try:
+        root = ElementTree.fromstring(text.encode())
+    except ElementTree.ParseError as e:
+        raise ValueError(f"not a feature collection: {e}") from None
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    if local(root) != "FeatureCollection":
+        raise ValueError(f"not a feature collection: {local(root)}")
+    for member in root:
+        if local(member) != "member":
+            continue
+        found: dict = {"identifier": None, "observedProperty": None}
+        points = []
+        for e in member.iter():
+            name = local(e)
+            if name == "identifier" and found[name] is None:
+                found[name] = (e.text or "").strip()
+            elif name == "observedProperty" and found[name] is None:
+                link = next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "href"), "")
+                found[name] = parse_qs(urlsplit(link).query).get("param", [None])[0]
+            elif name == "MeasurementTVP":
+                part = {local(x): (x.text or "").strip() for x in e}
+                points.append((part.get("time", ""), part.get("value", "")))
+        if not all(found.values()) or not found["identifier"].isdigit():
+            raise ValueError(f"a member without {' or '.join(k for k, v in found.items() if not v) or 'a numeric identifier'}")
+        for time, value in points:
+            yield found["observedProperty"], int(found["identifier"]), time, value
 
 
 def weather_xml(df: DataFrame, column: str, station: int | None = None, parameters: list[str] | None = None) -> DataFrame:
     """(parameter, t, value, station) of WaterML time series in a string column, one response in each row.
 
-    Measurement times must name a zone; another station or an unknown parameter fails the job that reads it.
+    Measurement times must name a zone; another station, an unknown parameter, or a document that is no feature collection
+    of observations fails the job that reads it. A null document has no rows; what is no number is unknown.
     """
-    x = F.from_xml(F.col(column), F.lit(COLLECTION), {"rowTag": "FeatureCollection", "ignoreNamespace": "true"})
-    m = df.select(F.explode(x["member"]).alias("m")).select("m.PointTimeSeriesObservation.*")
-    p = m.select(
-        F.parse_url("observedProperty._href", F.lit("QUERY"), F.lit("param")).alias("parameter"), F.col("featureOfInterest.SF_SpatialSamplingFeature.sampledFeature.LocationCollection.member.Location.identifier._VALUE").cast("int").alias("station"),
-        F.explode("result.MeasurementTimeseries.point").alias("p"),
-    )
-    time = F.col("p.MeasurementTVP.time")
-    t = F.when(time.rlike(ISO), F.unix_micros(F.try_to_timestamp(time))).otherwise(F.raise_error(F.concat(F.lit("measurement time without zone: "), F.coalesce(time, F.lit("none")))).cast("long"))
-    name, at = F.col("parameter"), F.col("station")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                cols = list(zip(*observations(text))) if text is not None else []
+                if cols:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["parameter", "station", "time", "text"])
+
+    p = df.select(F.col(column).cast("string").alias("x")).mapInArrow(run, "parameter string, station long, time string, text string")
+    time = F.col("time")
+    t = F.when(time.rlike(ISO), F.unix_micros(F.try_to_timestamp(time))).otherwise(F.raise_error(F.concat(F.lit("measurement time without zone: "), time)).cast("long"))
+    name, at = F.col("parameter"), F.col("station").cast("int")
     if parameters is not None:
-        name = F.when(name.isin(parameters), name).otherwise(F.raise_error(F.concat(F.lit("unexpected parameter: "), F.coalesce(name, F.lit("none")))))
+        name = F.when(name.isin(parameters), name).otherwise(F.raise_error(F.concat(F.lit("unexpected parameter: "), name)))
     if station is not None:
         at = F.when(at == station, at).otherwise(F.raise_error(F.lit("unexpected station")).cast("int"))
-    return p.select(name.alias("parameter"), t.alias("t"), F.col("p.MeasurementTVP.value").try_cast("double").alias("value"), at.alias("station"))
+    return p.select(name.alias("parameter"), t.alias("t"), F.col("text").try_cast("double").alias("value"), at.alias("station"))
 
 
 def message(raw: Column) -> Column:
@@ -103,23 +142,59 @@ def merge_manifests(base: dict, *added: dict) -> dict:
     return out
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any storage that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def write_profile(df: DataFrame, path: str, manifest: dict) -> None:
     """A table and its manifest beside it, with the columns it has."""
     write_table(df, path)
-    with open(path.rstrip("/") + ".manifest.json", "w", encoding="utf-8") as f:
-        json.dump(manifest | {"columns": df.columns}, f, indent=1)
+    put_text(df.sparkSession, path.rstrip("/") + ".manifest.json", json.dumps(manifest | {"columns": df.columns}, indent=1))
 
 
 def read_profile(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """The table and manifest; fails if a declared column is missing."""
-    with open(path.rstrip("/") + ".manifest.json", encoding="utf-8") as f:
-        manifest = json.load(f)
+    manifest = json.loads(get_text(spark, path.rstrip("/") + ".manifest.json"))
     df = spark.read.parquet(path)
     if missing := set(manifest["columns"]) - set(df.columns):
         raise ValueError(f"columns missing: {sorted(missing)}")
     return df, manifest
 
 
+def write_arrays(df: DataFrame, path: str, columns: list[str], most: int = 1 << 24) -> None:
+    """Columns as one numpy archive on the driver's disk, in df's order. A sink of results of known size: more rows are an error."""
+    import numpy as np
+
+    rows = df.select(*columns).limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} rows; write a table instead")
+    np.savez_compressed(path, **{c: rows[c].to_numpy() for c in columns})
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The table that write_arrays() wrote."""
+    import numpy as np
+    import pyarrow as pa
+
+    with np.load(path, allow_pickle=False) as z:
+        return spark.createDataFrame(pa.table({c: z[c] for c in z.files}))
+
+
 class SearchLog:
     """Append-only results of a search: a resumed one must have the same configuration and continues after what is there."""
 
@@ -156,6 +231,23 @@ def weekly_windows(start_us: int, end_us: int) -> list[tuple[int, int]]:
     return [(t, min(t + week, end_us)) for t in range(start_us, end_us, week)]
 
 
+def wait_of(retry_after: str | float | None, attempt: int, now: float | None = None) -> float:
+    """Seconds to wait: what the server asks for, in seconds or as a date, else twice as long each time; five minutes at most."""
+    from email.utils import parsedate_to_datetime
+    from time import time
+
+    wait = float(2**attempt)
+    if retry_after is not None:
+        try:
+            wait = float(retry_after)
+        except ValueError:
+            try:
+                wait = parsedate_to_datetime(str(retry_after)).timestamp() - (time() if now is None else now)
+            except ValueError:
+                pass
+    return min(max(wait, 0.0), 300.0)
+
+
 def fetch_cached(window: tuple[int, int], cache: str, get, tries: int = 4, sleep=None) -> bytes:
     """The response for a window, from the cache if its hash is right, else by get(window) with back-off; get may raise with a retry_after."""
     import hashlib
@@ -175,7 +267,7 @@ def fetch_cached(window: tuple[int, int], cache: str, get, tries: int = 4, sleep
         except OSError as e:
             if k == tries - 1:
                 raise
-            sleep(getattr(e, "retry_after", None) or 2**k)
+            sleep(wait_of(getattr(e, "retry_after", None), k))
     with open(at, "wb") as f:
         f.write(body)
     with open(at + ".sha256", "w", encoding="ascii") as f:

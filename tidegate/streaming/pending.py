@@ -22,6 +22,12 @@ def station_windows(stream: DataFrame, late: str = "2 hours", width: str = "180
     return stream.withWatermark("known_at", late).groupBy(F.window("known_at", width, slide), "st").agg(F.count("delay").alias("n"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay"))
 
 
+def run_sessions(stream: DataFrame, late: str = "2 hours", gap: str = "90 minutes") -> DataFrame:
+    """Reports of a run without a gap as one session, given when it is over: its bounds, events and delays."""
+    g = stream.withWatermark("known_at", late).groupBy(F.session_window("known_at", gap).alias("w"), "d", "n")
+    return g.agg(F.count("*").alias("events"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay")).select("d", "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "mean_delay", "max_delay")
+
+
 def reports_within(plan: DataFrame, reports: DataFrame, hours: int = 12) -> DataFrame:
     """Planned events (planned_at) with their reports (known_at) of the next hours: a stream-stream interval join by run and event."""
     a = plan.withWatermark("planned_at", f"{hours} hours").alias("a")
