@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import HOUR, MINUTE, minutes
@@ -34,36 +34,69 @@ def latest(q: DataFrame, series: DataFrame, parameters: list[str], stale: int =
     return out.select("qid", "parameter", "value", (minutes(F.col("deadline"), F.col("t")) + F.lit(float(lag + 30))).alias("age_minutes"), F.col("t").alias("used"))
 
 
+def extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray, pick) -> np.ndarray:
+    """The least or greatest value of each range [low, high), none empty: two overlapping spans of a power of two cover it."""
+    levels = [values]
+    while 2 << len(levels) - 1 <= len(values):
+        last, half = levels[-1], 1 << len(levels) - 1
+        levels.append(pick(last[: len(last) - half], last[half:]))
+    k = np.frexp(high - low)[1] - 1
+    out = np.empty(len(low))
+    for level in np.unique(k):
+        at = k == level
+        out[at] = pick(levels[level][low[at]], levels[level][high[at] - (1 << level)])
+    return out
+
+
+def windows_of(t: np.ndarray, value: np.ndarray, at: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """Count, extremes, sum, change and last time of the values (in order of t) in [at - width, at), of those that have any."""
+    low, high = np.searchsorted(t, at - width), np.searchsorted(t, at)
+    some = np.flatnonzero(high > low)
+    low, high = low[some], high[some]
+    # Running sums in extended precision: differences keep a double's digits.
+    sums = np.concatenate([[0], np.cumsum(value, dtype=np.longdouble)])
+    total = (sums[high] - sums[low]).astype(float)
+    return {"at": some, "n": high - low, "min": extremes(value, low, high, np.minimum), "max": extremes(value, low, high, np.maximum), "sum": total, "mean": total / (high - low), "change": value[high - 1] - value[low], "used": t[high - 1]}
+
+
 def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple = (6, 24), stale: int = STALE, lag: int = LAG) -> DataFrame:
     """(qid, parameter, hours, n, mean, min, max, sum, change): of values in [deadline - hours, deadline).
 
     Summaries are null unless three quarters of the hours are covered and the last value is fresh; n always counts.
-    Queries and values go through one sorted pass by parameter, in slices of time as in as_of(): no pair is made.
+    Queries and values meet by parameter in slices of time, values in the slice after theirs too, as in as_of(). Inside a
+    slice running sums and ranges of powers of two answer each query in a few steps, however dense the values are: a frame
+    of Spark's would be gone over again for every row.
     """
+    import pyarrow as pa
+
     width = 4 * max(hours) * HOUR
-    asked = deadlines(q, lag).select("qid", F.col("deadline").alias("_t"), F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
-    asked = asked.select("parameter", "_t", F.floor(F.col("_t") / F.lit(width)).alias("_slice"), "qid", F.lit(True).alias("_asks"), F.lit(None).cast("double").alias("value"))
+    asked = deadlines(q, lag).select(F.col("qid").cast("long").alias("qid"), F.col("deadline").alias("t"), F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
+    asked = asked.select("parameter", F.floor(F.col("t") / F.lit(width)).alias("slice"), "t", "qid", F.lit(True).alias("asks"), F.lit(None).cast("double").alias("value"))
     here = F.floor(F.col("t") / F.lit(width))
-    known = series.where(F.col("parameter").isin(parameters)).select("parameter", F.col("t").alias("_t"), F.explode(F.array(here, here + 1)).alias("_slice"), F.lit(None).cast(q.schema["qid"].dataType).alias("qid"), F.lit(False).alias("_asks"), F.col("value").cast("double").alias("value"))
-    order = W.partitionBy("parameter", "_slice").orderBy("_t")
-    at = F.when(F.col("value").isNotNull(), F.col("_t"))
-    past = []
-    for h in hours:
-        w = order.rangeBetween(-h * HOUR, -1)
-        past.append(
-            F.struct(
-                F.lit(h).alias("hours"),
-                F.count("value").over(w).alias("n"),
-                F.min("value").over(w).alias("min"),
-                F.max("value").over(w).alias("max"),
-                F.sum("value").over(w).alias("sum"),
-                (F.last("value", ignorenulls=True).over(w) - F.first("value", ignorenulls=True).over(w)).alias("change"),
-                F.last(at, ignorenulls=True).over(w).alias("used"),
-            )
-        )
-    rows = asked.unionByName(known).withColumn("_past", F.array(*past)).where("_asks").select("qid", "parameter", "_t", F.inline("_past"))
-    rows = rows.withColumn("mean", F.try_divide("sum", F.col("n").cast("double")))
-    ok = (F.col("n") >= F.ceil(F.col("hours") * F.lit(COVERAGE))) & (F.col("used") >= F.col("_t") - F.lit(stale * MINUTE))
+    known = series.where(F.col("parameter").isin(parameters) & F.col("value").isNotNull())
+    known = known.select("parameter", F.explode(F.array(here, here + 1)).alias("slice"), "t", F.lit(None).cast("long").alias("qid"), F.lit(False).alias("asks"), F.col("value").cast("double").alias("value"))
+
+    def summaries(key, table):
+        t, asks = table["t"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
+        value, ids, at = table["value"].to_numpy(), table["qid"].filter(table["asks"]).to_numpy(), t[asks]
+        order = np.argsort(t[~asks], kind="stable")
+        facts, value = t[~asks][order], value[~asks][order]
+        parts = []
+        for h in hours:
+            found = windows_of(facts, value, at, h * HOUR)
+            n = np.zeros(len(at), np.int64)
+            n[found["at"]] = found["n"]
+            cols = {"qid": pa.array(ids), "parameter": pa.array([key[0].as_py()] * len(at), pa.string()), "hours": pa.array(np.full(len(at), h, np.int32)), "n": pa.array(n)}
+            for name in ("mean", "min", "max", "sum", "change", "used"):
+                full = np.zeros(len(at), found[name].dtype)
+                full[found["at"]] = found[name]
+                cols[name] = pa.array(full, mask=n == 0)
+            parts.append(pa.table(cols | {"deadline": pa.array(at)}))
+        return pa.concat_tables(parts)
+
+    schema = "qid long, parameter string, hours int, n long, mean double, min double, max double, sum double, change double, used long, deadline long"
+    rows = asked.unionByName(known).groupBy("parameter", "slice").applyInArrow(summaries, schema)
+    ok = (F.col("n") >= F.ceil(F.col("hours") * F.lit(COVERAGE))) & (F.col("used") >= F.col("deadline") - F.lit(stale * MINUTE))
     return rows.select("qid", "parameter", "hours", "n", *(F.when(ok, F.col(c)).alias(c) for c in ("mean", "min", "max", "sum", "change")), "used")
 
 
