@@ -1,5 +1,7 @@
 import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidegate.llm import language_id as li
@@ -28,6 +30,51 @@ def test_kernel():
     assert m.predict(["abc", "zxyz", None, "12 !"])[0] == ["a", "b", "und", "und"]
 
 
+def test_predictions_against_brute_force(spark):
+    """Kernels from plain sets of n-grams, ridge by its normal equations: the same predictions and scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = li.fit(docs)
+    got = {r.doc_id: r for r in li.predicted(docs, model).collect()}
+
+    def grams(text):
+        b = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()) + b" "
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    learn = sorted((r for r in docs.collect() if r.lang and r.text and li.LETTER.search(r.text) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1), key=lambda r: (r.doc_id, r.lang, r.text))
+    sets = [grams(r.text) for r in learn]
+    counts = Counter(g for s in sets for g in s)
+    sets = [{g for g in s if counts[g] >= li.LEAST_TEXTS} for s in sets]
+    langs = sorted({r.lang for r in learn})
+    marks = [s for c in langs for s in [s for s, r in zip(sets, learn) if r.lang == c][: li.LANDMARKS // len(langs)]]
+    kernel = lambda a, b: len(a & b) / (max(1, len(a)) * max(1, len(b))) ** 0.5
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values.max()
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    z = lambda many: np.hstack([np.array([[kernel(a, b) for b in marks] for a in many]) @ whiten, np.ones((len(many), 1))])
+    w = np.array([1 / sum(x.lang == r.lang for x in learn) for r in learn])
+    a = z(sets)
+    penalty = li.RIDGE * np.eye(a.shape[1]) * w.sum() / len(a)
+    penalty[-1, -1] = 1e-9
+    beta = np.linalg.solve(a.T @ (a * w[:, None]) + penalty, a.T @ (np.array([[1.0 if c == r.lang else -1.0 for c in langs] for r in learn]) * w[:, None]))
+    asked = [r for r in docs.collect() if got[r.doc_id].lang_pred != "und"][:60]
+    kept = {g for g, n in counts.items() if n >= li.LEAST_TEXTS}
+    scores = z([grams(r.text) & kept for r in asked]) @ beta
+    for r, s in zip(asked, scores):
+        e = np.exp(3 * (s - s.max()))
+        assert abs(got[r.doc_id].score - e.max() / e.sum()) < 1e-2
+        assert got[r.doc_id].lang_pred == langs[s.argmax()] or np.sort(s)[-1] - np.sort(s)[-2] < 1e-2
+
+
+def test_ties_and_many_languages(spark, monkeypatch):
+    """Equal scores go to the first language in order; many languages share the rows, none is left out; an id that repeats is one row."""
+    m = li.KernelModel([b"abc", b"abc"], ["b", "a"])
+    assert m.predict(["abc"])[0] == ["a"]
+    monkeypatch.setattr(li, "ROWS", 100)
+    rows = [(i, f"wort{i % 50} " * 5, f"l{i % 50:02d}") for i in range(1500)] + [(-1, "ein anderes", "l00")] * 2000
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 40 <= len(model.langs) <= 50
+
+
 def test_only_other_rows_teach(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     changed = docs.withColumn("lang", F.when(li.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang"))).withColumn("source", F.lit(None))

@@ -27,10 +27,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of the machine only where it is unset and Spark is one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a folder that they share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         spark.sparkContext.setCheckpointDir(at)

@@ -6,7 +6,8 @@ letters and their separators) that both have, divided by the geometric mean of w
 regression for each language, one against the rest, is fitted on them. Scoring takes batches of texts through
 two matrix products.
 
-Only the fit is made on a sample: at most PER_LANGUAGE labelled rows of each language, by hash of the id.
+Only the fit is made on a sample of labelled rows, by hash of the id: PER_LANGUAGE of each language, fewer if the languages
+are so many that this would be more than ROWS.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import dropped, small_batches, stored
 
-#: Labelled rows of each language and landmarks in all that a fit may use; the ridge.
-PER_LANGUAGE, LANDMARKS, RIDGE = 300, 160, 0.3
-#: N-grams that fewer than so many training texts have are not kept; so many bytes of a training text are read at once.
-LEAST_TEXTS, MOST_GRAMS = 2, 8192
+#: Labelled rows of each language and of all that a fit may use, about; landmarks in all, one of each language at least; the ridge.
+PER_LANGUAGE, ROWS, LANDMARKS, RIDGE = 300, 20_000, 160, 0.3
+#: N-grams that fewer than so many training texts have are not kept; texts whose grams are in memory at once.
+LEAST_TEXTS, AT_ONCE = 2, 512
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 LETTER = regex.compile(r"\p{L}")
 #: ASCII letters lower-cased, other ASCII bytes are separators; bytes of longer characters stay.
@@ -47,22 +48,20 @@ class KernelModel:
         sets = [np.unique(grams(t)) for t in texts]
         codes, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int32), np.zeros(0, int))
         keep = np.flatnonzero(counts >= min(LEAST_TEXTS, max(1, len(sets) // 2)))
-        keep = keep[np.argsort(-counts[keep], kind="stable")][:MOST_GRAMS]
-        self.codes = np.sort(codes[keep])
-        x = self.presence(texts)
+        self.codes = codes[keep]
         pick = np.concatenate([np.flatnonzero(np.array(langs) == c)[: max(1, landmarks // max(1, len(self.langs)))] for c in self.langs]) if langs else np.zeros(0, int)
-        self.landmarks = self.normal(x[pick])
-        k = self.normal(x) @ self.landmarks.T
+        self.landmarks = self.normal(self.presence([texts[i] for i in pick]))
+        k = np.concatenate([self.kernels(texts[lo : lo + AT_ONCE]) for lo in range(0, len(texts), AT_ONCE)] or [np.zeros((0, len(pick)), np.float32)])
         values, vectors = np.linalg.eigh(self.landmarks @ self.landmarks.T) if len(pick) else (np.zeros(0), np.zeros((0, 0)))
         good = values > 1e-6 * max(values.max(initial=0), 1e-12)
         self.whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-        z = np.concatenate([k @ self.whiten, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float64)
-        y = np.array([[1.0 if c == lang else -1.0 for c in self.langs] for lang in langs]).reshape(len(x), len(self.langs))
+        z = np.concatenate([k @ self.whiten, np.ones((len(k), 1), np.float32)], axis=1).astype(np.float64)
+        y = np.array([[1.0 if c == lang else -1.0 for c in self.langs] for lang in langs]).reshape(len(k), len(self.langs))
         share = np.array([langs.count(c) for c in langs], float)
         w = 1.0 / np.maximum(share, 1)
-        penalty = ridge * np.eye(z.shape[1]) * w.sum() / max(1, len(x))
+        penalty = ridge * np.eye(z.shape[1]) * w.sum() / max(1, len(k))
         penalty[-1, -1] = 1e-9
-        self.beta = np.linalg.solve(z.T @ (z * w[:, None]) + penalty, z.T @ (y * w[:, None])).astype(np.float32) if len(x) else np.zeros((1, 0), np.float32)
+        self.beta = np.linalg.solve(z.T @ (z * w[:, None]) + penalty, z.T @ (y * w[:, None])).astype(np.float32) if len(k) else np.zeros((1, 0), np.float32)
 
     def presence(self, texts: list[bytes]) -> np.ndarray:
         table = self.numbers()
@@ -75,7 +74,7 @@ class KernelModel:
     def numbers(self) -> np.ndarray:
         """Number of each code; the last number stands for all that are not kept. Made once in a process."""
         if getattr(self, "table", None) is None:
-            self.table = np.full(CODES, len(self.codes), np.uint16)
+            self.table = np.full(CODES, len(self.codes), np.uint16 if len(self.codes) < 1 << 16 else np.uint32)
             self.table[self.codes] = np.arange(len(self.codes))
         return self.table
 
@@ -83,9 +82,13 @@ class KernelModel:
     def normal(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
+    def kernels(self, texts: list[bytes]) -> np.ndarray:
+        """The kernel of each text with each landmark."""
+        return self.normal(self.presence(texts)) @ self.landmarks.T
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """One column for each language."""
-        k = self.normal(self.presence(texts)) @ self.landmarks.T
+        k = self.kernels(texts)
         return np.concatenate([k @ self.whiten, np.ones((len(texts), 1), np.float32)], axis=1) @ self.beta
 
     def __getstate__(self):
@@ -109,16 +112,20 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame) -> KernelModel:
-    """Learns from text and lang of rows that are not held out: about PER_LANGUAGE of each language.
+    """Learns from text and lang of rows that are not held out: about PER_LANGUAGE of each language, ROWS in all.
 
-    A first pass counts labels over all rows; the share to take of each language follows, by hash of the id,
-    so the driver gets a bounded number of rows.
+    A first pass counts labels over all rows; the share to take of each language follows, by hash of the id, so the driver
+    gets a bounded number of rows, and the same ones in every run.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = usable.groupBy("lang").count()
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = usable.join(stored(counts), "lang").where(lot * F.col("count") <= PER_LANGUAGE).select("doc_id", "text", "lang")
-    rows = sorted(some.limit(64 * PER_LANGUAGE).collect(), key=lambda r: (r.doc_id, r.lang, r.text))
+    counts = stored(counts)
+    quota = max(1, min(PER_LANGUAGE, ROWS // max(1, counts.count())))
+    # Rows that repeat an id are one, so that no id brings more than its share.
+    some = usable.join(counts, "lang").where(lot * F.col("count") <= quota).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sorted(some.collect(), key=lambda r: (r.doc_id, r.lang, r.text))
+    dropped(counts)
     rows = [r for r in rows if LETTER.search(r.text)]
     return KernelModel([r.text.encode() for r in rows], [r.lang for r in rows])
 
