@@ -1,6 +1,8 @@
 import hashlib
 import random
+import struct
 import zlib
+from fractions import Fraction
 
 from tidegate.llm import mpeg
 
@@ -43,5 +45,29 @@ def test_query(spark):
         p = mpeg.padded((t or "").encode())
         r = got[i, len((t or "").encode())]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        stored = mpeg.encode(p)
+        n = len(p) // 576
+        start = len(stored) - n * 672
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest() and r.frame_offsets == [start + 672 * k for k in range(n)]
+        assert (r.frames, r.samples, Fraction(r.duration_numerator, r.duration_denominator)) == (n, 1152 * n, Fraction(1152 * n, 48000))
+        assert (r.table_frames, r.table_bytes, r.bad_checksums, r.skipped_bytes, r.tags) == (n, (n + 1) * 672, 0, 0, ["ID3v2.4"])
+        seek = zlib.crc32(struct.pack(f"<{n}Q", *r.frame_offsets))
+        assert r.feature == f"frames={n};samples={1152 * n};seconds={Fraction(3 * n, 125)};bad=0;skipped=0;vbr={n};tags=ID3v2.4;seek={seek:08x}"
     assert mpeg.media_digests(docs.limit(0)).count() == 0
     assert all(mpeg.decode(r.media) for r in mpeg.media(docs).collect())
+
+
+def test_index_of_any_stream(spark):
+    """Streams of other rates and layers, damaged, empty or none at all."""
+    slow = (b"\xff\xfb\x90\x00" + b"\0" * 413) * 5  # 128 kbit/s at 44.1 kHz
+    mixed = slow + (b"\xff\xf3\x40\xc0" + b"\0" * (mpeg.header(b"\xff\xf3\x40\xc0")["size"] - 4)) * 3
+    broken = bytearray(mpeg.encode(mpeg.padded(b"x" * 2000)))
+    broken[-mpeg.FRAME + 8] ^= 1
+    rows = [(1, slow), (2, mixed), (3, bytes(broken)), (4, b""), (5, None), (6, b"no audio"), (None, slow)]
+    got = {r.doc_id: r for r in mpeg.indexed(spark.createDataFrame([(i, None if m is None else bytearray(m), "x") for i, m in rows], "doc_id long, media binary, frames string")).collect()}
+    length = lambda r: Fraction(r.duration_numerator, r.duration_denominator)
+    assert length(got[1]) == Fraction(5 * 1152, 44100) and got[1].frame_offsets == [417 * k for k in range(5)] and got[1].table_frames is None
+    assert length(got[2]) == Fraction(5 * 1152, 44100) + Fraction(3 * 576, mpeg.header(b"\xff\xf3\x40\xc0")["hertz"]) and got[2].frames == 8
+    assert got[3].bad_checksums == 1 and got[3].frames == 4
+    assert all((got[i].frames, length(got[i]), got[i].frame_offsets, got[i].tags) == (0, 0, [], []) for i in (4, 5, 6))
+    assert got[None].frames == 5

@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +37,9 @@ SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (
 HEADER = bytes((0xFF, 0xFA, 0xC4, 0xC0))
 FRAME, BODY = 672, 23
 VERSIONS = {0: 2.5, 2: 2, 3: 1}
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: What is known of a stream: exact duration in seconds as a fraction, and where each frame begins.
+INDEX = "frames long, samples long, duration_numerator long, duration_denominator long, frame_offsets array<long>, table_frames long, table_bytes long, bad_checksums long, skipped_bytes long, tags array<string>"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, " + INDEX
 
 
 def crc_table() -> np.ndarray:
@@ -160,7 +164,8 @@ def parse(data: bytes) -> dict:
         bad += int((crc16(span) != (raw[o + 4].astype(np.uint16) << np.uint16(8) | raw[o + 5])).sum())
     hertz = heads[0]["hertz"] if heads else 0
     samples = sum(h["samples"] for h in heads)
-    return {"tags": tags, "table": table, "offsets": offsets, "heads": heads, "skipped": skipped, "bad_checksums": bad, "samples": samples, "hertz": hertz, "seconds": samples / hertz if hertz else 0.0}
+    duration = sum((Fraction(n * m, hz) for (m, hz), n in Counter((h["samples"], h["hertz"]) for h in heads).items()), Fraction(0))
+    return {"duration": duration, "tags": tags, "table": table, "offsets": offsets, "heads": heads, "skipped": skipped, "bad_checksums": bad, "samples": samples, "hertz": hertz, "seconds": samples / hertz if hertz else 0.0}
 
 
 def decode(data: bytes, parsed: dict | None = None) -> bytes:
@@ -191,14 +196,46 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
+def index_of(parsed: dict) -> tuple:
+    """The values of INDEX. A table that is not there, or does not say, is null."""
+    table, d = parsed["table"] or {}, parsed["duration"]
+    return len(parsed["offsets"]), parsed["samples"], d.numerator, d.denominator, parsed["offsets"], table.get("frames"), table.get("bytes"), parsed["bad_checksums"], parsed["skipped"], parsed["tags"]
+
+
+def index_types() -> list:
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return [kinds[x.split()[1]] for x in INDEX.split(", ")]
+
+
+def indexed(media: DataFrame) -> DataFrame:
+    """doc_id and INDEX of each stream of a media column (doc_id, media), whoever wrote it.
+
+    Null or empty media, or media without a frame, have no frames and last 0 seconds. A frame's time is that of the samples
+    before it, so the offsets are a seek table as fine as can be.
+    """
+    import pyarrow as pa
+
+    small_batches(media.sparkSession, 256)
+    names = ["doc_id", *(x.split()[0] for x in INDEX.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            cols = list(zip(*(index_of(parse(m or b"")) for m in batch.column(1).to_pylist()))) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, index_types()))], names=names)
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "doc_id long, " + INDEX)
+
+
 def described(text: bytes | None) -> tuple:
     text = text or b""
     stored = encode(padded(text))
     parsed = parse(stored)
     payload = decode(stored, parsed)
     toc = zlib.crc32(np.array(parsed["offsets"], "<u8").tobytes())
-    feature = f"frames={len(parsed['offsets'])};samples={parsed['samples']};ms={parsed['samples'] * 1000 // (parsed['hertz'] or 1)};bad={parsed['bad_checksums']};skipped={parsed['skipped']};vbr={parsed['table']['frames'] if parsed['table'] else -1};tags={','.join(parsed['tags'])};seek={toc:08x}"
-    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    feature = f"frames={len(parsed['offsets'])};samples={parsed['samples']};seconds={parsed['duration']};bad={parsed['bad_checksums']};skipped={parsed['skipped']};vbr={parsed['table']['frames'] if parsed['table'] else -1};tags={','.join(parsed['tags'])};seek={toc:08x}"
+    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, *index_of(parsed)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -213,9 +250,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *index_types()]
         for batch in batches:
-            cols = list(zip(*map(described, as_bytes(batch.column(1))))) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = list(zip(*map(described, as_bytes(batch.column(1))))) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
