@@ -77,15 +77,17 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """docs as mixed: a row for each whole copy, then one with the first words of a copy that is cut.
 
-    The columns are docs' own. Identical rows share what they take alike. Rows that take nothing go.
+    The columns are docs' own. A cut copy ends after its last word and is otherwise as it was, white space too. Rows with
+    equal id and text share what they take alike. Rows that take nothing go, so null and blank texts do.
     """
     names = docs.columns
     plan = taken(stored(sized(docs))).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("h").alias("_h")).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_h"))
     rows = own.join(plan, ["_k", "_h"]).withColumn("_part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("_taken") / F.col("_size")))))
     left = F.col("_taken") - (F.col("_part") - 1) * F.col("_size")
-    words = F.filter(F.split(F.col("_row")["text"], WS, -1), lambda w: w != "")
-    text = F.when(left >= F.col("_size"), F.col("_row")["text"]).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0)).cast("int")), " "))
+    whole = F.col("_row")["text"].cast("string")
+    words = F.regexp_extract_all(whole, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    text = F.when(left >= F.col("_size"), whole).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0)).cast("int")), ""))
     put = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return rows.select(*((put[c] if c in put else F.col("_row").getField(c)).alias(c) for c in names))
 

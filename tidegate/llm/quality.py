@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import WS, stored
 
-#: Characters that count as symbols.
-SYMBOLS = "#*$%&|<>"
+#: Characters that count as symbols; those that part words.
+SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
 #: Rates (per thousand) that are judged, and the step between neighbouring LEVELS that parts a group's clean mass from its noise.
 GAPS = {"symbol_rate": 10.0, "dup_line_rate": 100.0, "repeat_rate": 100.0}
-#: Least thresholds: none, as EXCUSED spares what is single.
-FLOORS = {"symbol_rate": 0.0, "dup_line_rate": 0.0, "repeat_rate": 0.0}
 #: Quantiles walked to the end of the clean mass. A threshold is SLACK times the value there, or for a group that has
 #: the like in a quarter of its documents SLACK times its upper quartile plus REACH times the distance from the median
 #: to it; at most the CAP quantile of all documents.
@@ -36,13 +34,12 @@ def counts(text) -> list:
     equal to a neighbour give the covered positions, of which overlaps count once.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(t, WS, -1), lambda w: w != "")
+    bare = F.btrim(t, F.lit(BLANKS))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS, -1))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_words = F.size(words).cast("long")
-    word_chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    bare = t
-    for c in SYMBOLS:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
+    n_chars = F.length(t)
+    word_chars = F.length(F.translate(t, BLANKS, "")).cast("long")
+    n_symbols = (n_chars - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
 
     def repeated(w):
         windows = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(
@@ -59,7 +56,7 @@ def counts(text) -> list:
         return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
     lines_n = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return [n_words.alias("n_words"), word_chars.alias("word_chars"), (F.length(t) - F.length(bare)).cast("long").alias("n_symbols"), lines_n.alias("n_dup_lines"), let(words, repeated).alias("n_repeat_words")]
+    return [F.size(words).cast("long").alias("n_words"), word_chars.alias("word_chars"), n_symbols.alias("n_symbols"), lines_n.alias("n_dup_lines"), let(words, repeated).alias("n_repeat_words")]
 
 
 def let(value, body):
@@ -95,8 +92,9 @@ def thresholds(rated: DataFrame) -> DataFrame:
 
     groups = rated.groupBy("_lang", "_source").agg(F.count_if(passed).alias("_n"), *sketches("group"), *(sketch(F.col(f"_{m}"), [0.5, 0.75]).alias(f"_own_{m}") for m in GAPS))
     langs = rated.groupBy(F.col("_lang").alias("_of")).agg(*sketches("lang"))
-    caps = rated.agg(*sketches("cap", [CAP]))
-    joined = groups.join(F.broadcast(langs), F.col("_lang").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(caps))
+    # One value for each rate.
+    caps = dict(zip(GAPS, (x[0] if x else None for x in rated.agg(*sketches("cap", [CAP])).first())))
+    joined = groups.join(langs, F.col("_lang").eqNullSafe(F.col("_of")))
 
     def limit(m, gap):
         backed = F.zip_with(f"_group_{m}", f"_lang_{m}", lambda g, x: (g * F.col("_n") + x * F.lit(BACKING)) / (F.col("_n") + F.lit(BACKING)))
@@ -108,7 +106,7 @@ def thresholds(rated: DataFrame) -> DataFrame:
 
         half, quarter = (F.get(f"_own_{m}", F.lit(k)) for k in (0, 1))
         own = F.lit(SLACK) * quarter + F.lit(REACH) * (quarter - half)
-        return F.greatest(F.least(F.greatest(F.lit(SLACK) * F.aggregate(backed, start, step)["end"], own), F.get(f"_cap_{m}", F.lit(0))), F.lit(FLOORS[m])).alias(f"_max_{m}")
+        return F.least(F.greatest(F.lit(SLACK) * F.aggregate(backed, start, step)["end"], own), F.lit(caps[m]).cast("double")).alias(f"_max_{m}")
 
     return joined.select("_lang", "_source", *(limit(m, gap) for m, gap in GAPS.items()))
 
@@ -145,7 +143,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with docs' own columns.
 
-    A first pass gives the thresholds, a second judges each row by them, so no text is shuffled.
+    A first pass gives the thresholds, a second judges each row by them, so no text is shuffled. Rows with a null or
+    empty text go, as they fail the base rules; repeated rows stay or go alike; an empty table stays empty.
     """
     names = docs.columns
     rates = stored(with_rates(measured(docs)).select("_lang", "_source", "_base_failed", *(f"_{m}" for m in GAPS)))
