@@ -42,20 +42,41 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def brute_quality(rows):
-    groups, rates = defaultdict(list), {}
+    """Limits from sorted lists: the walk up the group's quantiles, backed by its language's, or its own quartiles, at most the cap."""
+    rates, clean, own = {}, defaultdict(lambda: ([], [], [])), defaultdict(lambda: ([], [], []))
     for row in rows:
         n, chars, sym, dup, rep = brute_counts(row[1])
         lines = sum(1 for x in (row[1] or "").split("\n") if WORD.search(x))
-        rates[row[0]] = (1000 * sym / max(chars, 1), 1000 * dup / (lines + 2), 1000 * rep / max(n, 1), n < 50 or 100 * rep > 50 * n)
-        groups[row[2], row[3]].append(row[0])
+        spare = quality.EXCUSED
+        rate = (1000 * max(sym - spare["n_symbols"], 0) / max(chars, 1), 1000 * max(dup - spare["n_dup_lines"], 0) / (lines + 2), 1000 * max(rep - spare["n_repeat_words"], 0) / max(n, 1))
+        failed = n < 50 or 100 * rep > 50 * n
+        rates[id(row)] = (rate, failed)
+        for k, v in enumerate(rate):
+            own[row[2], row[3]][k].append(v)
+            if not failed:
+                for name in ((row[2], row[3]), ("lang", row[2]), "all"):
+                    clean[name][k].append(v)
+    at = lambda values, p: sorted(values)[max(0, math.ceil(p * len(values)) - 1)]
+
+    def limit(row, k, gap):
+        group, lang = clean[row[2], row[3]][k], clean["lang", row[2]][k]
+        q50, q75 = (at(own[row[2], row[3]][k], p) for p in (0.5, 0.75))
+        best = quality.SLACK * q75 + quality.REACH * (q75 - q50)
+        if group:
+            n = len(group)
+            levels = [(at(group, p) * n + at(lang, p) * quality.BACKING) / (n + quality.BACKING) for p in quality.LEVELS]
+            end = levels[0]
+            for x in levels:
+                if x - end > gap:
+                    break
+                end = x
+            best = max(best, quality.SLACK * end)
+        return min(best, at(clean["all"][k], quality.CAP))
+
     kept = []
     for row in rows:
-        ok = not rates[row[0]][3]
-        for k, floor in enumerate(quality.FLOORS.values()):
-            v = sorted(rates[i][k] for i in groups[row[2], row[3]])
-            at = lambda p, v=v: v[max(0, math.ceil(p * len(v)) - 1)]
-            ok = ok and rates[row[0]][k] <= max(quality.SLACK * at(0.75) + quality.REACH * (at(0.75) - at(0.5)), floor)
-        if ok:
+        rate, failed = rates[id(row)]
+        if not failed and all(rate[k] <= limit(row, k, gap) for k, gap in enumerate(quality.GAPS.values())):
             kept.append(row)
     return kept
 
@@ -122,3 +143,37 @@ def test_run(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     assert rows_of(out) == rows_of(docs)
     assert out.count() > 0
+
+
+def test_edges_of_every_stage(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names and an empty table, stage by stage."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    long = " ".join(word() for _ in range(60_000))
+    plain = [" ".join(word() for _ in range(80)) for _ in range(4)]
+    rows = [(1, plain[0], "en", "s"), (1, plain[0], "en", "s"), (2, plain[0], None, None), (None, plain[1], "en", None), (None, None, None, None), (3, "", "en", "s"), (4, " \n", "en", "s"), (5, long, "fr", "s"), (6, plain[2] + "\n\t é", "en", "t"), (7, plain[3], "en", "t")]
+    names = ["_row", "_k", "marks", "key", "size", "taken", "node", "kept", "source_size", "n_shingles"]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), *(f"{c}!" for c in names)) for x in rows], schema)
+    ids = lambda df: sorted(x.doc_id or 0 for x in df.collect())
+    quality_, near, cut, mix, bpe = (f for _, f in cp.STAGES)
+    assert ids(quality_(spark, docs, "")) == [0, 1, 1, 2, 5, 6, 7]
+    assert ids(near(spark, docs, "")) == [0, 0, 1, 3, 4, 5, 6, 7]
+    got = {x.doc_id: x for x in cut(spark, docs, "").where("doc_id is not null").collect()}
+    assert got[2].text == "" and got[2].n_chars == 0 and got[5].text == long and got[1].text == plain[0]
+    assert cut(spark, docs, "").where("doc_id is null and text is null").count() == 1
+    mixed = mix(spark, docs, "")
+    assert set(ids(mixed)) == {0, 1, 2, 5, 6, 7} and all(x.n_chars == len(x.text) for x in mixed.collect())
+    assert all((plain[2] + "\n\t é").startswith(x.text) for x in mixed.where("doc_id = 6").collect())
+    assert bpe(spark, docs, "").count() == len(rows)
+    for f in (quality_, near, cut, mix):
+        out = f(spark, docs, "")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        assert all(x[c] == f"{c}!" for x in out.collect() for c in names)
+        assert f(spark, docs.limit(0), "").count() == 0
+    assert bpe(spark, docs.limit(0), "").count() == 0
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
