@@ -16,10 +16,13 @@ import copy
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, stored
+from .common import as_bytes, frugal, partitions, small_batches, stored
 
 #: Words of the vocabulary, classes that are one word, classes of the rest; hidden units; words on each side.
 VOCABULARY, SINGLE, SHARED, HIDDEN, SIDE = 16384, 40, 23, 16, 2
@@ -125,7 +128,8 @@ class WindowModel:
             x -= rate * g / np.sqrt(m)
         for k, o in enumerate(o for o in range(-SIDE, SIDE + 1) if o):
             near = padded[at + o]
-            order = np.argsort(near, kind="stable")
+            # Sixteen bits are sorted by digits.
+            order = np.argsort(near.astype(np.uint16) if self.pad < 1 << 16 else near, kind="stable")
             near = near[order]
             starts = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
             rows, g = near[starts], np.add.reduceat(back[order], starts, axis=0)
@@ -191,7 +195,9 @@ class WindowModel:
 
     def score(self, texts: list[bytes | None]) -> tuple[list[int], list[float]]:
         """(tokens, sum of their log-probabilities) of each text."""
-        parts = [self.ids(t) for t in texts]
+        return self.score_ids([self.ids(t) for t in texts])
+
+    def score_ids(self, parts: list[np.ndarray]) -> tuple[list[int], list[float]]:
         n = [len(p) for p in parts]
         sums = np.concatenate([[0.0], np.cumsum(self.log_probs(parts))])
         ends = np.cumsum(n)
@@ -239,30 +245,117 @@ def train_on_all(rows: DataFrame, model: WindowModel) -> None:
         model.change(r.block, np.frombuffer(bytes(r.v), np.float32))
 
 
+#: Kinds of packed rows: counts of words, rare words of documents, sums for documents, documents.
+COUNTS, RARE, SUMS, DOCS = range(4)
+KINDS = {COUNTS: ("<u8", "<i8"), RARE: ("<u8", "<i8", "<i4"), SUMS: ("<i8", "<f8"), DOCS: ("<i8", "<i8", "<i8", "<f8", "u1")}
+
+
+def dealt(kind: int, bucket: np.ndarray, *arrays: np.ndarray):
+    """A record batch of (key, kind, data): parallel arrays, packed by bucket."""
+    import pyarrow as pa
+
+    o = np.argsort(bucket, kind="stable")
+    bucket, arrays = bucket[o], [x[o].astype(k) for x, k in zip(arrays, KINDS[kind])]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(o) else []
+    data = [zstandard.compress(b"".join(x[lo:hi].tobytes() for x in arrays), 1) for lo, hi in zip(cut, [*cut[1:], len(o)])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array([kind] * len(cut), pa.int32()), pa.array(data, pa.binary())], names=["key", "kind", "data"])
+
+
+def gathered(blobs: list[bytes], kind: int) -> list[np.ndarray]:
+    """The arrays of blobs of dealt(), put together."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in KINDS[kind]]
+    width = sum(np.dtype(k).itemsize for k in KINDS[kind])
+    for blob in blobs:
+        data, at = zstandard.decompress(blob), 0
+        n = len(data) // width
+        for x, k in zip(out, KINDS[kind]):
+            x.append(np.frombuffer(data, k, n, at))
+            at += x[-1].nbytes
+    return [np.concatenate(x) for x in out]
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def own_counts(rare_level: float, parts: int):
+    """A bucket's words to what they add to the documents that have them; documents pass."""
+
+    def run(batches):
+        held: dict = {COUNTS: [], RARE: []}
+        for batch in batches:
+            keep = pc.equal(batch.column(1), DOCS)
+            yield batch.filter(keep)
+            rest = batch.filter(pc.invert(keep))
+            for kind, data in zip(rest.column(1).to_pylist(), rest.column(2).to_pylist()):
+                held[kind].append(data)
+        (word, n), (used, row, times) = (gathered(held[k], k) for k in (COUNTS, RARE))
+        o = np.argsort(word)
+        word, n = word[o], n[o]
+        at = np.minimum(np.searchsorted(word, used), max(0, len(word) - 1))
+        known = word[at] == used if len(word) else np.zeros(len(used), bool)
+        rows, where = np.unique(row[known], return_inverse=True)
+        more = np.bincount(where, times[known] * (np.log(n[at[known]]) - rare_level), minlength=len(rows)) if len(rows) else np.zeros(0)
+        yield dealt(SUMS, rows % parts, rows, more)
+
+    return run
+
+
+def finished(batches):
+    """A bucket's documents with what their rare words add."""
+    import pyarrow as pa
+
+    held: dict = {SUMS: [], DOCS: []}
+    for batch in batches:
+        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            held[kind].append(data)
+    (row, more), (docs, ids, n, pll, no_id) = (gathered(held[k], k) for k in (SUMS, DOCS))
+    o = np.argsort(docs)
+    docs, ids, n, pll, no_id = docs[o], ids[o], n[o], pll[o], no_id[o]
+    pll = pll + np.bincount(np.searchsorted(docs, row), more, minlength=len(docs))[: len(docs)] if len(docs) else pll
+    for lo in range(0, len(docs), 8192):
+        cut = slice(lo, lo + 8192)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64(), mask=no_id[cut].astype(bool)), pa.array(n[cut], pa.int64()), pa.array(pll[cut], pa.float64())], names=["doc_id", "n_tokens", "pll"])
+
+
 def scored(docs: DataFrame, model: WindowModel, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, pll, pll_per_token of every whole text.
 
-    With counts, words outside the vocabulary have the share of their own count in their class, by a join; without, its mean.
+    With counts, words outside the vocabulary have the share of their own count in their class; without, its mean. Rare
+    words and counts are dealt by hash (64 bits, taken for the word) and meet in arrays, so no token is a row.
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession, 256)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    apart = counts is not None
+    spark = docs.sparkSession
+    small_batches(spark, 256)
+    shared = spark.sparkContext.broadcast(model)
+    parts, apart = partitions(spark), counts is not None
+    packed = "key int, kind int, data binary"
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            n, s = m.score(texts)
-            rare = [[w for w in tokens(t) if w not in m.words] if apart else [] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "pll", "rare"])
+            words = [tokens(t) for t in as_bytes(batch.column(1))]
+            ids = [np.array([m.words.get(w, m.rare) for w in x], np.int32) for x in words]
+            n, s = m.score_ids(ids)
+            rows = np.array(batch.column(2).to_pylist(), np.int64)
+            doc = batch.column(0)
+            yield dealt(DOCS, rows % parts, rows, np.array(doc.fill_null(0).to_pylist(), np.int64), np.array(n, np.int64), np.array(s, float), np.array(doc.is_null().to_pylist(), bool))
+            if apart:
+                rare = [np.unique(hashes([x[k] for k in np.flatnonzero(i == m.rare)]), return_counts=True) for x, i in zip(words, ids)]
+                word, times = (np.concatenate(x) for x in zip(*rare))
+                yield dealt(RARE, (word % np.uint64(parts)).astype(np.int64), word, np.repeat(rows, [len(h) for h, _ in rare]), times)
+
+    def pack(batches):
+        for batch in batches:
+            word = hashes(batch.column(0).to_pylist())
+            yield dealt(COUNTS, (word % np.uint64(parts)).astype(np.int64), word, batch.column(1).to_numpy())
 
-    out = plain(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, rare array<binary>")
+    to = lambda df: df.repartitionById(parts, "key")
+    out = plain(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, packed)
     if apart:
-        out = stored(out.withColumn("row", F.monotonically_increasing_id()))
-        more = out.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log("n") - F.lit(model.rare_level)).alias("more"))
-        out = out.drop("rare").join(more, "row", "left").withColumn("pll", F.col("pll") + F.coalesce("more", F.lit(0.0)))
+        out = to(out.unionByName(counts.select("word", "n").mapInArrow(pack, packed))).mapInArrow(frugal(own_counts(model.rare_level, parts)), packed)
+    out = to(out).mapInArrow(frugal(finished), "doc_id long, n_tokens long, pll double")
     return out.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_per_token"))
 
 
