@@ -54,7 +54,7 @@ def run(spark, rows, parts=3):
 
 
 def test_against_brute_force(spark):
-    for seed in range(2):
+    for seed in range(4):
         texts = corpus(seed)
         ids = random.Random(seed).sample(range(-5, 500), len(texts))
         got = {r.doc_id: tuple(r)[1:] for r in run(spark, [(i, t, "x") for i, t in zip(ids, texts)])}
@@ -87,3 +87,35 @@ def test_suffix_sort():
         (g, a), (g2, b) = rows[k - 1], rows[k]
         want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) if g == g2 else -1
         assert common[k] == want
+
+
+def around(text, at):
+    """The surroundings of the anchor at a place: (left bytes there, right bytes there, all bytes)."""
+    raw = np.frombuffer(b"\0" * sd.LEFT + text + b"\0" * sd.RIGHT, np.uint8)
+    return min(sd.LEFT, at), min(sd.RIGHT, len(text) - at), raw[at : at + sd.WIDTH]
+
+
+def test_sort_decides(monkeypatch):
+    """What documents share around an anchor comes from the sorted suffixes alone: without their common extensions nothing is found."""
+    r = random.Random(3)
+    noise = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    shared = noise(58)
+    texts = [noise(30) + shared + noise(30), noise(20) + shared + noise(40), noise(50) + shared[4:] + noise(9), noise(40) + shared[10:] + noise(9)]
+    at = [t.index(shared[20:36]) for t in texts]
+    lav, rav, ctx = zip(*(around(t, p) for t, p in zip(texts, at)))
+    args = np.full(4, 7, np.uint64), np.arange(4), np.array(at), np.array(lav), np.array(rav), np.array(ctx)
+    doc, a, b = sd.repeated(*args)
+    assert sorted(zip(doc.tolist(), a.tolist(), b.tolist())) == [(1, 20, 78), (2, 50, 104)]
+    sort = sd.Suffixes.sorted
+    monkeypatch.setattr(sd.Suffixes, "sorted", lambda self, group: (sort(self, group)[0], np.full(len(group), -1)))
+    assert len(sd.repeated(*args)[0]) == 0
+
+
+def test_distinct_suffixes():
+    r = np.random.default_rng(2)
+    mat = r.integers(0, 2, (300, 9)).astype(np.uint8)
+    length, group = r.integers(7, 10, 300), np.sort(r.integers(0, 4, 300))
+    rows, number = sd.distinct(mat, length, group)
+    key = lambda i: (int(group[i]), int(length[i]), mat[i].tobytes())
+    assert (np.diff(group[rows]) >= 0).all() and len({key(i) for i in rows}) == len(rows) == len({key(i) for i in range(300)})
+    assert all(key(rows[number[i]]) == key(i) for i in range(300))

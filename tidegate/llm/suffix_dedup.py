@@ -9,8 +9,9 @@ merge-sorted; two suffixes are compared through prefix polynomial hashes, where
 their common extension, and the extensions of neighbours are verified byte by byte. A string around
 the anchor is the same in two documents if they share a class on both sides.
 
-Nothing is sampled: every 50-byte string has an anchor. Surroundings that are equal inside a batch of
-documents are settled there, before the shuffle, so copies and shared passages weigh one row a batch.
+Nothing is sampled: every 50-byte string has an anchor. Equal surroundings inside a batch of documents are
+settled there, before the shuffle, so copies and shared passages weigh one row a batch; what different batches
+share is found by the sort alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +70,6 @@ def anchors(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     return at, h[at]
 
 
-def spans_of(at, end, lav, rav):
-    """[start, end) of all 50-byte strings around the anchors that the documents' bounds allow, and which have any."""
-    lo, hi = np.maximum(0, SPAN - rav), lav
-    return at - hi, at - lo + SPAN, lo <= hi
-
-
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the bytes that the intervals [a, b) cover."""
     if not len(a):
@@ -402,56 +396,71 @@ class Suffixes:
         return order, common
 
 
-def repeated(h, doc, pos, lav, rav, ctx) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end): strings around these anchors that a smaller document also has."""
-    wide = np.zeros((len(h), 88), np.uint8)
-    wide[:, :WIDTH] = ctx
-    key = h.copy()
+def distinct(mat: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, number): a row for each different suffix of a group, in order of group, and the number of its suffix for every row.
+
+    Equal suffixes stand together in any order, so one of them is sorted for all. Hashes find them, bytes decide.
+    """
+    wide = np.zeros((len(mat), -(-mat.shape[1] // 8) * 8), np.uint8)
+    wide[:, : mat.shape[1]] = mat
+    key = length.astype(U64)
     with np.errstate(over="ignore"):
         for col in wide.view("<u8").T:
             key = (key ^ col) * C2
             key ^= key >> U64(29)
-        key = (key ^ (lav.astype(U64) << U64(8)) ^ rav.astype(U64)) * C1
-    o = np.lexsort((doc, key, h))
-    h, doc, pos, lav, rav, ctx, key = (x[o] for x in (h, doc, pos, lav, rav, ctx, key))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]).any(axis=1)
-    cls = np.cumsum(new) - 1
-    lead = np.flatnonzero(new)
-    later = doc != doc[lead][cls]
-    a, b, any_ = spans_of(pos, None, lav, rav)
-    pick = later & any_
-    out = [(doc[pick], a[pick], b[pick])]
-    # One row for each different surroundings; only anchors with two of them are left to compare.
-    gh, gdoc, glav, grav, gctx = h[lead], doc[lead], lav[lead].astype(np.int64), rav[lead].astype(np.int64), ctx[lead]
-    runs = np.flatnonzero(np.concatenate([[True], gh[1:] != gh[:-1]])) if len(gh) else np.zeros(0, np.int64)
-    sizes = np.diff([*runs, len(gh)])
-    some = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    if len(some):
-        group = np.repeat(np.arange(len(runs)), sizes)[some]
-        gdoc, glav, grav, gctx = gdoc[some], glav[some], grav[some], gctx[some]
-        ro, rc = Suffixes(np.ascontiguousarray(gctx[:, LEFT:]), grav).sorted(group)
-        lo_, lc = Suffixes(np.ascontiguousarray(gctx[:, :LEFT][:, ::-1]), glav).sorted(group)
-        marks = np.zeros((len(some), LEFT + 1), bool)
-        right, left = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
-        for j in range(LEFT + 1):
-            right[ro] = np.cumsum(rc < SPAN - j)
-            left[lo_] = np.cumsum(lc < j)
-            ok = np.flatnonzero((glav >= j) & (grav >= SPAN - j))
-            both = right[ok] * (len(some) + 1) + left[ok]
-            s = np.lexsort((gdoc[ok], both))
-            ok, both = ok[s], both[s]
-            if len(ok):
-                head = np.maximum.accumulate(np.where(np.concatenate([[True], both[1:] != both[:-1]]), np.arange(len(ok)), 0))
-                marks[ok, j] = gdoc[ok] != gdoc[ok[head]]
-        # All strings found around one anchor overlap in it: they are one span, from the farthest left to the farthest right.
-        hit = marks.any(axis=1)
-        far, near = LEFT - marks[:, ::-1].argmax(axis=1), marks.argmax(axis=1)
-        back = np.full(len(lead), -1)
-        back[some[hit]] = np.flatnonzero(hit)
-        r = back[cls]
-        pick = (r >= 0) & ~later
-        out.append((doc[pick], (pos - far[np.maximum(r, 0)])[pick], (pos - near[np.maximum(r, 0)] + SPAN)[pick]))
+    o = np.lexsort((key, group))
+    x, y = o[1:], o[:-1]
+    new = np.ones(len(o), bool)
+    new[1:] = (group[x] != group[y]) | (key[x] != key[y]) | (length[x] != length[y]) | (wide[x] != wide[y]).any(axis=1)
+    number = np.empty(len(o), np.int64)
+    number[o] = np.cumsum(new) - 1
+    return o[new], number
+
+
+def repeated(h, doc, pos, lav, rav, ctx) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end): strings around these anchors that a smaller document also has, by the suffix sort of both sides.
+
+    Suffixes that extend each other far enough are neighbours in the order, so they are one class for each length; a string that
+    reaches j bytes to the left of the anchor is the same in two documents if they share the classes of both its ends.
+    """
+    o = np.lexsort((doc, h))
+    h, doc, pos, lav, rav, ctx = (x[o] for x in (h, doc, pos, lav, rav, ctx))
+    runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff([*runs, len(h)])
+    # An anchor in one document only has nothing to compare.
+    some = np.flatnonzero(np.repeat(doc[runs] != doc[runs + sizes - 1], sizes))
+    if not len(some):
+        return doc[:0], pos[:0], pos[:0]
+    group = np.repeat(np.arange(len(runs)), sizes)[some]
+    doc, pos, lav, rav, ctx = (x[some] for x in (doc, pos, lav, rav, ctx))
+    sides = []
+    for mat, length in ((ctx[:, LEFT:], rav), (ctx[:, :LEFT][:, ::-1], lav)):
+        rows, number = distinct(np.ascontiguousarray(mat), length, group)
+        order, common = Suffixes(np.ascontiguousarray(mat[rows]), length[rows]).sorted(group[rows])
+        sides.append((number, order, common))
+    (right, ro, rc), (left, lo_, lc) = sides
+    # Rows with the same suffixes on both sides have the same strings; the first is the least document's.
+    pairs, first, pair = np.unique(right * len(lo_) + left, return_index=True, return_inverse=True)
+    at_right, at_left, least, reach_l, reach_r = right[first], left[first], doc[first], lav[first], rav[first]
+    class_r, class_l = np.empty(len(ro), np.int64), np.empty(len(lo_), np.int64)
+    smallest = np.full((len(pairs), LEFT + 1), np.iinfo(np.int64).max)
+    for j in range(LEFT + 1):
+        class_r[ro] = np.cumsum(rc < SPAN - j)
+        class_l[lo_] = np.cumsum(lc < j)
+        ok = np.flatnonzero((reach_l >= j) & (reach_r >= SPAN - j))
+        both = class_r[at_right[ok]] * (len(lo_) + 1) + class_l[at_left[ok]]
+        s = np.lexsort((least[ok], both))
+        ok, both = ok[s], both[s]
+        if len(ok):
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], both[1:] != both[:-1]]), np.arange(len(ok)), 0))
+            smallest[ok, j] = least[ok[head]]
+    # All strings found around one anchor overlap in it: they are one span, from the farthest left to the farthest right.
+    out = []
+    for lo in range(0, len(doc), 50_000):
+        marks = doc[lo : lo + 50_000, None] > smallest[pair[lo : lo + 50_000]]
+        hit = np.flatnonzero(marks.any(axis=1))
+        far, near = LEFT - marks[hit, ::-1].argmax(axis=1), marks[hit].argmax(axis=1)
+        out.append((doc[lo + hit], pos[lo + hit] - far, pos[lo + hit] - near + SPAN))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -585,15 +594,24 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes gone from text; n_chars, where there, follows. A character that loses a byte goes."""
+    """docs with the repeated bytes gone from text; n_chars, where there, follows. A character that loses a byte goes.
+
+    A null text stays null, and so does the text of a row without doc_id; repeated rows lose the same. Names that
+    clash with the operator's own are safe, as a row's columns travel as one.
+    """
+    import pyarrow as pa
+
     small_batches(docs.sparkSession)
     names = docs.columns
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([t if m is None or t is None else without(t.encode(), m)[0].decode("utf-8", "ignore") for t, m in zip(text, marks)], dtype=object)
+    def cut(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            kept = [t if m is None or t is None else without(t, m)[0] for t, m in zip(texts, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else t.decode("utf-8", "ignore") for t in kept], pa.string())], names=["_row", "_text"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("_k"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    joined = own.join(removed_spans(plain(docs), dictionary_of(plain(docs))).withColumnRenamed("doc_id", "_k"), "_k", "left").select("_row", cut(F.col("_row")["text"].cast("string"), F.col("marks")).alias("_text"))
+    joined = own.join(removed_spans(plain(docs), dictionary_of(plain(docs))).withColumnRenamed("doc_id", "_k"), "_k", "left")
+    joined = joined.select("_row", F.col("_row")["text"].cast("string").alias("_text"), "marks").mapInArrow(cut, joined.select("_row", F.lit(None).cast("string").alias("_text")).schema)
     put = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return joined.select(*((put[c] if c in put else F.col("_row").getField(c)).alias(c) for c in names))
