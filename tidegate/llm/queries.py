@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, quality, suffix_dedup, warc
+from . import bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, oracles, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_mixing_sources": mixing.ORACLE}
+    return {"op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op9_mixing_sources": mixing.ORACLE, "op10_suffix_array_dedup": oracles.PASSAGES}
