@@ -37,10 +37,18 @@ def test_deployment_guard(spark):
 
 
 def test_invariants(spark):
-    good = spark.createDataFrame([(k, 100 * MINUTE * (k + 1), 100 * MINUTE * (k + 1) - 30 * MINUTE, 5, 1, True, 3, 3) for k in range(3)], "row_id long, prediction long, cut long, act long, history_count int, known boolean, n int, source_n int").withColumn("stop", F.lit(1))
+    good = spark.createDataFrame(
+        [(k, 100 * MINUTE * (k + 1), 100 * MINUTE * (k + 1) - 30 * MINUTE, 5, 1, True, 3, 3) for k in range(3)],
+        "row_id long, prediction long, cut long, act long, history_count int, known boolean, n int, source_n int"
+    ).withColumn("stop", F.lit(1))
     rules = policy.Invariants(rows=3, clocks=("act",), sources=("act",), masked=("stop",), same_run=(("source_n", "n"),))
     assert rules.require(good).count() == 3
-    for name, change in {"row_id_in_range": ("row_id", F.lit(-1)), "row_id_known": ("row_id", F.lit(None).cast("long")), "row_id_unique": ("row_id", F.lit(1)), "snapshot_age": ("cut", F.col("prediction")), "before_cut:act": ("act", F.col("cut")), "history_has:act": ("act", F.lit(None).cast("long")), "masked_plan": ("known", F.lit(False)), "same_run:source_n": ("source_n", F.lit(4))}.items():
+    for name, change in {
+        "row_id_in_range": ("row_id", F.lit(-1)), "row_id_known": ("row_id", F.lit(None).cast("long")),
+        "row_id_unique": ("row_id", F.lit(1)), "snapshot_age": ("cut", F.col("prediction")), "before_cut:act": ("act", F.col("cut")),
+        "history_has:act": ("act", F.lit(None).cast("long")), "masked_plan": ("known", F.lit(False)),
+        "same_run:source_n": ("source_n", F.lit(4))
+    }.items():
         with pytest.raises(ValueError, match=name):
             rules.require(good.withColumn(*change))
     assert policy.unordered(good).first().rows == 0
@@ -77,7 +85,10 @@ def test_recipe(spark, tmp_path):
 
 
 def test_replay(spark):
-    df = spark.createDataFrame([(k, float(k), 0.0, 1.0, None, None, 0, 0, None, None) for k in range(4)], "row_id long, p double, b double, is_departure double, previous_delay double, context_arrival_180m_max_delay double, history_count int, origin_actual_presence_count int, origin_720m_max_last_delay double, oldest_pending_minutes double")
+    df = spark.createDataFrame(
+        [(k, float(k), 0.0, 1.0, None, None, 0, 0, None, None) for k in range(4)],
+        "row_id long, p double, b double, is_departure double, previous_delay double, context_arrival_180m_max_delay double, history_count int, origin_actual_presence_count int, origin_720m_max_last_delay double, oldest_pending_minutes double"
+    )
     rules = policy.policy_of(POLICY)
     saved = rules.apply(df).withColumn("saved", F.col("final")).drop("raw", "transformed", "final")
     policy.require_replay(saved, rules)
@@ -132,7 +143,10 @@ def test_provenance_is_before_the_cut(frame):  # noqa: F811
 
 def test_order_does_not_depend_on_partitions(spark):
     rows = [("2024-01-01", 1, 10, "ARRIVAL", "2024-01-01T10:00:00Z", f"2024-01-01T10:0{k}:00Z", float(k)) for k in range(8)]
-    df = spark.createDataFrame(rows, "departureDate string, trainNumber long, stationUICCode int, type string, scheduledTime string, actualTime string, differenceInMinutes double")
+    df = spark.createDataFrame(
+        rows,
+        "departureDate string, trainNumber long, stationUICCode int, type string, scheduledTime string, actualTime string, differenceInMinutes double"
+    )
     got = {fd.one_of(fd.reports_of(df.repartition(n)), fd.KEY).first().delay for n in (1, 3, 8)}
     assert len(got) == 1
 
@@ -152,7 +166,10 @@ def test_audit_in_one_scan(spark):
 
 
 def test_trees_are_saved(spark, tmp_path):
-    df = spark.range(80).select((F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("z"), (F.col("id") % 7 * 2.0).alias("y"))
+    df = spark.range(80).select(
+        (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("z"),
+        (F.col("id") % 7 * 2.0).alias("y")
+    )
     model = models.Boosted(["x", "z"], maxIter=2, maxDepth=2).fit(df, "y")
     model.save(str(tmp_path / "b"))
     again = models.load(str(tmp_path / "b"))
@@ -182,7 +199,10 @@ FLAT = """<c:FeatureCollection xmlns:c="u"><c:member><o:Observation xmlns:o="v"
 def test_weather_members_of_any_kind(spark):
     df = spark.createDataFrame([(FLAT,), (None,), ('<FeatureCollection xmlns="u"/>',)], "x string")
     assert [tuple(r) for r in archive.weather_xml(df, "x", 7, ["t2m"]).collect()] == [("t2m", 1577952000_000000, -3.5, 7)]
-    for bad in ("<html><body>Error</body></html>", "not XML", "", FLAT.replace("<identifier>7</identifier>", ""), FLAT.replace("?param=t2m", ""), "<!DOCTYPE a><FeatureCollection/>"):
+    for bad in (
+        "<html><body>Error</body></html>", "not XML", "", FLAT.replace("<identifier>7</identifier>", ""), FLAT.replace("?param=t2m", ""),
+        "<!DOCTYPE a><FeatureCollection/>"
+    ):
         with pytest.raises(Exception, match="not a feature collection|a member without"):
             archive.weather_xml(spark.createDataFrame([(bad,)], "x string"), "x").collect()
 
@@ -193,15 +213,21 @@ def test_retry_after():
 
 
 def test_scenarios():
-    assert list(encode.SCENARIOS) == [n for n in encode.CATEGORY_NAMES[1:] if n != "Freezing Rain" and n != "Black Ice"][:4] + ["Freezing Rain", "Black Ice"] + encode.CATEGORY_NAMES[7:]
+    assert list(encode.SCENARIOS) == [
+        n for n in encode.CATEGORY_NAMES[1:] if n != "Freezing Rain" and n != "Black Ice"
+    ][:4] + ["Freezing Rain", "Black Ice"] + encode.CATEGORY_NAMES[7:]
     with pytest.raises(ValueError):
         encode.weather_category("other")
 
 
 def test_streams(spark, tmp_path):
     """Sessions and the interval join of streams, driven by files."""
-    rows = [("2024-01-01", 1, 10, "ARRIVAL", 0, f"2024-01-01 10:{m:02d}:00", float(m)) for m in (0, 10, 50)] + [("2024-01-01", 1, 10, "ARRIVAL", 0, "2024-01-02 10:00:00", 5.0), ("2024-01-01", 2, 10, "ARRIVAL", 0, "2024-01-09 10:00:00", 1.0)]
-    df = spark.createDataFrame(rows, "d string, n long, st int, ty string, s long, at string, delay double").select("d", "n", "st", "ty", "s", F.to_timestamp("at").alias("known_at"), "delay")
+    rows = [("2024-01-01", 1, 10, "ARRIVAL", 0, f"2024-01-01 10:{m:02d}:00", float(m)) for m in (0, 10, 50)] + [
+        ("2024-01-01", 1, 10, "ARRIVAL", 0, "2024-01-02 10:00:00", 5.0), ("2024-01-01", 2, 10, "ARRIVAL", 0, "2024-01-09 10:00:00", 1.0)
+    ]
+    df = spark.createDataFrame(
+        rows, "d string, n long, st int, ty string, s long, at string, delay double"
+    ).select("d", "n", "st", "ty", "s", F.to_timestamp("at").alias("known_at"), "delay")
     for k, part in enumerate((df.where("n = 1"), df.where("n = 2"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))

@@ -9,7 +9,10 @@ from tidegate.plans import evaluate, models, policy
 from tidegate.sources import archive
 from tidegate.streaming import pending as st
 
-WX = ["Air temperature", "Precipitation amount", "Precipitation intensity", "Wind speed", "Gust speed", "Relative humidity", "Dew-point temperature", "Snow depth", "Horizontal visibility"]
+WX = [
+    "Air temperature", "Precipitation amount", "Precipitation intensity", "Wind speed", "Gust speed", "Relative humidity",
+    "Dew-point temperature", "Snow depth", "Horizontal visibility"
+]
 
 
 def test_weather_categories(spark):
@@ -25,7 +28,10 @@ def test_weather_categories(spark):
 
 
 def test_study_features(spark):
-    row = spark.createDataFrame([(1704628800_000000, 7, True, *([1.0] * 9))], "us long, trainNumber int, trainStopping boolean, " + ", ".join(f"`{w}` double" for w in WX))
+    row = spark.createDataFrame(
+        [(1704628800_000000, 7, True, *([1.0] * 9))],
+        "us long, trainNumber int, trainStopping boolean, " + ", ".join(f"`{w}` double" for w in WX)
+    )
     r = encode.study_features(row, F.col("us")).first()  # a Sunday at 12:00
     assert abs(r.hour_cos + 1) < 1e-9 and abs(r.day_week_sin - 0.781831) < 1e-5 and r.train_id == 7.0 and r.trainStopping == 1.0
     assert sum(r[c] for c in encode.CATEGORIES) == 1
@@ -59,7 +65,13 @@ def test_impute_and_scale(spark):
 
 def test_policy(spark):
     cols = "history_count long, is_departure double, oldest_pending_minutes double, previous_delay double, context_arrival_180m_max_delay double, origin_actual_presence_count long, origin_720m_max_last_delay double, a double, b double"
-    df = spark.createDataFrame([(0, 1.0, 0.0, None, None, 0, None, 50.0, 0.0), (2, 0.0, 300.0, 5.0, None, 0, None, 50.0, 0.0), (0, 1.0, 0.0, None, None, 1, 130.0, 50.0, 0.0), (1, None, 0.0, -1.0, 30.0, 0, None, 400.0, 100.0)], cols)
+    df = spark.createDataFrame(
+        [
+            (0, 1.0, 0.0, None, None, 0, None, 50.0, 0.0), (2, 0.0, 300.0, 5.0, None, 0, None, 50.0, 0.0),
+            (0, 1.0, 0.0, None, None, 1, 130.0, 50.0, 0.0), (1, None, 0.0, -1.0, 30.0, 0, None, 400.0, 100.0)
+        ],
+        cols
+    )
     p = policy.Policy({"a": 1.0}, {"a": 0.5, "b": 0.5}, "b", 0.25, 1.0, 0.5, tail_scale=2.0, tail=100.0, rule=policy.Rule(20.0, 240.0, 1.5))
     assert [r.final for r in p.apply(df).collect()] == [20.0, 450.0, 26.0, (401 * 0.5 * 0.75 + 25) * 2]
     for bad in ({"arrival": {"a": 0.5}}, {"auxiliary_weight": 1.0}, {"tail_scale": 0.0}, {"bias": float("nan")}):
@@ -81,7 +93,10 @@ def test_provenance(spark):
 
 
 def test_models(spark, tmp_path):
-    df = spark.range(400).select(F.col("id"), (F.col("id") % 17).cast("double").alias("x"), F.when(F.col("id") % 5 != 0, (F.col("id") % 7).cast("double")).alias("z"), (F.col("id") % 3).cast("int").alias("c"))
+    df = spark.range(400).select(
+        F.col("id"), (F.col("id") % 17).cast("double").alias("x"),
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 7).cast("double")).alias("z"), (F.col("id") % 3).cast("int").alias("c")
+    )
     df = df.withColumn("y", 2 * F.col("x") + 3 * F.coalesce("z", F.lit(3.0)) + 5 * (F.col("c") == 1).cast("double"))
     ridge = models.Ridge(models.Preparation(["x", "z"], ["c"]), 1e-3).fit(df, "y")
     assert ridge.predict(df).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.1
@@ -96,11 +111,19 @@ def test_models(spark, tmp_path):
 
 
 def test_readiness_messages(spark):
-    raw = ['{"accepted": true, "timestamp": "2024-01-01T10:00:00.000Z"}', "{'accepted': True, 'source': None, 'timestamp': '2024-01-01T12:00:00+02:00'}", '{"accepted": false, "timestamp": "2024-01-01T10:00:00Z"}', "nan", None, "5", '{"accepted": true}', "__import__('os')", '{"accepted": true, "timestamp": "2024-01-01"}', '{"accepted": "true", "timestamp": "2024-01-01T10:00:00Z"}']
+    raw = [
+        '{"accepted": true, "timestamp": "2024-01-01T10:00:00.000Z"}',
+        "{'accepted': True, 'source': None, 'timestamp': '2024-01-01T12:00:00+02:00'}",
+        '{"accepted": false, "timestamp": "2024-01-01T10:00:00Z"}', "nan", None, "5", '{"accepted": true}', "__import__('os')",
+        '{"accepted": true, "timestamp": "2024-01-01"}', '{"accepted": "true", "timestamp": "2024-01-01T10:00:00Z"}'
+    ]
     df = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k long, r string")
     got = {r.k: (r.ready, r.malformed) for r in archive.readiness(df, "r").collect()}
     ten = 1704103200_000000
-    assert got == {0: (ten, False), 1: (ten, False), 2: (None, False), 3: (None, False), 4: (None, False), 5: (None, False), 6: (None, True), 7: (None, True), 8: (None, True), 9: (None, False)}
+    assert got == {
+        0: (ten, False), 1: (ten, False), 2: (None, False), 3: (None, False), 4: (None, False), 5: (None, False), 6: (None, True),
+        7: (None, True), 8: (None, True), 9: (None, False)
+    }
     assert archive.readiness(df, "r", ten).where("ready is not null").count() == 0
 
 
@@ -145,7 +168,9 @@ def test_sinks(spark, tmp_path):
         return b"x"
 
     w = archive.weekly_windows(0, 10 * 86_400_000_000)
-    assert len(w) == 2 and archive.fetch_cached(w[0], str(tmp_path / "c"), get, sleep=lambda s: None) == archive.fetch_cached(w[0], str(tmp_path / "c"), get) == b"x" and len(calls) == 2
+    assert len(w) == 2 and archive.fetch_cached(
+        w[0], str(tmp_path / "c"), get, sleep=lambda s: None
+    ) == archive.fetch_cached(w[0], str(tmp_path / "c"), get) == b"x" and len(calls) == 2
 
 
 def test_month_files(spark, tmp_path):

@@ -67,8 +67,16 @@ def test_equality_at_the_cut_is_excluded(frame):
 def test_the_future_changes_nothing(frame):
     names = lambda df: sorted(map(tuple, df.collect()))
     f = frame(ROWS)
-    changed = frame([*ROWS[:3], (23, 370, "DEPARTURE", at(13, 0), at(15, 0), 120.0), *ROWS[4:], (27, 370, "ARRIVAL", at(13, 30), at(12, 40), 99.0), (23, 500, "ARRIVAL", at(14, 0), at(13, 50), -10.0)])
-    for build in (history.run_history, history.station_context, route.network, turnaround.context, lambda q, g: turnaround.candidates(q, turnaround.terminating(q, g), g)):
+    changed = frame(
+        [
+            *ROWS[:3], (23, 370, "DEPARTURE", at(13, 0), at(15, 0), 120.0), *ROWS[4:], (27, 370, "ARRIVAL", at(13, 30), at(12, 40), 99.0),
+            (23, 500, "ARRIVAL", at(14, 0), at(13, 50), -10.0)
+        ]
+    )
+    for build in (
+        history.run_history, history.station_context, route.network, turnaround.context, lambda q,
+        g: turnaround.candidates(q, turnaround.terminating(q, g), g)
+    ):
         assert names(build(asks(f, 3), f)) == names(build(asks(changed, 3), changed))
 
 
@@ -82,8 +90,10 @@ def test_without_a_run(frame, spark):
 
 def test_enriched(frame):
     f = frame([
-        (1, 100, "DEPARTURE", at(11, 0), at(11, 2), 2.0), (1, 200, "ARRIVAL", at(11, 10), at(11, 14), 4.0), (1, 200, "DEPARTURE", at(11, 15), at(11, 25), 10.0), (1, 300, "ARRIVAL", at(11, 40), None, None),
-        (1, 300, "DEPARTURE", at(11, 50), None, None), (1, 370, "ARRIVAL", at(12, 0), None, None), (1, 370, "DEPARTURE", at(12, 10), None, None), (1, 500, "ARRIVAL", at(13, 0), None, None),
+        (1, 100, "DEPARTURE", at(11, 0), at(11, 2), 2.0), (1, 200, "ARRIVAL", at(11, 10), at(11, 14), 4.0),
+        (1, 200, "DEPARTURE", at(11, 15), at(11, 25), 10.0), (1, 300, "ARRIVAL", at(11, 40), None, None),
+        (1, 300, "DEPARTURE", at(11, 50), None, None), (1, 370, "ARRIVAL", at(12, 0), None, None),
+        (1, 370, "DEPARTURE", at(12, 10), None, None), (1, 500, "ARRIVAL", at(13, 0), None, None),
     ])
     e = route.enriched(asks(f, 6), f).first()
     assert (e.clean_pending_count, e.clean_oldest_pending_minutes, e.last_scheduled_delay, e.scheduled_order_delay_change) == (0, 0.0, 10.0, 6.0)
@@ -98,13 +108,17 @@ def test_enriched(frame):
 def test_origin_reverse_and_readiness(frame):
     f = frame([
         (1, 370, "DEPARTURE", at(13, 0), at(13, 5), 5.0), (1, 900, "ARRIVAL", at(15, 0), None, None),
-        {"n": 2, "st": 900, "ty": "DEPARTURE", "s": at(10, 30), "act": at(10, 45), "delay": 15.0, "ready": at(10, 35), "acc": at(9)}, {"n": 2, "st": 370, "ty": "ARRIVAL", "s": at(12, 0), "acc": at(9)},
+        {"n": 2, "st": 900, "ty": "DEPARTURE", "s": at(10, 30), "act": at(10, 45), "delay": 15.0, "ready": at(10, 35), "acc": at(9)},
+        {"n": 2, "st": 370, "ty": "ARRIVAL", "s": at(12, 0), "acc": at(9)},
         (3, 500, "DEPARTURE", at(9), at(9, 1), 1.0), (3, 370, "ARRIVAL", at(12, 50), None, None),
     ])
     q = asks(f, 0)
     o = {r.window: r for r in origin.origin_context(q, f).collect()}
     # Run 3 ends less than 15 minutes before the start.
-    assert (o[180]["count"], o[180].reverse_count, o[180].closest_gap_minutes, o[180].closest_last_delay, o[180].closest_projected_delay, o[180].closest_pending_minutes) == (1, 1, 60.0, 15.0, 0.0, 30.0)
+    assert (
+        o[180]["count"], o[180].reverse_count, o[180].closest_gap_minutes, o[180].closest_last_delay, o[180].closest_projected_delay,
+        o[180].closest_pending_minutes
+    ) == (1, 1, 60.0, 15.0, 0.0, 30.0)
     assert (o[720].reverse_gap_minutes, o[720].reverse_last_delay, o[720].reverse_end_age_minutes) == (60.0, 15.0, None)
     r = {x.window: x for x in origin.readiness_inbound(q, f).collect()}
     assert (r[180]["count"], r[180].closest_delay_minutes, r[180].closest_to_actual_minutes, r[180].closest_age_minutes) == (1, 5.0, 10.0, 115.0)
@@ -120,12 +134,23 @@ def test_turnaround(frame):
     q = asks(f, 0)
     c = turnaround.candidates(q, turnaround.terminating(q, f), f).first()
     assert (c.origin_departure, c.candidate_count, c.candidate_unobserved_count, c.candidate_scheduled_gap_minutes) == (1.0, 2, 1, 25.0)
-    assert (c.candidate_last_known_delay, c.candidate_observation_age_minutes, c.candidate_projected_departure_delay, c.worst_projected_departure_delay) == (20.0, 70.0, 25.0, 25.0)
+    assert (
+        c.candidate_last_known_delay, c.candidate_observation_age_minutes, c.candidate_projected_departure_delay,
+        c.worst_projected_departure_delay
+    ) == (20.0, 70.0, 25.0, 25.0)
 
 
 def test_service_history(spark):
-    days = [(k, DAY + dt.timedelta(k), 5, "ARRIVAL", at(12) + k * 1440 * MINUTE, at(11, 30) + k * 1440 * MINUTE, at(12, k) + k * 1440 * MINUTE, float(k), True, k % 2, k, 1.0) for k in range(40)]
-    rows = spark.createDataFrame(days, "qid long, d date, n long, ty string, s long, cut long, act long, delay double, known boolean, history_count long, pending_count long, previous_age_minutes double")
+    days = [
+        (
+            k, DAY + dt.timedelta(k), 5, "ARRIVAL", at(12) + k * 1440 * MINUTE, at(11, 30) + k * 1440 * MINUTE,
+            at(12, k) + k * 1440 * MINUTE, float(k), True, k % 2, k, 1.0
+        ) for k in range(40)
+    ]
+    rows = spark.createDataFrame(
+        days,
+        "qid long, d date, n long, ty string, s long, cut long, act long, delay double, known boolean, history_count long, pending_count long, previous_age_minutes double"
+    )
     s = {r.qid: r for r in history.service_history(rows).collect()}
     assert s[0].service_observed_runs is None and s[1].service_mean_delay == 0.0
     assert (s[39].service_observed_runs, s[39].service_max_delay, s[39].service_last_delay, s[39].service_median_delay) == (28, 38.0, 38.0, 24.5)
@@ -142,21 +167,37 @@ def test_as_of_and_ranges(spark):
 
 
 def test_weather(spark):
-    hours = [("t2m", at(h), float(h)) for h in range(10)] + [("r_1h", at(h), -1.0 if h == 3 else 2.0) for h in range(10)] + [("snow_aws", at(h), -7.0) for h in range(10)]
+    hours = [("t2m", at(h), float(h)) for h in range(10)] + [
+        ("r_1h", at(h), -1.0 if h == 3 else 2.0) for h in range(10)
+    ] + [("snow_aws", at(h), -7.0) for h in range(10)]
     s = weather.clean(spark.createDataFrame(hours, "parameter string, t long, value double"))
     q = spark.createDataFrame([(1, at(11, 30), at(11)), (2, at(13), at(12, 30))], "qid long, s long, cut long")
     now = {(r.qid, r.parameter): r for r in weather.latest(q, s, ["t2m", "r_1h", "snow_aws"]).collect()}
     # Deadline 10:00: strictly before is 09:00, 60 + 90 minutes old.
     assert (now[1, "t2m"].value, now[1, "t2m"].age_minutes, now[1, "snow_aws"].value, now[2, "t2m"].value) == (9.0, 150.0, None, None)
     past = {(r.qid, r.parameter, r.hours): r for r in weather.rolling(q, s, ["t2m", "r_1h"]).collect()}
-    assert (past[1, "t2m", 6].n, past[1, "t2m", 6]["mean"], past[1, "r_1h", 6]["sum"], past[1, "t2m", 24]["mean"], past[1, "t2m", 6].change) == (6, 6.5, 12.0, None, 5.0)
-    flat = weather.wide(q, weather.latest(q, s, ["t2m", "r_1h", "ws_10min", "wd_10min"]), weather.rolling(q, s, ["t2m", "r_1h", "ws_10min", "wg_10min", "snow_aws"]), ["t2m", "r_1h", "ws_10min", "wd_10min"])
+    assert (
+        past[1, "t2m", 6].n, past[1, "t2m", 6]["mean"], past[1, "r_1h", 6]["sum"], past[1, "t2m", 24]["mean"], past[1, "t2m", 6].change
+    ) == (6, 6.5, 12.0, None, 5.0)
+    flat = weather.wide(
+        q, weather.latest(q, s, ["t2m", "r_1h", "ws_10min", "wd_10min"]),
+        weather.rolling(q, s, ["t2m", "r_1h", "ws_10min", "wg_10min", "snow_aws"]), ["t2m", "r_1h", "ws_10min", "wd_10min"]
+    )
     assert {r.qid: r.fmi_freezing_precipitation for r in flat.collect()} == {1: 0.0, 2: None}
 
 
 def test_feed(spark):
-    plan = spark.createDataFrame([("2024-01-01", 1, 370, "ARRIVAL", "2024-01-01T12:00:00.000Z", "2024-01-01T10:00:00.000Z")], "departureDate string, trainNumber int, stationUICCode int, type string, scheduledTime string, timetableAcceptanceDate string")
-    seen = spark.createDataFrame([("2024-01-01", 1, 370, "ARRIVAL", "2024-01-01T12:00:00.000Z", "2024-01-01T14:05:00+02:00", 5.0, 1), ("2024-01-01", 1, 370, "ARRIVAL", "2024-01-01T12:00:00.000Z", "junk", float("nan"), 2)], "departureDate string, trainNumber int, stationUICCode int, type string, scheduledTime string, actualTime string, differenceInMinutes double, o int")
+    plan = spark.createDataFrame(
+        [("2024-01-01", 1, 370, "ARRIVAL", "2024-01-01T12:00:00.000Z", "2024-01-01T10:00:00.000Z")],
+        "departureDate string, trainNumber int, stationUICCode int, type string, scheduledTime string, timetableAcceptanceDate string"
+    )
+    seen = spark.createDataFrame(
+        [
+            ("2024-01-01", 1, 370, "ARRIVAL", "2024-01-01T12:00:00.000Z", "2024-01-01T14:05:00+02:00", 5.0, 1),
+            ("2024-01-01", 1, 370, "ARRIVAL", "2024-01-01T12:00:00.000Z", "junk", float("nan"), 2)
+        ],
+        "departureDate string, trainNumber int, stationUICCode int, type string, scheduledTime string, actualTime string, differenceInMinutes double, o int"
+    )
     f = fd.feed_of(fd.plan_of(plan), fd.reports_of(seen, "o"), keep="first").first()
     assert f.s == at(12) and f.act == at(12, 5) and f.delay == 5.0
     last = fd.feed_of(fd.plan_of(plan), fd.reports_of(seen, "o")).first()

@@ -34,17 +34,22 @@ def plan_of(schedules: DataFrame, order: str | None = None) -> DataFrame:
     opt = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
     time = lambda name: micros(schedules, name) if name in have else F.lit(None).cast("long")
     return schedules.select(
-        F.col("departureDate").cast("date").alias("d"), F.col("trainNumber").cast("long").alias("n"), F.col("stationUICCode").cast("int").alias("st"), F.col("type").alias("ty"),
+        F.col("departureDate").cast("date").alias("d"), F.col("trainNumber").cast("long").alias("n"),
+        F.col("stationUICCode").cast("int").alias("st"), F.col("type").alias("ty"),
         time("scheduledTime").alias("s"), time("timetableAcceptanceDate").alias("acc"), input_order(schedules, order).alias("ord"),
-        opt("trainCategory", "string").alias("cat"), opt("trainStopping", "boolean").alias("stopping"), opt("commercialStop", "boolean").alias("commercial"), opt("trainType", "string").alias("train_type"), opt("timetableType", "string").alias("table_type"),
+        opt("trainCategory", "string").alias("cat"), opt("trainStopping", "boolean").alias("stopping"),
+        opt("commercialStop", "boolean").alias("commercial"), opt("trainType", "string").alias("train_type"),
+        opt("timetableType", "string").alias("table_type"),
     )
 
 
 def reports_of(observed: DataFrame, order: str | None = None) -> DataFrame:
     """(key, act, delay, ord) of observations."""
     return observed.select(
-        F.col("departureDate").cast("date").alias("d"), F.col("trainNumber").cast("long").alias("n"), F.col("stationUICCode").cast("int").alias("st"), F.col("type").alias("ty"),
-        micros(observed, "scheduledTime").alias("s"), micros(observed, "actualTime").alias("act"), number(F.col("differenceInMinutes")).alias("delay"), input_order(observed, order).alias("ord"),
+        F.col("departureDate").cast("date").alias("d"), F.col("trainNumber").cast("long").alias("n"),
+        F.col("stationUICCode").cast("int").alias("st"), F.col("type").alias("ty"),
+        micros(observed, "scheduledTime").alias("s"), micros(observed, "actualTime").alias("act"),
+        number(F.col("differenceInMinutes")).alias("delay"), input_order(observed, order).alias("ord"),
     )
 
 
@@ -57,7 +62,9 @@ def one_of(df: DataFrame, keys: list[str], keep: str = "last") -> DataFrame:
 def unique_or_fail(df: DataFrame, keys: list[str]) -> DataFrame:
     """df, which fails when it runs if a key repeats."""
     n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"duplicate key {keys}"))).otherwise(F.lit(True)).cast("boolean")).drop("_n")
+    return df.withColumn("_n", n).where(
+        F.when(F.col("_n") > 1, F.raise_error(F.lit(f"duplicate key {keys}"))).otherwise(F.lit(True)).cast("boolean")
+    ).drop("_n")
 
 
 def feed_of(plan: DataFrame, reports: DataFrame, keep: str = "last") -> DataFrame:
@@ -75,19 +82,29 @@ def focal(q: DataFrame, plan: DataFrame) -> DataFrame:
     """q with its own plan row's facts and known: whether that row was accepted before the cut. Facts are null unless known."""
     facts = plan.select(*KEY, F.col("acc").alias("focal_acc"), "stopping", "commercial", "train_type", "table_type")
     out = q.join(facts, KEY, "left").withColumn("known", yes(F.col("focal_acc") < F.col("cut")))
-    return out.select(*q.columns, "known", *(F.when(F.col("known"), F.col(c)).alias(c) for c in ("focal_acc", "stopping", "commercial", "train_type", "table_type")))
+    return out.select(
+        *q.columns, "known",
+        *(F.when(F.col("known"), F.col(c)).alias(c) for c in ("focal_acc", "stopping", "commercial", "train_type", "table_type"))
+    )
 
 
 def static_features(q: DataFrame, plan: DataFrame) -> DataFrame:
     """Timetable features of the query's own event, all null unless its plan was accepted before the cut."""
     f = focal(q, plan)
     masked = lambda c, name: F.when(F.col("known"), c).alias(name)
-    cycles = [masked(c, n) for c, n in zip(schedule_cycles(F.col("s")), ["month_sin", "month_cos", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "day_of_month"])]
+    cycles = [
+        masked(c, n) for c,
+        n in zip(
+            schedule_cycles(F.col("s")), ["month_sin", "month_cos", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "day_of_month"]
+        )
+    ]
     flag = lambda c, v, name: masked(F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)), name)
     return f.select(
-        "qid", F.col("known").alias("metadata_known"), masked(F.col("n").cast("double"), "train_number"), masked(F.col("stopping").cast("double"), "train_stopping"), masked(F.col("commercial").cast("double"), "commercial_stop"),
+        "qid", F.col("known").alias("metadata_known"), masked(F.col("n").cast("double"), "train_number"),
+        masked(F.col("stopping").cast("double"), "train_stopping"), masked(F.col("commercial").cast("double"), "commercial_stop"),
         masked((F.col("ty") == "DEPARTURE").cast("double"), "is_departure"), *cycles,
-        flag("train_type", "IC", "train_type_ic"), flag("train_type", "S", "train_type_s"), flag("train_type", "P", "train_type_p"), flag("train_type", "MV", "train_type_mv"), flag("table_type", "ADHOC", "timetable_adhoc"),
+        flag("train_type", "IC", "train_type_ic"), flag("train_type", "S", "train_type_s"), flag("train_type", "P", "train_type_p"),
+        flag("train_type", "MV", "train_type_mv"), flag("table_type", "ADHOC", "timetable_adhoc"),
     )
 
 

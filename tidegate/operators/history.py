@@ -56,13 +56,20 @@ def run_history(q: DataFrame, feed: DataFrame, gated: bool = True, home: int = H
     coming = F.array_min(F.transform(F.filter("p", lambda x: x["e_s"] > F.get(F.col("u"), F.lit(0))["e_s"]), lambda x: x["e_s"]))
     there = F.col("run_rows") > 0
     return g.select(
-        "qid", F.size("u").cast("long").alias("history_count"), last["e_delay"].alias("previous_delay"), minutes(F.col("cut"), last["e_act"]).alias("previous_age_minutes"),
-        minutes(F.col("s"), last["e_s"]).alias("previous_scheduled_gap_minutes"), last["e_st"].alias("previous_station"), (last["e_ty"] == "DEPARTURE").cast("double").alias("previous_is_departure"), (last["e_st"] == home).cast("double").alias("previous_is_home"),
-        second["e_delay"].alias("second_previous_delay"), (last["e_delay"] - second["e_delay"]).alias("delay_change"), "history_mean_delay", "history_max_delay",
-        when(there, F.col("pending")).alias("pending_count"), when(there, F.coalesce(minutes(F.col("cut"), F.col("pending_from")), F.lit(0.0))).alias("oldest_pending_minutes"),
+        "qid", F.size("u").cast("long").alias("history_count"), last["e_delay"].alias("previous_delay"),
+        minutes(F.col("cut"), last["e_act"]).alias("previous_age_minutes"),
+        minutes(F.col("s"), last["e_s"]).alias("previous_scheduled_gap_minutes"), last["e_st"].alias("previous_station"),
+        (last["e_ty"] == "DEPARTURE").cast("double").alias("previous_is_departure"),
+        (last["e_st"] == home).cast("double").alias("previous_is_home"),
+        second["e_delay"].alias("second_previous_delay"), (last["e_delay"] - second["e_delay"]).alias("delay_change"), "history_mean_delay",
+        "history_max_delay",
+        when(there, F.col("pending")).alias("pending_count"),
+        when(there, F.coalesce(minutes(F.col("cut"), F.col("pending_from")), F.lit(0.0))).alias("oldest_pending_minutes"),
         when(last.isNotNull(), F.coalesce(minutes(F.col("s"), coming), F.lit(0.0))).alias("next_expected_gap_minutes"),
-        first["e_st"].alias("origin_station"), minutes(F.col("s"), first["e_s"]).alias("scheduled_run_elapsed_minutes"), when(F.size("p") > 0, F.size("p")).alias("scheduled_route_position"),
-        when(F.col("ty") == "DEPARTURE", minutes(F.col("s"), F.col("home_arrival"))).alias("scheduled_home_dwell_minutes"), home_done["e_delay"].alias("available_home_arrival_delay"),
+        first["e_st"].alias("origin_station"), minutes(F.col("s"), first["e_s"]).alias("scheduled_run_elapsed_minutes"),
+        when(F.size("p") > 0, F.size("p")).alias("scheduled_route_position"),
+        when(F.col("ty") == "DEPARTURE", minutes(F.col("s"), F.col("home_arrival"))).alias("scheduled_home_dwell_minutes"),
+        home_done["e_delay"].alias("available_home_arrival_delay"),
         last["e_act"].alias("source_act"), last["e_s"].alias("source_s"), "latest_act", "latest_acc",
     )
 
@@ -70,7 +77,10 @@ def run_history(q: DataFrame, feed: DataFrame, gated: bool = True, home: int = H
 def others_seen(q: DataFrame, feed: DataFrame, window: int, station: str = "st") -> DataFrame:
     """(q, other runs' events at the query's station that happened in [cut - window, cut)) with known plans; events are o_*."""
     o = other(feed)
-    rows = in_window(q.withColumn("o_st", F.col(station)), o.where("o_act is not null"), ["o_st"], "o_act", F.col("cut") - F.lit(window * MINUTE), F.col("cut"), window * MINUTE)
+    rows = in_window(
+        q.withColumn("o_st", F.col(station)), o.where("o_act is not null"), ["o_st"], "o_act", F.col("cut") - F.lit(window * MINUTE),
+        F.col("cut"), window * MINUTE
+    )
     return rows.where(not_own() & yes(F.col("o_acc") < F.col("cut")))
 
 
@@ -92,22 +102,36 @@ def not_own():
 def resolved(waiting: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
     """waiting (o_* events not old at the cut) with by_act, by_acc: the latest clocks of the run's later (or equal) events that were done
     and known before the cut; null if there is none, and then the event is still pending. A finite delay is not needed."""
-    c = feed.where("act is not null and acc is not null").select(F.col("d").alias("o_d"), F.col("n").alias("o_n"), F.col("s").alias("c_s"), F.col("act").alias("c_act"), F.col("acc").alias("c_acc"))
+    c = feed.where("act is not null and acc is not null").select(
+        F.col("d").alias("o_d"), F.col("n").alias("o_n"), F.col("s").alias("c_s"), F.col("act").alias("c_act"), F.col("acc").alias("c_acc")
+    )
     hit = (F.col("c_act") < F.col("cut")) & (F.col("c_acc") < F.col("cut")) & (F.col("c_s") >= F.col("o_s"))
-    found = waiting.select(*keys, "o_ord", "o_d", "o_n", "o_s", "cut").distinct().join(c, ["o_d", "o_n"]).where(hit).groupBy(*keys, "o_ord").agg(F.max("c_act").alias("by_act"), F.max("c_acc").alias("by_acc"))
+    found = waiting.select(*keys, "o_ord", "o_d", "o_n", "o_s", "cut").distinct().join(c, ["o_d", "o_n"]).where(hit).groupBy(*keys, "o_ord").agg(
+        F.max("c_act").alias("by_act"), F.max("c_acc").alias("by_acc")
+    )
     return waiting.join(found, [*keys, "o_ord"], "left")
 
 
 def station_context(q: DataFrame, feed: DataFrame, window: int = WINDOW, home: int = HOME) -> DataFrame:
     """What other runs show at the home station in the window before the cut."""
     at = q.withColumn("home", F.lit(home)).select("qid", "d", "n", "cut", "home")
-    recent = others_seen(at, feed, window, "home").where("o_delay is not null").groupBy("qid").agg(F.count("*").alias("recent_count"), F.avg("o_delay").alias("recent_mean_delay"), F.max("o_delay").alias("recent_max_delay"), F.max("o_act").alias("seen_act"), F.max("o_acc").alias("seen_acc"))
+    recent = others_seen(at, feed, window, "home").where("o_delay is not null").groupBy("qid").agg(
+        F.count("*").alias("recent_count"), F.avg("o_delay").alias("recent_mean_delay"), F.max("o_delay").alias("recent_max_delay"),
+        F.max("o_act").alias("seen_act"), F.max("o_acc").alias("seen_acc")
+    )
     due = resolved(others_due(at, feed, window, "home").where("not old"), feed, ["qid"])
     open_ = F.col("by_act").isNull()
-    waiting = due.groupBy("qid").agg(F.count_if(open_).alias("pending_count"), F.count_if(~open_).alias("resolved_count"), F.min(F.when(open_, F.col("o_s"))).alias("from"), F.max("by_act").alias("by_act"), F.greatest(F.max("by_acc"), F.max(F.when(open_, F.col("o_acc")))).alias("due_acc"))
+    waiting = due.groupBy("qid").agg(
+        F.count_if(open_).alias("pending_count"), F.count_if(~open_).alias("resolved_count"),
+        F.min(F.when(open_, F.col("o_s"))).alias("from"), F.max("by_act").alias("by_act"),
+        F.greatest(F.max("by_acc"), F.max(F.when(open_, F.col("o_acc")))).alias("due_acc")
+    )
     return q.select("qid", "cut").join(recent, "qid", "left").join(waiting, "qid", "left").select(
-        "qid", F.coalesce("recent_count", F.lit(0)).alias("home_recent_count"), F.col("recent_mean_delay").alias("home_recent_mean_delay"), F.col("recent_max_delay").alias("home_recent_max_delay"),
-        F.coalesce("pending_count", F.lit(0)).alias("home_pending_count"), F.coalesce("resolved_count", F.lit(0)).alias("home_resolved_count"), F.coalesce(minutes(F.col("cut"), F.col("from")), F.lit(0.0)).alias("home_oldest_pending_minutes"),
+        "qid", F.coalesce("recent_count", F.lit(0)).alias("home_recent_count"), F.col("recent_mean_delay").alias("home_recent_mean_delay"),
+        F.col("recent_max_delay").alias("home_recent_max_delay"),
+        F.coalesce("pending_count", F.lit(0)).alias("home_pending_count"),
+        F.coalesce("resolved_count", F.lit(0)).alias("home_resolved_count"),
+        F.coalesce(minutes(F.col("cut"), F.col("from")), F.lit(0.0)).alias("home_oldest_pending_minutes"),
         F.greatest("seen_act", "by_act").alias("context_act"), F.greatest("seen_acc", "due_acc").alias("context_acc"),
     )
 
@@ -129,12 +153,20 @@ def service_history(rows: DataFrame, days: int = 28) -> DataFrame:
     """
     span = days * 1440 * MINUTE
     own = rows.where("known").select("qid", "d", F.col("n").alias("k_n"), F.col("ty").alias("k_ty"), "cut")
-    past = rows.where("act is not null").select(F.col("n").alias("k_n"), F.col("ty").alias("k_ty"), *(F.col(c).alias(f"x_{c}") for c in ("qid", "d", "s", "act", "delay", "history_count", "pending_count", "previous_age_minutes")))
+    past = rows.where("act is not null").select(
+        F.col("n").alias("k_n"), F.col("ty").alias("k_ty"),
+        *(F.col(c).alias(f"x_{c}") for c in ("qid", "d", "s", "act", "delay", "history_count", "pending_count", "previous_age_minutes"))
+    )
     pairs = in_window(own, past, ["k_n", "k_ty"], "x_act", F.col("cut") - F.lit(span), F.col("cut"), span).where("x_s < cut and x_d <> d")
     g = pairs.groupBy("qid", "cut").agg(
-        F.avg("x_delay").alias("service_mean_delay"), F.median("x_delay").alias("service_median_delay"), F.max("x_delay").alias("service_max_delay"), F.percentile("x_delay", F.lit(0.9)).alias("service_p90_delay"),
-        F.max(F.struct("x_act", -F.col("x_qid"), "x_delay")).alias("last"), F.count("*").alias("service_observed_runs"), F.avg((F.col("x_history_count") > 0).cast("double")).alias("service_history_coverage"),
-        F.avg("x_pending_count").alias("service_mean_pending"), F.avg("x_previous_age_minutes").alias("service_mean_previous_age"), F.greatest(F.max("x_act"), F.max("x_s")).alias("service_latest"),
+        F.avg("x_delay").alias("service_mean_delay"), F.median("x_delay").alias("service_median_delay"),
+        F.max("x_delay").alias("service_max_delay"), F.percentile("x_delay", F.lit(0.9)).alias("service_p90_delay"),
+        F.max(F.struct("x_act", -F.col("x_qid"), "x_delay")).alias("last"), F.count("*").alias("service_observed_runs"),
+        F.avg((F.col("x_history_count") > 0).cast("double")).alias("service_history_coverage"),
+        F.avg("x_pending_count").alias("service_mean_pending"), F.avg("x_previous_age_minutes").alias("service_mean_previous_age"),
+        F.greatest(F.max("x_act"), F.max("x_s")).alias("service_latest"),
     )
-    g = g.withColumn("service_last_delay", F.col("last")["x_delay"]).withColumn("service_last_age_minutes", minutes(F.col("cut"), F.col("last")["x_act"])).drop("last", "cut")
+    g = g.withColumn("service_last_delay", F.col("last")["x_delay"]).withColumn(
+        "service_last_age_minutes", minutes(F.col("cut"), F.col("last")["x_act"])
+    ).drop("last", "cut")
     return rows.select("qid").join(g, "qid", "left")

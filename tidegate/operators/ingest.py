@@ -44,7 +44,9 @@ def row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     are values, so a recomputed task finds the same ranges. Nulls come first.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order[0], F.array(*(F.lit((k + 1) / n) for k in range(n - 1))) if n > 1 else F.array(F.lit(0.5)), F.lit(1000))).first()[0] or []
+    cuts = df.agg(
+        F.percentile_approx(order[0], F.array(*(F.lit((k + 1) / n) for k in range(n - 1))) if n > 1 else F.array(F.lit(0.5)), F.lit(1000))
+    ).first()[0] or []
     bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else None
     part = F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda x: x < F.col(order[0])))) if cuts else F.lit(0)
     parts = df.withColumn("_part", part)
@@ -64,7 +66,9 @@ def month_files(spark: SparkSession, directory: str, first: int, last: int, expe
     df = spark.read.option("pathGlobFilter", "matched_data_flat_*.parquet").parquet(directory)
     if columns:
         df = df.select(*columns, "_metadata")
-    df = df.withColumn("source_file", F.col("_metadata.file_name")).drop("_metadata") if "_metadata" in df.columns else df.select("*", F.col("_metadata.file_name").alias("source_file"))
+    df = df.withColumn("source_file", F.col("_metadata.file_name")).drop("_metadata") if "_metadata" in df.columns else df.select(
+        "*", F.col("_metadata.file_name").alias("source_file")
+    )
     df = df.where(F.regexp_extract("source_file", MONTH_FILE, 1).try_cast("int").between(first, last))
     if expected is not None and (found := df.select("source_file").distinct().count()) != expected:
         raise ValueError(f"expected {expected} months, found {found}")

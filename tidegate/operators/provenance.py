@@ -60,9 +60,14 @@ def turnaround(q: DataFrame, feed: DataFrame, home: int = HOME) -> DataFrame:
     recent = ends.where(F.col("old") & (F.col("o_act") >= F.col("cut") - F.lit(180 * MINUTE)) & F.col("o_delay").isNotNull())
     first = home_origin(q, feed, home).where("origin_departure = 1").select("qid")
     some = ends.join(first, "qid", "left_semi").where((F.col("o_s") >= F.col("s") - F.lit(180 * MINUTE)) & (F.col("o_s") <= F.col("s") - F.lit(20 * MINUTE)))
-    told = feed.where("act is not null and delay is not null and acc is not null").select(*(F.col(a).alias(b) for a, b in (("d", "o_d"), ("n", "o_n"), ("s", "c_s"), ("act", "c_act"), ("acc", "c_acc"))))
+    told = feed.where("act is not null and delay is not null and acc is not null").select(
+        *(F.col(a).alias(b) for a, b in (("d", "o_d"), ("n", "o_n"), ("s", "c_s"), ("act", "c_act"), ("acc", "c_acc")))
+    )
     known = some.select("qid", "o_d", "o_n", "o_s", "cut").join(told, ["o_d", "o_n"]).where("c_act < cut and c_acc < cut and c_s <= o_s")
-    parts = [uses(own_route(q, feed), None, "accepted"), uses(seen, "o_act", "o_acc"), uses(ends, None, "accepted"), uses(recent, "o_act"), uses(known, "c_act", "c_acc")]
+    parts = [
+        uses(own_route(q, feed), None, "accepted"), uses(seen, "o_act", "o_acc"), uses(ends, None, "accepted"), uses(recent, "o_act"),
+        uses(known, "c_act", "c_acc")
+    ]
     parts += waiting(due, feed, ["qid"]) + waiting(ends.where("o_s < cut and not old"), feed, ["qid"])[1:]
     return latest(q, parts)
 
@@ -79,11 +84,20 @@ def readiness(q: DataFrame, feed: DataFrame) -> DataFrame:
     """Of decisions on the query's own run (not on its own event) and on inbound runs; used_acc counts routes with a decision."""
     own = own_route(q, feed, False).select("qid", "d", "n", "st", "ty", "s", "cut", "accepted")
     made = decisions(feed)
-    mine = own.join(made, (F.col("d") == F.col("r_d")) & (F.col("n") == F.col("r_n"))).where("r_ready < cut and r_acc < cut and not (r_s = s and r_ty = ty and r_st = st)")
-    theirs = inbound(q, feed).withColumnRenamed("o_accepted", "accepted").join(made, (F.col("o_d") == F.col("r_d")) & (F.col("o_n") == F.col("r_n"))).where("r_ready < cut and r_acc < cut")
-    rows = mine.select("qid", "cut", "accepted", "r_d", "r_n", "r_act", "r_ready").unionByName(theirs.select("qid", "cut", "accepted", "r_d", "r_n", "r_act", "r_ready"))
+    mine = own.join(made, (F.col("d") == F.col("r_d")) & (F.col("n") == F.col("r_n"))).where(
+        "r_ready < cut and r_acc < cut and not (r_s = s and r_ty = ty and r_st = st)"
+    )
+    theirs = inbound(q, feed).withColumnRenamed("o_accepted", "accepted").join(
+        made, (F.col("o_d") == F.col("r_d")) & (F.col("o_n") == F.col("r_n"))
+    ).where("r_ready < cut and r_acc < cut")
+    rows = mine.select("qid", "cut", "accepted", "r_d", "r_n", "r_act", "r_ready").unionByName(
+        theirs.select("qid", "cut", "accepted", "r_d", "r_n", "r_act", "r_ready")
+    )
     routes = rows.groupBy("qid", "r_d", "r_n").agg(F.max("accepted").alias("accepted"))
-    return latest(q, [uses(rows, F.when(F.col("r_act") < F.col("cut"), F.col("r_act")), None, "r_ready"), uses(routes, None, "accepted")], ("ready", "act", "acc"))
+    return latest(
+        q, [uses(rows, F.when(F.col("r_act") < F.col("cut"), F.col("r_act")), None, "r_ready"), uses(routes, None, "accepted")],
+        ("ready", "act", "acc")
+    )
 
 
 def weather(now: DataFrame, past: DataFrame) -> DataFrame:

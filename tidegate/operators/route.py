@@ -47,7 +47,17 @@ def enriched(q: DataFrame, feed: DataFrame) -> DataFrame:
 
     r3 = F.array_sort(recent(3))
     # Dwell: each later planned departure less the latest known arrival at its station between the source and it.
-    arrival = lambda station, low, high, closed: F.array_max(F.transform(F.filter("k", lambda y: (y["e_ty"] == "ARRIVAL") & (y["e_st"] == station) & (y["e_s"] >= low) & ((y["e_s"] <= high) if closed else (y["e_s"] < high))), lambda y: y["e_s"]))
+    arrival = lambda station, low, high, closed: F.array_max(
+        F.transform(
+            F.filter(
+                "k",
+                lambda y: (y["e_ty"] == "ARRIVAL") & (y["e_st"] == station) & (y["e_s"] >= low) & (
+                    (y["e_s"] <= high) if closed else (y["e_s"] < high)
+                )
+            ),
+            lambda y: y["e_s"]
+        )
+    )
     leaving = F.filter("k", lambda x: (x["e_ty"] == "DEPARTURE") & (x["e_s"] > c("src")) & (x["e_s"] < c("s")))
     dwell = F.aggregate(leaving, F.lit(0.0), lambda acc, x: acc + F.coalesce(minutes(x["e_s"], arrival(x["e_st"], c("src"), x["e_s"], True)), F.lit(0.0)))
     focal_planned = F.exists("k", lambda x: (x["e_s"] == c("s")) & (x["e_ty"] == "DEPARTURE") & (x["e_st"] == c("st")))
@@ -60,20 +70,47 @@ def enriched(q: DataFrame, feed: DataFrame) -> DataFrame:
     zero = lambda x: when(there, F.coalesce(x, F.lit(0.0)))
     some = F.size("k") > 0
     return g.select(
-        "qid", minutes(c("cut"), c("m")).alias("last_completed_scheduled_age_minutes"), when(there, F.size("p").cast("long")).alias("clean_pending_count"), when(there, c("raw_pending") - F.size("p")).alias("resolved_missing_count"),
-        zero(minutes(c("cut"), first_p["e_s"])).alias("clean_oldest_pending_minutes"), zero(minutes(c("cut"), last_p["e_s"])).alias("latest_pending_minutes"), zero(minutes(last_p["e_s"], first_p["e_s"])).alias("pending_scheduled_span_minutes"),
-        F.try_divide(c("n_done").cast("double"), F.nullif(c("n_before"), F.lit(0))).alias("run_observed_fraction"), last_p["e_st"].alias("latest_pending_station"), (last_p["e_ty"] == "DEPARTURE").cast("double").alias("latest_pending_is_departure"),
-        d(0).alias("last_scheduled_delay"), c("last")["e_st"].alias("last_scheduled_station"), (c("last")["e_ty"] == "DEPARTURE").cast("double").alias("last_scheduled_is_departure"), minutes(c("cut"), c("last")["e_act"]).alias("last_scheduled_observation_age_minutes"),
+        "qid", minutes(c("cut"), c("m")).alias("last_completed_scheduled_age_minutes"),
+        when(there, F.size("p").cast("long")).alias("clean_pending_count"),
+        when(there, c("raw_pending") - F.size("p")).alias("resolved_missing_count"),
+        zero(minutes(c("cut"), first_p["e_s"])).alias("clean_oldest_pending_minutes"),
+        zero(minutes(c("cut"), last_p["e_s"])).alias("latest_pending_minutes"),
+        zero(minutes(last_p["e_s"], first_p["e_s"])).alias("pending_scheduled_span_minutes"),
+        F.try_divide(c("n_done").cast("double"), F.nullif(c("n_before"), F.lit(0))).alias("run_observed_fraction"),
+        last_p["e_st"].alias("latest_pending_station"), (last_p["e_ty"] == "DEPARTURE").cast("double").alias("latest_pending_is_departure"),
+        d(0).alias("last_scheduled_delay"), c("last")["e_st"].alias("last_scheduled_station"),
+        (c("last")["e_ty"] == "DEPARTURE").cast("double").alias("last_scheduled_is_departure"),
+        minutes(c("cut"), c("last")["e_act"]).alias("last_scheduled_observation_age_minutes"),
         (F.coalesce(minutes(c("cut"), last_p["e_s"]), F.lit(0.0)) - d(0)).alias("latest_pending_vs_previous_delay"),
-        mean(recent(3)).alias("recent3_mean_delay"), std(recent(3)).alias("recent3_std_delay"), mean(recent(5)).alias("recent5_mean_delay"), std(recent(5)).alias("recent5_std_delay"),
-        ((F.get(r3, F.floor((F.size(r3) - 1) / 2).cast("int")) + F.get(r3, F.floor(F.size(r3) / 2).cast("int"))) / 2).alias("recent3_median_delay"), F.array_max(recent(3)).alias("recent3_max_delay"), F.array_min(recent(3)).alias("recent3_min_delay"),
-        (d(0) - d(1)).alias("scheduled_order_delay_change"), F.try_divide(d(0) - d(1), when(c("src") > F.get("u", F.lit(1))["e_s"], minutes(c("src"), F.get("u", F.lit(1))["e_s"]))).alias("scheduled_order_delay_slope"), (d(0) - 2 * d(1) + d(2)).alias("recent_delay_acceleration"),
-        mean(of_type("DEPARTURE")).alias("history_departure_mean_delay"), F.get(of_type("DEPARTURE"), F.lit(0)).alias("history_departure_last_delay"), mean(of_type("ARRIVAL")).alias("history_arrival_mean_delay"), F.get(of_type("ARRIVAL"), F.lit(0)).alias("history_arrival_last_delay"),
-        when(c("src").isNotNull(), F.size(F.filter("k", lambda x: (x["e_s"] > c("src")) & (x["e_s"] < c("s"))))).alias("planned_events_after_source"), c("dwell").alias("planned_dwell_after_source_minutes"),
-        when(c("src").isNotNull(), F.greatest(F.lit(0.0), gap - c("dwell"))).alias("planned_running_after_source_minutes"), when(c("src").isNotNull(), F.greatest(F.lit(0.0), d(0) - c("dwell"))).alias("delay_after_planned_dwell"),
-        ahead["e_st"].alias("next_scheduled_event_station"), (ahead["e_ty"] == "DEPARTURE").cast("double").alias("next_scheduled_event_is_departure"), minutes(ahead["e_s"], c("cut")).alias("minutes_to_next_scheduled_event"),
-        when(some, F.size("k")).alias("planned_total_events"), when(some, F.size(F.array_distinct(F.transform("k", lambda x: x["e_st"])))).alias("planned_total_stations"), length.alias("planned_total_duration_minutes"), last_k["e_st"].alias("planned_destination_station"),
-        F.try_divide(minutes(c("s"), first_k["e_s"]), when(length > 0, length)).alias("planned_fraction_elapsed"), when(some, c("stopping_before")).alias("planned_stopping_events_before"), "enriched_latest_act", "enriched_latest_acc",
+        mean(recent(3)).alias("recent3_mean_delay"), std(recent(3)).alias("recent3_std_delay"), mean(recent(5)).alias("recent5_mean_delay"),
+        std(recent(5)).alias("recent5_std_delay"),
+        (
+            (F.get(r3, F.floor((F.size(r3) - 1) / 2).cast("int")) + F.get(r3, F.floor(F.size(r3) / 2).cast("int"))) / 2
+        ).alias("recent3_median_delay"),
+        F.array_max(recent(3)).alias("recent3_max_delay"), F.array_min(recent(3)).alias("recent3_min_delay"),
+        (d(0) - d(1)).alias("scheduled_order_delay_change"),
+        F.try_divide(
+            d(0) - d(1), when(c("src") > F.get("u", F.lit(1))["e_s"], minutes(c("src"), F.get("u", F.lit(1))["e_s"]))
+        ).alias("scheduled_order_delay_slope"),
+        (d(0) - 2 * d(1) + d(2)).alias("recent_delay_acceleration"),
+        mean(of_type("DEPARTURE")).alias("history_departure_mean_delay"),
+        F.get(of_type("DEPARTURE"), F.lit(0)).alias("history_departure_last_delay"),
+        mean(of_type("ARRIVAL")).alias("history_arrival_mean_delay"),
+        F.get(of_type("ARRIVAL"), F.lit(0)).alias("history_arrival_last_delay"),
+        when(
+            c("src").isNotNull(), F.size(F.filter("k", lambda x: (x["e_s"] > c("src")) & (x["e_s"] < c("s"))))
+        ).alias("planned_events_after_source"),
+        c("dwell").alias("planned_dwell_after_source_minutes"),
+        when(c("src").isNotNull(), F.greatest(F.lit(0.0), gap - c("dwell"))).alias("planned_running_after_source_minutes"),
+        when(c("src").isNotNull(), F.greatest(F.lit(0.0), d(0) - c("dwell"))).alias("delay_after_planned_dwell"),
+        ahead["e_st"].alias("next_scheduled_event_station"),
+        (ahead["e_ty"] == "DEPARTURE").cast("double").alias("next_scheduled_event_is_departure"),
+        minutes(ahead["e_s"], c("cut")).alias("minutes_to_next_scheduled_event"),
+        when(some, F.size("k")).alias("planned_total_events"),
+        when(some, F.size(F.array_distinct(F.transform("k", lambda x: x["e_st"])))).alias("planned_total_stations"),
+        length.alias("planned_total_duration_minutes"), last_k["e_st"].alias("planned_destination_station"),
+        F.try_divide(minutes(c("s"), first_k["e_s"]), when(length > 0, length)).alias("planned_fraction_elapsed"),
+        when(some, c("stopping_before")).alias("planned_stopping_events_before"), "enriched_latest_act", "enriched_latest_acc",
     )
 
 
@@ -91,7 +128,13 @@ def route_stations(q: DataFrame, feed: DataFrame) -> DataFrame:
     first = ahead.groupBy("d", "n", "qid", "cut", "e_st").agg(F.min(order).alias("first")).withColumn("rank", F.row_number().over(by.orderBy("first")))
     base = ["qid", "d", "n", "cut"]
     previous = rows.where("at is not null").select(*base, F.lit("previous_station").alias("context"), F.col("at")["e_st"].alias("station")).distinct()
-    following = first.where("rank <= 3").select(*base, F.explode(F.when(F.col("rank") == 1, F.array(F.lit("next_station"), F.lit("route_ahead"))).otherwise(F.array(F.lit("route_ahead")))).alias("context"), F.col("e_st").alias("station"))
+    following = first.where("rank <= 3").select(
+        *base,
+        F.explode(
+            F.when(F.col("rank") == 1, F.array(F.lit("next_station"), F.lit("route_ahead"))).otherwise(F.array(F.lit("route_ahead")))
+        ).alias("context"),
+        F.col("e_st").alias("station")
+    )
     return previous.unionByName(following)
 
 
@@ -109,13 +152,22 @@ def network(q: DataFrame, feed: DataFrame, context_feed: DataFrame | None = None
     seen, wait = [], []
     for w in windows:
         near = F.col("o_act") >= F.col("cut") - F.lit(w * 60_000_000)
-        seen += [F.count_if(near).alias(f"count_{w}"), F.avg(F.when(near, F.col("o_delay"))).alias(f"mean_{w}"), F.max(F.when(near, F.col("o_delay"))).alias(f"max_{w}"), F.max(F.when(near, F.struct("o_act", -F.col("o_s"), -F.col("o_st"), "o_delay")))["o_delay"].alias(f"last_{w}")]
+        seen += [
+            F.count_if(near).alias(f"count_{w}"), F.avg(F.when(near, F.col("o_delay"))).alias(f"mean_{w}"),
+            F.max(F.when(near, F.col("o_delay"))).alias(f"max_{w}"),
+            F.max(F.when(near, F.struct("o_act", -F.col("o_s"), -F.col("o_st"), "o_delay")))["o_delay"].alias(f"last_{w}")
+        ]
         open_ = F.col("by_act").isNull() & (F.col("o_s") >= F.col("cut") - F.lit(w * 60_000_000))
         wait += [F.count_if(open_).alias(f"pending_{w}"), F.min(F.when(open_, F.col("o_s"))).alias(f"from_{w}")]
     rows = at.select("qid", "cut", "context").distinct().join(recent.groupBy(*keys).agg(*seen), keys, "left").join(due.groupBy(*keys).agg(*wait), keys, "left")
     cols = []
     for w in windows:
-        cols += [F.coalesce(f"count_{w}", F.lit(0)).alias(f"{w}m_count"), F.col(f"mean_{w}").alias(f"{w}m_mean_delay"), F.col(f"max_{w}").alias(f"{w}m_max_delay"), F.col(f"last_{w}").alias(f"{w}m_last_delay"), F.coalesce(f"pending_{w}", F.lit(0)).alias(f"{w}m_pending_count"), F.coalesce(minutes(F.col("cut"), F.col(f"from_{w}")), F.lit(0.0)).alias(f"{w}m_oldest_pending_minutes")]
+        cols += [
+            F.coalesce(f"count_{w}", F.lit(0)).alias(f"{w}m_count"), F.col(f"mean_{w}").alias(f"{w}m_mean_delay"),
+            F.col(f"max_{w}").alias(f"{w}m_max_delay"), F.col(f"last_{w}").alias(f"{w}m_last_delay"),
+            F.coalesce(f"pending_{w}", F.lit(0)).alias(f"{w}m_pending_count"),
+            F.coalesce(minutes(F.col("cut"), F.col(f"from_{w}")), F.lit(0.0)).alias(f"{w}m_oldest_pending_minutes")
+        ]
     return rows.select("qid", "context", *cols)
 
 
@@ -134,8 +186,15 @@ def routes(feed: DataFrame, stations_in_order: bool = True) -> DataFrame:
     """
     order = F.struct("s", "st", "ty", "ord") if stations_in_order else F.struct("s", "ty", "ord", "st")
     row = F.struct(order.alias("o"), "st", "ty", "s", "act", "cat", "ord")
-    g = feed.groupBy("d", "n").agg(F.min(row).alias("a"), F.max(row).alias("z"), F.min((F.col("s").isNotNull() & F.col("acc").isNotNull()).cast("int")).alias("whole"), F.max("acc").alias("accepted"))
-    return g.select("d", "n", (F.col("whole") == 1).alias("valid"), "accepted", F.col("a")["st"].alias("origin"), F.col("a")["s"].alias("start"), F.col("z")["st"].alias("terminus"), F.col("z")["s"].alias("finish"), F.col("z")["ty"].alias("end_type"), F.col("z")["act"].alias("end_act"), F.col("z")["cat"].alias("end_cat"))
+    g = feed.groupBy("d", "n").agg(
+        F.min(row).alias("a"), F.max(row).alias("z"), F.min((F.col("s").isNotNull() & F.col("acc").isNotNull()).cast("int")).alias("whole"),
+        F.max("acc").alias("accepted")
+    )
+    return g.select(
+        "d", "n", (F.col("whole") == 1).alias("valid"), "accepted", F.col("a")["st"].alias("origin"), F.col("a")["s"].alias("start"),
+        F.col("z")["st"].alias("terminus"), F.col("z")["s"].alias("finish"), F.col("z")["ty"].alias("end_type"),
+        F.col("z")["act"].alias("end_act"), F.col("z")["cat"].alias("end_cat")
+    )
 
 
 def own_route(q: DataFrame, feed: DataFrame, stations_in_order: bool = True) -> DataFrame:

@@ -32,10 +32,17 @@ def as_of(queries: DataFrame, facts: DataFrame, keys: list[str], at: str, clock:
     history are split by time: facts are repeated in the next slice, so a slice is all that a query needs.
     """
     width = max(1, 4 * tolerance)
-    q = queries.select(*keys, F.col(at).alias("_t"), F.floor(F.col(at) / F.lit(width)).alias("_slice"), F.lit(0).alias("_side"), F.struct(*queries.columns).alias("_q"), F.lit(None).cast(facts.select(F.struct(clock, *values).alias("v")).schema["v"].dataType).alias("_v"))
+    q = queries.select(
+        *keys, F.col(at).alias("_t"), F.floor(F.col(at) / F.lit(width)).alias("_slice"), F.lit(0).alias("_side"),
+        F.struct(*queries.columns).alias("_q"),
+        F.lit(None).cast(facts.select(F.struct(clock, *values).alias("v")).schema["v"].dataType).alias("_v")
+    )
     f = facts.where(F.col(clock).isNotNull()).withColumn("_here", F.floor(F.col(clock) / F.lit(width)))
     f = f.withColumn("_slice", F.explode(F.array(F.col("_here"), F.col("_here") + 1)))
-    f = f.select(*keys, F.col(clock).alias("_t"), "_slice", F.lit(1).alias("_side"), F.lit(None).cast(q.schema["_q"].dataType).alias("_q"), F.struct(clock, *values).alias("_v"))
+    f = f.select(
+        *keys, F.col(clock).alias("_t"), "_slice", F.lit(1).alias("_side"), F.lit(None).cast(q.schema["_q"].dataType).alias("_q"),
+        F.struct(clock, *values).alias("_v")
+    )
     # At one time queries come first, so a fact at that very time is not seen.
     w = W.partitionBy(*keys, "_slice").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
     out = q.unionByName(f).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 0")

@@ -20,14 +20,29 @@ def context(q: DataFrame, feed: DataFrame, windows: tuple = WINDOWS, home: int =
     long = max(windows)
     every = F.explode(F.array(*map(F.lit, windows)).cast("array<bigint>")).alias("window")
     seen = others_seen(at, feed, long, "home").select("*", every).where(F.col("o_act") >= F.col("cut") - F.col("window") * F.lit(MINUTE))
-    due = resolved(others_due(at, feed, long, "home").where("not old"), feed, ["qid"]).select("*", every).where(F.col("o_s") >= F.col("cut") - F.col("window") * F.lit(MINUTE))
+    due = resolved(
+        others_due(at, feed, long, "home").where("not old"), feed, ["qid"]
+    ).select("*", every).where(F.col("o_s") >= F.col("cut") - F.col("window") * F.lit(MINUTE))
     keys = ["qid", "o_ty", "window"]
-    a = seen.groupBy(*keys).agg(F.count("*").alias("observed_count"), F.count("o_delay").alias("delay_count"), F.avg("o_delay").alias("mean_delay"), F.max("o_delay").alias("max_delay"), F.max(F.when(F.col("o_delay").isNotNull(), F.struct("o_act", -F.col("o_s"), -F.col("o_ord"), "o_delay")))["o_delay"].alias("last_delay"))
+    a = seen.groupBy(*keys).agg(
+        F.count("*").alias("observed_count"), F.count("o_delay").alias("delay_count"), F.avg("o_delay").alias("mean_delay"),
+        F.max("o_delay").alias("max_delay"),
+        F.max(
+            F.when(F.col("o_delay").isNotNull(), F.struct("o_act", -F.col("o_s"), -F.col("o_ord"), "o_delay"))
+        )["o_delay"].alias("last_delay")
+    )
     open_ = F.col("by_act").isNull()
-    b = due.groupBy(*keys).agg(F.count_if(open_).alias("pending_count"), F.count_if(~open_).alias("resolved_count"), F.min(F.when(open_, F.col("o_s"))).alias("from"))
+    b = due.groupBy(*keys).agg(
+        F.count_if(open_).alias("pending_count"), F.count_if(~open_).alias("resolved_count"),
+        F.min(F.when(open_, F.col("o_s"))).alias("from")
+    )
     grid = q.select("qid", "cut", F.explode(F.array(F.lit("ARRIVAL"), F.lit("DEPARTURE"))).alias("o_ty")).select("*", every)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return grid.join(a, keys, "left").join(b, keys, "left").select("qid", F.col("o_ty").alias("kind"), "window", zero("observed_count"), zero("delay_count"), "mean_delay", "max_delay", "last_delay", zero("pending_count"), zero("resolved_count"), F.coalesce(minutes(F.col("cut"), F.col("from")), F.lit(0.0)).alias("oldest_pending_minutes"))
+    return grid.join(a, keys, "left").join(b, keys, "left").select(
+        "qid", F.col("o_ty").alias("kind"), "window", zero("observed_count"), zero("delay_count"), "mean_delay", "max_delay", "last_delay",
+        zero("pending_count"), zero("resolved_count"),
+        F.coalesce(minutes(F.col("cut"), F.col("from")), F.lit(0.0)).alias("oldest_pending_minutes")
+    )
 
 
 def terminating(q: DataFrame, feed: DataFrame, home: int = HOME) -> DataFrame:
@@ -43,11 +58,20 @@ def terminating(q: DataFrame, feed: DataFrame, home: int = HOME) -> DataFrame:
 def terminating_summary(q: DataFrame, ends: DataFrame, feed: DataFrame) -> DataFrame:
     recent = F.col("old") & (F.col("o_act") >= F.col("cut") - F.lit(180 * MINUTE)) & F.col("o_delay").isNotNull()
     last = F.max(F.when(recent, F.struct("o_act", -F.col("o_s"), -F.col("o_ord"), "o_delay")))
-    a = ends.groupBy("qid").agg(F.count_if(recent).alias("recent_count"), F.avg(F.when(recent, F.col("o_delay"))).alias("recent_mean_delay"), F.max(F.when(recent, F.col("o_delay"))).alias("recent_max_delay"), last.alias("last"))
-    due = resolved(ends.where("o_s < cut and not old"), feed, ["qid"]).where("by_act is null").groupBy("qid").agg(F.count("*").alias("pending_count"), F.min("o_s").alias("from"))
+    a = ends.groupBy("qid").agg(
+        F.count_if(recent).alias("recent_count"), F.avg(F.when(recent, F.col("o_delay"))).alias("recent_mean_delay"),
+        F.max(F.when(recent, F.col("o_delay"))).alias("recent_max_delay"), last.alias("last")
+    )
+    due = resolved(ends.where("o_s < cut and not old"), feed, ["qid"]).where("by_act is null").groupBy("qid").agg(
+        F.count("*").alias("pending_count"), F.min("o_s").alias("from")
+    )
     return q.select("qid", "cut").join(a, "qid", "left").join(due, "qid", "left").select(
-        "qid", F.coalesce("recent_count", F.lit(0)).alias("terminating_recent_count"), F.col("recent_mean_delay").alias("terminating_recent_mean_delay"), F.col("recent_max_delay").alias("terminating_recent_max_delay"), F.col("last")["o_delay"].alias("terminating_last_delay"),
-        minutes(F.col("cut"), F.col("last")["o_act"]).alias("terminating_last_observation_age_minutes"), F.coalesce("pending_count", F.lit(0)).alias("terminating_pending_count"), F.coalesce(minutes(F.col("cut"), F.col("from")), F.lit(0.0)).alias("terminating_oldest_pending_minutes"),
+        "qid", F.coalesce("recent_count", F.lit(0)).alias("terminating_recent_count"),
+        F.col("recent_mean_delay").alias("terminating_recent_mean_delay"), F.col("recent_max_delay").alias("terminating_recent_max_delay"),
+        F.col("last")["o_delay"].alias("terminating_last_delay"),
+        minutes(F.col("cut"), F.col("last")["o_act"]).alias("terminating_last_observation_age_minutes"),
+        F.coalesce("pending_count", F.lit(0)).alias("terminating_pending_count"),
+        F.coalesce(minutes(F.col("cut"), F.col("from")), F.lit(0.0)).alias("terminating_oldest_pending_minutes"),
     )
 
 
@@ -56,16 +80,30 @@ def candidates(q: DataFrame, ends: DataFrame, feed: DataFrame, home: int = HOME)
     own = home_origin(q, feed, home)
     first = own.where("origin_departure = 1").select("qid")
     some = ends.join(first, "qid", "left_semi").where((F.col("o_s") >= F.col("s") - F.lit(180 * MINUTE)) & (F.col("o_s") <= F.col("s") - F.lit(20 * MINUTE)))
-    c = feed.where("act is not null and delay is not null and acc is not null").select(F.col("d").alias("o_d"), F.col("n").alias("o_n"), F.col("s").alias("c_s"), F.col("st").alias("c_st"), F.col("ord").alias("c_ord"), F.col("act").alias("c_act"), F.col("acc").alias("c_acc"), F.col("delay").alias("c_delay"))
-    known = some.select("qid", "o_ord", "o_d", "o_n", "o_s", "cut").join(c, ["o_d", "o_n"]).where("c_act < cut and c_acc < cut and c_s <= o_s").groupBy("qid", "o_ord").agg(F.max(F.struct("c_s", -F.col("c_st"), -F.col("c_ord"), "c_delay", "c_act")).alias("k"))
+    c = feed.where("act is not null and delay is not null and acc is not null").select(
+        F.col("d").alias("o_d"), F.col("n").alias("o_n"), F.col("s").alias("c_s"), F.col("st").alias("c_st"), F.col("ord").alias("c_ord"),
+        F.col("act").alias("c_act"), F.col("acc").alias("c_acc"), F.col("delay").alias("c_delay")
+    )
+    known = some.select("qid", "o_ord", "o_d", "o_n", "o_s", "cut").join(c, ["o_d", "o_n"]).where("c_act < cut and c_acc < cut and c_s <= o_s").groupBy("qid", "o_ord").agg(
+        F.max(F.struct("c_s", -F.col("c_st"), -F.col("c_ord"), "c_delay", "c_act")).alias("k")
+    )
     rows = some.join(known, ["qid", "o_ord"], "left")
     gap = minutes(F.col("s"), F.col("o_s"))
-    rows = rows.withColumn("gap", gap).withColumn("projection", F.when(F.col("k").isNotNull(), F.greatest(F.lit(0.0), F.col("k")["c_delay"] + F.lit(ALLOWANCE) - gap))).withColumn("late", F.when(F.col("old"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), minutes(F.col("cut"), F.col("o_s")))))
-    g = rows.groupBy("qid", "cut").agg(F.count("*").alias("count"), F.count_if(~F.col("old")).alias("unobserved"), F.max(F.struct("o_s", -F.col("o_ord"), "gap", "late", "projection", "k")).alias("near"), F.max("projection").alias("worst"))
+    rows = rows.withColumn("gap", gap).withColumn(
+        "projection", F.when(F.col("k").isNotNull(), F.greatest(F.lit(0.0), F.col("k")["c_delay"] + F.lit(ALLOWANCE) - gap))
+    ).withColumn("late", F.when(F.col("old"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), minutes(F.col("cut"), F.col("o_s")))))
+    g = rows.groupBy("qid", "cut").agg(
+        F.count("*").alias("count"), F.count_if(~F.col("old")).alias("unobserved"),
+        F.max(F.struct("o_s", -F.col("o_ord"), "gap", "late", "projection", "k")).alias("near"), F.max("projection").alias("worst")
+    )
     out = own.join(g, "qid", "left")
     is_first = F.col("origin_departure") == 1
     near = F.col("near")
     return out.select(
-        "qid", "origin_departure", F.when(is_first, F.coalesce("count", F.lit(0))).alias("candidate_count"), F.when(is_first, F.coalesce("unobserved", F.lit(0))).alias("candidate_unobserved_count"), near["gap"].alias("candidate_scheduled_gap_minutes"), near["late"].alias("candidate_pending_minutes"),
-        near["k"]["c_delay"].alias("candidate_last_known_delay"), minutes(F.col("cut"), near["k"]["c_act"]).alias("candidate_observation_age_minutes"), near["projection"].alias("candidate_projected_departure_delay"), F.col("worst").alias("worst_projected_departure_delay"),
+        "qid", "origin_departure", F.when(is_first, F.coalesce("count", F.lit(0))).alias("candidate_count"),
+        F.when(is_first, F.coalesce("unobserved", F.lit(0))).alias("candidate_unobserved_count"),
+        near["gap"].alias("candidate_scheduled_gap_minutes"), near["late"].alias("candidate_pending_minutes"),
+        near["k"]["c_delay"].alias("candidate_last_known_delay"),
+        minutes(F.col("cut"), near["k"]["c_act"]).alias("candidate_observation_age_minutes"),
+        near["projection"].alias("candidate_projected_departure_delay"), F.col("worst").alias("worst_projected_departure_delay"),
     )

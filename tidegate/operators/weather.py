@@ -12,15 +12,22 @@ from ..functions.clock import HOUR, MINUTE, minutes
 from .temporal import as_of
 
 # Summaries as (parameter, hours, statistic).
-ROLLING = [("t2m", 6, "mean"), ("t2m", 6, "min"), ("t2m", 6, "max"), ("t2m", 24, "min"), ("t2m", 24, "max"), ("ws_10min", 6, "max"), ("wg_10min", 6, "max"), ("r_1h", 6, "sum"), ("r_1h", 24, "sum"), ("snow_aws", 24, "change")]
+ROLLING = [
+    ("t2m", 6, "mean"), ("t2m", 6, "min"), ("t2m", 6, "max"), ("t2m", 24, "min"), ("t2m", 24, "max"), ("ws_10min", 6, "max"),
+    ("wg_10min", 6, "max"), ("r_1h", 6, "sum"), ("r_1h", 24, "sum"), ("snow_aws", 24, "change")
+]
 NOT_NEGATIVE = ["snow_aws", "r_1h", "ws_10min", "wg_10min", "vis"]
 LAG, STALE, COVERAGE = 60, 120, 0.75
 
 
 def clean(series: DataFrame, rain: str = "r_1h", not_negative: list[str] = NOT_NEGATIVE) -> DataFrame:
     """(parameter, t, value): -1 of the rain sensor is none; other negative amounts are unknown; unknown values go."""
-    v = F.when((F.col("parameter") == rain) & (F.col("value") == -1), F.lit(0.0)).when(F.col("parameter").isin(not_negative) & (F.col("value") < 0), F.lit(None)).otherwise(F.col("value").cast("double"))
-    return series.select("parameter", "t", v.alias("value")).where("value is not null and not isnan(value) and abs(value) < double('Infinity')").dropDuplicates(["parameter", "t"])
+    v = F.when((F.col("parameter") == rain) & (F.col("value") == -1), F.lit(0.0)).when(
+        F.col("parameter").isin(not_negative) & (F.col("value") < 0), F.lit(None)
+    ).otherwise(F.col("value").cast("double"))
+    return series.select("parameter", "t", v.alias("value")).where(
+        "value is not null and not isnan(value) and abs(value) < double('Infinity')"
+    ).dropDuplicates(["parameter", "t"])
 
 
 def deadlines(q: DataFrame, lag: int = LAG) -> DataFrame:
@@ -31,7 +38,10 @@ def latest(q: DataFrame, series: DataFrame, parameters: list[str], stale: int =
     """(qid, parameter, value, age_minutes): the last value strictly before the deadline, at most stale minutes old; null if none."""
     asked = deadlines(q, lag).select("qid", "deadline", F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
     out = as_of(asked, series, ["parameter"], "deadline", "t", ["value"], stale * MINUTE)
-    return out.select("qid", "parameter", "value", (minutes(F.col("deadline"), F.col("t")) + F.lit(float(lag + 30))).alias("age_minutes"), F.col("t").alias("used"))
+    return out.select(
+        "qid", "parameter", "value", (minutes(F.col("deadline"), F.col("t")) + F.lit(float(lag + 30))).alias("age_minutes"),
+        F.col("t").alias("used")
+    )
 
 
 def extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray, pick) -> np.ndarray:
@@ -56,7 +66,10 @@ def windows_of(t: np.ndarray, value: np.ndarray, at: np.ndarray, width: int) ->
     # Running sums in extended precision: differences keep a double's digits.
     sums = np.concatenate([[0], np.cumsum(value, dtype=np.longdouble)])
     total = (sums[high] - sums[low]).astype(float)
-    return {"at": some, "n": high - low, "min": extremes(value, low, high, np.minimum), "max": extremes(value, low, high, np.maximum), "sum": total, "mean": total / (high - low), "change": value[high - 1] - value[low], "used": t[high - 1]}
+    return {
+        "at": some, "n": high - low, "min": extremes(value, low, high, np.minimum), "max": extremes(value, low, high, np.maximum),
+        "sum": total, "mean": total / (high - low), "change": value[high - 1] - value[low], "used": t[high - 1]
+    }
 
 
 def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple = (6, 24), stale: int = STALE, lag: int = LAG) -> DataFrame:
@@ -70,11 +83,19 @@ def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple
     import pyarrow as pa
 
     width = 4 * max(hours) * HOUR
-    asked = deadlines(q, lag).select(F.col("qid").cast("long").alias("qid"), F.col("deadline").alias("t"), F.explode(F.array(*map(F.lit, parameters))).alias("parameter"))
-    asked = asked.select("parameter", F.floor(F.col("t") / F.lit(width)).alias("slice"), "t", "qid", F.lit(True).alias("asks"), F.lit(None).cast("double").alias("value"))
+    asked = deadlines(q, lag).select(
+        F.col("qid").cast("long").alias("qid"), F.col("deadline").alias("t"), F.explode(F.array(*map(F.lit, parameters))).alias("parameter")
+    )
+    asked = asked.select(
+        "parameter", F.floor(F.col("t") / F.lit(width)).alias("slice"), "t", "qid", F.lit(True).alias("asks"),
+        F.lit(None).cast("double").alias("value")
+    )
     here = F.floor(F.col("t") / F.lit(width))
     known = series.where(F.col("parameter").isin(parameters) & F.col("value").isNotNull())
-    known = known.select("parameter", F.explode(F.array(here, here + 1)).alias("slice"), "t", F.lit(None).cast("long").alias("qid"), F.lit(False).alias("asks"), F.col("value").cast("double").alias("value"))
+    known = known.select(
+        "parameter", F.explode(F.array(here, here + 1)).alias("slice"), "t", F.lit(None).cast("long").alias("qid"),
+        F.lit(False).alias("asks"), F.col("value").cast("double").alias("value")
+    )
 
     def summaries(key, table):
         t, asks = table["t"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
@@ -86,7 +107,10 @@ def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple
             found = windows_of(facts, value, at, h * HOUR)
             n = np.zeros(len(at), np.int64)
             n[found["at"]] = found["n"]
-            cols = {"qid": pa.array(ids), "parameter": pa.array([key[0].as_py()] * len(at), pa.string()), "hours": pa.array(np.full(len(at), h, np.int32)), "n": pa.array(n)}
+            cols = {
+                "qid": pa.array(ids), "parameter": pa.array([key[0].as_py()] * len(at), pa.string()),
+                "hours": pa.array(np.full(len(at), h, np.int32)), "n": pa.array(n)
+            }
             for name in ("mean", "min", "max", "sum", "change", "used"):
                 full = np.zeros(len(at), found[name].dtype)
                 full[found["at"]] = found[name]
@@ -103,9 +127,15 @@ def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple
 def wide(q: DataFrame, now: DataFrame, past: DataFrame, parameters: list[str], prefix: str = "fmi") -> DataFrame:
     """One row for each query: values, ages, the fixed summaries and counts, freezing rain, wind components."""
     pick = lambda p, c: F.max(F.when(F.col("parameter") == p, F.col(c)))
-    a = now.groupBy("qid").agg(*(pick(p, "value").alias(f"{prefix}_{p}") for p in parameters), *(pick(p, "age_minutes").alias(f"{prefix}_{p}_age_minutes") for p in parameters))
+    a = now.groupBy("qid").agg(
+        *(pick(p, "value").alias(f"{prefix}_{p}") for p in parameters),
+        *(pick(p, "age_minutes").alias(f"{prefix}_{p}_age_minutes") for p in parameters)
+    )
     at = lambda p, h, c: F.max(F.when((F.col("parameter") == p) & (F.col("hours") == h), F.col(c)))
-    b = past.groupBy("qid").agg(*(at(p, h, s).alias(f"{prefix}_{p}_{h}h_{s}") for p, h, s in ROLLING), *(at(p, h, "n").alias(f"{prefix}_{p}_{h}h_count") for p, h in dict.fromkeys((p, h) for p, h, _ in ROLLING)))
+    b = past.groupBy("qid").agg(
+        *(at(p, h, s).alias(f"{prefix}_{p}_{h}h_{s}") for p, h, s in ROLLING),
+        *(at(p, h, "n").alias(f"{prefix}_{p}_{h}h_count") for p, h in dict.fromkeys((p, h) for p, h, _ in ROLLING))
+    )
     out = q.select("qid").join(a, "qid", "left").join(b, "qid", "left")
     c = lambda p: F.col(f"{prefix}_{p}")
     east = -c("ws_10min") * F.sin(F.radians(c("wd_10min")))

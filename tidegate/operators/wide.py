@@ -15,11 +15,30 @@ from . import turnaround as turnaround_
 # Names of summaries, in order.
 STATION = ("observed_count", "delay_count", "mean_delay", "max_delay", "last_delay", "pending_count", "resolved_count", "oldest_pending_minutes")
 TERMINATING = ("recent_count", "recent_mean_delay", "recent_max_delay", "last_delay", "last_observation_age_minutes", "pending_count", "oldest_pending_minutes")
-CANDIDATE = ("candidate_count", "candidate_unobserved_count", "candidate_scheduled_gap_minutes", "candidate_last_known_delay", "candidate_observation_age_minutes", "candidate_pending_minutes", "candidate_projected_departure_delay", "worst_projected_departure_delay")
-ORIGIN = ("count", "unobserved_count", "reverse_count", "closest_gap_minutes", "closest_last_delay", "closest_observation_age_minutes", "closest_pending_minutes", "closest_projected_delay", "closest_pending_projection", "max_projected_delay", "max_pending_projection", "mean_last_delay", "max_last_delay")
-REVERSE = {"closest_gap_minutes": "reverse_gap_minutes", "closest_last_delay": "reverse_last_delay", "closest_projected_delay": "reverse_projected_delay", "closest_observation_age_minutes": "reverse_observation_age_minutes", "closest_pending_minutes": "reverse_pending_minutes", "closest_terminal_completion_age_minutes": "reverse_end_age_minutes", "closest_terminal_to_planned_departure_minutes": "reverse_end_to_start_minutes"}
-READY_OWN = ("count", "last_delay_minutes", "max_delay_minutes", "mean_delay_minutes", "last_age_minutes", "last_to_actual_minutes", "mean_to_actual_minutes", "max_to_actual_minutes")
-READY_ORIGIN = ("count", "mean_delay_minutes", "max_delay_minutes", "closest_delay_minutes", "closest_age_minutes", "closest_to_actual_minutes", "mean_to_actual_minutes", "max_to_actual_minutes")
+CANDIDATE = (
+    "candidate_count", "candidate_unobserved_count", "candidate_scheduled_gap_minutes", "candidate_last_known_delay",
+    "candidate_observation_age_minutes", "candidate_pending_minutes", "candidate_projected_departure_delay",
+    "worst_projected_departure_delay"
+)
+ORIGIN = (
+    "count", "unobserved_count", "reverse_count", "closest_gap_minutes", "closest_last_delay", "closest_observation_age_minutes",
+    "closest_pending_minutes", "closest_projected_delay", "closest_pending_projection", "max_projected_delay", "max_pending_projection",
+    "mean_last_delay", "max_last_delay"
+)
+REVERSE = {
+    "closest_gap_minutes": "reverse_gap_minutes", "closest_last_delay": "reverse_last_delay",
+    "closest_projected_delay": "reverse_projected_delay", "closest_observation_age_minutes": "reverse_observation_age_minutes",
+    "closest_pending_minutes": "reverse_pending_minutes", "closest_terminal_completion_age_minutes": "reverse_end_age_minutes",
+    "closest_terminal_to_planned_departure_minutes": "reverse_end_to_start_minutes"
+}
+READY_OWN = (
+    "count", "last_delay_minutes", "max_delay_minutes", "mean_delay_minutes", "last_age_minutes", "last_to_actual_minutes",
+    "mean_to_actual_minutes", "max_to_actual_minutes"
+)
+READY_ORIGIN = (
+    "count", "mean_delay_minutes", "max_delay_minutes", "closest_delay_minutes", "closest_age_minutes", "closest_to_actual_minutes",
+    "mean_to_actual_minutes", "max_to_actual_minutes"
+)
 
 
 def turnaround_columns(prefix: str = "home", windows: tuple = turnaround_.WINDOWS) -> list[str]:
@@ -45,11 +64,17 @@ def flat(q: DataFrame, long: DataFrame, names: dict[str, tuple]) -> DataFrame:
 def turnaround(q: DataFrame, feed: DataFrame, prefix: str = "home", windows: tuple = turnaround_.WINDOWS) -> DataFrame:
     """One row for each query, its columns those of turnaround_columns()."""
     rows = turnaround_.context(q, feed, windows)
-    names = {f"{prefix}_context_{kind.lower()}_{w}m_{x}": ((F.col("kind") == kind) & (F.col("window") == w), x) for kind in ("ARRIVAL", "DEPARTURE") for w in windows for x in STATION}
+    names = {
+        f"{prefix}_context_{kind.lower()}_{w}m_{x}": (
+            (F.col("kind") == kind) & (F.col("window") == w), x
+        ) for kind in ("ARRIVAL", "DEPARTURE") for w in windows for x in STATION
+    }
     ends = turnaround_.terminating(q, feed)
     some = turnaround_.candidates(q, ends, feed)
     out = flat(q, rows, names).join(turnaround_.terminating_summary(q, ends, feed), "qid").join(some, "qid")
-    renamed = {f"{prefix}_origin_departure": "origin_departure"} | {f"{prefix}_terminating_{x}": f"terminating_{x}" for x in TERMINATING} | {f"turnaround_{x}": x for x in CANDIDATE}
+    renamed = {f"{prefix}_origin_departure": "origin_departure"} | {
+        f"{prefix}_terminating_{x}": f"terminating_{x}" for x in TERMINATING
+    } | {f"turnaround_{x}": x for x in CANDIDATE}
     return out.select("qid", *(F.col(renamed.get(c, c)).alias(c) for c in turnaround_columns(prefix, windows)))
 
 

@@ -28,10 +28,14 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("_s", micros(e, "ts"))
     s = F.col("_s")
     return e.select(
-        F.to_date("ts").alias("d"), n.alias("n"), chosen("event_type", STATIONS).alias("st"), F.when(i % 2 == 0, "ARRIVAL").otherwise("DEPARTURE").alias("ty"), s.alias("s"),
-        (s - F.lit(30 * MINUTE) * k).alias("acc"), F.when(k % 10 != 0, s + m * F.lit(MINUTE)).alias("act"), F.when(i % 17 != 0, m.cast("double")).alias("delay"), i.alias("ord"),
+        F.to_date("ts").alias("d"), n.alias("n"), chosen("event_type", STATIONS).alias("st"),
+        F.when(i % 2 == 0, "ARRIVAL").otherwise("DEPARTURE").alias("ty"), s.alias("s"),
+        (s - F.lit(30 * MINUTE) * k).alias("acc"), F.when(k % 10 != 0, s + m * F.lit(MINUTE)).alias("act"),
+        F.when(i % 17 != 0, m.cast("double")).alias("delay"), i.alias("ord"),
         F.when(n % 3 != 0, "Long-distance").otherwise("Freight").alias("cat"), (i % 5 != 0).alias("stopping"), (i % 7 != 0).alias("commercial"),
-        F.get(F.array(*map(F.lit, ("IC", "S", "P", "MV"))), (n % 4).cast("int")).alias("train_type"), F.when(k % 7 == 0, "ADHOC").otherwise("REGULAR").alias("table_type"), F.when(i % 3 == 0, s + (k - 60) * F.lit(MINUTE)).alias("ready"),
+        F.get(F.array(*map(F.lit, ("IC", "S", "P", "MV"))), (n % 4).cast("int")).alias("train_type"),
+        F.when(k % 7 == 0, "ADHOC").otherwise("REGULAR").alias("table_type"),
+        F.when(i % 3 == 0, s + (k - 60) * F.lit(MINUTE)).alias("ready"),
     )
 
 
@@ -43,7 +47,9 @@ def queries_at_home(f: DataFrame) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    v = F.when(F.col("event_type") == "view", F.col("value") - 10).when((F.col("event_type") == "purchase") & (F.col("event_id") % 11 == 0), -1.0).when((F.col("event_type") == "error") & (F.col("event_id") % 13 == 0), -5.0).otherwise(F.col("value"))
+    v = F.when(F.col("event_type") == "view", F.col("value") - 10).when(
+        (F.col("event_type") == "purchase") & (F.col("event_id") % 11 == 0), -1.0
+    ).when((F.col("event_type") == "error") & (F.col("event_id") % 13 == 0), -5.0).otherwise(F.col("value"))
     return e.select(chosen("event_type", SENSORS).alias("parameter"), micros(e, "ts").alias("t"), v.alias("value"))
 
 
@@ -52,8 +58,11 @@ def study_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
     q, p, d, t = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     return l.select(
-        "l_orderkey", "l_linenumber", micros(l, "l_shipdate").alias("us"), (q - 25).alias("Air temperature"), (d * 100).alias("Precipitation amount"), (t * 60).alias("Precipitation intensity"), (p % 20).alias("Wind speed"), (p % 27).alias("Gust speed"),
-        (q + 50).alias("Relative humidity"), (q - 25 + d * 30 - 1).alias("Dew-point temperature"), F.when(F.col("l_linenumber") % 3 != 0, t * 10).alias("Snow depth"), (p % 2000).alias("Horizontal visibility"),
+        "l_orderkey", "l_linenumber", micros(l, "l_shipdate").alias("us"), (q - 25).alias("Air temperature"),
+        (d * 100).alias("Precipitation amount"), (t * 60).alias("Precipitation intensity"), (p % 20).alias("Wind speed"),
+        (p % 27).alias("Gust speed"),
+        (q + 50).alias("Relative humidity"), (q - 25 + d * 30 - 1).alias("Dew-point temperature"),
+        F.when(F.col("l_linenumber") % 3 != 0, t * 10).alias("Snow depth"), (p % 2000).alias("Horizontal visibility"),
         F.col("l_suppkey").alias("trainNumber"), (F.col("l_returnflag") == "N").alias("trainStopping"),
     )
 
@@ -63,4 +72,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     o = o.withColumn("t", micros(o, "o_orderdate"))
     y = F.col("o_totalprice") % 97 - 40
-    return o.select("o_orderkey", "t", y.alias("y"), (y * 0.8 + F.col("o_custkey") % 7 - 3).alias("p"), (y * 0.6 + F.col("o_custkey") % 11 - 4).alias("b"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_custkey")
+    return o.select(
+        "o_orderkey", "t", y.alias("y"), (y * 0.8 + F.col("o_custkey") % 7 - 3).alias("p"),
+        (y * 0.6 + F.col("o_custkey") % 11 - 4).alias("b"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"), "o_custkey"
+    )

@@ -28,7 +28,9 @@ def expanding(df: DataFrame, n: int, k: int, time: str = "t") -> DataFrame:
         raise ValueError("too few rows for the folds")
     edges = [n - (k - i) * size for i in range(k)]
     # The boundaries are k rows; each moves to where its equal times begin.
-    moved = df.where(F.col("row_id").isin(edges)).select(time).distinct().join(df.select(time, "row_id"), time).groupBy(time).agg(F.min("row_id").alias("first"))
+    moved = df.where(F.col("row_id").isin(edges)).select(time).distinct().join(
+        df.select(time, "row_id"), time
+    ).groupBy(time).agg(F.min("row_id").alias("first"))
     firsts = dict(df.where(F.col("row_id").isin(edges)).join(moved, time).select("row_id", "first").collect())
     fold = F.lit(-1)
     for i, edge in enumerate(edges):
@@ -47,7 +49,10 @@ def purged(df: DataFrame, folds: DataFrame, label_time: str = "act", cut: str =
 
 
 def describe(df: DataFrame, by: list[str], time: str, label: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.avg(label).alias("target_mean"), F.stddev_pop(label).alias("target_std"), F.avg(F.abs(label)).alias("mean_absolute_target"))
+    return df.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.avg(label).alias("target_mean"),
+        F.stddev_pop(label).alias("target_std"), F.avg(F.abs(label)).alias("mean_absolute_target")
+    )
 
 
 def shared_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,15 +70,25 @@ def robust_scale(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFra
     """Median and quartiles of the training rows only; a column without spread keeps its scale."""
     q = train.agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(c) for c in columns)).first()
     scaled = lambda c, low, mid, high: ((F.col(c) - F.lit(mid)) / F.lit(high - low if high > low else 1.0)).alias(c)
-    return df.select(*(c for c in df.columns if c not in columns), *(scaled(c, *(q[c] or (None, None, None))) if q[c] else F.lit(None).cast("double").alias(c) for c in columns))
+    return df.select(
+        *(c for c in df.columns if c not in columns),
+        *(scaled(c, *(q[c] or (None, None, None))) if q[c] else F.lit(None).cast("double").alias(c) for c in columns)
+    )
 
 
 def metrics(df: DataFrame, by: list[str] = [], y: str = "y", p: str = "p") -> DataFrame:
     """r2, rmse, mae, wmape and its signed form in one pass; null where a denominator is 0."""
     e = F.col(y) - F.col(p)
-    g = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(e * e).alias("_e2"), F.sum(F.abs(e)).alias("_e1"), F.sum(F.abs(y)).alias("_y1"), F.sum(y).alias("_y"), F.var_pop(y).alias("_v"))
+    g = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(e * e).alias("_e2"), F.sum(F.abs(e)).alias("_e1"), F.sum(F.abs(y)).alias("_y1"),
+        F.sum(y).alias("_y"), F.var_pop(y).alias("_v")
+    )
     div = lambda a, b: F.try_divide(a, F.nullif(b, F.lit(0.0)))
-    return g.select(*by, "n", (1 - div(F.col("_e2"), F.col("_v") * F.col("n"))).alias("r2"), F.sqrt(F.col("_e2") / F.col("n")).alias("rmse"), (F.col("_e1") / F.col("n")).alias("mae"), (100 * div(F.col("_e1"), F.col("_y1"))).alias("wmape"), (100 * div(F.col("_e1"), F.col("_y"))).alias("wmape_signed"))
+    return g.select(
+        *by, "n", (1 - div(F.col("_e2"), F.col("_v") * F.col("n"))).alias("r2"), F.sqrt(F.col("_e2") / F.col("n")).alias("rmse"),
+        (F.col("_e1") / F.col("n")).alias("mae"), (100 * div(F.col("_e1"), F.col("_y1"))).alias("wmape"),
+        (100 * div(F.col("_e1"), F.col("_y"))).alias("wmape_signed")
+    )
 
 
 def mean_fold_rmse(df: DataFrame, fold: str = "fold", y: str = "y", p: str = "p") -> DataFrame:
@@ -100,15 +115,23 @@ def paired_bootstrap(df: DataFrame, weights: DataFrame, day: str = "day", y: str
     Rows are summed by day first; weights (rep, day, w) then join the days' sums, so only replicates times days rows meet.
     """
     err = lambda c: F.col(c) - F.col(y)
-    d = df.groupBy(day).agg(F.count("*").alias("n"), *(F.sum(F.abs(err(c))).alias(f"{c}1") for c in (a, b)), *(F.sum(err(c) * err(c)).alias(f"{c}2") for c in (a, b)))
+    d = df.groupBy(day).agg(
+        F.count("*").alias("n"), *(F.sum(F.abs(err(c))).alias(f"{c}1") for c in (a, b)),
+        *(F.sum(err(c) * err(c)).alias(f"{c}2") for c in (a, b))
+    )
     sums = lambda w: [F.sum(F.col(c) * w).alias(c) for c in ("n", f"{a}1", f"{b}1", f"{a}2", f"{b}2")]
-    delta = [(F.col(f"{a}1") / F.col("n") - F.col(f"{b}1") / F.col("n")).alias("mae"), (F.sqrt(F.col(f"{a}2") / F.col("n")) - F.sqrt(F.col(f"{b}2") / F.col("n"))).alias("rmse")]
+    delta = [
+        (F.col(f"{a}1") / F.col("n") - F.col(f"{b}1") / F.col("n")).alias("mae"),
+        (F.sqrt(F.col(f"{a}2") / F.col("n")) - F.sqrt(F.col(f"{b}2") / F.col("n"))).alias("rmse")
+    ]
     reps = d.join(weights, day).groupBy("rep").agg(*sums(F.col("w"))).select(*delta)
     seen = d.agg(*sums(F.lit(1))).select(*delta)
     out = None
     for m in ("mae", "rmse"):
         q = reps.agg(F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("reps"))
-        row = seen.select(F.lit(m).alias("metric"), F.col(m).alias("difference")).join(q).select("metric", "difference", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "reps")
+        row = seen.select(F.lit(m).alias("metric"), F.col(m).alias("difference")).join(q).select(
+            "metric", "difference", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "reps"
+        )
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -119,7 +142,10 @@ def largest_errors(df: DataFrame, k: int = 20, y: str = "y", p: str = "p", tie:
 
 def input_ages(df: DataFrame, prediction: str, stamps: list[str]) -> DataFrame:
     """The least minutes between prediction and each input clock, and rows without one."""
-    return df.agg(*(F.min((F.col(prediction) - F.col(s)) / F.lit(6e7)).alias(f"{s}_least_age") for s in stamps), *(F.count_if(F.col(s).isNull()).alias(f"{s}_missing") for s in stamps))
+    return df.agg(
+        *(F.min((F.col(prediction) - F.col(s)) / F.lit(6e7)).alias(f"{s}_least_age") for s in stamps),
+        *(F.count_if(F.col(s).isNull()).alias(f"{s}_missing") for s in stamps)
+    )
 
 
 def audit_summary(df: DataFrame, columns: list[str]) -> DataFrame:

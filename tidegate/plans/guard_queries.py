@@ -74,15 +74,25 @@ def weather_provenance(spark, sf_dir):
     return provenance.weather(weather.latest(q, series, PARAMETERS), weather.rolling(q, series, PARAMETERS))
 
 
-def pivoted(source: str, keys: list[str], names: dict[str, tuple[str, str]], base: str = "SELECT event_id AS qid FROM events WHERE event_type = 'purchase'") -> str:
+def pivoted(
+    source: str, keys: list[str], names: dict[str, tuple[str, str]],
+    base: str = "SELECT event_id AS qid FROM events WHERE event_type = 'purchase'"
+) -> str:
     cells = ", ".join(f'max({column}) FILTER ({condition}) AS "{name}"' for name, (condition, column) in names.items())
     return f"SELECT b.qid, {cells} FROM ({base}) b LEFT JOIN ({source}) x ON b.qid = x.qid GROUP BY b.qid"
 
 
-STATION = {f"home_context_{k.lower()}_{w}m_{x}": (f"kind = '{k}' AND \"window\" = {w}", x) for k in ("ARRIVAL", "DEPARTURE") for w in (60, 180) for x in wide.STATION}
+STATION = {
+    f"home_context_{k.lower()}_{w}m_{x}": (
+        f"kind = '{k}' AND \"window\" = {w}", x
+    ) for k in ("ARRIVAL", "DEPARTURE") for w in (60, 180) for x in wide.STATION
+}
 
 
-@query("turnaround_wide", f"SELECT a.*, c.origin_departure AS home_origin_departure, {', '.join(f'b.terminating_{x} AS home_terminating_{x}' for x in wide.TERMINATING)}, {', '.join(f'c.{x} AS turnaround_{x}' for x in wide.CANDIDATE)} FROM ({pivoted(SQL['turnaround_context'], ['kind', 'window'], STATION)}) a JOIN ({SQL['turnaround_terminating']}) b ON a.qid = b.qid JOIN ({SQL['turnaround_candidate']}) c ON a.qid = c.qid")
+@query(
+    "turnaround_wide",
+    f"SELECT a.*, c.origin_departure AS home_origin_departure, {', '.join(f'b.terminating_{x} AS home_terminating_{x}' for x in wide.TERMINATING)}, {', '.join(f'c.{x} AS turnaround_{x}' for x in wide.CANDIDATE)} FROM ({pivoted(SQL['turnaround_context'], ['kind', 'window'], STATION)}) a JOIN ({SQL['turnaround_terminating']}) b ON a.qid = b.qid JOIN ({SQL['turnaround_candidate']}) c ON a.qid = c.qid"
+)
 def turnaround_wide(spark, sf_dir):
     return tidy(wide.turnaround(*home(spark, sf_dir)))
 
@@ -91,7 +101,10 @@ ORIGIN = {f"origin_context_{w}m_{x}": (f'"window" = {w}', f'"{x}"') for w in (18
 REVERSE = {f"origin_reverse_{w}m_{x}": (f'"window" = {w}', column) for w in (180, 720) for x, column in wide.REVERSE.items()}
 
 
-@query("origin_wide", f"SELECT a.*, c.* EXCLUDE (qid), CASE WHEN a.origin_context_elapsed_minutes IS NOT NULL THEN 1.0 END AS origin_context_route_known FROM ({pivoted(SQL['origin_context'], ['window'], {'origin_context_elapsed_minutes': ('true', 'elapsed_minutes')} | ORIGIN)}) a JOIN ({pivoted(SQL['origin_reverse'], ['window'], REVERSE)}) c ON a.qid = c.qid")
+@query(
+    "origin_wide",
+    f"SELECT a.*, c.* EXCLUDE (qid), CASE WHEN a.origin_context_elapsed_minutes IS NOT NULL THEN 1.0 END AS origin_context_route_known FROM ({pivoted(SQL['origin_context'], ['window'], {'origin_context_elapsed_minutes': ('true', 'elapsed_minutes')} | ORIGIN)}) a JOIN ({pivoted(SQL['origin_reverse'], ['window'], REVERSE)}) c ON a.qid = c.qid"
+)
 def origin_wide(spark, sf_dir):
     return tidy(wide.origin(*home(spark, sf_dir)))
 
@@ -99,12 +112,18 @@ def origin_wide(spark, sf_dir):
 READINESS = {f"ready_origin_{w}m_{x}": (f'"window" = {w}', f'"{x}"') for w in (180, 720) for x in wide.READY_ORIGIN}
 
 
-@query("readiness_wide", f"SELECT a.*, b.* EXCLUDE (qid) FROM ({SQL['readiness_own']}) a JOIN ({pivoted(SQL['readiness_summary'], ['window'], READINESS)}) b ON a.qid = b.qid")
+@query(
+    "readiness_wide",
+    f"SELECT a.*, b.* EXCLUDE (qid) FROM ({SQL['readiness_own']}) a JOIN ({pivoted(SQL['readiness_summary'], ['window'], READINESS)}) b ON a.qid = b.qid"
+)
 def readiness_wide(spark, sf_dir):
     return tidy(wide.readiness(*home(spark, sf_dir)))
 
 
-@query("deployment_guard", BASE + "x AS (SELECT s, cut + (qid % 3) * 600000000 AS cut FROM q) SELECT count(*) FILTER (s - cut < 1800000000) AS young, count(*) FILTER (s < 1704153600000000) AS early FROM x")
+@query(
+    "deployment_guard",
+    BASE + "x AS (SELECT s, cut + (qid % 3) * 600000000 AS cut FROM q) SELECT count(*) FILTER (s - cut < 1800000000) AS young, count(*) FILTER (s < 1704153600000000) AS early FROM x"
+)
 def deployment_guard(spark, sf_dir):
     q, _ = home(spark, sf_dir)
     return policy.deployable(q.withColumn("cut", F.col("cut") + F.col("qid") % 3 * F.lit(10 * MINUTE)), "s", "cut", 1704153600_000000)
@@ -118,39 +137,71 @@ def query_invariants(spark, sf_dir):
     q, f = home(spark, sf_dir)
     k = F.col("qid")
     rows = q.join(f.select(F.col("ord").alias("qid"), F.col("act").alias("source_act"), "acc", "stopping"), "qid").select(
-        F.floor(k / 2).alias("row_id"), F.col("s").alias("prediction"), "s", (F.col("cut") + F.floor(k % 5 / 4) * F.lit(MINUTE)).alias("cut"), F.col("cut").alias("prediction_cut"), "source_act", (k % 3).alias("history_count"), (F.col("acc") < F.col("cut")).alias("known"), "stopping", F.col("n").alias("query_n"), F.when(k % 11 == 0, 0).otherwise(F.col("n")).alias("source_n")
+        F.floor(k / 2).alias("row_id"), F.col("s").alias("prediction"), "s",
+        (F.col("cut") + F.floor(k % 5 / 4) * F.lit(MINUTE)).alias("cut"), F.col("cut").alias("prediction_cut"), "source_act",
+        (k % 3).alias("history_count"), (F.col("acc") < F.col("cut")).alias("known"), "stopping", F.col("n").alias("query_n"),
+        F.when(k % 11 == 0, 0).otherwise(F.col("n")).alias("source_n")
     )
     rules = policy.Invariants(rows=4000, clocks=("source_act",), sources=("source_act",), masked=("stopping",), same_run=(("source_n", "query_n"),))
     return rules.violations(rows)
 
 
-@query("chronological_order", "WITH x AS (SELECT o_orderkey, epoch_us(o_orderdate) AS t, max(epoch_us(o_orderdate)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders) SELECT count(*) FILTER (t < m) AS rows FROM x")
+@query(
+    "chronological_order",
+    "WITH x AS (SELECT o_orderkey, epoch_us(o_orderdate) AS t, max(epoch_us(o_orderdate)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders) SELECT count(*) FILTER (t < m) AS rows FROM x"
+)
 def chronological_order(spark, sf_dir):
     return policy.unordered(adapter.predictions(spark, sf_dir), "o_orderkey", "t")
 
 
-@query("policy_replay", SQL["blend_policy"].replace("SELECT o_orderkey, round(raw", ", res AS (SELECT o_orderkey, round(raw", 1) + ") SELECT o_orderkey, final + 1 AS saved, final FROM res WHERE o_orderkey % 50 = 1")
+@query(
+    "policy_replay",
+    SQL["blend_policy"].replace(
+        "SELECT o_orderkey, round(raw", ", res AS (SELECT o_orderkey, round(raw", 1
+    ) + ") SELECT o_orderkey, final + 1 AS saved, final FROM res WHERE o_orderkey % 50 = 1"
+)
 def policy_replay(spark, sf_dir):
-    rules = policy.policy_of({"arrival": {"p": 0.6, "b": 0.4}, "departure": {"p": 0.25, "b": 0.75}, "auxiliary": "b", "auxiliary_weight": 0.3, "bias": 1.5, "early_scale": 0.9, "tail": 20.0, "tail_scale": 1.2, "rule": {"cap": 10.0, "threshold": 240.0, "multiplier": 1.5}})
+    rules = policy.policy_of(
+        {
+            "arrival": {"p": 0.6, "b": 0.4}, "departure": {"p": 0.25, "b": 0.75}, "auxiliary": "b", "auxiliary_weight": 0.3, "bias": 1.5,
+            "early_scale": 0.9, "tail": 20.0, "tail_scale": 1.2, "rule": {"cap": 10.0, "threshold": 240.0, "multiplier": 1.5}
+        }
+    )
     rows = controls(spark, sf_dir)
     saved = rules.apply(rows).select("o_orderkey", (F.col("final") + (F.col("o_orderkey") % 50 == 1).cast("double")).alias("saved"))
     return tidy(policy.replayed(rows.join(saved, "o_orderkey"), rules, key="o_orderkey"))
 
 
-@query("keep_last_report", "SELECT l_partkey, l_suppkey, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1")
+@query(
+    "keep_last_report",
+    "SELECT l_partkey, l_suppkey, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1"
+)
 def keep_last_report(spark, sf_dir):
-    rows = adapter.read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ord"), "l_quantity")
+    rows = adapter.read(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ord"), "l_quantity"
+    )
     return tidy(fd.one_of(rows, ["l_partkey", "l_suppkey"], "last"))
 
 
-@query("plan_and_reports", BASE + "r AS (SELECT ord, CASE WHEN ord % 9 = 0 THEN delay + 1 ELSE delay END AS delay, CASE WHEN ord % 9 = 0 THEN act + 60000000 ELSE act END AS act FROM f) SELECT f.ord, CAST(f.d AS VARCHAR) AS d, f.n, CAST(f.st AS BIGINT) AS st, f.ty, f.s, f.acc, r.act, r.delay FROM f LEFT JOIN r ON f.ord = r.ord AND r.act IS NOT NULL")
+@query(
+    "plan_and_reports",
+    BASE + "r AS (SELECT ord, CASE WHEN ord % 9 = 0 THEN delay + 1 ELSE delay END AS delay, CASE WHEN ord % 9 = 0 THEN act + 60000000 ELSE act END AS act FROM f) SELECT f.ord, CAST(f.d AS VARCHAR) AS d, f.n, CAST(f.st AS BIGINT) AS st, f.ty, f.s, f.acc, r.act, r.delay FROM f LEFT JOIN r ON f.ord = r.ord AND r.act IS NOT NULL"
+)
 def plan_and_reports(spark, sf_dir):
     """A timetable and its reports under archive names; a corrected report comes later and counts."""
     _, f = home(spark, sf_dir)
-    names = [F.col("d").alias("departureDate"), F.col("n").alias("trainNumber"), F.col("st").alias("stationUICCode"), F.col("ty").alias("type"), F.timestamp_micros("s").alias("scheduledTime")]
+    names = [
+        F.col("d").alias("departureDate"), F.col("n").alias("trainNumber"), F.col("st").alias("stationUICCode"), F.col("ty").alias("type"),
+        F.timestamp_micros("s").alias("scheduledTime")
+    ]
     plan = fd.plan_of(f.select(*names, F.timestamp_micros("acc").alias("timetableAcceptanceDate"), F.col("ord").alias("o")), "o")
-    first = f.where("act is not null").select(*names, F.timestamp_micros("act").alias("actualTime"), F.col("delay").alias("differenceInMinutes"), F.col("ord").alias("o"))
-    more = f.where("act is not null and ord % 9 = 0").select(*names, F.timestamp_micros(F.col("act") + F.lit(MINUTE)).alias("actualTime"), (F.col("delay") + 1).alias("differenceInMinutes"), (F.col("ord") + F.lit(1 << 40)).alias("o"))
+    first = f.where("act is not null").select(
+        *names, F.timestamp_micros("act").alias("actualTime"), F.col("delay").alias("differenceInMinutes"), F.col("ord").alias("o")
+    )
+    more = f.where("act is not null and ord % 9 = 0").select(
+        *names, F.timestamp_micros(F.col("act") + F.lit(MINUTE)).alias("actualTime"), (F.col("delay") + 1).alias("differenceInMinutes"),
+        (F.col("ord") + F.lit(1 << 40)).alias("o")
+    )
     out = fd.feed_of(plan, fd.reports_of(first.unionByName(more), "o"))
     return tidy(out.select("ord", F.col("d").cast("string").alias("d"), "n", "st", "ty", "s", "acc", "act", "delay"))
 
@@ -158,7 +209,12 @@ def plan_and_reports(spark, sf_dir):
 @query("aligned_columns", PRED + "SELECT p.o_orderkey, p.y, CASE WHEN p.o_orderkey % 3 <> 0 THEN p.b END AS extra FROM p")
 def aligned_columns(spark, sf_dir):
     rows = adapter.predictions(spark, sf_dir)
-    return tidy(wide.aligned(rows.select("o_orderkey", "y"), rows.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("b").alias("extra")), "o_orderkey", ["extra"]))
+    return tidy(
+        wide.aligned(
+            rows.select("o_orderkey", "y"), rows.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("b").alias("extra")), "o_orderkey",
+            ["extra"]
+        )
+    )
 
 
 @query("shuffled_folds")
@@ -178,17 +234,27 @@ def messages(spark, sf_dir):
     """Events as a stream of files, in the engine's terms."""
     events = adapter.read(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.select(F.to_date("ts").alias("d"), (F.col("user_id") % 25).alias("n"), adapter.chosen("event_type", adapter.STATIONS).alias("st"), F.col("ts").cast("timestamp").alias("known_at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), F.col("value").alias("delay"), (F.col("event_id") % 4 == 0).alias("done"), F.col("event_id"))
+    return stream.select(
+        F.to_date("ts").alias("d"), (F.col("user_id") % 25).alias("n"), adapter.chosen("event_type", adapter.STATIONS).alias("st"),
+        F.col("ts").cast("timestamp").alias("known_at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"),
+        F.col("value").alias("delay"), (F.col("event_id") % 4 == 0).alias("done"), F.col("event_id")
+    )
 
 
-@query("stream_station_windows", "WITH e AS (SELECT CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 200 WHEN 'signup' THEN 300 WHEN 'purchase' THEN 370 WHEN 'error' THEN 400 END AS st, epoch_us(ts) AS t, value FROM events), w AS (SELECT st, value, (t // 1800000000 - i) * 1800000000 AS start FROM e, range(6) r(i)) SELECT CAST(st AS BIGINT) AS st, start AS start_us, count(value) AS n, round(avg(value), 6) AS mean_delay, max(value) AS max_delay FROM w GROUP BY ALL")
+@query(
+    "stream_station_windows",
+    "WITH e AS (SELECT CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 200 WHEN 'signup' THEN 300 WHEN 'purchase' THEN 370 WHEN 'error' THEN 400 END AS st, epoch_us(ts) AS t, value FROM events), w AS (SELECT st, value, (t // 1800000000 - i) * 1800000000 AS start FROM e, range(6) r(i)) SELECT CAST(st AS BIGINT) AS st, start AS start_us, count(value) AS n, round(avg(value), 6) AS mean_delay, max(value) AS max_delay FROM w GROUP BY ALL"
+)
 def stream_station_windows(spark, sf_dir):
     """The sliding context as a stream, run to its end."""
     out = streams.run_to_end(streams.station_windows(messages(spark, sf_dir)), f"station_windows_{abs(hash(sf_dir))}", "complete")
     return tidy(out.select("st", F.unix_micros("window.start").alias("start_us"), "n", "mean_delay", "max_delay"), 6)
 
 
-@query("stream_pending", "WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id % 25 AS n, epoch_us(ts) AS s, event_id % 4 = 0 AS done FROM events), m AS (SELECT d, n, max(s) FILTER (done) AS done_until FROM e GROUP BY ALL) SELECT CAST(m.d AS VARCHAR) AS d, m.n, count(DISTINCT e.s) AS pending_count, min(e.s) AS oldest_scheduled, any_value(m.done_until) AS done_until FROM m LEFT JOIN e ON e.d = m.d AND e.n = m.n AND NOT e.done AND (m.done_until IS NULL OR e.s > m.done_until) GROUP BY m.d, m.n")
+@query(
+    "stream_pending",
+    "WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id % 25 AS n, epoch_us(ts) AS s, event_id % 4 = 0 AS done FROM events), m AS (SELECT d, n, max(s) FILTER (done) AS done_until FROM e GROUP BY ALL) SELECT CAST(m.d AS VARCHAR) AS d, m.n, count(DISTINCT e.s) AS pending_count, min(e.s) AS oldest_scheduled, any_value(m.done_until) AS done_until FROM m LEFT JOIN e ON e.d = m.d AND e.n = m.n AND NOT e.done AND (m.done_until IS NULL OR e.s > m.done_until) GROUP BY m.d, m.n"
+)
 def stream_pending(spark, sf_dir):
     """Pending events as keyed state, after the last message of each run."""
     out = streams.run_to_end(streams.pending(messages(spark, sf_dir).select("d", "n", "s", "done")), f"pending_{abs(hash(sf_dir))}", "update")
@@ -199,7 +265,9 @@ def stream_pending(spark, sf_dir):
 def stream_once(spark, sf_dir):
     """A stream that repeats itself, without its repeats."""
     rows = messages(spark, sf_dir)
-    return streams.run_to_end(streams.once(rows.unionByName(rows), ["n", "st", "known_at"], "400 days"), f"once_{abs(hash(sf_dir))}").agg(F.count("*").alias("events"))
+    return streams.run_to_end(
+        streams.once(rows.unionByName(rows), ["n", "st", "known_at"], "400 days"), f"once_{abs(hash(sf_dir))}"
+    ).agg(F.count("*").alias("events"))
 
 
 @query("boosted_scores")

@@ -85,7 +85,13 @@ class Ridge:
     def save(self, path: str) -> None:
         p = self.preparation
         with open(path, "w", encoding="utf-8") as f:
-            json.dump({"family": "ridge", "numeric": p.numeric, "categorical": p.categorical, "stats": p.stats, "levels": p.levels, "alpha": self.alpha, "coefficients": self.coefficients}, f)
+            json.dump(
+                {
+                    "family": "ridge", "numeric": p.numeric, "categorical": p.categorical, "stats": p.stats, "levels": p.levels,
+                    "alpha": self.alpha, "coefficients": self.coefficients
+                },
+                f
+            )
 
     @classmethod
     def load(cls, path: str) -> Ridge:
@@ -153,7 +159,13 @@ class Network:
     def save(self, path: str) -> None:
         p = self.preparation
         with open(path, "w", encoding="utf-8") as f:
-            json.dump({"family": "network", "numeric": p.numeric, "categorical": p.categorical, "stats": p.stats, "levels": p.levels, "hidden": self.hidden, "weights": self.weights}, f)
+            json.dump(
+                {
+                    "family": "network", "numeric": p.numeric, "categorical": p.categorical, "stats": p.stats, "levels": p.levels,
+                    "hidden": self.hidden, "weights": self.weights
+                },
+                f
+            )
 
     @classmethod
     def load(cls, path: str) -> Network:

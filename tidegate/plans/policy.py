@@ -22,7 +22,9 @@ class Rule:
     def __post_init__(self):
         if self.cap is not None and not math.isfinite(self.cap):
             raise ValueError("the cap must be finite or none")
-        if self.threshold is not None and not (math.isfinite(self.threshold) and self.threshold >= 0 and self.multiplier is not None and math.isfinite(self.multiplier) and self.multiplier > 0):
+        if self.threshold is not None and not (
+            math.isfinite(self.threshold) and self.threshold >= 0 and self.multiplier is not None and math.isfinite(self.multiplier) and self.multiplier > 0
+        ):
             raise ValueError("a floor needs a finite threshold of 0 or more and a positive multiplier")
 
     def __call__(self, p: Column) -> Column:
@@ -90,7 +92,12 @@ class Policy:
         t = F.when(early, t * F.lit(self.early_scale)).otherwise(t)
         df = df.withColumn("_t", t)
         calm = yes(F.col("context_arrival_180m_max_delay") <= self.calm)
-        df = df.withColumn("_t", F.when(calm, F.lit(1 - self.auxiliary_weight) * F.col("_t") + F.lit(self.auxiliary_weight) * F.col(self.auxiliary)).otherwise(F.col("_t")))
+        df = df.withColumn(
+            "_t",
+            F.when(
+                calm, F.lit(1 - self.auxiliary_weight) * F.col("_t") + F.lit(self.auxiliary_weight) * F.col(self.auxiliary)
+            ).otherwise(F.col("_t"))
+        )
         df = df.withColumn("transformed", F.when(early & (F.col("_t") > self.tail), F.col("_t") * F.lit(self.tail_scale)).otherwise(F.col("_t"))).drop("_t")
         back = ~(F.col("history_count") > 0) & leaves & (F.col("origin_actual_presence_count") > 0) & yes(F.col("origin_720m_max_last_delay") > self.exception)
         return df.withColumn("final", F.when(back, F.col("transformed")).otherwise(self.rule(F.col("transformed"))))
@@ -170,7 +177,10 @@ def deployable(df: DataFrame, prediction: str, cut: str, not_before: int, lag: i
     return df.agg(F.count_if(~old).alias("young"), F.count_if(~yes(F.col(prediction) >= F.lit(not_before))).alias("early"))
 
 
-def require_deployable(df: DataFrame, prediction: str, cut: str, not_before: int, stamps: dict[str, int] | None = None, counts: dict[str, list[str]] | None = None, lag: int = 30) -> DataFrame:
+def require_deployable(
+    df: DataFrame, prediction: str, cut: str, not_before: int, stamps: dict[str, int] | None = None,
+    counts: dict[str, list[str]] | None = None, lag: int = 30
+) -> DataFrame:
     """df, or an error: before a model may predict, its inputs must be old enough, later than the model, and of declared clocks."""
     r = deployable(df, prediction, cut, not_before, lag).first()
     if r.young:
@@ -220,7 +230,9 @@ class Invariants:
             tests["masked_plan"] = ~yes(F.col("known")) & shown
         tests |= {f"same_run:{a}": history & ~F.col(a).eqNullSafe(F.col(b)) for a, b in self.same_run}
         each = F.array(*(F.struct(F.lit(k).alias("invariant"), F.count_if(v).alias("rows")) for k, v in tests.items()))
-        repeats = df.where("row_id is not null").groupBy("row_id").count().where("count > 1").agg(F.lit("row_id_unique").alias("invariant"), F.count("*").alias("rows"))
+        repeats = df.where("row_id is not null").groupBy("row_id").count().where("count > 1").agg(
+            F.lit("row_id_unique").alias("invariant"), F.count("*").alias("rows")
+        )
         return df.agg(each.alias("_e")).select(F.inline("_e")).unionByName(repeats)
 
     def require(self, df: DataFrame) -> DataFrame:

@@ -45,7 +45,15 @@ def query(name: str, sql: str | None = None):
 def tidy(df: DataFrame, places: int = 8) -> DataFrame:
     """Doubles rounded, so that summation order does not show."""
     real = (T.DoubleType, T.FloatType)
-    return df.select(*((F.round(F.col(f.name).cast("double"), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType)) else F.col(f.name) for f in df.schema))
+    return df.select(
+        *(
+            (
+                F.round(F.col(f.name).cast("double"), places) + F.lit(0.0)
+            ).alias(f.name) if isinstance(f.dataType, real) else F.col(f.name).cast("long").alias(f.name) if isinstance(
+                f.dataType, (T.IntegerType, T.ShortType)
+            ) else F.col(f.name) for f in df.schema
+        )
+    )
 
 
 def home(spark, sf_dir):
@@ -53,7 +61,12 @@ def home(spark, sf_dir):
     return adapter.queries_at_home(f), f
 
 
-RUN_HISTORY_COLS = ["qid", "history_count", "previous_delay", "previous_age_minutes", "previous_scheduled_gap_minutes", "previous_station", "previous_is_departure", "previous_is_home", "second_previous_delay", "delay_change", "history_mean_delay", "history_max_delay", "next_expected_gap_minutes", "origin_station", "scheduled_run_elapsed_minutes", "scheduled_route_position", "scheduled_home_dwell_minutes", "available_home_arrival_delay"]
+RUN_HISTORY_COLS = [
+    "qid", "history_count", "previous_delay", "previous_age_minutes", "previous_scheduled_gap_minutes", "previous_station",
+    "previous_is_departure", "previous_is_home", "second_previous_delay", "delay_change", "history_mean_delay", "history_max_delay",
+    "next_expected_gap_minutes", "origin_station", "scheduled_run_elapsed_minutes", "scheduled_route_position",
+    "scheduled_home_dwell_minutes", "available_home_arrival_delay"
+]
 
 
 @query("same_run_history", BASE + """
@@ -99,7 +112,11 @@ SELECT q.qid, count(w.ord) FILTER (due AND by_act IS NULL) AS home_pending_count
  coalesce(round((any_value(q.cut) - min(w.s) FILTER (due AND by_act IS NULL)) / 6e7, 8), 0.0) AS home_oldest_pending_minutes, greatest(max(act) FILTER (recent), max(by_act) FILTER (due)) AS context_act,
  greatest(max(acc) FILTER (recent OR (due AND by_act IS NULL)), max(by_acc) FILTER (due)) AS context_acc FROM q LEFT JOIN w ON q.qid = w.qid GROUP BY q.qid""")
 def pending_resolved_antijoin(spark, sf_dir):
-    return tidy(history.station_context(*home(spark, sf_dir)).select("qid", "home_pending_count", "home_resolved_count", "home_oldest_pending_minutes", "context_act", "context_acc"))
+    return tidy(
+        history.station_context(*home(spark, sf_dir)).select(
+            "qid", "home_pending_count", "home_resolved_count", "home_oldest_pending_minutes", "context_act", "context_acc"
+        )
+    )
 
 
 @query("focal_metadata_mask", BASE + """z AS (SELECT q.qid, f.acc < q.cut AS known, f.*, epoch_us(TIMESTAMP '1970-01-01') AS x, make_timestamp(f.s) AS ts FROM q JOIN f ON q.qid = f.ord)
@@ -137,10 +154,17 @@ def service_history_28d(spark, sf_dir):
     h = history.run_history(q, f).select("qid", "history_count", "pending_count", "previous_age_minutes")
     rows = q.join(h, "qid").join(f.select(F.col("ord").alias("qid"), "act", "delay", "acc"), "qid").withColumn("known", F.col("acc") < F.col("cut"))
     out = history.service_history(rows).drop("service_latest")
-    return tidy(out.drop("service_mean_previous_age")).join(out.select("qid", F.round("service_mean_previous_age", 4).alias("service_mean_previous_age")), "qid")
+    return tidy(out.drop("service_mean_previous_age")).join(
+        out.select("qid", F.round("service_mean_previous_age", 4).alias("service_mean_previous_age")), "qid"
+    )
 
 
-RECENT = ["qid", "last_scheduled_delay", "last_scheduled_station", "last_scheduled_is_departure", "last_scheduled_observation_age_minutes", "recent3_mean_delay", "recent3_std_delay", "recent3_median_delay", "recent3_max_delay", "recent3_min_delay", "recent5_mean_delay", "recent5_std_delay", "scheduled_order_delay_change", "scheduled_order_delay_slope", "recent_delay_acceleration", "history_departure_mean_delay", "history_departure_last_delay", "history_arrival_mean_delay", "history_arrival_last_delay"]
+RECENT = [
+    "qid", "last_scheduled_delay", "last_scheduled_station", "last_scheduled_is_departure", "last_scheduled_observation_age_minutes",
+    "recent3_mean_delay", "recent3_std_delay", "recent3_median_delay", "recent3_max_delay", "recent3_min_delay", "recent5_mean_delay",
+    "recent5_std_delay", "scheduled_order_delay_change", "scheduled_order_delay_slope", "recent_delay_acceleration",
+    "history_departure_mean_delay", "history_departure_last_delay", "history_arrival_mean_delay", "history_arrival_last_delay"
+]
 
 
 @query("enriched_recent_k", BASE + """
@@ -160,7 +184,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s, st, ty) AS r, ro
 SELECT q.qid, CASE WHEN count(k.ord) > 0 THEN count(k.ord) END AS planned_total_events, CASE WHEN count(k.ord) > 0 THEN count(DISTINCT k.st) END AS planned_total_stations, round((max(k.s) - min(k.s)) / 6e7, 8) AS planned_total_duration_minutes, CAST(max(k.st) FILTER (z = 1) AS BIGINT) AS planned_destination_station,
  round((any_value(q.s) - min(k.s)) / nullif(max(k.s) - min(k.s), 0), 8) + 0.0 AS planned_fraction_elapsed, CASE WHEN count(k.ord) > 0 THEN count(*) FILTER (planned AND stopping) END AS planned_stopping_events_before, max(k.acc) AS enriched_latest_acc FROM q LEFT JOIN k ON q.qid = k.qid GROUP BY q.qid""")
 def enriched_plan_totals(spark, sf_dir):
-    return tidy(route.enriched(*home(spark, sf_dir)).select("qid", "planned_total_events", "planned_total_stations", "planned_total_duration_minutes", "planned_destination_station", "planned_fraction_elapsed", "planned_stopping_events_before", "enriched_latest_acc"))
+    return tidy(
+        route.enriched(*home(spark, sf_dir)).select(
+            "qid", "planned_total_events", "planned_total_stations", "planned_total_duration_minutes", "planned_destination_station",
+            "planned_fraction_elapsed", "planned_stopping_events_before", "enriched_latest_acc"
+        )
+    )
 
 
 @query("enriched_pending", BASE + """
@@ -170,7 +199,13 @@ SELECT q.qid, round((any_value(q.cut) - any_value(a.m)) / 6e7, 8) AS last_comple
  coalesce(round((any_value(q.cut) - max(p.s)) / 6e7, 8), 0.0) AS latest_pending_minutes, coalesce(round((max(p.s) - min(p.s)) / 6e7, 8), 0.0) AS pending_scheduled_span_minutes, round(any_value(a.nd) / nullif(any_value(a.np), 0), 8) AS run_observed_fraction, CAST(max(p.st) FILTER (z = 1) AS BIGINT) AS latest_pending_station, CAST(max(CAST(p.ty = 'DEPARTURE' AS INT)) FILTER (z = 1) AS DOUBLE) AS latest_pending_is_departure
 FROM q JOIN a ON q.qid = a.qid LEFT JOIN p ON q.qid = p.qid GROUP BY q.qid""")
 def enriched_pending(spark, sf_dir):
-    return tidy(route.enriched(*home(spark, sf_dir)).select("qid", "last_completed_scheduled_age_minutes", "clean_pending_count", "resolved_missing_count", "clean_oldest_pending_minutes", "latest_pending_minutes", "pending_scheduled_span_minutes", "run_observed_fraction", "latest_pending_station", "latest_pending_is_departure"))
+    return tidy(
+        route.enriched(*home(spark, sf_dir)).select(
+            "qid", "last_completed_scheduled_age_minutes", "clean_pending_count", "resolved_missing_count", "clean_oldest_pending_minutes",
+            "latest_pending_minutes", "pending_scheduled_span_minutes", "run_observed_fraction", "latest_pending_station",
+            "latest_pending_is_departure"
+        )
+    )
 
 
 @query("enriched_dwell", BASE + """
@@ -184,7 +219,13 @@ SELECT t.qid, CASE WHEN src IS NOT NULL THEN (SELECT count(*) FROM h WHERE h.qid
  CASE WHEN src IS NOT NULL THEN round(greatest(0.0, (t.s - src) / 6e7 - dwell), 8) END AS planned_running_after_source_minutes, CASE WHEN src IS NOT NULL THEN round(greatest(0.0, d1 - dwell), 8) END AS delay_after_planned_dwell,
  CAST(nx.st AS BIGINT) AS next_scheduled_event_station, CASE WHEN nx.qid IS NOT NULL THEN CAST(nx.ty = 'DEPARTURE' AS DOUBLE) END AS next_scheduled_event_is_departure, round((nx.s - t.cut) / 6e7, 8) AS minutes_to_next_scheduled_event FROM t LEFT JOIN nx ON t.qid = nx.qid AND nx.r = 1""")
 def enriched_dwell(spark, sf_dir):
-    return tidy(route.enriched(*home(spark, sf_dir)).select("qid", "planned_events_after_source", "planned_dwell_after_source_minutes", "planned_running_after_source_minutes", "delay_after_planned_dwell", "next_scheduled_event_station", "next_scheduled_event_is_departure", "minutes_to_next_scheduled_event"))
+    return tidy(
+        route.enriched(*home(spark, sf_dir)).select(
+            "qid", "planned_events_after_source", "planned_dwell_after_source_minutes", "planned_running_after_source_minutes",
+            "delay_after_planned_dwell", "next_scheduled_event_station", "next_scheduled_event_is_departure",
+            "minutes_to_next_scheduled_event"
+        )
+    )
 
 
 ROUTE = """

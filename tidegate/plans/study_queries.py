@@ -22,10 +22,19 @@ c AS (SELECT *, CASE WHEN t < 0 AND (i > 1 OR p > 3) AND (w > 10 OR g > 15) AND
 """
 
 
-@query("weather_category_onehot", STUDY + "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, " + ", ".join(f"""CAST(paper = '{c}' AS DOUBLE) AS "{encode.CATEGORIES[k]}" """ for k, c in enumerate(encode.CATEGORY_NAMES)) + " FROM c")
+@query(
+    "weather_category_onehot",
+    STUDY + "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, " + ", ".join(
+        f"""CAST(paper = '{c}' AS DOUBLE) AS "{encode.CATEGORIES[k]}" """ for k, c in enumerate(encode.CATEGORY_NAMES)
+    ) + " FROM c"
+)
 def weather_category_onehot(spark, sf_dir):
     df = adapter.study_rows(spark, sf_dir)
-    return tidy(df.select("l_orderkey", "l_linenumber", encode.weather_category().alias("c")).select("l_orderkey", "l_linenumber", *encode.one_hot(F.col("c"), encode.CATEGORY_NAMES)))
+    return tidy(
+        df.select("l_orderkey", "l_linenumber", encode.weather_category().alias("c")).select(
+            "l_orderkey", "l_linenumber", *encode.one_hot(F.col("c"), encode.CATEGORY_NAMES)
+        )
+    )
 
 
 @query("weather_category_rules", STUDY + "SELECT paper AS category_paper, cur AS category_current, leg AS category_legacy, count(*) AS n FROM c GROUP BY ALL")
@@ -41,25 +50,39 @@ def cyclic_study(spark, sf_dir):
     return tidy(adapter.study_rows(spark, sf_dir).select("us").distinct().select("us", *encode.study_cycles(F.col("us"))))
 
 
-@query("wind_vector", "SELECT event_id, round(-value * sin(radians(event_id % 360)), 8) + 0.0 AS wind_east, round(-value * cos(radians(event_id % 360)), 8) + 0.0 AS wind_north FROM events WHERE value IS NOT NULL")
+@query(
+    "wind_vector",
+    "SELECT event_id, round(-value * sin(radians(event_id % 360)), 8) + 0.0 AS wind_east, round(-value * cos(radians(event_id % 360)), 8) + 0.0 AS wind_north FROM events WHERE value IS NOT NULL"
+)
 def wind_vector(spark, sf_dir):
     e = adapter.read(spark, sf_dir, "events").where("value is not null")
     return tidy(e.select("event_id", *encode.wind_vector(F.col("value"), F.col("event_id") % 360)))
 
 
-@query("cohort_filter_dedup", """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_shipdate, l_quantity, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem WHERE l_shipdate IS NOT NULL AND isfinite(l_quantity)) WHERE r = 1""")
+@query(
+    "cohort_filter_dedup",
+    """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_shipdate, l_quantity, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem WHERE l_shipdate IS NOT NULL AND isfinite(l_quantity)) WHERE r = 1"""
+)
 def cohort_filter_dedup(spark, sf_dir):
     l = adapter.read(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))  # noqa: E741
-    return ingest.dedup(ingest.valid_rows(l, ["l_shipdate"], "l_quantity"), ["l_shipdate", "l_quantity", "l_returnflag"], "ord").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag")
+    return ingest.dedup(
+        ingest.valid_rows(l, ["l_shipdate"], "l_quantity"), ["l_shipdate", "l_quantity", "l_returnflag"], "ord"
+    ).select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag")
 
 
-@query("duplicate_audit", """SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_shipdate, l_quantity ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r > 1""")
+@query(
+    "duplicate_audit",
+    """SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_shipdate, l_quantity ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r > 1"""
+)
 def duplicate_audit(spark, sf_dir):
     l = adapter.read(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))  # noqa: E741
     return ingest.duplicates(l, ["l_shipdate", "l_quantity"], "ord").select("l_orderkey", "l_linenumber")
 
 
-@query("conflicting_duplicates", """SELECT l_partkey, l_shipdate, count(DISTINCT l_quantity) + max(CAST(l_quantity IS NULL AS INT)) AS "values" FROM lineitem GROUP BY l_partkey, l_shipdate HAVING count(DISTINCT l_quantity) + max(CAST(l_quantity IS NULL AS INT)) > 1""")
+@query(
+    "conflicting_duplicates",
+    """SELECT l_partkey, l_shipdate, count(DISTINCT l_quantity) + max(CAST(l_quantity IS NULL AS INT)) AS "values" FROM lineitem GROUP BY l_partkey, l_shipdate HAVING count(DISTINCT l_quantity) + max(CAST(l_quantity IS NULL AS INT)) > 1"""
+)
 def conflicting_duplicates(spark, sf_dir):
     return ingest.conflicts(adapter.read(spark, sf_dir, "lineitem"), ["l_partkey", "l_shipdate"], "l_quantity")
 
@@ -144,7 +167,10 @@ def rolling_weather(spark, sf_dir):
     return tidy(weather.rolling(q, weather.clean(adapter.series(spark, sf_dir)), PARAMETERS).drop("used"), 8)
 
 
-@query("month_coverage", "SELECT strftime(ts, '%Y-%m') AS month, CASE event_type WHEN 'view' THEN 't2m' WHEN 'click' THEN 'ws_10min' WHEN 'signup' THEN 'wd_10min' WHEN 'purchase' THEN 'r_1h' ELSE 'snow_aws' END AS parameter, count(*) AS rows, count(value) AS known FROM events GROUP BY 1, 2")
+@query(
+    "month_coverage",
+    "SELECT strftime(ts, '%Y-%m') AS month, CASE event_type WHEN 'view' THEN 't2m' WHEN 'click' THEN 'ws_10min' WHEN 'signup' THEN 'wd_10min' WHEN 'purchase' THEN 'r_1h' ELSE 'snow_aws' END AS parameter, count(*) AS rows, count(value) AS known FROM events GROUP BY 1, 2"
+)
 def month_coverage(spark, sf_dir):
     return weather.coverage(adapter.series(spark, sf_dir))
 
@@ -182,19 +208,28 @@ def ts_split_folds(spark, sf_dir):
     return tidy(folded(spark, sf_dir).select("o_orderkey", "row_id", "fold"))
 
 
-@query("fold_purge", PRED + """, l AS (SELECT *, t + 86400000000 * (o_orderkey % 90) AS act, t - 1800000000 AS cut FROM fo), g AS (SELECT fold, min(row_id) AS b, min(cut) AS c FROM l WHERE fold >= 0 GROUP BY fold) SELECT g.fold, count(*) AS rows, CAST(sum(l.row_id) AS BIGINT) AS row_sum FROM l JOIN g ON l.row_id < g.b AND l.act < g.c GROUP BY g.fold""")
+@query(
+    "fold_purge",
+    PRED + """, l AS (SELECT *, t + 86400000000 * (o_orderkey % 90) AS act, t - 1800000000 AS cut FROM fo), g AS (SELECT fold, min(row_id) AS b, min(cut) AS c FROM l WHERE fold >= 0 GROUP BY fold) SELECT g.fold, count(*) AS rows, CAST(sum(l.row_id) AS BIGINT) AS row_sum FROM l JOIN g ON l.row_id < g.b AND l.act < g.c GROUP BY g.fold"""
+)
 def fold_purge(spark, sf_dir):
     df = folded(spark, sf_dir).withColumn("act", F.col("t") + F.lit(DAY) * (F.col("o_orderkey") % 90)).withColumn("cut", F.col("t") - F.lit(30 * MINUTE))
     return tidy(evaluate.purged(df, df).groupBy("fold").agg(F.count("*").alias("rows"), F.sum("row_id").alias("row_sum")))
 
 
-@query("split_description", PRED + """, s AS (SELECT *, CASE WHEN row_id < CAST(floor(0.8 * n) AS BIGINT) THEN 'development' ELSE 'test' END AS part FROM p) SELECT part, count(*) AS rows, min(t) AS first_time, max(t) AS last_time, round(avg(y), 6) AS target_mean, round(stddev_pop(y), 6) AS target_std, round(avg(abs(y)), 6) AS mean_absolute_target FROM s GROUP BY part""")
+@query(
+    "split_description",
+    PRED + """, s AS (SELECT *, CASE WHEN row_id < CAST(floor(0.8 * n) AS BIGINT) THEN 'development' ELSE 'test' END AS part FROM p) SELECT part, count(*) AS rows, min(t) AS first_time, max(t) AS last_time, round(avg(y), 6) AS target_mean, round(stddev_pop(y), 6) AS target_std, round(avg(abs(y)), 6) AS mean_absolute_target FROM s GROUP BY part"""
+)
 def split_description(spark, sf_dir):
     df = ingest.row_ids(adapter.predictions(spark, sf_dir), ["t", "o_orderkey"])
     return tidy(evaluate.describe(evaluate.chronological(df, df.count()), ["part"], "t", "y"), 6)
 
 
-@query("shared_runs", PRED + """, s AS (SELECT *, row_id < CAST(floor(0.8 * n) AS BIGINT) AS dev FROM p) SELECT count(*) AS shared_runs FROM (SELECT o_custkey FROM s WHERE dev INTERSECT SELECT o_custkey FROM s WHERE NOT dev)""")
+@query(
+    "shared_runs",
+    PRED + """, s AS (SELECT *, row_id < CAST(floor(0.8 * n) AS BIGINT) AS dev FROM p) SELECT count(*) AS shared_runs FROM (SELECT o_custkey FROM s WHERE dev INTERSECT SELECT o_custkey FROM s WHERE NOT dev)"""
+)
 def shared_runs(spark, sf_dir):
     df = ingest.row_ids(adapter.predictions(spark, sf_dir), ["t", "o_orderkey"])
     s = evaluate.chronological(df, df.count())
@@ -224,14 +259,22 @@ def metrics_by_month(spark, sf_dir):
     return metric_cols(evaluate.metrics(df, ["month"]))
 
 
-@query("mean_fold_rmse", PRED + ", g AS (SELECT fold, sum((y - p) * (y - p)) AS s, count(*) AS c FROM fo WHERE fold >= 0 GROUP BY fold) SELECT round(avg(sqrt(s / c)), 6) AS mean_fold_rmse, round(sqrt(sum(s) / sum(c)), 6) AS pooled_rmse FROM g")
+@query(
+    "mean_fold_rmse",
+    PRED + ", g AS (SELECT fold, sum((y - p) * (y - p)) AS s, count(*) AS c FROM fo WHERE fold >= 0 GROUP BY fold) SELECT round(avg(sqrt(s / c)), 6) AS mean_fold_rmse, round(sqrt(sum(s) / sum(c)), 6) AS pooled_rmse FROM g"
+)
 def mean_fold_rmse(spark, sf_dir):
     return tidy(evaluate.mean_fold_rmse(folded(spark, sf_dir).where("fold >= 0")), 6)
 
 
-@query("best_candidate_prefix", "WITH s AS (SELECT p_partkey AS candidate, p_retailprice % 13 AS score FROM part WHERE p_partkey <= 100), r AS (SELECT row_number() OVER (ORDER BY candidate) AS budget, min(score) OVER (ORDER BY candidate ROWS UNBOUNDED PRECEDING) AS best FROM s) SELECT budget, round(best, 8) AS best FROM r WHERE budget IN (10, 20, 50, 100)")
+@query(
+    "best_candidate_prefix",
+    "WITH s AS (SELECT p_partkey AS candidate, p_retailprice % 13 AS score FROM part WHERE p_partkey <= 100), r AS (SELECT row_number() OVER (ORDER BY candidate) AS budget, min(score) OVER (ORDER BY candidate ROWS UNBOUNDED PRECEDING) AS best FROM s) SELECT budget, round(best, 8) AS best FROM r WHERE budget IN (10, 20, 50, 100)"
+)
 def best_candidate_prefix(spark, sf_dir):
-    s = adapter.read(spark, sf_dir, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("candidate"), (F.col("p_retailprice") % 13).alias("score"))
+    s = adapter.read(spark, sf_dir, "part").where("p_partkey <= 100").select(
+        F.col("p_partkey").alias("candidate"), (F.col("p_retailprice") % 13).alias("score")
+    )
     return tidy(evaluate.best_prefix(s))
 
 
@@ -259,12 +302,17 @@ CONTROLS = PRED + """, c AS (SELECT *, o_orderkey % 3 AS history_count, CASE WHE
 def controls(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return folded(spark, sf_dir).select(
-        "*", (k % 3).alias("history_count"), F.when(k % 7 != 0, (k % 2).cast("double")).alias("is_departure"), (c % 400).cast("double").alias("oldest_pending_minutes"), F.when(k % 4 != 0, (c % 9 - 4).cast("double")).alias("previous_delay"),
-        F.when(k % 6 != 0, (c % 120).cast("double")).alias("context_arrival_180m_max_delay"), (k % 5).alias("origin_actual_presence_count"), F.when(k % 9 != 0, (c % 200).cast("double")).alias("origin_720m_max_last_delay"),
+        "*", (k % 3).alias("history_count"), F.when(k % 7 != 0, (k % 2).cast("double")).alias("is_departure"),
+        (c % 400).cast("double").alias("oldest_pending_minutes"), F.when(k % 4 != 0, (c % 9 - 4).cast("double")).alias("previous_delay"),
+        F.when(k % 6 != 0, (c % 120).cast("double")).alias("context_arrival_180m_max_delay"), (k % 5).alias("origin_actual_presence_count"),
+        F.when(k % 9 != 0, (c % 200).cast("double")).alias("origin_720m_max_last_delay"),
     )
 
 
-@query("residual_baseline", CONTROLS + "SELECT o_orderkey, CASE WHEN history_count > 0 AND oldest_pending_minutes > 120 THEN greatest(coalesce(previous_delay, 0), oldest_pending_minutes * 0.5) ELSE coalesce(previous_delay, 0) END AS baseline FROM c")
+@query(
+    "residual_baseline",
+    CONTROLS + "SELECT o_orderkey, CASE WHEN history_count > 0 AND oldest_pending_minutes > 120 THEN greatest(coalesce(previous_delay, 0), oldest_pending_minutes * 0.5) ELSE coalesce(previous_delay, 0) END AS baseline FROM c"
+)
 def residual_baseline(spark, sf_dir):
     return tidy(controls(spark, sf_dir).select("o_orderkey", policy.baseline(0.5, 120.0).alias("baseline")))
 
@@ -284,32 +332,47 @@ def blend_policy(spark, sf_dir):
     return tidy(rules.apply(controls(spark, sf_dir)).select("o_orderkey", "raw", "transformed", "final"))
 
 
-@query("provenance_violations", BASE + "x AS (SELECT q.cut, f.act, f.acc, f.ord % 3 AS c FROM q JOIN f ON q.qid = f.ord) SELECT 'act' AS stamp, count(*) FILTER (act >= cut) AS late, count(*) FILTER (act IS NULL AND c > 0) AS missing FROM x UNION ALL SELECT 'acc', count(*) FILTER (acc >= cut - 3600000000), 0 FROM x")
+@query(
+    "provenance_violations",
+    BASE + "x AS (SELECT q.cut, f.act, f.acc, f.ord % 3 AS c FROM q JOIN f ON q.qid = f.ord) SELECT 'act' AS stamp, count(*) FILTER (act >= cut) AS late, count(*) FILTER (act IS NULL AND c > 0) AS missing FROM x UNION ALL SELECT 'acc', count(*) FILTER (acc >= cut - 3600000000), 0 FROM x"
+)
 def provenance_violations(spark, sf_dir):
     q, f = home(spark, sf_dir)
     rows = q.join(f.select(F.col("ord").alias("qid"), "act", "acc"), "qid").withColumn("c", F.col("qid") % 3)
     return policy.provenance_violations(rows, "cut", {"act": 0, "acc": 60}, {"act": ["c"]})
 
 
-@query("profile_conflicts", "WITH a AS (SELECT o_orderkey AS k, o_custkey AS u, o_totalprice AS v FROM orders WHERE o_orderkey % 10 <> 1), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS u, o_totalprice + o_orderkey % 2 AS v FROM orders WHERE o_orderkey % 10 <> 2), j AS (SELECT a.k AS ak, b.k AS bk, a.u AS au, b.u AS bu, a.v AS av, b.v AS bv FROM a FULL JOIN b ON a.k = b.k) SELECT 'u' AS name, count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL AND au IS DISTINCT FROM bu) AS differing FROM j UNION ALL SELECT 'v', count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL AND av IS DISTINCT FROM bv) FROM j UNION ALL SELECT 'k', count(*) FILTER (ak IS NULL OR bk IS NULL) FROM j")
+@query(
+    "profile_conflicts",
+    "WITH a AS (SELECT o_orderkey AS k, o_custkey AS u, o_totalprice AS v FROM orders WHERE o_orderkey % 10 <> 1), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS u, o_totalprice + o_orderkey % 2 AS v FROM orders WHERE o_orderkey % 10 <> 2), j AS (SELECT a.k AS ak, b.k AS bk, a.u AS au, b.u AS bu, a.v AS av, b.v AS bv FROM a FULL JOIN b ON a.k = b.k) SELECT 'u' AS name, count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL AND au IS DISTINCT FROM bu) AS differing FROM j UNION ALL SELECT 'v', count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL AND av IS DISTINCT FROM bv) FROM j UNION ALL SELECT 'k', count(*) FILTER (ak IS NULL OR bk IS NULL) FROM j"
+)
 def profile_conflicts(spark, sf_dir):
     o = adapter.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("u"), F.col("o_totalprice").alias("v"))
     b = o.where("k % 10 <> 2").select("k", F.when(F.col("k") % 5 != 0, F.col("u")).alias("u"), (F.col("v") + F.col("k") % 2).alias("v"))
     return policy.mismatches(o.where("k % 10 <> 1"), b, "k", ["u", "v"])
 
 
-@query("input_ages", BASE + "x AS (SELECT q.s, f.act, f.acc FROM q JOIN f ON q.qid = f.ord) SELECT round(min((s - act) / 6e7), 8) AS act_least_age, round(min((s - acc) / 6e7), 8) AS acc_least_age, count(*) FILTER (act IS NULL) AS act_missing, count(*) FILTER (acc IS NULL) AS acc_missing FROM x")
+@query(
+    "input_ages",
+    BASE + "x AS (SELECT q.s, f.act, f.acc FROM q JOIN f ON q.qid = f.ord) SELECT round(min((s - act) / 6e7), 8) AS act_least_age, round(min((s - acc) / 6e7), 8) AS acc_least_age, count(*) FILTER (act IS NULL) AS act_missing, count(*) FILTER (acc IS NULL) AS acc_missing FROM x"
+)
 def input_ages(spark, sf_dir):
     q, f = home(spark, sf_dir)
     return tidy(evaluate.input_ages(q.join(f.select(F.col("ord").alias("qid"), "act", "acc"), "qid"), "s", ["act", "acc"]))
 
 
-@query("presence_counts", BASE + "x AS (SELECT ord, CAST(ord % 4 AS DOUBLE) + CAST(act IS NOT NULL AS INT) + CAST(delay IS NOT NULL AS INT) AS presence FROM f) SELECT * FROM x")
+@query(
+    "presence_counts",
+    BASE + "x AS (SELECT ord, CAST(ord % 4 AS DOUBLE) + CAST(act IS NOT NULL AS INT) + CAST(delay IS NOT NULL AS INT) AS presence FROM f) SELECT * FROM x"
+)
 def presence_counts(spark, sf_dir):
     _, f = home(spark, sf_dir)
     return tidy(policy.presence_counts(f.withColumn("c", F.col("ord") % 4), ["c"], ["act", "delay"], "presence").select("ord", "presence"))
 
 
-@query("audit_summary", "SELECT 'value' AS name, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, min(value) AS least, max(value) AS most FROM events")
+@query(
+    "audit_summary",
+    "SELECT 'value' AS name, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, min(value) AS least, max(value) AS most FROM events"
+)
 def audit_summary(spark, sf_dir):
     return tidy(evaluate.audit_summary(adapter.read(spark, sf_dir, "events"), ["value"]), 6)

@@ -65,11 +65,16 @@ def weather_xml(df: DataFrame, column: str, station: int | None = None, paramete
             for text in batch.column(0).to_pylist():
                 cols = list(zip(*observations(text))) if text is not None else []
                 if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["parameter", "station", "time", "text"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))],
+                        names=["parameter", "station", "time", "text"]
+                    )
 
     p = df.select(F.col(column).cast("string").alias("x")).mapInArrow(run, "parameter string, station long, time string, text string")
     time = F.col("time")
-    t = F.when(time.rlike(ISO), F.unix_micros(F.try_to_timestamp(time))).otherwise(F.raise_error(F.concat(F.lit("measurement time without zone: "), time)).cast("long"))
+    t = F.when(time.rlike(ISO), F.unix_micros(F.try_to_timestamp(time))).otherwise(
+        F.raise_error(F.concat(F.lit("measurement time without zone: "), time)).cast("long")
+    )
     name, at = F.col("parameter"), F.col("station").cast("int")
     if parameters is not None:
         name = F.when(name.isin(parameters), name).otherwise(F.raise_error(F.concat(F.lit("unexpected parameter: "), name)))

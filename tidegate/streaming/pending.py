@@ -19,13 +19,17 @@ def once(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
 
 def station_windows(stream: DataFrame, late: str = "2 hours", width: str = "180 minutes", slide: str = "30 minutes") -> DataFrame:
     """Delays reported at each station in sliding windows of knowledge time; a window is given when it is complete."""
-    return stream.withWatermark("known_at", late).groupBy(F.window("known_at", width, slide), "st").agg(F.count("delay").alias("n"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay"))
+    return stream.withWatermark("known_at", late).groupBy(F.window("known_at", width, slide), "st").agg(
+        F.count("delay").alias("n"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay")
+    )
 
 
 def run_sessions(stream: DataFrame, late: str = "2 hours", gap: str = "90 minutes") -> DataFrame:
     """Reports of a run without a gap as one session, given when it is over: its bounds, events and delays."""
     g = stream.withWatermark("known_at", late).groupBy(F.session_window("known_at", gap).alias("w"), "d", "n")
-    return g.agg(F.count("*").alias("events"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay")).select("d", "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "mean_delay", "max_delay")
+    return g.agg(F.count("*").alias("events"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("max_delay")).select(
+        "d", "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "mean_delay", "max_delay"
+    )
 
 
 def reports_within(plan: DataFrame, reports: DataFrame, hours: int = 12) -> DataFrame:
@@ -36,7 +40,13 @@ def reports_within(plan: DataFrame, reports: DataFrame, hours: int = 12) -> Data
     on = same[0]
     for c in same[1:]:
         on = on & c
-    return a.join(b, on & (F.col("b.known_at") >= F.col("a.planned_at")) & (F.col("b.known_at") <= F.col("a.planned_at") + F.expr(f"interval {hours} hours")), "leftOuter").select("a.*", "b.delay", "b.known_at")
+    return a.join(
+        b,
+        on & (F.col("b.known_at") >= F.col("a.planned_at")) & (
+            F.col("b.known_at") <= F.col("a.planned_at") + F.expr(f"interval {hours} hours")
+        ),
+        "leftOuter"
+    ).select("a.*", "b.delay", "b.known_at")
 
 
 STATE = "done_until long, open array<long>"
@@ -56,7 +66,12 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
                 open_.add(s)
     open_ = sorted(x for x in open_ if until is None or x > until)
     state.update((until, open_))
-    yield pd.DataFrame({"d": [key[0]], "n": [key[1]], "pending_count": [len(open_)], "oldest_scheduled": pd.array([open_[0] if open_ else None], "Int64"), "done_until": pd.array([until], "Int64")})
+    yield pd.DataFrame(
+        {
+            "d": [key[0]], "n": [key[1]], "pending_count": [len(open_)],
+            "oldest_scheduled": pd.array([open_[0] if open_ else None], "Int64"), "done_until": pd.array([until], "Int64")
+        }
+    )
 
 
 def pending(stream: DataFrame) -> DataFrame:
