@@ -12,7 +12,11 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(PATH)
 OURS = load(PATH)
 
-CASES = ["", " ", "Hello, World's 12345!!", "it's WE'LL 'd", "ΣΑΣ İstanbul ǅ", "école ÉCOLE", "a<|endoftext|>B<|startoftext|>", "<|ENDOFTEXT|><|endoftext|", "x" * 500, "ab" * 3000, "你好世界 \U0001f600\U0001f600", "\x00\x1c\x85  z", "　﻿q", "thntblere of then, edtioner" * 50, "###$$$%%%éé"]
+CASES = [
+    "", " ", "Hello, World's 12345!!", "it's WE'LL 'd", "ΣΑΣ İstanbul ǅ", "école ÉCOLE", "a<|endoftext|>B<|startoftext|>",
+    "<|ENDOFTEXT|><|endoftext|", "x" * 500, "ab" * 3000, "你好世界 \U0001f600\U0001f600", "\x00\x1c\x85  z", "　﻿q",
+    "thntblere of then, edtioner" * 50, "###$$$%%%éé"
+]
 
 
 @pytest.mark.parametrize("text", CASES)

@@ -35,10 +35,15 @@ def brute_template(pages):
         return len(orders) == 1 and len(set(next(iter(orders)))) == len(own)
 
     def crosses(page, a, b):
-        return any(page[k] in b for run in runs(page, a) for k in range(run[0], run[-1])) and any(page[k] in a for run in runs(page, b) for k in range(run[0], run[-1]))
+        return any(
+            page[k] in b for run in runs(page, a) for k in range(run[0], run[-1])
+        ) and any(page[k] in a for run in runs(page, b) for k in range(run[0], run[-1]))
 
     taken = []
-    ranked = [(-sum(v > 0 for v in vector), max(vector), -len(own), min(np.array(own, np.uint64).view(np.int64)), set(own)) for vector, own in brute_classes(pages).items() if len(own) > 1]
+    ranked = [
+        (-sum(v > 0 for v in vector), max(vector), -len(own), min(np.array(own, np.uint64).view(np.int64)), set(own)) for vector,
+        own in brute_classes(pages).items() if len(own) > 1
+    ]
     for *_, own in sorted(ranked, key=lambda x: x[:4]):
         if whole(own) and not any(crosses(page, own, other) for page in pages for other in taken):
             taken.append(own)
@@ -53,7 +58,9 @@ def site(r, n):
         parts = ["<div><h4>About</h4><p>Us</p></div>", "<div><h5>Mail</h5><p>Now</p></div>"]
         r.shuffle(parts)
         cross = "<u>one</u><s>two</s><u>uno</u><s>due</s>" if i % 3 else "<s>two</s><u>one</u><s>due</s><u>uno</u>"
-        out.append(f"<html><body><div>Top</div><ul>{rows}</ul>{cross if i % 2 else ''}{''.join(parts)}<section><h2>T{i}</h2><p>text {r.random()}</p></section><div>End</div></body></html>")
+        out.append(
+            f"<html><body><div>Top</div><ul>{rows}</ul>{cross if i % 2 else ''}{''.join(parts)}<section><h2>T{i}</h2><p>text {r.random()}</p></section><div>End</div></body></html>"
+        )
     return out
 
 
@@ -93,7 +100,9 @@ def test_article():
 
 def test_template_without_names():
     """No element says what the article is: the template's own text goes, the slots stay."""
-    pages = [f"<html><body><table><tr><td>Home</td><td>About us</td></tr></table><div><h2>Head {i}</h2><div>Body {i} text {i * i}</div></div><div>All rights reserved</div></body></html>" for i in range(6)]
+    pages = [
+        f"<html><body><table><tr><td>Home</td><td>About us</td></tr></table><div><h2>Head {i}</h2><div>Body {i} text {i * i}</div></div><div>All rights reserved</div></body></html>" for i in range(6)
+    ]
     assert ht.extract(pages) == [f"Head {i} Body {i} text {i * i}" for i in range(6)]
     assert any(set(v) == {1} and len(k) > 8 for v, k in brute_classes([[p.key for p in ht.parse(x) if p.key is not None] for x in pages]).items())
 

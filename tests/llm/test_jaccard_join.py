@@ -134,7 +134,9 @@ def test_packed_and_hot(monkeypatch):
     monkeypatch.setattr(jj, "HOT", 4)
     r = np.random.default_rng(6)
     base = r.integers(0, 1 << 62, 200).astype(np.uint64)
-    sets = [np.unique(np.append(base[:199], U)) for U in r.integers(0, 1 << 62, 9).astype(np.uint64)] + [np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(5)]
+    sets = [
+        np.unique(np.append(base[:199], U)) for U in r.integers(0, 1 << 62, 9).astype(np.uint64)
+    ] + [np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(5)]
     docs = np.arange(100, 114)[::-1].copy()
     blobs = list(jj.packed(docs, sets, 3))
     assert len(blobs) == 3
@@ -176,7 +178,13 @@ def test_linker_against_all_pairs():
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (2, None, 0), (3, " ", 0), (4, "x " * 20000, 0), (5, "x", 0)], "doc_id long, text string, n_shingles int")
+    df = spark.createDataFrame(
+        [
+            (1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (2, None, 0), (3, " ", 0), (4, "x " * 20000, 0),
+            (5, "x", 0)
+        ],
+        "doc_id long, text string, n_shingles int"
+    )
     got = sorted(map(tuple, jj.jaccard_components(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5)], key=str)
     assert jj.jaccard_components(df.limit(0)).count() == 0

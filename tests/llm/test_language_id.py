@@ -40,7 +40,10 @@ def test_predictions_against_brute_force(spark):
         b = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()) + b" "
         return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
 
-    learn = sorted((r for r in docs.collect() if r.lang and r.text and li.LETTER.search(r.text) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1), key=lambda r: (r.doc_id, r.lang, r.text))
+    learn = sorted(
+        (r for r in docs.collect() if r.lang and r.text and li.LETTER.search(r.text) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1),
+        key=lambda r: (r.doc_id, r.lang, r.text)
+    )
     sets = [grams(r.text) for r in learn]
     counts = Counter(g for s in sets for g in s)
     sets = [{g for g in s if counts[g] >= li.LEAST_TEXTS} for s in sets]
@@ -83,7 +86,10 @@ def test_only_other_rows_teach(spark):
 
 
 def test_edges(spark):
-    rows = [(1, "the cat sat on the mat", "en"), (1, "the cat sat on the mat", "en"), (None, "abc", "en"), (3, None, "fr"), (4, "le chat est sur la table", "fr"), (5, "123", None), (6, "é" * 90_000, None)]
+    rows = [
+        (1, "the cat sat on the mat", "en"), (1, "the cat sat on the mat", "en"), (None, "abc", "en"), (3, None, "fr"),
+        (4, "le chat est sur la table", "fr"), (5, "123", None), (6, "é" * 90_000, None)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = li.language_id(docs).collect()
     assert len(got) == 7 and {r.lang_pred for r in got if r.doc_id in (3, 5)} == {"und"}

@@ -64,7 +64,13 @@ def test_index_of_any_stream(spark):
     broken = bytearray(mpeg.encode(mpeg.padded(b"x" * 2000)))
     broken[-mpeg.FRAME + 8] ^= 1
     rows = [(1, slow), (2, mixed), (3, bytes(broken)), (4, b""), (5, None), (6, b"no audio"), (None, slow)]
-    got = {r.doc_id: r for r in mpeg.indexed(spark.createDataFrame([(i, None if m is None else bytearray(m), "x") for i, m in rows], "doc_id long, media binary, frames string")).collect()}
+    got = {
+        r.doc_id: r for r in mpeg.indexed(
+            spark.createDataFrame(
+                [(i, None if m is None else bytearray(m), "x") for i, m in rows], "doc_id long, media binary, frames string"
+            )
+        ).collect()
+    }
     length = lambda r: Fraction(r.duration_numerator, r.duration_denominator)
     assert length(got[1]) == Fraction(5 * 1152, 44100) and got[1].frame_offsets == [417 * k for k in range(5)] and got[1].table_frames is None
     assert length(got[2]) == Fraction(5 * 1152, 44100) + Fraction(3 * 576, mpeg.header(b"\xff\xf3\x40\xc0")["hertz"]) and got[2].frames == 8

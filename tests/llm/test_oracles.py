@@ -9,8 +9,13 @@ from tidegate.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, tmp_path, name):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    odd = [(10_000, "", "en", "s", 0), (10_001, None, None, None, None), (10_002, " \n\t", "en", None, 3), (10_003, "a b", "en", "s", 3), (10_004, "A  b", None, "s", 4), (10_005, "é " * 200, "fr", "s", 400)]
-    docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int").select(*docs.columns)).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    odd = [
+        (10_000, "", "en", "s", 0), (10_001, None, None, None, None), (10_002, " \n\t", "en", None, 3), (10_003, "a b", "en", "s", 3),
+        (10_004, "A  b", None, "s", 4), (10_005, "é " * 200, "fr", "s", 400)
+    ]
+    docs.unionByName(
+        spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int").select(*docs.columns)
+    ).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.queries()[name](spark, str(tmp_path))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")

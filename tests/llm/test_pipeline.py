@@ -48,7 +48,10 @@ def brute_quality(rows):
         n, chars, sym, dup, rep = brute_counts(row[1])
         lines = sum(1 for x in (row[1] or "").split("\n") if WORD.search(x))
         spare = quality.EXCUSED
-        rate = (1000 * max(sym - spare["n_symbols"], 0) / max(chars, 1), 1000 * max(dup - spare["n_dup_lines"], 0) / (lines + 2), 1000 * max(rep - spare["n_repeat_words"], 0) / max(n, 1))
+        rate = (
+            1000 * max(sym - spare["n_symbols"], 0) / max(chars, 1), 1000 * max(dup - spare["n_dup_lines"], 0) / (lines + 2),
+            1000 * max(rep - spare["n_repeat_words"], 0) / max(n, 1)
+        )
         failed = n < 50 or 100 * rep > 50 * n
         rates[id(row)] = (rate, failed)
         for k, v in enumerate(rate):
@@ -131,7 +134,12 @@ def test_stages_against_brute_force(spark):
     for i, texts in got.items():
         for t in texts:
             ids = lib.encode(t, add_special_tokens=False).ids
-            want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+            want.append(
+                (
+                    i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(),
+                    hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+                )
+            )
     assert rows_of(bpe(spark, d, "")) == sorted(want, key=str)
 
 
@@ -151,7 +159,11 @@ def test_edges_of_every_stage(spark):
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
     long = " ".join(word() for _ in range(60_000))
     plain = [" ".join(word() for _ in range(80)) for _ in range(4)]
-    rows = [(1, plain[0], "en", "s"), (1, plain[0], "en", "s"), (2, plain[0], None, None), (None, plain[1], "en", None), (None, None, None, None), (3, "", "en", "s"), (4, " \n", "en", "s"), (5, long, "fr", "s"), (6, plain[2] + "\n\t é", "en", "t"), (7, plain[3], "en", "t")]
+    rows = [
+        (1, plain[0], "en", "s"), (1, plain[0], "en", "s"), (2, plain[0], None, None), (None, plain[1], "en", None),
+        (None, None, None, None), (3, "", "en", "s"), (4, " \n", "en", "s"), (5, long, "fr", "s"), (6, plain[2] + "\n\t é", "en", "t"),
+        (7, plain[3], "en", "t")
+    ]
     names = ["_row", "_k", "marks", "key", "size", "taken", "node", "kept", "source_size", "n_shingles"]
     schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in names)
     docs = spark.createDataFrame([(*x, len(x[1] or ""), *(f"{c}!" for c in names)) for x in rows], schema)

@@ -17,7 +17,10 @@ def brute(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
-TEXTS = [None, "", " \n\t", "one", "a b c a b c", "a b c d a b c", "x x x x x", "x x x", "l1\nl1\n l1\n\nl1", "é#é $%&|<>* \x0b\x0c z\x1cq y", "a b c " * 5000, " ".join(map(str, range(60))), "q r s t " + " ".join(map(str, range(60))) + " q r s t"]
+TEXTS = [
+    None, "", " \n\t", "one", "a b c a b c", "a b c d a b c", "x x x x x", "x x x", "l1\nl1\n l1\n\nl1", "é#é $%&|<>* \x0b\x0c z\x1cq y",
+    "a b c " * 5000, " ".join(map(str, range(60))), "q r s t " + " ".join(map(str, range(60))) + " q r s t"
+]
 
 
 def test_counts(spark):

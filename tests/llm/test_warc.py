@@ -83,7 +83,9 @@ def test_files(spark, tmp_path):
         files = warc.write_warc(archive_of(spark, enumerate(recs)).repartition(parts), f"{tmp_path}/w{parts}")
         assert files.agg(F.sum("records")).first()[0] == 6
         assert sorted(r.block for r in warc.read_warc(files).collect()) == [b"ab%d" % i for i in range(6)]
-        assert sorted((r.page_id, r.digest, r.length) for r in warc.leaves_of_files(files).collect()) == [(i, hashlib.sha256(r).hexdigest(), len(r)) for i, r in enumerate(recs)]
+        assert sorted(
+            (r.page_id, r.digest, r.length) for r in warc.leaves_of_files(files).collect()
+        ) == [(i, hashlib.sha256(r).hexdigest(), len(r)) for i, r in enumerate(recs)]
     at = tmp_path / "x"
     at.mkdir()
     (at / "plain.warc").write_bytes(b"junk\n" + b"".join(recs))

@@ -260,7 +260,10 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

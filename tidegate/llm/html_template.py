@@ -36,12 +36,20 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\
 # Elements by what they are.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SKIPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "svg", "object", "canvas", "audio", "video", "dialog", "datalist"}
-BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul br".split())
+SKIPPED = RAW | {
+    "head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "svg", "object", "canvas", "audio", "video", "dialog",
+    "datalist"
+}
+BLOCK = set(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul br".split()
+)
 CLOSES_P = BLOCK - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head", "title"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "html"}
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|signup|login|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|popup|modal|overlay|pagination|pager|tags|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
+BOILERPLATE = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|signup|login|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|popup|modal|overlay|pagination|pager|tags|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
+    re.I
+)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -130,7 +138,9 @@ def parse(page: str) -> list[Piece]:
         if name in VOID or m[3].endswith("/") and name in VOID:
             continue
         own = 3 if name == "article" else 2 if name == "main" or role == "main" else 1 if names and MAIN.search(names) and name in ("div", "section", "td") else 0
-        skipped = skipped or hidden or name in SKIPPED or role in ROLES or bool(names and name not in ("html", "body", "article", "main") and BOILERPLATE.search(names))
+        skipped = skipped or hidden or name in SKIPPED or role in ROLES or bool(
+            names and name not in ("html", "body", "article", "main") and BOILERPLATE.search(names)
+        )
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -269,7 +279,9 @@ def main_of(page: str | None, template, sure) -> str:
     parsed = parse(page or "")
     level = max((p.level for p in parsed if p.text is not None and not p.skipped and p.text.strip()), default=0)
     gone = sure if level > 1 else template
-    return joined(p for slot in slots(parsed, template) for p in slot if p.key is None or p.text is not None and not p.skipped and p.level >= level and p.key not in gone)
+    return joined(
+        p for slot in slots(parsed, template) for p in slot if p.key is None or p.text is not None and not p.skipped and p.level >= level and p.key not in gone
+    )
 
 
 def extract(pages: list[str | None]) -> list[str]:
@@ -293,7 +305,10 @@ def tokenised(batches):
     import pyarrow as pa
 
     for batch in batches:
-        rows = [(h, xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")), skeleton(t).tobytes()) for h, t in zip(*(c.to_pylist() for c in batch.columns)) if t]
+        rows = [
+            (h, xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")), skeleton(t).tobytes()) for h,
+            t in zip(*(c.to_pylist() for c in batch.columns)) if t
+        ]
         if rows:
             yield batch_of(zip(*rows), (pa.string(), pa.binary(), pa.binary()), ("host", "mark", "tokens"))
 
@@ -352,7 +367,10 @@ def judged(batches):
 
     def rows():
         if out:
-            yield batch_of(zip(*((*k, *v) for k, v in out.items())), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), ("host", "i", "j", "lo", "hi"))
+            yield batch_of(
+                zip(*((*k, *v) for k, v in out.items())), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()),
+                ("host", "i", "j", "lo", "hi")
+            )
         for x in (known, seen, out):
             x.clear()
 
@@ -392,15 +410,29 @@ def templates(pages: DataFrame) -> DataFrame:
     Deduced from all distinct pages of the host: the result does not depend on how they are dealt out. A host's frequent tokens
     are gathered in one row: at most twice as many as its pages have on average. All else of a host is merged in parts.
     """
-    pages = stored(pages.select("host", "html").mapInArrow(frugal(tokenised), "host string, mark binary, tokens binary").groupBy("host", "mark").agg(F.first("tokens").alias("tokens")))
+    pages = stored(
+        pages.select("host", "html").mapInArrow(
+            frugal(tokenised), "host string, mark binary, tokens binary"
+        ).groupBy("host", "mark").agg(F.first("tokens").alias("tokens"))
+    )
     sizes = pages.groupBy("host").agg(F.count("*").alias("size")).where("size > 1")
-    tokens = pages.mapInArrow(frugal(counted), "host string, token long, n long, most long, x long, y long").groupBy("host", "token").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    tokens = pages.mapInArrow(frugal(counted), "host string, token long, n long, most long, x long, y long").groupBy("host", "token").agg(
+        F.sum("n").alias("n"), F.max("most").alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    )
     often = tokens.join(sizes, "host").where(F.col("n") * 2 > F.col("size"))
     rows = often.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "n", "most", "x", "y"))).alias("rows"))
     found = stored(rows.mapInArrow(numbered_classes, "host string, tokens binary, cls binary, pages binary"))
-    faulty = pages.select("host", F.col("tokens").alias("page")).join(found, "host").select("host", "page", "tokens", "cls", "pages").mapInArrow(judged, "host string, i int, j int, lo long, hi long")
-    merged = faulty.groupBy("host", "i", "j").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("host").agg(F.collect_list(F.struct("i", "j", "lo", "hi")).alias("found"))
-    out = stored(found.join(merged, "host", "left").select("host", "tokens", "cls", "pages", "found").mapInArrow(chosen, "host string, template binary, sure binary"))
+    faulty = pages.select("host", F.col("tokens").alias("page")).join(found, "host").select("host", "page", "tokens", "cls", "pages").mapInArrow(
+        judged, "host string, i int, j int, lo long, hi long"
+    )
+    merged = faulty.groupBy("host", "i", "j").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("host").agg(
+        F.collect_list(F.struct("i", "j", "lo", "hi")).alias("found")
+    )
+    out = stored(
+        found.join(merged, "host", "left").select("host", "tokens", "cls", "pages", "found").mapInArrow(
+            chosen, "host string, template binary, sure binary"
+        )
+    )
     dropped(pages, found)
     return out
 
@@ -416,7 +448,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     small_batches(pages.sparkSession, 256)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host")
+    )
     found = templates(rows)
 
     def run(batches):
@@ -433,6 +468,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             ids, urls, htmls, every, sure = (c.to_pylist() for c in batch.columns)
             texts = [main_of(h, tokens_of(t), tokens_of(s)) for h, t, s in zip(htmls, every, sure)]
-            yield batch_of((ids, urls, texts, [len(t) for t in texts]), (pa.int64(), pa.string(), pa.string(), pa.int64()), ("page_id", "url", "text", "n_chars"))
+            yield batch_of(
+                (ids, urls, texts, [len(t) for t in texts]), (pa.int64(), pa.string(), pa.string(), pa.int64()),
+                ("page_id", "url", "text", "n_chars")
+            )
 
     return rows.join(found, "host", "left").select("page_id", "url", "html", "template", "sure").mapInArrow(frugal(run), SCHEMA)

@@ -216,7 +216,10 @@ def sign(parts: int):
                         once[p] = (i, s)
             if once:
                 docs = np.array([i for i, _ in once.values()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed(docs, [s for _, s in once.values()], parts)), (pa.int64(), pa.binary()))], names=["key", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*packed(docs, [s for _, s in once.values()], parts)), (pa.int64(), pa.binary()))],
+                    names=["key", "data"]
+                )
 
     return run
 
@@ -244,7 +247,12 @@ def packed(docs: np.ndarray, sets: list[np.ndarray], parts: int):
         rows = at[lo:hi]
         six = (sig[lo:hi] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         head = np.array([hi - lo, ehi - elo], "<u4")
-        yield key, b"".join(x.tobytes() for x in (head, docs[rows].astype("<i8"), a[elo:ehi].astype("<i8"), b[elo:ehi].astype("<i8"), sizes[rows].astype("<u4"), sketches[rows], hot[lo:hi].astype(np.uint8), six))
+        yield key, b"".join(
+            x.tobytes() for x in (
+                head, docs[rows].astype("<i8"), a[elo:ehi].astype("<i8"), b[elo:ehi].astype("<i8"), sizes[rows].astype("<u4"),
+                sketches[rows], hot[lo:hi].astype(np.uint8), six
+            )
+        )
 
 
 def unpacked(bucket: int, data: bytes):
@@ -451,7 +459,9 @@ def compressed(batches):
 
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([pack(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "text"]
+        )
 
 
 def links(rows: DataFrame, own: DataFrame) -> DataFrame:
@@ -461,7 +471,9 @@ def links(rows: DataFrame, own: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     parts = partitions(spark)
-    met = rows.mapInArrow(frugal(sign(parts)), "key long, data binary").repartitionById(parts, F.col("key").cast("int")).mapInArrow(frugal(meet), "a long, b long")
+    met = rows.mapInArrow(
+        frugal(sign(parts)), "key long, data binary"
+    ).repartitionById(parts, F.col("key").cast("int")).mapInArrow(frugal(meet), "a long, b long")
     # A document's trees meet under it: what is left is about one edge a document, whatever the buckets.
     met = met.repartition(parts, "a").mapInArrow(frugal(merge_forests), "a long, b long")
     copies = own.where("rep < doc_id").groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -479,7 +491,9 @@ def links(rows: DataFrame, own: DataFrame) -> DataFrame:
     # A merge join at every size: the nodes are no bounded number.
     sets = stored(texts.join(placed.hint("merge"), texts.doc_id == placed.node).select("node", "root", "n", "blocks", "block", F.col("text").alias("data")))
     base = sets.withColumn("role", F.lit(0))
-    firsts = base.where("node = root and blocks > 1").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> block").drop("block").withColumnRenamed("at", "block")
+    firsts = base.where("node = root and blocks > 1").withColumn(
+        "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).where("at <> block").drop("block").withColumnRenamed("at", "block")
     found = stored(in_groups(base.unionByName(firsts), parts))
     large = placed.where("blocks > 1")
     if large.isEmpty():
@@ -497,8 +511,12 @@ def links(rows: DataFrame, own: DataFrame) -> DataFrame:
         counts = rest.groupBy("root").agg(lots.alias("lots"))
         asking = rest.join(counts, "root").select("node", F.pmod(F.xxhash64("node", F.lit(7)), F.col("lots")).cast("int").alias("lot"), "lots")
         wide = sets.where("blocks > 1")
-        asked = wide.join(asking, "node").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("at") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(1))
-        there = wide.join(counts, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("block", F.col("block") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(0))
+        asked = wide.join(asking, "node").withColumn(
+            "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        ).withColumn("block", F.col("at") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(1))
+        there = wide.join(counts, "root").withColumn(
+            "lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))
+        ).withColumn("block", F.col("block") * F.col("lots") + F.col("lot")).withColumn("role", F.lit(0))
         cols = ["node", "root", "block", "role", "data"]
         more = stored(in_groups(there.select(cols).unionByName(asked.select(cols)), parts))
         first, found = found, stored(found.unionByName(more))
@@ -518,12 +536,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = plain(docs)
     summary = stored(rows.mapInArrow(frugal(summarise), "doc_id long, n long, f1 long, f2 long"))
     own = summary.withColumnRenamed("n", "n_shingles")
-    same = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    own = stored(own.join(same, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")))
+    same = own.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(
+        F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")
+    ).where("rep < last").drop("last")
+    own = stored(
+        own.join(same, ["n_shingles", "f1", "f2"], "left").select(
+            "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")
+        )
+    )
     found = links(rows, own)
     roots = components(found)
     dropped(summary, found)
-    return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
+    return own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id")
+    )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -49,7 +49,9 @@ class KernelModel:
         codes, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int32), np.zeros(0, int))
         keep = np.flatnonzero(counts >= min(LEAST_TEXTS, max(1, len(sets) // 2)))
         self.codes = codes[keep]
-        pick = np.concatenate([np.flatnonzero(np.array(langs) == c)[: max(1, landmarks // max(1, len(self.langs)))] for c in self.langs]) if langs else np.zeros(0, int)
+        pick = np.concatenate(
+            [np.flatnonzero(np.array(langs) == c)[: max(1, landmarks // max(1, len(self.langs)))] for c in self.langs]
+        ) if langs else np.zeros(0, int)
         self.landmarks = self.normal(self.presence([texts[i] for i in pick]))
         k = np.concatenate([self.kernels(texts[lo : lo + AT_ONCE]) for lo in range(0, len(texts), AT_ONCE)] or [np.zeros((0, len(pick)), np.float32)])
         values, vectors = np.linalg.eigh(self.landmarks @ self.landmarks.T) if len(pick) else (np.zeros(0), np.zeros((0, 0)))
@@ -141,7 +143,10 @@ def predicted(docs: DataFrame, model: KernelModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             langs, scores = m.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=["doc_id", "held_out", "lang_pred", "score"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -40,10 +40,17 @@ def targets(sources: DataFrame) -> DataFrame:
     """
     by = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.get(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(by) - 1) % len(WEIGHTS))
-    s = sources.withColumn("w", weight.cast("double")).withColumn("cap", (MOST * F.col("source_size")).cast("double")).withColumn("r", F.col("cap") / F.col("w"))
+    s = sources.withColumn("w", weight.cast("double")).withColumn(
+        "cap", (MOST * F.col("source_size")).cast("double")
+    ).withColumn("r", F.col("cap") / F.col("w"))
     up = W.orderBy("r", F.col("source").asc_nulls_last())
     budget = F.lit(SHARE) * F.sum("source_size").over(W.partitionBy())
-    s = s.withColumn("level", (budget - F.coalesce(F.sum("cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(up.rowsBetween(0, W.unboundedFollowing)))
+    s = s.withColumn(
+        "level",
+        (
+            budget - F.coalesce(F.sum("cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        ) / F.sum("w").over(up.rowsBetween(0, W.unboundedFollowing))
+    )
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "level"))).over(W.partitionBy())["level"])
     return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
@@ -55,14 +62,20 @@ def taken(rows: DataFrame) -> DataFrame:
     digits = max(1, math.ceil(math.log(max(1, most / RANGE_ROWS), 16)) + 1)
     rows = rows.withColumn("range", F.substring("key", 1, digits)).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     ranges = rows.groupBy("s", "range").agg(F.sum("size").alias("sum"))
-    ranges = ranges.select("s", "range", F.coalesce(F.sum("sum").over(W.partitionBy("s").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranges = ranges.select(
+        "s", "range",
+        F.coalesce(F.sum("sum").over(W.partitionBy("s").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
     goal = targets(totals.drop("n")).withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     inside = F.coalesce(F.sum("size").over(W.partitionBy("s", "range").orderBy("key", "size", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = rows.withColumn("inside", inside).join(ranges, ["s", "range"]).join(goal, "s")
     goal_words = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal_words / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
     rest = goal_words - epochs * F.col("source_size") - F.col("before") - F.col("inside")
-    return out.select("doc_id", "source", "h", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).cast("long").alias("taken"))
+    return out.select(
+        "doc_id", "source", "h", "size", "source_size", "target",
+        (epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).cast("long").alias("taken")
+    )
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
@@ -81,8 +94,14 @@ def mixed(docs: DataFrame) -> DataFrame:
     equal id and text share what they take alike. Rows that take nothing go, so null and blank texts do.
     """
     names = docs.columns
-    plan = taken(stored(sized(docs))).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("h").alias("_h")).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_h"))
+    plan = taken(stored(sized(docs))).groupBy(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("h").alias("_h")
+    ).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_k"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_h")
+    )
     rows = own.join(plan, ["_k", "_h"]).withColumn("_part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("_taken") / F.col("_size")))))
     left = F.col("_taken") - (F.col("_part") - 1) * F.col("_size")
     whole = F.col("_row")["text"].cast("string")

@@ -78,7 +78,10 @@ def header(word: bytes) -> dict | None:
     size = (12000 * kbps // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hertz + pad
     mono = word[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return {"version": version, "layer": layer, "kbps": kbps, "hertz": hertz, "samples": samples, "size": size, "protected": not word[1] & 1, "side": side, "mono": mono}
+    return {
+        "version": version, "layer": layer, "kbps": kbps, "hertz": hertz, "samples": samples, "size": size, "protected": not word[1] & 1,
+        "side": side, "mono": mono
+    }
 
 
 def tag(size_hint: int) -> bytes:
@@ -165,7 +168,10 @@ def parse(data: bytes) -> dict:
     hertz = heads[0]["hertz"] if heads else 0
     samples = sum(h["samples"] for h in heads)
     duration = sum((Fraction(n * m, hz) for (m, hz), n in Counter((h["samples"], h["hertz"]) for h in heads).items()), Fraction(0))
-    return {"duration": duration, "tags": tags, "table": table, "offsets": offsets, "heads": heads, "skipped": skipped, "bad_checksums": bad, "samples": samples, "hertz": hertz, "seconds": samples / hertz if hertz else 0.0}
+    return {
+        "duration": duration, "tags": tags, "table": table, "offsets": offsets, "heads": heads, "skipped": skipped, "bad_checksums": bad,
+        "samples": samples, "hertz": hertz, "seconds": samples / hertz if hertz else 0.0
+    }
 
 
 def decode(data: bytes, parsed: dict | None = None) -> bytes:
@@ -191,7 +197,10 @@ def media(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(padded(t or b"")) for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([encode(padded(t or b"")) for t in as_bytes(batch.column(1))], pa.binary())],
+                names=["doc_id", "media"]
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
 

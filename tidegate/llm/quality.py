@@ -48,15 +48,31 @@ def counts(text) -> list:
 
         def covered(h):
             pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-            return let(pairs, lambda s: let(F.sort_array(F.transform(F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])), lambda x: x["i"])), lambda p: total(p)))
+            return let(
+                pairs,
+                lambda s: let(
+                    F.sort_array(
+                        F.transform(
+                            F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])), lambda x: x["i"]
+                        )
+                    ),
+                    lambda p: total(p)
+                )
+            )
 
         def total(p):
-            return F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")))["n"]
+            return F.aggregate(
+                p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a,
+                i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
+            )["n"]
 
         return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
     lines_n = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return [F.size(words).cast("long").alias("n_words"), word_chars.alias("word_chars"), n_symbols.alias("n_symbols"), lines_n.alias("n_dup_lines"), let(words, repeated).alias("n_repeat_words")]
+    return [
+        F.size(words).cast("long").alias("n_words"), word_chars.alias("word_chars"), n_symbols.alias("n_symbols"),
+        lines_n.alias("n_dup_lines"), let(words, repeated).alias("n_repeat_words")
+    ]
 
 
 def let(value, body):
@@ -90,7 +106,9 @@ def thresholds(rated: DataFrame) -> DataFrame:
     def sketches(name, levels=LEVELS):
         return [sketch(F.when(passed, F.col(f"_{m}")), levels).alias(f"_{name}_{m}") for m in GAPS]
 
-    groups = rated.groupBy("_lang", "_source").agg(F.count_if(passed).alias("_n"), *sketches("group"), *(sketch(F.col(f"_{m}"), [0.5, 0.75]).alias(f"_own_{m}") for m in GAPS))
+    groups = rated.groupBy("_lang", "_source").agg(
+        F.count_if(passed).alias("_n"), *sketches("group"), *(sketch(F.col(f"_{m}"), [0.5, 0.75]).alias(f"_own_{m}") for m in GAPS)
+    )
     langs = rated.groupBy(F.col("_lang").alias("_of")).agg(*sketches("lang"))
     # One value for each rate.
     caps = dict(zip(GAPS, (x[0] if x else None for x in rated.agg(*sketches("cap", [CAP])).first())))

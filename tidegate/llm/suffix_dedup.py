@@ -158,7 +158,9 @@ def deal(rows):
     import pyarrow as pa
 
     cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "doc_id", "kind", "data"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "doc_id", "kind", "data"]
+    )
 
 
 def find_anchors(parts: int):
@@ -211,7 +213,9 @@ def find_anchors(parts: int):
             if hi > lo:
                 new = np.flatnonzero(np.concatenate([[True], np.diff(doc[lo:hi]) != 0]))
                 head = np.array([hi - lo, len(new)], "<u4").tobytes()
-                yield int(bucket[lo]), 0, ANCHORS, head + h[lo:hi].astype("<u8").tobytes() + planes(pos[lo:hi].astype("<u4")) + planes(doc[lo:hi][new].astype("<i8")) + planes(np.diff([*new, hi - lo]).astype("<u4"))
+                yield int(bucket[lo]), 0, ANCHORS, head + h[lo:hi].astype("<u8").tobytes() + planes(pos[lo:hi].astype("<u4")) + planes(doc[lo:hi][new].astype("<i8")) + planes(
+                    np.diff([*new, hi - lo]).astype("<u4")
+                )
 
     def run(batches):
         ids, texts, size = [], [], 0
@@ -280,7 +284,13 @@ def surround(parts: int, dictionary: bytes):
             cut = np.flatnonzero(np.diff(bucket[o])) + 1
             for s in np.split(o, cut):
                 if len(s):
-                    raw = b"".join([np.array([len(s)], "<u4").tobytes(), planes(h[s].astype("<u8")), planes(doc[s].astype("<i8")), planes(pos[s].astype("<u4")), lav[s].astype(np.uint8).tobytes(), rav[s].astype(np.uint8).tobytes(), ctx[s].tobytes()])
+                    raw = b"".join(
+                        [
+                            np.array([len(s)], "<u4").tobytes(), planes(h[s].astype("<u8")), planes(doc[s].astype("<i8")),
+                            planes(pos[s].astype("<u4")), lav[s].astype(np.uint8).tobytes(), rav[s].astype(np.uint8).tobytes(),
+                            ctx[s].tobytes()
+                        ]
+                    )
                     yield int(bucket[s[0]]), 0, ANCHORS, zstandard.compress(raw, 3)
 
         for batch in batches:
@@ -476,7 +486,14 @@ def compare(parts: int):
                 if r["kind"] == ANCHORS:
                     d = zstandard.decompress(r["data"])
                     n = int(np.frombuffer(d, "<u4", 1)[0])
-                    held.append((unplaned(d, "<u8", n, 4), unplaned(d, "<i8", n, 4 + 8 * n), unplaned(d, "<u4", n, 4 + 16 * n).astype(np.int64), np.frombuffer(d, np.uint8, n, 4 + 20 * n).astype(np.int64), np.frombuffer(d, np.uint8, n, 4 + 21 * n).astype(np.int64), np.frombuffer(d, np.uint8, n * WIDTH, 4 + 22 * n).reshape(n, WIDTH)))
+                    held.append(
+                        (
+                            unplaned(d, "<u8", n, 4), unplaned(d, "<i8", n, 4 + 8 * n), unplaned(d, "<u4", n, 4 + 16 * n).astype(np.int64),
+                            np.frombuffer(d, np.uint8, n, 4 + 20 * n).astype(np.int64),
+                            np.frombuffer(d, np.uint8, n, 4 + 21 * n).astype(np.int64),
+                            np.frombuffer(d, np.uint8, n * WIDTH, 4 + 22 * n).reshape(n, WIDTH)
+                        )
+                    )
         if held:
             doc, a, b = repeated(*(np.concatenate(x) for x in zip(*held)))
             yield deal(marks_rows(doc, a, b, parts))
@@ -532,7 +549,13 @@ def compressed(docs: DataFrame, dictionary: bytes, parts: int) -> DataFrame:
             n = len(batch)
             ids = batch.column(0)
             key = doc_bucket(np.array([x or 0 for x in ids.to_pylist()], np.int64), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), ids, pa.array([TEXT] * n, pa.int32()), pa.array([packed(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], names=["key", "doc_id", "kind", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key, pa.int64()), ids, pa.array([TEXT] * n, pa.int32()),
+                    pa.array([packed(t or b"") for t in as_bytes(batch.column(1))], pa.binary())
+                ],
+                names=["key", "doc_id", "kind", "data"]
+            )
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -587,7 +610,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 m.append(len(text) - len(kept))
                 k.append(spans)
                 s.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            )
 
     out = compressed(rows, dictionary, parts).select("doc_id", "data").join(removed_spans(rows, dictionary), "doc_id", "left")
     return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -608,10 +634,15 @@ def cut_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             kept = [t if m is None or t is None else without(t, m)[0] for t, m in zip(texts, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else t.decode("utf-8", "ignore") for t in kept], pa.string())], names=["_row", "_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([None if t is None else t.decode("utf-8", "ignore") for t in kept], pa.string())],
+                names=["_row", "_text"]
+            )
 
     own = docs.select(F.col("doc_id").cast("long").alias("_k"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
     joined = own.join(removed_spans(plain(docs), dictionary_of(plain(docs))).withColumnRenamed("doc_id", "_k"), "_k", "left")
-    joined = joined.select("_row", F.col("_row")["text"].cast("string").alias("_text"), "marks").mapInArrow(cut, joined.select("_row", F.lit(None).cast("string").alias("_text")).schema)
+    joined = joined.select("_row", F.col("_row")["text"].cast("string").alias("_text"), "marks").mapInArrow(
+        cut, joined.select("_row", F.lit(None).cast("string").alias("_text")).schema
+    )
     put = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return joined.select(*((put[c] if c in put else F.col("_row").getField(c)).alias(c) for c in names))

@@ -157,7 +157,9 @@ def write_warc(archive: DataFrame, path: str) -> DataFrame:
                     data = pack.compress(record or b"") + pack.flush()
                     out.write(data)
                     n, size = n + 1, size + len(data)
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name], pa.string()), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"]
+        )
 
     return stored(archive.select("record").mapInArrow(run, "file string, records long, bytes long"))
 
@@ -208,7 +210,10 @@ def leaves_of_files(files: DataFrame) -> DataFrame:
         rows = []
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int64(), pa.string(), pa.int64()))], names=["page_id", "digest", "length"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int64(), pa.string(), pa.int64()))],
+                names=["page_id", "digest", "length"]
+            )
 
         for batch in batches:
             for file in batch.column(0).to_pylist():
@@ -299,8 +304,16 @@ def tree(rows: DataFrame) -> dict[int, DataFrame]:
     out[None] = table
     for level in range(SHARD + 1, LEVELS + 1):
         child = F.struct("key", "digest", (F.col("stop") - F.col("start")).alias("size"))
-        up = out[level - 1].groupBy(F.shiftright("key", BITS).alias("key")).agg(F.sort_array(F.collect_list(child)).alias("children"), F.lit(0).cast("long").alias("start"), F.sum(F.col("stop") - F.col("start")).alias("stop"))
-        digest = F.sha2(F.concat_ws("|", F.lit(level), F.transform("children", lambda c: F.concat_ws(":", c["key"], c["digest"], c["size"]))).cast("binary"), 256)
+        up = out[level - 1].groupBy(F.shiftright("key", BITS).alias("key")).agg(
+            F.sort_array(F.collect_list(child)).alias("children"), F.lit(0).cast("long").alias("start"),
+            F.sum(F.col("stop") - F.col("start")).alias("stop")
+        )
+        digest = F.sha2(
+            F.concat_ws(
+                "|", F.lit(level), F.transform("children", lambda c: F.concat_ws(":", c["key"], c["digest"], c["size"]))
+            ).cast("binary"),
+            256
+        )
         out[level] = stored(up.select("key", digest.alias("digest"), "start", "stop"))
     return out
 
@@ -331,15 +344,28 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     a, b = tree(first), tree(second)
     bad = descend(a, b)
     names = ["key", "page_id", "digest", "length"]
-    good = a[RECORD].join(bad, "key", "left_anti").select(*names, "copies", "start", F.lit("intact").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("r_start", "long"), ("r_length", "long"), ("r_digest", "string"))), F.col("page_id").alias("r_page_id"))
+    good = a[RECORD].join(bad, "key", "left_anti").select(
+        *names, "copies", "start", F.lit("intact").alias("status"),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("r_start", "long"), ("r_length", "long"), ("r_digest", "string"))),
+        F.col("page_id").alias("r_page_id")
+    )
     x, y = (t[RECORD].join(bad, "key", "left_semi") for t in (a, b))
     x, y = x.alias("x"), y.alias("y")
     same = F.lit(True)
     for c in names:
         same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
     n, m = (F.coalesce(F.col(f"{t}.copies"), F.lit(0)) for t in "xy")
-    both = stored(x.join(y, same, "full_outer").select(*(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in names), F.col("x.start").alias("start"), F.col("y.start").alias("r_start"), n.alias("n"), m.alias("m")))
-    kept = both.where("least(n, m) > 0").select(*names, F.least("n", "m").alias("copies"), "start", F.lit("intact").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("r_start", "long"), ("r_length", "long"), ("r_digest", "string"))), F.col("page_id").alias("r_page_id"))
+    both = stored(
+        x.join(y, same, "full_outer").select(
+            *(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in names), F.col("x.start").alias("start"), F.col("y.start").alias("r_start"),
+            n.alias("n"), m.alias("m")
+        )
+    )
+    kept = both.where("least(n, m) > 0").select(
+        *names, F.least("n", "m").alias("copies"), "start", F.lit("intact").alias("status"),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("r_start", "long"), ("r_length", "long"), ("r_digest", "string"))),
+        F.col("page_id").alias("r_page_id")
+    )
     order = W.partitionBy("key").orderBy("page_id", "digest", "length", "copy")
 
     def left(over, under, start):
@@ -349,7 +375,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
     u, v = left("n", "m", "start").alias("u"), left("m", "n", "r_start").alias("v")
     status = F.when(F.col("u.at").isNull(), "extra").when(F.col("v.at").isNull(), "lost").otherwise("changed")
-    odd = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.at") == F.col("v.at")), "full_outer").select(F.coalesce("u.key", "v.key").alias("key"), *(F.col(f"u.{c}").alias(c) for c in names[1:]), F.lit(1).cast("long").alias("copies"), F.col("u.start").alias("start"), status.alias("status"), F.col("v.start").alias("r_start"), F.col("v.length").alias("r_length"), F.col("v.digest").alias("r_digest"), F.col("v.page_id").alias("r_page_id"))
+    odd = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.at") == F.col("v.at")), "full_outer").select(
+        F.coalesce("u.key", "v.key").alias("key"), *(F.col(f"u.{c}").alias(c) for c in names[1:]), F.lit(1).cast("long").alias("copies"),
+        F.col("u.start").alias("start"), status.alias("status"), F.col("v.start").alias("r_start"), F.col("v.length").alias("r_length"),
+        F.col("v.digest").alias("r_digest"), F.col("v.page_id").alias("r_page_id")
+    )
     rows = good.unionByName(kept).unionByName(odd).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     rows = rows.withColumn("shard", F.shiftright("key", BITS * SHARD))
     out = rows.join(a[SHARD].select(F.col("key").alias("shard"), F.col("digest").alias("shard_root")), "shard", "left")
