@@ -5,6 +5,8 @@ A fact counts only if it is strictly older than the cut on every clock: act < cu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,28 +147,82 @@ def snapshot(q: DataFrame, feed: DataFrame) -> DataFrame:
     return rows.drop("latest_act", "context_act", "latest_acc", "context_acc").select("*", *snapshot_ratios())
 
 
+#: Of the outcomes a query may use: columns of rows, and what service_history() makes of them.
+OUTCOME = ("qid", "d", "s", "act", "delay", "history_count", "pending_count", "previous_age_minutes")
+SERVICE = {
+    "service_mean_delay": "double", "service_median_delay": "double", "service_max_delay": "double", "service_p90_delay": "double",
+    "service_observed_runs": "long", "service_history_coverage": "double", "service_mean_pending": "double",
+    "service_mean_previous_age": "double", "service_latest": "long", "service_last_delay": "double", "service_last_age_minutes": "double",
+}
+
+
+def service_summary(past: dict[str, np.ndarray], cut: int, day: int, span: int) -> tuple | None:
+    """SERVICE's values of the outcomes (in order of act) that a query with this cut and day may use; None if there are none. Unknown numbers are NaN."""
+    low, high = np.searchsorted(past["act"], [cut - span, cut])
+    at = low + np.flatnonzero((past["s"][low:high] < cut) & (past["d"][low:high] != day))
+    if not len(at):
+        return None
+
+    def mean(x):
+        x = x[~np.isnan(x)]
+        return float(x.mean()) if len(x) else None
+
+    delays = past["delay"][at]
+    known = delays[~np.isnan(delays)]
+    latest = at[past["act"][at] == past["act"][at[-1]]]
+    last = latest[np.argmin(past["qid"][latest])]
+    history = past["history_count"][at]
+    last_delay = past["delay"][last]
+    return (
+        mean(delays),
+        *(
+            float(x) if len(known) else None for x in (
+                np.median(known) if len(known) else 0, known.max(initial=-np.inf), np.quantile(known, 0.9) if len(known) else 0
+            )
+        ),
+        len(at), mean(np.where(np.isnan(history), np.nan, history > 0)), mean(past["pending_count"][at]),
+        mean(past["previous_age_minutes"][at]), int(max(past["act"][last], past["s"][at].max())),
+        None if np.isnan(last_delay) else float(last_delay), (cut - int(past["act"][last])) / MINUTE,
+    )
+
+
 def service_history(rows: DataFrame, days: int = 28) -> DataFrame:
     """rows: qid, d, n, ty, s, cut, act, delay, known, history_count, pending_count, previous_age_minutes of past queries.
 
     For each: the outcomes of the same number and type on other dates within days before the cut, if the row's own plan is known.
-    Both the outcome and the earlier query's time are before the cut. A bounded range join by (n, ty) and time.
+    Both the outcome and the earlier query's time are before the cut. Queries and outcomes meet by (n, ty) in slices of
+    time, outcomes in the slice after theirs too, so no pair is a row; exact quantiles come from a query's own range.
     """
+    import pyarrow as pa
+
     span = days * 1440 * MINUTE
-    own = rows.where("known").select("qid", "d", F.col("n").alias("k_n"), F.col("ty").alias("k_ty"), "cut")
-    past = rows.where("act is not null").select(
-        F.col("n").alias("k_n"), F.col("ty").alias("k_ty"),
-        *(F.col(c).alias(f"x_{c}") for c in ("qid", "d", "s", "act", "delay", "history_count", "pending_count", "previous_age_minutes"))
+    width = 4 * span
+    day = F.datediff("d", F.lit("1970-01-01")).alias("d")
+    numbers = [F.col(c).cast("double").alias(c) for c in OUTCOME[4:]]
+    keyed = rows.where("n is not null and ty is not null")
+    nothing = [F.lit(None).cast("double").alias(c) for c in OUTCOME[4:]]
+    asked = keyed.where("known and cut is not null").select(
+        "n", "ty", F.floor(F.col("cut") / F.lit(width)).alias("slice"), "qid", day, F.lit(None).cast("long").alias("s"),
+        F.col("cut").alias("act"), *nothing, F.lit(True).alias("asks")
     )
-    pairs = in_window(own, past, ["k_n", "k_ty"], "x_act", F.col("cut") - F.lit(span), F.col("cut"), span).where("x_s < cut and x_d <> d")
-    g = pairs.groupBy("qid", "cut").agg(
-        F.avg("x_delay").alias("service_mean_delay"), F.median("x_delay").alias("service_median_delay"),
-        F.max("x_delay").alias("service_max_delay"), F.percentile("x_delay", F.lit(0.9)).alias("service_p90_delay"),
-        F.max(F.struct("x_act", -F.col("x_qid"), "x_delay")).alias("last"), F.count("*").alias("service_observed_runs"),
-        F.avg((F.col("x_history_count") > 0).cast("double")).alias("service_history_coverage"),
-        F.avg("x_pending_count").alias("service_mean_pending"), F.avg("x_previous_age_minutes").alias("service_mean_previous_age"),
-        F.greatest(F.max("x_act"), F.max("x_s")).alias("service_latest"),
-    )
-    g = g.withColumn("service_last_delay", F.col("last")["x_delay"]).withColumn(
-        "service_last_age_minutes", minutes(F.col("cut"), F.col("last")["x_act"])
-    ).drop("last", "cut")
-    return rows.select("qid").join(g, "qid", "left")
+    here = F.floor(F.col("act") / F.lit(width))
+    past = keyed.where("act is not null and s is not null and d is not null").select(
+        "n", "ty", F.explode(F.array(here, here + 1)).alias("slice"), "qid", day, "s", "act", *numbers, F.lit(False).alias("asks")
+    )
+
+    def summaries(table):
+        asks = table["asks"]
+        own, told = table.filter(asks), table.filter(pc.invert(asks)).sort_by([("act", "ascending"), ("qid", "ascending")])
+        facts = {c: told[c].to_numpy() for c in OUTCOME}
+        out = []
+        for qid, d, cut in zip(*(own[c].to_pylist() for c in ("qid", "d", "act"))):
+            found = None if d is None else service_summary(facts, cut, d, span)
+            if found:
+                out.append((qid, *found))
+        kinds = [pa.int64(), *(pa.int64() if k == "long" else pa.float64() for k in SERVICE.values())]
+        cols = list(zip(*out)) or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["qid", *SERVICE])
+
+    schema = "qid long, " + ", ".join(f"{c} {k}" for c, k in SERVICE.items())
+    found = asked.unionByName(past).groupBy("n", "ty", "slice").applyInArrow(summaries, schema)
+    return rows.select("qid").join(found, "qid", "left")
