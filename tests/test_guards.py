@@ -212,6 +212,36 @@ def test_retry_after():
     assert archive.wait_of("Thu, 01 Jan 1970 00:01:40 GMT", 0, now=40.0) == 60.0 and archive.wait_of("9999", 0) == 300.0 and archive.wait_of("-5", 0) == 0.0
 
 
+def test_http_client(tmp_path):
+    """A refused request waits as long as the server says; the answer is kept with its hash and not asked for again."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(503 if len(asked) == 1 else 200)
+            self.send_header("Retry-After", "7")
+            self.end_headers()
+            self.wfile.write(b"<x/>")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    waits = []
+    get = archive.http_get(lambda w: f"http://127.0.0.1:{server.server_port}/?from={w[0]}&to={w[1]}")
+    for _ in range(2):
+        assert archive.fetch_cached((1, 2), str(tmp_path), get, sleep=waits.append) == b"<x/>"
+    assert waits == [7.0] and asked == ["/?from=1&to=2"] * 2
+    (tmp_path / "1_2.xml").write_bytes(b"damaged")
+    assert archive.fetch_cached((1, 2), str(tmp_path), get) == b"<x/>" and len(asked) == 3
+    server.shutdown()
+
+
 def test_scenarios():
     assert list(encode.SCENARIOS) == [
         n for n in encode.CATEGORY_NAMES[1:] if n != "Freezing Rain" and n != "Black Ice"

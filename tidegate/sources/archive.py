@@ -253,6 +253,23 @@ def wait_of(retry_after: str | float | None, attempt: int, now: float | None = N
     return min(max(wait, 0.0), 300.0)
 
 
+def http_get(url_of, timeout: float = 60.0):
+    """get(window) for fetch_cached(): the body at url_of(window). A refusal is an OSError that carries the server's Retry-After."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    def get(window: tuple[int, int]) -> bytes:
+        try:
+            with urlopen(Request(url_of(window), headers={"Accept": "application/xml"}), timeout=timeout) as response:
+                return response.read()
+        except HTTPError as e:
+            refused = OSError(f"HTTP {e.code}")
+            refused.retry_after = e.headers.get("Retry-After")
+            raise refused from e
+
+    return get
+
+
 def fetch_cached(window: tuple[int, int], cache: str, get, tries: int = 4, sleep=None) -> bytes:
     """The response for a window, from the cache if its hash is right, else by get(window) with back-off; get may raise with a retry_after."""
     import hashlib
