@@ -52,6 +52,20 @@ def test_thresholds_adapt(spark):
     assert kept == {*range(50), *range(100, 150)}
 
 
+def test_thresholds_decide_on_the_table(spark):
+    """On the made-up documents limits differ by group, and documents that pass the base rules go by them; quality labels agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rated = quality.with_rates(quality.measured(docs))
+    limits = quality.thresholds(rated).collect()
+    assert all(len({r[f"_max_{m}"] for r in limits}) > 3 for m in ("symbol_rate", "repeat_rate"))
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    by_limits = {i for i, r in got.items() if not r.base_failed and not r.kept}
+    assert len(by_limits) > 10
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    told = [labels[i] for i in by_limits if labels.get(i) is not None]
+    assert len(told) > 10 and sum(told) <= 0.1 * len(told)
+
+
 def test_clean_group_has_low_limits(spark):
     """Symbols under the former floor of 100 per thousand of a corpus without symbols go; noise of a fifth of a group does not lift its limit."""
     words = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
