@@ -208,11 +208,13 @@ def faults(seq: np.ndarray, cls: np.ndarray, n_classes: int) -> list[tuple[int,
             continue
         out.append((c, -1, int(np.int64(xxhash.xxh3_64_intdigest(own[:size].tobytes()) >> 1))))
         runs += [(c, a, b) for a, b in zip(at[::size].tolist(), at[size - 1 :: size].tolist())]
-    seen = np.zeros((len(of) + 1, n_classes), np.int64)
-    seen[1:] = np.cumsum(of[:, None] == np.arange(n_classes), axis=0)
     inside = np.zeros((n_classes, n_classes), bool)
-    for c, a, b in runs:
-        inside[c] |= seen[b + 1] > seen[a]
+    for lo in range(0, n_classes, 128):
+        some = np.arange(lo, min(lo + 128, n_classes))
+        seen = np.zeros((len(of) + 1, len(some)), np.int32)
+        np.cumsum(of[:, None] == some, axis=0, out=seen[1:])
+        for c, a, b in runs:
+            inside[c, some] |= seen[b + 1] > seen[a]
     crossed = inside & inside.T
     out += [(i, j, 0) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(crossed))) if i < j]
     return out
