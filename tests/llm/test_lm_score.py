@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,6 +64,46 @@ def test_rare_words_have_their_own_counts(spark, monkeypatch):
     assert abs((with_own[1] - mean[1]) - (math.log(1 / rare) - model.inside[model.rare])) < 1e-6
 
 
+def test_witnesses_against_brute_force(spark, monkeypatch):
+    """Each window looked up is mixed with the share of its word in all other windows between the same words."""
+    monkeypatch.setattr(lm, "VOCABULARY", 8)
+    r = random.Random(2)
+    rows = [
+        (i, " ".join(r.choice("aabbcdefghijkl") for _ in range(r.randint(0, 40)))) for i in range(30)
+    ] + [(30, "c j e f"), (31, "c j e f"), (32, "a"), (33, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = lm.fit(docs)
+    plain, got = ({x.doc_id: x.pll for x in lm.scored(docs, model, None, w).collect()} for w in (False, True))
+    words = {i: [w.encode() for w in (t or "").split()] for i, t in rows}
+    telling = lambda w: w not in model.words or model.telling[model.words[w]]
+    inner = lambda x: [(x[k - 1], x[k], x[k + 1]) for k in range(1, len(x) - 1) if telling(x[k - 1]) or telling(x[k + 1])]
+    seen = Counter(e for x in words.values() for e in inner(x))
+    gained = 0
+    for i, x in words.items():
+        logs, entries, want = model.log_probs([model.numbered(x)]), inner(x), 0.0
+        at = [k for k in range(1, len(x) - 1) if telling(x[k - 1]) or telling(x[k + 1])]
+        for k, e in zip(at, entries):
+            n = sum(c for (a, _, b), c in seen.items() if (a, b) == (e[0], e[2])) - 1
+            if n:
+                want += math.log(math.exp(logs[k]) / (n + 1) + n / (n + 1) * (seen[e] - 1) / n) - logs[k]
+        assert abs(got[i] - plain[i] - want) < 2e-3 * max(1, len(x))
+        gained += bool(entries)
+    assert gained > 15
+
+
+def test_what_occurs_twice_scores_higher(spark, monkeypatch):
+    """Documents that the corpus holds twice stand out from those of the same kind that it holds once."""
+    monkeypatch.setattr(lm, "VOCABULARY", 200)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 8))) for _ in range(1500)]
+    make = lambda: " ".join(words[min(int(r.paretovariate(0.4)), 1500) - 1] for _ in range(300))
+    texts = [make() for _ in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(40)], "doc_id long, text string")
+    got = {x.doc_id: x.pll for x in lm.lm_scores(docs).collect()}
+    line = sorted(got[i] for i in range(40, 240))[180]
+    assert sum(got[i] > line for i in range(40)) > 24
+
+
 def test_every_document_trains(spark):
     """Words that no sampled prefix holds change the network too."""
     long = "a b " * 60_000

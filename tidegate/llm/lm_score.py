@@ -4,6 +4,11 @@ Every token of a text is predicted from the words on both sides: P(word | two wo
 P(class | window) * P(word | class). A network with one hidden layer, trained in numpy, gives the first factor; the
 second comes from counts of all words of all documents. The sum of the logarithms scores a document.
 
+Beside the network, the documents that are scored are witnesses for each other: where a word stands between two words, the
+share of the other windows with these two that hold the same word is mixed in, the masked one left out. What is said
+once gets nothing by this, what is said again elsewhere does. Only windows beside an uncommon word are looked up: others tell
+little and are left to the network, and so no window that is looked up is a large share of all.
+
 Counted over all documents: every word, for the vocabulary, the classes and the share of a word in its class. Words
 outside the vocabulary have one class and one row of the network, and their own counts, which are joined. The network
 starts from a fit on a small sample and is then trained on every token of all documents: each task goes over its own,
@@ -22,16 +27,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, frugal, partitions, small_batches, stored
+from .common import as_bytes, frugal, mix, partitions, small_batches, stored
 
 #: Words of the vocabulary, classes that are one word, classes of the rest; hidden units; words on each side.
 VOCABULARY, SINGLE, SHARED, HIDDEN, SIDE = 16384, 40, 23, 16, 2
 #: The start of the network: documents at most, tokens of all of them at most; training passes and step.
 SAMPLE_DOCS, SAMPLE_TOKENS, PASSES, RATE = 400, 200_000, 3, 0.05
-#: Distinct words that a task counts before it hands them on; tokens scored at once.
-HELD_WORDS, AT_ONCE = 400_000, 65_536
+#: Less than one in so many tokens is an uncommon word. How many other windows weigh as much as the network.
+UNCOMMON, BALANCE = 1 << 17, 1.0
+#: Distinct words that a task counts before it hands them on; tokens taken together, tokens scored at once.
+HELD_WORDS, AT_ONCE, CACHED = 400_000, 65_536, 4096
+#: Lots of tasks whose changes are summed apart.
+SALTS = 16
 #: Tokens of a step on all documents, rows of a table that move together.
-BATCH, BLOCK = 2048, 2048
+BATCH, BLOCK = 4096, 2048
 #: Letters and digits lower-cased, bytes of longer characters as they are, all else between words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -60,13 +69,22 @@ def count_words(batches):
     yield rows(seen)
 
 
+class Numbers(dict):
+    """Numbers of words; all others have one."""
+
+    other = 0
+
+    def __missing__(self, word):
+        return self.other
+
+
 class WindowModel:
     """Vocabulary, classes, and the network: sums of position tables through tanh to class scores."""
 
     def __init__(self, words: list[tuple[bytes, int]], rare_words: int, rare_tokens: int, seed: int = 5):
-        self.words = {w: k for k, (w, _) in enumerate(words)}
+        self.words = Numbers((w, k) for k, (w, _) in enumerate(words))
         counts = np.array([n for _, n in words], float)
-        v = self.rare = len(words)
+        v = self.rare = self.words.other = len(words)
         self.pad = v + 1
         cls = np.zeros(v + 1, np.int64)
         cls[: min(SINGLE, v)] = np.arange(min(SINGLE, v))
@@ -81,6 +99,8 @@ class WindowModel:
         inside = np.append(counts, weight[-1] / max(rare_words, 1))
         self.inside = np.log(inside / weight[cls])
         self.rare_level = float(np.log(inside[-1]))
+        # Uncommon words, and all outside the vocabulary; padding is no word.
+        self.telling = np.append(counts * UNCOMMON < counts.sum() + rare_tokens, [True, False])
         self.prior = np.log(np.maximum(weight, 0.5) / np.maximum(weight, 0.5).sum())
         rng = np.random.default_rng(seed)
         self.tables = (rng.standard_normal((2 * SIDE, v + 2, HIDDEN)) * 0.1).astype(np.float32)
@@ -89,8 +109,10 @@ class WindowModel:
         self.out_bias = self.prior.astype(np.float32).copy()
 
     def ids(self, text: bytes | None) -> np.ndarray:
-        get, rare = self.words.get, self.rare
-        return np.array([get(w, rare) for w in tokens(text)], np.int32)
+        return self.numbered(tokens(text))
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
 
     def windows(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(padded ids, places of tokens): documents one after the other with padding between."""
@@ -100,8 +122,11 @@ class WindowModel:
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         offsets = [o for o in range(-SIDE, SIDE + 1) if o]
-        h = self.bias + sum(self.tables[k][padded[at + o]] for k, o in enumerate(offsets))
-        return np.tanh(h)
+        h = self.tables[0][padded[at + offsets[0]]]
+        for k, o in enumerate(offsets[1:], 1):
+            h += self.tables[k][padded[at + o]]
+        h += self.bias
+        return np.tanh(h, out=h)
 
     def train(self, parts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 6) -> None:
         """Adagrad on the cross-entropy of the masked token's class, in mini-batches."""
@@ -113,13 +138,17 @@ class WindowModel:
             for lo in range(0, len(order), 256):
                 self.step(padded, order[lo : lo + 256], memory, rate)
 
+    def bounded(self) -> bool:
+        """Whether no score of a class can leave a float's range as an exponent: hidden units are between -1 and 1."""
+        return float(np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max()) < 60
+
     def memory(self) -> list[np.ndarray]:
         return [np.full(x.shape, 1e-4, np.float32) for x in (self.tables, self.bias, self.out, self.out_bias)]
 
     def step(self, padded: np.ndarray, at: np.ndarray, memory: list[np.ndarray], rate: float = RATE) -> None:
         h = self.hidden(padded, at)
         s = h @ self.out + self.out_bias
-        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p = np.exp(s if self.bounded() else s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(at)), self.cls[padded[at]]] -= 1
         back = (p @ self.out.T) * (1 - h * h)
@@ -166,7 +195,10 @@ class WindowModel:
             for lo in range(0, used.shape[1], BLOCK):
                 w = used[k, lo : lo + BLOCK, None]
                 yield k * (1 << 20) + lo, np.hstack([(own.tables[k, lo : lo + BLOCK] - self.tables[k, lo : lo + BLOCK]) * w, w])
-        yield -1, np.append(np.concatenate([(getattr(own, x) - getattr(self, x)).ravel() for x in ("bias", "out", "out_bias")]) * np.float32(total), np.float32(total))
+        yield -1, np.append(
+            np.concatenate([(getattr(own, x) - getattr(self, x)).ravel() for x in ("bias", "out", "out_bias")]) * np.float32(total),
+            np.float32(total)
+        )
 
     def change(self, block: int, values: np.ndarray) -> None:
         """Applies a block's sum over all tasks."""
@@ -183,26 +215,59 @@ class WindowModel:
     def log_probs(self, parts: list[np.ndarray]) -> np.ndarray:
         """Conditional log-probability of each token of all parts, in order."""
         padded, places = self.windows(parts)
-        out = np.zeros(len(places))
-        for lo in range(0, len(places), AT_ONCE):
-            at = places[lo : lo + AT_ONCE]
+        out, bounded = np.zeros(len(places)), self.bounded()
+        for lo in range(0, len(places), CACHED):
+            at = places[lo : lo + CACHED]
             s = self.hidden(padded, at) @ self.out + self.out_bias
-            top = s.max(axis=1)
-            total = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+            top = np.float32(0) if bounded else s.max(axis=1)
+            total = np.log(np.exp(s if bounded else s - top[:, None]).sum(axis=1)) + top
             token = padded[at]
-            out[lo : lo + AT_ONCE] = s[np.arange(len(at)), self.cls[token]].astype(float) - total + self.inside[token]
+            out[lo : lo + CACHED] = s[np.arange(len(at)), self.cls[token]].astype(float) - total + self.inside[token]
         return out
 
     def score(self, texts: list[bytes | None]) -> tuple[list[int], list[float]]:
         """(tokens, sum of their log-probabilities) of each text."""
         return self.score_ids([self.ids(t) for t in texts])
 
-    def score_ids(self, parts: list[np.ndarray]) -> tuple[list[int], list[float]]:
+    def score_ids(self, parts: list[np.ndarray], logs: np.ndarray | None = None) -> tuple[list[int], list[float]]:
         n = [len(p) for p in parts]
-        sums = np.concatenate([[0.0], np.cumsum(self.log_probs(parts))])
+        sums = np.concatenate([[0.0], np.cumsum(self.log_probs(parts) if logs is None else logs)])
         ends = np.cumsum(n)
         return n, [float(x) for x in sums[ends] - sums[ends - np.array(n, int)]] if n else []
 
+    def looked_up(self, parts: list[np.ndarray], words: list[list[bytes]], logs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, hash of the neighbours with that of the word in its last 16 bits, logarithm of the word's probability) of the windows that other documents may witness."""
+        named = [x.astype(np.uint64) for x in parts]
+        for x, own in zip(named, words):
+            rare = np.flatnonzero(x == self.rare)
+            x[rare] = hashes([own[k] for k in rare])
+        padded, places = self.windows(parts)
+        left, right = padded[places - 1], padded[places + 1]
+        some = np.flatnonzero((self.telling[left] | self.telling[right]) & (left != self.pad) & (right != self.pad))
+        gap = np.zeros(SIDE, np.uint64)
+        spread = np.concatenate([gap, *(x for p in named for x in (p, gap))])
+        at = places[some]
+        key, word = mix(mix(spread[at - 1]) ^ spread[at + 1] * ODD), mix(spread[at])
+        doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[some]
+        return doc, key >> WORD_BITS << WORD_BITS | word >> np.uint64(48), logs[some]
+
+
+def witnessed(code: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """What each window's logarithm gains by the other windows with its neighbours; all of them are given."""
+    o = np.argsort(code)
+    code, log = code[o], log[o]
+    if not len(o):
+        return log
+    key = code >> WORD_BITS
+    new_key, new = (np.concatenate([[True], x[1:] != x[:-1]]) for x in (key, code))
+    total, same = (np.diff([*np.flatnonzero(x), len(o)])[np.cumsum(x) - 1] - 1.0 for x in (new_key, new))
+    weight = total / (total + BALANCE)
+    share = same / np.maximum(total, 1)
+    gain = np.zeros(len(o))
+    some = np.flatnonzero(total)
+    gain[o[some]] = np.log((1 - weight[some]) * np.exp(log[some]) + weight[some] * share[some]) - log[some]
+    return gain
+
 
 def counted(docs: DataFrame) -> DataFrame:
     """(word, n) of every word of all documents."""
@@ -226,39 +291,67 @@ def fit(docs: DataFrame, counts: DataFrame | None = None) -> WindowModel:
     return model
 
 
-def train_on_all(rows: DataFrame, model: WindowModel) -> None:
-    """A pass over every token: tasks' changes are summed by block where they are, so the driver gets one model."""
+def summed(batches):
+    """(block, salt, v) to one row for each block of the task, its sum; rows stream by."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, v in zip(batch.column(0).to_pylist(), batch.column(2)):
+            x = np.frombuffer(v.as_buffer(), np.float32).astype(float)
+            total[block] = total[block] + x if block in total else x
+    for block, x in total.items():
+        yield change_row(block, 0, x)
+
+
+def change_row(block: int, salt: int, v: np.ndarray):
     import pyarrow as pa
 
+    cols = ([block], pa.int64()), ([salt], pa.int64()), ([v.astype(np.float32).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["block", "salt", "v"])
+
+
+def train_on_all(rows: DataFrame, model: WindowModel) -> None:
+    """A pass over every token: tasks' changes are summed by block, by lots of tasks first, so the driver gets one model."""
+    from pyspark import TaskContext
+
     small_batches(rows.sparkSession, 256)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared, parts = rows.sparkSession.sparkContext.broadcast(model), partitions(rows.sparkSession)
+    schema = "block long, salt long, v binary"
 
     def learn(batches):
+        salt = TaskContext.get().partitionId() % SALTS
         for block, v in shared.value.changes(t for batch in batches for t in as_bytes(batch.column(1))):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["block", "v"])
-
-    def add(table):
-        v = sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in table.column("v"))
-        return pa.table({"block": table.column("block")[:1], "v": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
+            yield change_row(block, salt, v)
 
-    for r in rows.mapInArrow(learn, "block long, v binary").groupBy("block").applyInArrow(add, "block long, v binary").collect():
+    lots = rows.mapInArrow(learn, schema).repartition(parts, "block", "salt").mapInArrow(summed, schema)
+    for r in lots.repartition(parts, "block").mapInArrow(summed, schema).collect():
         model.change(r.block, np.frombuffer(bytes(r.v), np.float32))
 
 
-#: Kinds of packed rows: counts of words, rare words of documents, sums for documents, documents.
-COUNTS, RARE, SUMS, DOCS = range(4)
-KINDS = {COUNTS: ("<u8", "<i8"), RARE: ("<u8", "<i8", "<i4"), SUMS: ("<i8", "<f8"), DOCS: ("<i8", "<i8", "<i8", "<f8", "u1")}
+#: Kinds of packed rows: counts of words, rare words of documents, sums for documents, documents, windows of documents.
+COUNTS, RARE, SUMS, DOCS, WINDOWS = range(5)
+KINDS = {
+    COUNTS: ("<u8", "<i8"), RARE: ("<u8", "<i8", "<i4"), SUMS: ("<i8", "<f8"), DOCS: ("<i8", "<i8", "<i8", "<f8", "u1"),
+    WINDOWS: ("<u8", "<f2", "<i8")
+}
 
 
 def dealt(kind: int, bucket: np.ndarray, *arrays: np.ndarray):
     """A record batch of (key, kind, data): parallel arrays, packed by bucket."""
     import pyarrow as pa
 
-    o = np.argsort(bucket, kind="stable")
+    o = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     bucket, arrays = bucket[o], [x[o].astype(k) for x, k in zip(arrays, KINDS[kind])]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(o) else []
+    if kind in ROW:
+        row = arrays[ROW[kind]]
+        first = row[cut]
+        row[1:] -= row[:-1].copy()
+        row[cut] = first
     data = [zstandard.compress(b"".join(x[lo:hi].tobytes() for x in arrays), 1) for lo, hi in zip(cut, [*cut[1:], len(o)])]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array([kind] * len(cut), pa.int32()), pa.array(data, pa.binary())], names=["key", "kind", "data"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut], pa.int32()), pa.array([kind] * len(cut), pa.int32()), pa.array(data, pa.binary())],
+        names=["key", "kind", "data"]
+    )
 
 
 def gathered(blobs: list[bytes], kind: int) -> list[np.ndarray]:
@@ -271,18 +364,25 @@ def gathered(blobs: list[bytes], kind: int) -> list[np.ndarray]:
         for x, k in zip(out, KINDS[kind]):
             x.append(np.frombuffer(data, k, n, at))
             at += x[-1].nbytes
+        if kind in ROW:
+            out[ROW[kind]][-1] = np.cumsum(out[ROW[kind]][-1])
     return [np.concatenate(x) for x in out]
 
 
+ODD, WORD_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(16)
+#: Columns of rows that are in order of a document's row: differences are stored.
+ROW = {RARE: 1, WINDOWS: 2}
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def own_counts(rare_level: float, parts: int):
-    """A bucket's words to what they add to the documents that have them; documents pass."""
+    """A bucket's words and windows to what they add to the documents that have them; documents pass."""
 
     def run(batches):
-        held: dict = {COUNTS: [], RARE: []}
+        held: dict = {COUNTS: [], RARE: [], WINDOWS: []}
         for batch in batches:
             keep = pc.equal(batch.column(1), DOCS)
             yield batch.filter(keep)
@@ -294,8 +394,11 @@ def own_counts(rare_level: float, parts: int):
         word, n = word[o], n[o]
         at = np.minimum(np.searchsorted(word, used), max(0, len(word) - 1))
         known = word[at] == used if len(word) else np.zeros(len(used), bool)
-        rows, where = np.unique(row[known], return_inverse=True)
-        more = np.bincount(where, times[known] * (np.log(n[at[known]]) - rare_level), minlength=len(rows)) if len(rows) else np.zeros(0)
+        code, log, asked = gathered(held[WINDOWS], WINDOWS)
+        row = np.concatenate([row[known], asked])
+        rows, where = np.unique(row, return_inverse=True)
+        gains = np.concatenate([times[known] * (np.log(n[at[known]]) - rare_level), witnessed(code, log.astype(float))])
+        more = np.bincount(where, gains, minlength=len(rows)) if len(rows) else np.zeros(0)
         yield dealt(SUMS, rows % parts, rows, more)
 
     return run
@@ -315,14 +418,18 @@ def finished(batches):
     pll = pll + np.bincount(np.searchsorted(docs, row), more, minlength=len(docs))[: len(docs)] if len(docs) else pll
     for lo in range(0, len(docs), 8192):
         cut = slice(lo, lo + 8192)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64(), mask=no_id[cut].astype(bool)), pa.array(n[cut], pa.int64()), pa.array(pll[cut], pa.float64())], names=["doc_id", "n_tokens", "pll"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[cut], pa.int64(), mask=no_id[cut].astype(bool)), pa.array(n[cut], pa.int64()), pa.array(pll[cut], pa.float64())],
+            names=["doc_id", "n_tokens", "pll"]
+        )
 
 
-def scored(docs: DataFrame, model: WindowModel, counts: DataFrame | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: WindowModel, counts: DataFrame | None = None, witnesses: bool = False) -> DataFrame:
     """doc_id, n_tokens, pll, pll_per_token of every whole text.
 
-    With counts, words outside the vocabulary have the share of their own count in their class; without, its mean. Rare
-    words and counts are dealt by hash (64 bits, taken for the word) and meet in arrays, so no token is a row.
+    With counts, words outside the vocabulary have the share of their own count in their class; without, its mean. With
+    witnesses, docs' other windows are mixed in. Rare words, counts and windows are dealt by hash (64 bits, taken for the
+    words) and meet in arrays, so no token is a row; no word or window that is dealt is a large share of all.
     """
     import pyarrow as pa
 
@@ -336,15 +443,22 @@ def scored(docs: DataFrame, model: WindowModel, counts: DataFrame | None = None)
         m = shared.value
         for batch in batches:
             words = [tokens(t) for t in as_bytes(batch.column(1))]
-            ids = [np.array([m.words.get(w, m.rare) for w in x], np.int32) for x in words]
-            n, s = m.score_ids(ids)
+            ids = [m.numbered(x) for x in words]
+            logs = m.log_probs(ids)
+            n, s = m.score_ids(ids, logs)
             rows = np.array(batch.column(2).to_pylist(), np.int64)
             doc = batch.column(0)
-            yield dealt(DOCS, rows % parts, rows, np.array(doc.fill_null(0).to_pylist(), np.int64), np.array(n, np.int64), np.array(s, float), np.array(doc.is_null().to_pylist(), bool))
+            yield dealt(
+                DOCS, rows % parts, rows, np.array(doc.fill_null(0).to_pylist(), np.int64), np.array(n, np.int64), np.array(s, float),
+                np.array(doc.is_null().to_pylist(), bool)
+            )
             if apart:
                 rare = [np.unique(hashes([x[k] for k in np.flatnonzero(i == m.rare)]), return_counts=True) for x, i in zip(words, ids)]
                 word, times = (np.concatenate(x) for x in zip(*rare))
                 yield dealt(RARE, (word % np.uint64(parts)).astype(np.int64), word, np.repeat(rows, [len(h) for h, _ in rare]), times)
+            if witnesses and len(logs):
+                at, code, log = m.looked_up(ids, words, logs)
+                yield dealt(WINDOWS, ((code >> WORD_BITS) % np.uint64(parts)).astype(np.int64), code, log, rows[at])
 
     def pack(batches):
         for batch in batches:
@@ -354,7 +468,9 @@ def scored(docs: DataFrame, model: WindowModel, counts: DataFrame | None = None)
     to = lambda df: df.repartitionById(parts, "key")
     out = plain(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, packed)
     if apart:
-        out = to(out.unionByName(counts.select("word", "n").mapInArrow(pack, packed))).mapInArrow(frugal(own_counts(model.rare_level, parts)), packed)
+        out = out.unionByName(counts.select("word", "n").mapInArrow(pack, packed))
+    if apart or witnesses:
+        out = to(out).mapInArrow(frugal(own_counts(model.rare_level, parts)), packed)
     out = to(out).mapInArrow(frugal(finished), "doc_id long, n_tokens long, pll double")
     return out.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_per_token"))
 
@@ -366,4 +482,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     come and score alike. Other columns are ignored; an empty table gives no row.
     """
     counts = counted(docs)
-    return scored(docs, fit(docs, counts), counts)
+    return scored(docs, fit(docs, counts), counts, True)
