@@ -1,4 +1,4 @@
-"""The SQL of the operators that have one, on a small table with empty, blank, null and repeated texts."""
+"""The SQL of the operators that have one, on small tables with empty, blank, null and repeated texts."""
 
 import duckdb
 import pytest
@@ -16,9 +16,13 @@ def test_sql(spark, tmp_path, name):
     docs.unionByName(
         spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int").select(*docs.columns)
     ).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    odd = [(9_000_000, None, None), (9_000_001, "u\n", "é" * 5000), (9_000_002, "v", ""), *((9_100_000 + i, "w", f"<p>{i}</p>") for i in range(300))]
+    pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     got = queries.queries()[name](spark, str(tmp_path))
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
     plain = lambda rows: sorted([tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows], key=str)

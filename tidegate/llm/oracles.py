@@ -60,3 +60,30 @@ li AS (SELECT own.lang, own.source, own.metric, greatest(coalesce({quality.SLACK
 ok AS (SELECT v.doc_id, bool_and(rate <= CASE WHEN cap IS NULL THEN most ELSE least(most, cap) END) AS fine FROM v JOIN li ON li.lang IS NOT DISTINCT FROM v.lang AND li.source IS NOT DISTINCT FROM v.source AND li.metric = v.metric GROUP BY v.doc_id)
 SELECT x.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND fine AS kept FROM x JOIN ok ON ok.doc_id = x.doc_id
 """
+
+
+def fixity_sql(one_in: int = 64) -> str:
+    """The audit of a damaged replica, for pages with different ids of 0 or more: records and damage as bytes, the tree level by level."""
+
+    def level(n: int, below: str, key: str) -> str:
+        child = f"{key} || ':' || hash || ':' || (start - base) || ':' || (stop - base) || '|'"
+        based = f"SELECT *, min(start) OVER (PARTITION BY {key} >> 4) AS base FROM {below}"
+        return f"n{n} AS (SELECT {key} >> 4 AS k{n}, sha256('{n}|' || string_agg({child}, '' ORDER BY {key})) AS hash, min(start) AS start, max(stop) AS stop FROM ({based}) GROUP BY 1)"
+
+    half, other = "(len(h) // 4)", "CASE WHEN substr(h, 2 * (len(h) // 4) - 1, 2) = '23' THEN '25' ELSE '23' END"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+WITH p AS (SELECT page_id, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % {one_in} AS lot, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 2000-01-01T00:00:00Z' || chr(13) || chr(10)
+  || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', ' ', 'g') || chr(13) || chr(10), '') || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+a AS (SELECT page_id, page_id >> 12 AS shard, lot, hex(encode(record)) AS h FROM p),
+f AS (SELECT *, sha256(unhex(h)) AS digest, CAST(len(h) // 2 AS BIGINT) AS length FROM a),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY shard ORDER BY page_id {before}), 0) AS BIGINT) AS start FROM f),
+d AS (SELECT page_id, shard, CASE lot WHEN 0 THEN substr(h, 1, 2 * {half} - 2) || {other} || substr(h, 2 * {half} + 1) WHEN 2 THEN substr(h, 1, 2 * {half} - 2) || {other} || substr(h, 2 * {half} - 1) ELSE h END AS h FROM a WHERE lot <> 1),
+r AS (SELECT *, sha256(unhex(h)) AS r_digest, CAST(len(h) // 2 AS BIGINT) AS r_length, CAST(coalesce(sum(len(h) // 2) OVER (PARTITION BY shard ORDER BY page_id {before}), 0) AS BIGINT) AS r_start FROM d),
+n0 AS (SELECT page_id AS k0, sha256('0|' || page_id || ':' || digest || ':' || length || ':1|') AS hash, start, start + length AS stop FROM o),
+{level(1, "n0", "k0")},
+{level(2, "n1", "k1")},
+{level(3, "n2", "k2")},
+s AS (SELECT o.*, r.*, CASE WHEN r.page_id IS NULL THEN 'lost' WHEN r_digest <> digest THEN 'changed' ELSE 'intact' END AS status FROM o LEFT JOIN r ON r.page_id = o.page_id)
+SELECT s.page_id, s.shard, status, status = 'intact' AS intact, s.start AS "offset", s.length, digest AS record_sha256, CASE WHEN status = 'changed' THEN r_start END AS replica_offset, CASE WHEN status = 'changed' THEN r_length END AS replica_length, CASE WHEN status = 'changed' THEN r_digest END AS replica_sha256, n3.hash AS shard_root FROM s JOIN n3 ON n3.k3 = s.shard
+"""

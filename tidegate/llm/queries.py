@@ -59,6 +59,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op9_mixing_sources": mixing.ORACLE,
+        "op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op7_warc_fixity": oracles.fixity_sql(), "op9_mixing_sources": mixing.ORACLE,
         "op10_suffix_array_dedup": oracles.PASSAGES
     }

@@ -401,7 +401,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 def damaged(archive: DataFrame, one_in: int) -> DataFrame:
     """A copy with simulated damage: by hash, of so many records one has its middle byte changed, one is lost and one is longer by a byte."""
     half = F.floor(F.octet_length("record") / 2).cast("int")
-    lot = F.pmod(F.xxhash64("page_id", F.lit(97)), F.lit(one_in))
+    lot = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % one_in
     other = F.when(F.substring(F.col("record"), half, F.lit(1)) == F.lit(b"#"), F.lit(b"%")).otherwise(F.lit(b"#"))
     start, stop = F.substring(F.col("record"), F.lit(1), half - 1), F.octet_length("record")
     rot = F.concat(start, other, F.substring(F.col("record"), half + 1, stop))
