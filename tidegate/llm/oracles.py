@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mpeg, quality
 
 #: Words and lines; DuckDB's regular expressions take the same classes.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -87,3 +87,31 @@ n0 AS (SELECT page_id AS k0, sha256('0|' || page_id || ':' || digest || ':' || l
 s AS (SELECT o.*, r.*, CASE WHEN r.page_id IS NULL THEN 'lost' WHEN r_digest <> digest THEN 'changed' ELSE 'intact' END AS status FROM o LEFT JOIN r ON r.page_id = o.page_id)
 SELECT s.page_id, s.shard, status, status = 'intact' AS intact, s.start AS "offset", s.length, digest AS record_sha256, CASE WHEN status = 'changed' THEN r_start END AS replica_offset, CASE WHEN status = 'changed' THEN r_length END AS replica_length, CASE WHEN status = 'changed' THEN r_digest END AS replica_sha256, n3.hash AS shard_root FROM s JOIN n3 ON n3.k3 = s.shard
 """
+
+
+def media_sql() -> str:
+    """Texts as frames in hexadecimal digits. All frames have the same header, checksum and side information, as the latter is empty."""
+    tag, unit = mpeg.tag(0).hex(), mpeg.UNIT
+    head = mpeg.encode(b"\0" * unit)[len(tag) // 2 :][: mpeg.BODY].hex()
+    zeros = lambda n: "00" * n
+    table = [0] * 256
+    for i in range(256):
+        x = i
+        for _ in range(8):
+            x = x >> 1 ^ 0xEDB88320 * (x & 1)
+        table[i] = x
+    crc = lambda data: f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda a, b: xor((CAST({table} AS BIGINT[]))[1 + (xor(a, b) & 255)], a >> 8)))"
+    byte = lambda h: f"list_transform(range(0, len({h}) // 2), lambda i: CAST('0x' || substr({h}, 2 * i + 1, 2) AS BIGINT))"
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, h || repeat('FF', CAST(CASE WHEN len(h) = 0 THEN {unit} ELSE ({unit} - len(h) // 2 % {unit}) % {unit} END AS BIGINT)) AS h FROM d),
+n AS (SELECT *, len(h) // {2 * unit} AS n, (len(h) // {2 * unit} + 1) * {mpeg.FRAME} AS total FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(0, n), lambda i: '{head}' || substr(h, {2 * unit} * i + 1, {2 * unit}) || '{zeros(mpeg.FRAME - mpeg.BODY - unit)}'), 'string_agg', '') AS body,
+  list_aggregate(list_transform(range(0, 100), lambda k: printf('%02x', least(255, (k * (n + 1) // 100) * {mpeg.FRAME} * 256 // total))), 'string_agg', '') AS seek,
+  list_transform(range(0, n), lambda i: CAST({len(tag) // 2 + mpeg.FRAME} + {mpeg.FRAME} * i AS BIGINT)) AS offsets FROM n),
+m AS (SELECT *, '{tag}{head}' || '{b"Xing".hex()}00000007' || printf('%08x', n) || printf('%08x', total) || seek || '{zeros(mpeg.FRAME - mpeg.BODY - 116)}' || body AS media,
+  list_aggregate(list_transform(offsets, lambda x: list_aggregate(list_transform(range(0, 8), lambda k: printf('%02x', x >> (8 * k) & 255)), 'string_agg', '')), 'string_agg', '') AS packed, substr(h, len(h) - 63) AS tail, gcd(3 * n, 125) AS g FROM b)
+SELECT doc_id, n_bytes, CAST(len(h) // 2 AS BIGINT) AS payload_bytes, sha256(unhex(h)) AS payload_sha256, {crc(byte("tail"))} AS tail_crc32, CAST(len(media) // 2 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256,
+ 'frames=' || n || ';samples=' || 1152 * n || ';seconds=' || 3 * n // g || CASE WHEN g < 125 THEN '/' || 125 // g ELSE '' END || ';bad=0;skipped=0;vbr=' || n || ';tags=ID3v2.4;seek=' || printf('%08x', {crc(byte("packed"))}) AS feature,
+ CAST(n AS BIGINT) AS frames, CAST(1152 * n AS BIGINT) AS samples, CAST(3 * n // g AS BIGINT) AS duration_numerator, CAST(125 // g AS BIGINT) AS duration_denominator, CAST(to_json(offsets) AS VARCHAR) AS frame_offsets, CAST(n AS BIGINT) AS table_frames, CAST(total AS BIGINT) AS table_bytes, CAST(0 AS BIGINT) AS bad_checksums, CAST(0 AS BIGINT) AS skipped_bytes, '["ID3v2.4"]' AS tags FROM m
+"""

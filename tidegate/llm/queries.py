@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, oracles, quality, suffix_dedup, warc
 from .common import table
 
@@ -34,7 +36,8 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_media_columns(spark, sf_dir):
-    return mpeg.media_digests(table(spark, sf_dir, "documents"))
+    out = mpeg.media_digests(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.to_json(c) for c in ("frame_offsets", "tags")})
 
 
 def op7_warc_fixity(spark, sf_dir):
@@ -59,6 +62,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op7_warc_fixity": oracles.fixity_sql(), "op9_mixing_sources": mixing.ORACLE,
+        "op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op6_media_columns": oracles.media_sql(), "op7_warc_fixity": oracles.fixity_sql(), "op9_mixing_sources": mixing.ORACLE,
         "op10_suffix_array_dedup": oracles.PASSAGES
     }
