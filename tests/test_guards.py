@@ -184,6 +184,20 @@ def test_trees_are_saved(spark, tmp_path):
         models.Preparation([], ["id"]).fit(spark.range(models.MOST_LEVELS + 1))
 
 
+def test_matrix_of_each_family(spark):
+    df = spark.createDataFrame([(1, 5.0, "2.5"), (2, None, None), (3, float("nan"), "-1")], "k long, c double, x string")
+    got = {f: [tuple(r) for r in models.matrix(df, f, ["c", "x"], ["c"], ["k"]).orderBy("k").collect()] for f in models.CATEGORIES}
+    assert got["ridge"] == got["neural"] == got["xgboost"] == [(1, 5.0, 2.5), (2, None, None), (3, None, -1.0)]
+    assert got["catboost"] == [(1, "5", 2.5), (2, "missing", None), (3, "missing", -1.0)]
+    assert got["lightgbm"] == [(1, "5", 2.5), (2, None, None), (3, None, -1.0)]
+    with pytest.raises(ValueError, match="family"):
+        models.matrix(df, "other", ["c"])
+    with pytest.raises(ValueError, match="missing"):
+        models.matrix(df, "ridge", ["y"])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        models.matrix(df.withColumn("x", F.lit("word")), "ridge", ["x"]).collect()
+
+
 def test_arrays(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 1.5)], "k long, v double")
     archive.write_arrays(df, str(tmp_path / "a.npz"), ["k", "v"])

@@ -217,6 +217,32 @@ def aligned_columns(spark, sf_dir):
     )
 
 
+MATRIX = {"xgboost": "CAST({0} AS FLOAT)", "catboost": "coalesce(CAST({0} AS VARCHAR), 'missing')", "lightgbm": "CAST({0} AS VARCHAR)"}
+
+
+@query(
+    "model_matrix",
+    "SELECT o_orderkey, " + ", ".join(
+        f"{how.format('CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END')} AS customer_{family}, CAST(o_orderkey % 64 / 4 AS FLOAT) AS share_{family}" for family,
+        how in MATRIX.items()
+    ) + " FROM orders",
+)
+def model_matrix(spark, sf_dir):
+    """One table of features as three families take it."""
+    from . import models
+
+    rows = adapter.read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey")).alias("customer"),
+        (F.col("o_orderkey") % 64 / 4).alias("share")
+    )
+    out = None
+    for family in MATRIX:
+        m = models.matrix(rows, family, ["customer", "share"], ["customer"], ["o_orderkey"])
+        m = m.withColumnsRenamed({c: f"{c}_{family}" for c in ("customer", "share")})
+        out = m if out is None else out.join(m, "o_orderkey")
+    return tidy(out)
+
+
 @query("shuffled_folds")
 def shuffled_folds(spark, sf_dir):
     """Folds by hash, whose sizes SQL cannot give."""

@@ -13,6 +13,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How families take a category: as text with a word for what is missing, as text or nothing, or as a number like all else.
+CATEGORIES = {"xgboost": "number", "catboost": "named", "lightgbm": "text", "ridge": "number", "neural": "number"}
+
+
+def matrix(df: DataFrame, family: str, features: list[str], categorical: list[str] = [], keep: list[str] = []) -> DataFrame:
+    """df's columns keep and the features as a family's backend takes them; no statistics of labels or rows enter.
+
+    Numbers are single precision, missing ones stay null. A category is a whole number; what is no number is an error.
+    """
+    if family not in CATEGORIES:
+        raise ValueError(f"unknown family: {family}")
+    if missing := [c for c in [*features, *keep] if c not in df.columns]:
+        raise ValueError(f"columns missing: {missing}")
+    how = CATEGORIES[family]
+
+    def encoded(c):
+        number = F.col(f"`{c}`").cast("double")
+        number = F.when(~F.isnan(number), number)
+        if c not in categorical or how == "number":
+            return number.cast("float").alias(c)
+        text = number.cast("long").cast("string")
+        return (F.coalesce(text, F.lit("missing")) if how == "named" else text).alias(c)
+
+    return df.select(*keep, *map(encoded, features))
+
+
 #: Levels of a category; one with more is refused.
 MOST_LEVELS = 1000
 
