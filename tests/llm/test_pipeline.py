@@ -54,7 +54,7 @@ def brute_quality(rows):
         )
         failed = n < 50 or 100 * rep > 50 * n
         rates[id(row)] = (rate, failed)
-        for k, v in enumerate(rate):
+        for k, v in enumerate(math.ceil(x * quality.STEPS) / quality.STEPS for x in rate):
             own[row[2], row[3]][k].append(v)
             if not failed:
                 for name in ((row[2], row[3]), ("lang", row[2]), "all"):

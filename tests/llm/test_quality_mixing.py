@@ -59,6 +59,8 @@ def test_thresholds_decide_on_the_table(spark):
     limits = quality.thresholds(rated).collect()
     assert all(len({r[f"_max_{m}"] for r in limits}) > 3 for m in ("symbol_rate", "repeat_rate"))
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    again = {r.doc_id: r for r in quality.quality_rules(docs.repartition(7, "doc_id")).collect()}
+    assert got == again
     by_limits = {i for i, r in got.items() if not r.base_failed and not r.kept}
     assert len(by_limits) > 10
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}

@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Counts of every text come from array and string functions. Thresholds are not fixed cutoffs: each
-(lang, source) group gets its own, from mergeable quantile sketches (percentile_approx) of the group, of its
-language and of all documents, and every row is judged by its group's thresholds through a join.
+Counts of every text come from array and string functions. Thresholds are not fixed cutoffs: each (lang, source) group
+gets its own, from mergeable quantile sketches of the group, of its language and of all documents, and every row is judged
+by its group's thresholds through a join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, stored
+from .common import WS, dropped, stored
 
 #: Characters that count as symbols; those that part words.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
@@ -19,7 +19,9 @@ GAPS = {"symbol_rate": 10.0, "dup_line_rate": 100.0, "repeat_rate": 100.0}
 #: Quantiles walked to the end of the clean mass. A threshold is SLACK times the value there, or for a group that has
 #: the like in a quarter of its documents SLACK times its upper quartile plus REACH times the distance from the median
 #: to it; at most the CAP quantile of all documents.
-LEVELS, SLACK, REACH, CAP, ACCURACY = [0.5, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99, 0.995], 2.0, 6.0, 0.999, 2000
+LEVELS, SLACK, REACH, CAP = [0.5, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99, 0.995], 2.0, 6.0, 0.999
+#: Steps of a sketch for one per thousand.
+STEPS = 100
 #: A group's quantiles count as its rows, its language's as so many.
 BACKING = 100.0
 #: Occurrences that any text may have: symbols, one repeated line, two repeats of a window of three words.
@@ -92,41 +94,73 @@ def with_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame) -> DataFrame:
-    """One row for each (lang, source): what each rate may reach there. Sketches merge across tasks.
+def quantile(sketch, p: float):
+    """The least rate of a sketch (sorted array of _at, _n) that a share p of its rows does not exceed; null if it has none."""
+    need = let(F.aggregate(sketch, F.lit(0).cast("long"), lambda a, x: a + x["_n"]), lambda total: F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(p) * total)))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
 
-    The clean mass is that of rows that pass the base rules; a group's median and upper quartile are of all its rows.
-    rated is read three times.
-    """
-    passed = ~F.col("_base_failed")
+    def step(a, x, least):
+        seen = a["seen"] + x["_n"]
+        return F.struct(seen.alias("seen"), F.coalesce(a["at"], F.when(seen >= least, x["_at"])).alias("at"))
 
-    def sketch(column, levels):
-        return F.percentile_approx(column, F.array(*map(F.lit, levels)), F.lit(ACCURACY))
+    return let(need, lambda least: F.aggregate(sketch, start, lambda a, x: step(a, x, least))["at"] / F.lit(float(STEPS)))
 
-    def sketches(name, levels=LEVELS):
-        return [sketch(F.when(passed, F.col(f"_{m}")), levels).alias(f"_{name}_{m}") for m in GAPS]
 
-    groups = rated.groupBy("_lang", "_source").agg(
-        F.count_if(passed).alias("_n"), *sketches("group"), *(sketch(F.col(f"_{m}"), [0.5, 0.75]).alias(f"_own_{m}") for m in GAPS)
-    )
-    langs = rated.groupBy(F.col("_lang").alias("_of")).agg(*sketches("lang"))
+def thresholds(rated: DataFrame) -> DataFrame:
+    """One row for each (lang, source), stored: what each rate may reach there.
+
+    A sketch counts rows by their rate, rounded up to one in STEPS: whatever the order in which tasks' sketches merge, it is
+    the same, so reruns agree. The clean mass is that of rows that pass the base rules; a group's median and upper quartile
+    are of all its rows. rated is read once.
+    """
+    each = F.inline(F.array(*(F.struct(F.lit(m).alias("_metric"), F.ceil(F.col(f"_{m}") * F.lit(float(STEPS))).cast("long").alias("_at")) for m in GAPS)))
+    counts_ = rated.select("_lang", "_source", (~F.col("_base_failed")).alias("_passed"), each)
+    counts_ = stored(counts_.groupBy("_lang", "_source", "_metric", "_passed", "_at").agg(F.count("*").alias("_n")))
+    clean = counts_.where("_passed")
+    entry = F.struct("_at", "_n")
+    groups = counts_.groupBy("_lang", "_source", "_metric").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_passed"), entry))).alias("_clean"), F.sort_array(F.collect_list(entry)).alias("_own"),
+        F.sum(F.when(F.col("_passed"), F.col("_n")).otherwise(0)).alias("_rows"),
+    )
+    langs = clean.groupBy(F.col("_lang").alias("_of"), F.col("_metric").alias("_named"), "_at").agg(F.sum("_n").alias("_n"))
+    langs = langs.groupBy("_of", "_named").agg(F.sort_array(F.collect_list(entry)).alias("_like"))
+    every = clean.groupBy("_metric", "_at").agg(F.sum("_n").alias("_n")).groupBy("_metric").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     # One value for each rate.
-    caps = dict(zip(GAPS, (x[0] if x else None for x in rated.agg(*sketches("cap", [CAP])).first())))
-    joined = groups.join(langs, F.col("_lang").eqNullSafe(F.col("_of")))
+    caps = {m: None for m in GAPS} | dict(every.select("_metric", quantile(F.col("_all"), CAP)).collect())
+    joined = groups.join(langs, F.col("_lang").eqNullSafe(F.col("_of")) & (F.col("_metric") == F.col("_named")), "left")
 
-    def limit(m, gap):
-        backed = F.zip_with(f"_group_{m}", f"_lang_{m}", lambda g, x: (g * F.col("_n") + x * F.lit(BACKING)) / (F.col("_n") + F.lit(BACKING)))
-        start = F.struct(F.get(backed, F.lit(0)).alias("end"), F.lit(True).alias("on"))
+    def backed(p):
+        n = F.col("_rows")
+        return (quantile(F.col("_clean"), p) * n + quantile(F.col("_like"), p) * F.lit(BACKING)) / (n + F.lit(BACKING))
+
+    gap, cap = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for m in GAPS:
+        gap = F.when(F.col("_metric") == m, F.lit(GAPS[m])).otherwise(gap)
+        cap = F.when(F.col("_metric") == m, F.lit(caps[m]).cast("double")).otherwise(cap)
+
+    def walk(levels):
+        start = F.struct(F.get(levels, F.lit(0)).alias("end"), F.lit(True).alias("on"))
 
         def step(a, x):
-            on = a["on"] & (x - a["end"] <= F.lit(gap))
+            on = a["on"] & (x - a["end"] <= F.col("_gap"))
             return F.struct(F.when(on, x).otherwise(a["end"]).alias("end"), on.alias("on"))
 
-        half, quarter = (F.get(f"_own_{m}", F.lit(k)) for k in (0, 1))
-        own = F.lit(SLACK) * quarter + F.lit(REACH) * (quarter - half)
-        return F.least(F.greatest(F.lit(SLACK) * F.aggregate(backed, start, step)["end"], own), F.lit(caps[m]).cast("double")).alias(f"_max_{m}")
+        return F.aggregate(levels, start, step)["end"]
 
-    return joined.select("_lang", "_source", *(limit(m, gap) for m, gap in GAPS.items()))
+    half, quarter = F.get("_quarters", F.lit(0)), F.get("_quarters", F.lit(1))
+    rows = joined.withColumns(
+        {
+            "_gap": gap, "_cap": cap, "_levels": F.array(*map(backed, LEVELS)),
+            "_quarters": F.array(*(quantile(F.col("_own"), p) for p in (0.5, 0.75)))
+        }
+    )
+    rows = rows.withColumn(
+        "_most",
+        F.least(F.greatest(F.lit(SLACK) * walk(F.col("_levels")), F.lit(SLACK) * quarter + F.lit(REACH) * (quarter - half)), F.col("_cap"))
+    )
+    out = stored(rows.groupBy("_lang", "_source").agg(*(F.max(F.when(F.col("_metric") == m, F.col("_most"))).alias(f"_max_{m}") for m in GAPS)))
+    dropped(counts_)
+    return out
 
 
 def measured(docs: DataFrame, keep: list | None = None) -> DataFrame:
@@ -166,6 +200,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     rates = stored(with_rates(measured(docs)).select("_lang", "_source", "_base_failed", *(f"_{m}" for m in GAPS)))
-    limits = stored(thresholds(rates))
+    limits = thresholds(rates)
+    dropped(rates)
     own = with_rates(measured(docs, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")]))
     return judged(own, limits).where("_kept").select(*(F.col("_row").getField(c).alias(c) for c in names))
