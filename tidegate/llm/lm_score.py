@@ -31,7 +31,7 @@ from .common import as_bytes, frugal, mix, partitions, small_batches, stored
 
 #: Words of the vocabulary, classes that are one word, classes of the rest; hidden units; words on each side.
 VOCABULARY, SINGLE, SHARED, HIDDEN, SIDE = 16384, 40, 23, 16, 2
-#: The start of the network: documents at most, tokens of all of them at most; training passes and step.
+#: The start of the network: documents, about; windows of all of them that a pass takes; passes and step.
 SAMPLE_DOCS, SAMPLE_TOKENS, PASSES, RATE = 400, 200_000, 3, 0.05
 #: Less than one in so many tokens is an uncommon word. How many other windows weigh as much as the network.
 UNCOMMON, BALANCE = 1 << 17, 1.0
@@ -128,13 +128,13 @@ class WindowModel:
         h += self.bias
         return np.tanh(h, out=h)
 
-    def train(self, parts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 6) -> None:
-        """Adagrad on the cross-entropy of the masked token's class, in mini-batches."""
+    def train(self, parts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 6, most: int | None = None) -> None:
+        """Adagrad on the cross-entropy of the masked token's class, in mini-batches; on at most so many windows a pass, drawn from all of the texts."""
         memory = self.memory()
         rng = np.random.default_rng(seed)
         padded, places = self.windows(parts)
         for _ in range(passes):
-            order = rng.permutation(places)
+            order = rng.permutation(places)[:most]
             for lo in range(0, len(order), 256):
                 self.step(padded, order[lo : lo + 256], memory, rate)
 
@@ -284,7 +284,9 @@ def fit(docs: DataFrame, counts: DataFrame | None = None) -> WindowModel:
     model = WindowModel(words, total.words - len(words), total.tokens - sum(n for _, n in words))
     n = rows.count()
     lot = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (lot * n <= SAMPLE_DOCS)).limit(4 * SAMPLE_DOCS).collect()
+    # Rows that repeat an id are one, so that no id brings more than its share.
+    some = rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (lot * n <= SAMPLE_DOCS))
+    sample = some.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     each = SAMPLE_TOKENS // max(1, len(sample))
     model.train([model.ids(r.text.encode())[:each] for r in sorted(sample, key=lambda r: (r.doc_id, r.text))])
     train_on_all(rows, model)
