@@ -198,6 +198,21 @@ def test_matrix_of_each_family(spark):
         models.matrix(df.withColumn("x", F.lit("word")), "ridge", ["x"]).collect()
 
 
+def test_small_helpers(spark, frame):  # noqa: F811
+    """Runs kept or left out, the first decision of a key, weights of days that add up."""
+    f = frame(ROWS)
+    runs = f.where("n = 23").select(*fd.RUN)
+    assert {r.n for r in fd.semi_by_run(f, runs).collect()} == {23} and 23 not in {r.n for r in fd.semi_by_run(f, runs, False).collect()}
+    told = f.where("ord = 0").select(*fd.KEY)
+    decisions = told.withColumns({"ready": F.lit(5).cast("long"), "ord": F.lit(2)}).unionByName(
+        told.withColumns({"ready": F.lit(7).cast("long"), "ord": F.lit(1)})
+    )
+    got = {r.ord: r.ready for r in archive.with_readiness(f, decisions).collect()}
+    assert got[0] == 7 and all(v is None for k, v in got.items() if k)
+    weights = evaluate.bootstrap_weights(30, 50)
+    assert weights.shape == (50, 30) and (weights.sum(axis=1) == 30).all() and (weights == evaluate.bootstrap_weights(30, 50)).all()
+
+
 def test_arrays(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 1.5)], "k long, v double")
     archive.write_arrays(df, str(tmp_path / "a.npz"), ["k", "v"])

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import MINUTE
 from ..operators import feed as fd
-from ..operators import ingest, provenance, weather, wide
+from ..operators import ingest, provenance, route, weather, wide
 from ..streaming import pending as streams
 from . import adapter, evaluate, policy
 from .queries import BASE, CONTEXT, INBOUND, ROUTE, SQL, TERMINAL, home, query, tidy
-from .study_queries import CONTROLS, PARAMETERS, PRED, READY, SERIES, controls
+from .study_queries import PARAMETERS, PRED, SERIES, controls
 
 STAMPS = "SELECT q.qid, max(u.act) AS latest_act, max(u.acc) AS latest_acc, count(u.act) AS used_act, count(u.acc) AS used_acc FROM q LEFT JOIN u ON q.qid = u.qid GROUP BY q.qid"
 HOURS3 = "10800000000"
@@ -82,6 +82,20 @@ def pivoted(
     return f"SELECT b.qid, {cells} FROM ({base}) b LEFT JOIN ({source}) x ON b.qid = x.qid GROUP BY b.qid"
 
 
+NETWORK = {
+    f"network_{k}_{w}m_{x}": (f"context = '{k}'", f'"{w}m_{x}"')
+    for k in ("previous_station", "next_station", "route_ahead")
+    for w in (60, 180)
+    for x in ("count", "mean_delay", "max_delay", "last_delay", "pending_count", "oldest_pending_minutes")
+}
+
+
+@query("network_wide", pivoted(SQL["network_station_windows"], ["context"], NETWORK))
+def network_wide(spark, sf_dir):
+    q, f = home(spark, sf_dir)
+    return tidy(route.network_wide(q, route.network(q, f)))
+
+
 STATION = {
     f"home_context_{k.lower()}_{w}m_{x}": (
         f"kind = '{k}' AND \"window\" = {w}", x

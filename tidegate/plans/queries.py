@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import encode
-from ..functions.clock import DAY, HOUR, MINUTE
 from ..operators import feed as fd
-from ..operators import history, ingest, origin, route, turnaround, weather
-from . import adapter, evaluate, policy
+from ..operators import history, origin, route, turnaround
+from . import adapter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.clock import MINUTE
-
 
 def once(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Events of a stream without repeats of a key within the watermark; stream has a timestamp column known_at."""
@@ -84,7 +82,3 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
-
-
-def late_minutes(now_us: int, scheduled_us: int) -> float:
-    return (now_us - scheduled_us) / MINUTE
