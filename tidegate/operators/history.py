@@ -6,15 +6,19 @@ A fact counts only if it is strictly older than the cut on every clock: act < cu
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clock import MINUTE, minutes, yes
 from .feed import HOME, RUN
 from .temporal import in_window
 
 WINDOW = 180
+#: Before any time.
+NEVER = -(1 << 63)
 
 
 def run_events(q: DataFrame, feed: DataFrame, gated: bool = True) -> DataFrame:
@@ -103,15 +107,33 @@ def not_own():
 
 def resolved(waiting: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
     """waiting (o_* events not old at the cut) with by_act, by_acc: the latest clocks of the run's later (or equal) events that were done
-    and known before the cut; null if there is none, and then the event is still pending. A finite delay is not needed."""
-    c = feed.where("act is not null and acc is not null").select(
-        F.col("d").alias("o_d"), F.col("n").alias("o_n"), F.col("s").alias("c_s"), F.col("act").alias("c_act"), F.col("acc").alias("c_acc")
-    )
-    hit = (F.col("c_act") < F.col("cut")) & (F.col("c_acc") < F.col("cut")) & (F.col("c_s") >= F.col("o_s"))
-    found = waiting.select(*keys, "o_ord", "o_d", "o_n", "o_s", "cut").distinct().join(c, ["o_d", "o_n"]).where(hit).groupBy(*keys, "o_ord").agg(
-        F.max("c_act").alias("by_act"), F.max("c_acc").alias("by_acc")
+    and known before the cut; null if there is none, and then the event is still pending. A finite delay is not needed.
+
+    Each run is gathered once with what waits for it, and compared in arrays: no pair of events is a row.
+    """
+    run = ["o_d", "o_n"]
+    c = feed.where("act is not null and acc is not null and s is not null").select(
+        *(F.col(a).alias(b) for a, b in (("d", "o_d"), ("n", "o_n"), ("s", "c_s"), ("act", "c_act"), ("acc", "c_acc")))
     )
-    return waiting.join(found, [*keys, "o_ord"], "left")
+    asked = waiting.where("o_d is not null and o_n is not null").select(*keys, "o_ord", *run, "o_s", "cut").distinct()
+    names = [*keys, "o_ord"]
+
+    def latest(own, events):
+        s, act, acc = (events[x].to_numpy() for x in ("c_s", "c_act", "c_acc"))
+        least, cut = own["o_s"].to_numpy(), own["cut"].to_numpy()
+        by_act, by_acc = np.full(len(own), NEVER), np.full(len(own), NEVER)
+        for lo in range(0, len(own) if len(s) else 0, 4096):
+            at = slice(lo, lo + 4096)
+            hit = (act < cut[at, None]) & (acc < cut[at, None]) & (s >= least[at, None])
+            by_act[at] = np.where(hit, act, NEVER).max(axis=1)
+            by_acc[at] = np.where(hit, acc, NEVER).max(axis=1)
+        found = pa.array(by_act > NEVER)
+        out = own.select(names).append_column("by_act", pa.array(by_act)).append_column("by_acc", pa.array(by_acc))
+        return out.filter(found)
+
+    schema = T.StructType([*asked.select(names).schema.fields, T.StructField("by_act", T.LongType()), T.StructField("by_acc", T.LongType())])
+    found = asked.groupBy(*run).cogroup(c.groupBy(*run)).applyInArrow(latest, schema)
+    return waiting.join(found, names, "left")
 
 
 def station_context(q: DataFrame, feed: DataFrame, window: int = WINDOW, home: int = HOME) -> DataFrame:
@@ -193,8 +215,6 @@ def service_history(rows: DataFrame, days: int = 28) -> DataFrame:
     Both the outcome and the earlier query's time are before the cut. Queries and outcomes meet by (n, ty) in slices of
     time, outcomes in the slice after theirs too, so no pair is a row; exact quantiles come from a query's own range.
     """
-    import pyarrow as pa
-
     span = days * 1440 * MINUTE
     width = 4 * span
     day = F.datediff("d", F.lit("1970-01-01")).alias("d")
