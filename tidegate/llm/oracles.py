@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mpeg, quality
+from . import ball_tree, mpeg, quality
 
 #: Words and lines; DuckDB's regular expressions take the same classes.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -116,3 +116,27 @@ SELECT doc_id, n_bytes, CAST(len(h) // 2 AS BIGINT) AS payload_bytes, sha256(unh
  'frames=' || n || ';samples=' || 1152 * n || ';seconds=' || 3 * n // g || CASE WHEN g < 125 THEN '/' || 125 // g ELSE '' END || ';bad=0;skipped=0;vbr=' || n || ';tags=ID3v2.4;seek=' || printf('%08x', {crc(byte("packed"))}) AS feature,
  CAST(n AS BIGINT) AS frames, CAST(1152 * n AS BIGINT) AS samples, CAST(3 * n // g AS BIGINT) AS duration_numerator, CAST(125 // g AS BIGINT) AS duration_denominator, CAST(to_json(offsets) AS VARCHAR) AS frame_offsets, CAST(n AS BIGINT) AS table_frames, CAST(total AS BIGINT) AS table_bytes, CAST(0 AS BIGINT) AS bad_checksums, CAST(0 AS BIGINT) AS skipped_bytes, '["ID3v2.4"]' AS tags FROM m
 """
+
+
+def clusters_sql() -> str:
+    """Centroid clustering round by round: all distances of all vectors to all centroids, component by component."""
+    k, n, scale = ball_tree.CENTROIDS, ball_tree.DIMENSIONS, ball_tree.SCALE
+    fine = f"len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(CAST(x AS DOUBLE)) * {scale} < {ball_tree.MOST - 1})) = {n}"
+    steps = []
+    for r in range(ball_tree.ROUNDS + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT row, k, sum((u.x - c.x) * (u.x - c.x)) AS d FROM u JOIN c{r} c ON u.j = c.j GROUP BY ALL),
+a{r} AS MATERIALIZED (SELECT row, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{r} GROUP BY row)""")
+        if r < ball_tree.ROUNDS:
+            steps.append(f"""s{r} AS (SELECT a.k, u.j, sum(u.x) AS s, count(*) AS n FROM u JOIN a{r} a ON u.row = a.row GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c.k, c.j, CASE WHEN s.n IS NULL THEN c.x ELSE CAST((s.s - (s.s % s.n + s.n) % s.n) // s.n AS BIGINT) END AS x FROM c{r} c LEFT JOIN s{r} s ON s.k = c.k AND s.j = c.j)""")
+    last = ball_tree.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({scale}.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {fine}),
+u AS MATERIALIZED (SELECT row, unnest(range({n})) AS j, unnest(x) AS x FROM v),
+o AS (SELECT x, row_number() OVER (ORDER BY coalesce(sha256('{ball_tree.SEED}:' || vec_id), 'none'), x) - 1 AS k FROM v),
+c0 AS MATERIALIZED (SELECT CAST(k AS INT) AS k, unnest(range({n})) AS j, unnest(x) AS x FROM o WHERE k < {k}),
+{", ".join(steps)},
+h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS h FROM c{last} GROUP BY k)
+SELECT v.vec_id, a.k AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a{last} a JOIN v ON v.row = a.row JOIN h ON h.k = a.k
+"""

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, oracles, quality, suffix_dedup, warc
+from . import ball_tree, bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, oracles, quality, suffix_dedup, token_count, warc
 from .common import table
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary file is on this machine."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file is on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark, sf_dir):
@@ -56,6 +56,14 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark, sf_dir):
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return ball_tree.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -63,5 +71,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op6_media_columns": oracles.media_sql(), "op7_warc_fixity": oracles.fixity_sql(), "op9_mixing_sources": mixing.ORACLE,
-        "op10_suffix_array_dedup": oracles.PASSAGES
+        "op10_suffix_array_dedup": oracles.PASSAGES, "op12_centroid_clustering": oracles.clusters_sql()
     }
