@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, oracles, quality, suffix_dedup, token_count, warc
+from . import ball_tree, bpe, html_template, jaccard_join, language_id, lm_score, mixing, mpeg, oracles, phrases, quality, suffix_dedup, token_count, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_centroid_clustering(spark, sf_dir):
     return ball_tree.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -71,5 +75,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op6_media_columns": oracles.media_sql(), "op7_warc_fixity": oracles.fixity_sql(), "op9_mixing_sources": mixing.ORACLE,
-        "op10_suffix_array_dedup": oracles.PASSAGES, "op12_centroid_clustering": oracles.clusters_sql()
+        "op10_suffix_array_dedup": oracles.PASSAGES, "op12_centroid_clustering": oracles.clusters_sql(),
+        "op13_phrase_collocations": phrases.ORACLE
     }
