@@ -56,8 +56,8 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, a, t, 1, "x") for i, (a, t) in enumerate(rows)], "doc_id long, lang string, text string, rank int, phrase string")
     want = brute(rows, 12)
     assert len(want) > 60 and {w[0] for w in want} == {"en", "de", "und"}
-    # A bucket of 50 words makes frequent pivots wide; 16 slots fold all counts; 1 slot makes all words equally rare.
-    for settings in ({}, {"bucket": 50}, {"slots": 16, "bucket": 300}, {"slots": 1}):
+    # With 5 common words rows name the others; a bucket of 900 words makes frequent pivots wide; 1 slot makes all words equally rare.
+    for settings in ({"known": 5}, {"bucket": 900, "known": 0}, {"slots": 1, "bucket": 5000}):
         assert sorted(map(tuple, collocations(docs.repartition(3), 12, **settings).collect())) == want, settings
     assert sorted(map(tuple, collocations(docs).collect())) == brute(rows)
     assert sorted(map(tuple, collocations(docs, least=5, top=7).collect())) == brute(rows, 5, 7)
@@ -68,7 +68,7 @@ def test_all_counts(spark):
     rows = made_up(2, 60)
     docs = spark.createDataFrame(rows, "lang string, text string")
     f = counts_of(rows)
-    words, grams = ngram_counts(docs, 3, bucket=400)
+    words, grams = ngram_counts(docs, 3, slots=16, bucket=400, known=2)
     assert {tuple(r) for r in words.collect()} == {(a, g[0], c) for a, x in f.items() for g, c in x.items() if len(g) == 1}
     assert sorted(map(tuple, grams.collect())) == sorted((a, " ".join(g), c) for a, x in f.items() for g, c in x.items() if len(g) > 1 and c >= 3)
 

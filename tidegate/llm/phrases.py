@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, dropped, frugal, mix, partitions, small_batches, stored
+from .common import LOWER, dropped, frugal, mix, small_batches, stored
 
 #: A phrase occurs at least LEAST times and has 2 to LONGEST words; the best TOP of each language are returned.
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -32,6 +32,8 @@ CHUNK, SLICE, BUCKET = 1 << 19, 4 << 20, 6 << 20
 #: Entries of the table of words' counts that goes to all tasks, 8 bytes each. With more frequent words than entries, counts
 #: of words that share one are added: fewer words are blank and pivots less rare, with the same result.
 SLOTS = 1 << 20
+#: So many of the commonest words have codes that all tasks know; others are named in each row that has them.
+KNOWN = 49_151
 
 # Separators become full stops, which no word can hold; what is left of white space separates words.
 TABLE = bytes(46 if b in b".,;:!?\x0a\x0b\x0c\x0d" else LOWER[b] for b in range(256))
@@ -39,7 +41,7 @@ SIDE = LONGEST - 1
 SPAN = 2 * SIDE + 1
 
 CODED = "lang string, words array<binary>, counts array<long>, codes binary"
-ROUTED = "bucket int, wide boolean, lang string, words array<binary>, places binary, counts binary"
+ROUTED = "bucket int, wide boolean, lang string, words array<binary>, n int, width int, places binary"
 
 
 def slices(text: bytes):
@@ -169,17 +171,33 @@ def hashed(rows: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def routed(chunks: DataFrame, rarity, total: int, buckets: int) -> DataFrame:
-    """Fragments by their pivot's bucket; those of a pivot with more words than a bucket's share are wide and dealt over all buckets."""
+def packed(places: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """(bytes of a code, compressed columns) of fragments in order of their pivots: the columns, then the counts."""
     import pyarrow as pa
 
-    def binary(flat: np.ndarray, bounds: np.ndarray):
-        raw = np.ascontiguousarray(flat)
-        width = raw.nbytes // max(1, len(raw))
-        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(raw)])
+    kind = np.uint16 if places.max() < 1 << 16 else np.int32
+    raw = np.ascontiguousarray(places.T.astype(kind)).tobytes() + counts.astype(np.int32).tobytes()
+    return np.dtype(kind).itemsize, pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow as pa
+
+    n, width = row["n"], row["width"]
+    raw = pa.Codec("zstd", 1).decompress(row["places"], n * (SPAN * width + 4)).to_pybytes()
+    places = np.frombuffer(raw, np.uint16 if width == 2 else np.int32, SPAN * n).reshape(SPAN, n).T.astype(np.int32)
+    return places, np.frombuffer(raw, np.int32, n, SPAN * width * n).astype(np.int64)
+
+
+def routed(chunks: DataFrame, rarity, common, total: int, buckets: int) -> DataFrame:
+    """Fragments by their pivot's bucket; those of a pivot with more words than a bucket's share are wide and dealt over all buckets.
+
+    The first codes stand for the common words, those after them for the row's own.
+    """
+    import pyarrow as pa
 
     def run(batches):
-        table = rarity.value
+        table, places_of = rarity.value, {w: i for i, w in enumerate(common.value, 1)}
         for batch in batches:
             for row in batch.to_pylist():
                 lang, words = row["lang"], row["words"]
@@ -187,13 +205,13 @@ def routed(chunks: DataFrame, rarity, total: int, buckets: int) -> DataFrame:
                 at = np.concatenate([[0], slot(lang, words)])
                 rare = table[at % len(table)]
                 rare[0] = 0
+                everywhere = np.fromiter((places_of.get(w, 0) for w in (None, *words)), np.int32, len(words) + 1)
                 codes = np.concatenate([np.zeros(SIDE, np.int32), codes, np.zeros(SIDE, np.int32)])
                 spread = mix(at.astype(np.uint64) + np.uint64(1))
-                dictionary = pa.array([b"", *words], pa.binary())
                 for lo in range(0, len(codes) - 2 * SIDE, CHUNK):
-                    yield from sent(lang, dictionary, rare, spread, codes[lo : lo + CHUNK + 2 * SIDE])
+                    yield from sent(lang, [None, *words], rare, everywhere, spread, codes[lo : lo + CHUNK + 2 * SIDE])
 
-    def sent(lang, dictionary, rare, spread, codes):
+    def sent(lang, words, rare, everywhere, spread, codes):
         places, _ = fragments(codes, rare)
         places, counts = combined(places, np.ones(len(places), np.int64))
         if not len(places):
@@ -203,30 +221,23 @@ def routed(chunks: DataFrame, rarity, total: int, buckets: int) -> DataFrame:
         key = spread[pivots]
         key = np.where(wide, mix(key ^ hashed(places)), key)
         group = (key % np.uint64(buckets)).astype(np.int64) * 2 + wide
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group << 32 | pivots)
         places, counts, group = places[order], counts[order], group[order]
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        bounds = np.concatenate([starts, [len(group)]])
-        # The words of each row, and the fragments in terms of them; 0 is none.
-        here = np.repeat(np.arange(len(starts)), np.diff(bounds))
-        used = (here[:, None] * len(dictionary) + places).ravel()
-        different, local = np.unique(np.concatenate([used, np.arange(len(starts)) * len(dictionary)]), return_inverse=True)
-        word_bounds = np.searchsorted(different, np.arange(len(starts) + 1) * len(dictionary))
-        local = local[: len(used)].reshape(places.shape) - word_bounds[here][:, None]
-        narrow = np.diff(word_bounds).max() <= 1 << 16
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array((group[starts] // 2).astype(np.int32)), pa.array(group[starts] % 2 == 1), pa.array([lang] * len(starts)),
-                pa.ListArray.from_arrays(pa.array(word_bounds.astype(np.int32)), dictionary.take(pa.array(different % len(dictionary)))),
-                binary(local.astype(np.uint16 if narrow else np.int32), bounds), binary(counts, bounds)
-            ],
-            names=["bucket", "wide", "lang", "words", "places", "counts"]
-        )
+        rows = []
+        for lo, hi in zip(starts, [*starts[1:], len(group)]):
+            part = places[lo:hi]
+            own = np.unique(part[(everywhere[part] == 0) & (part > 0)])
+            names = everywhere.copy() if len(own) else everywhere
+            names[own] = len(common.value) + 1 + np.arange(len(own))
+            rows.append((int(group[lo]) // 2, bool(group[lo] % 2), lang, [words[k] for k in own.tolist()], hi - lo, *packed(names[part], counts[lo:hi])))
+        kinds = (pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "wide", "lang", "words", "n", "width", "places"])
 
     return chunks.mapInArrow(frugal(run), ROUTED)
 
 
-def mined(rows: DataFrame, least: int) -> DataFrame:
+def mined(rows: DataFrame, common, least: int) -> DataFrame:
     """(lang, phrase, a): counts of the n-grams of 2 to LONGEST words that each bucket's pivots own; of wide pivots, parts of counts."""
     import pyarrow as pa
 
@@ -247,35 +258,39 @@ def mined(rows: DataFrame, least: int) -> DataFrame:
             grams, n = combined(np.concatenate([w[o] for w, o in zip(windows, often)]), np.concatenate([c[o] for c, o in zip(weights, often)]))
             yield grams[n >= least], n[n >= least]
 
-    def finish(lang, wide, code, parts):
-        words = np.array([None, *list(code)[1:]], object)
+    def finish(lang, wide, names, parts):
         places, counts = combined(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
         for grams, n in counted(places, counts, 1 if wide else least):
             for lo in range(0, len(grams), 100_000):
-                text = [b" ".join(g).decode() for g in words[grams[lo : lo + 100_000]].tolist()]
+                text = [b" ".join([names[k] for k in g]).decode() for g in grams[lo : lo + 100_000].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(n[lo : lo + 100_000])], names=["lang", "phrase", "a"])
 
     def run(batches):
+        fixed = [b"", *common.value]
         at, code, parts = None, None, []
+
+        def names():
+            return fixed + list(code)
+
         for batch in batches:
             for row in batch.to_pylist():
                 key = row["bucket"], row["lang"], row["wide"]
                 if key != at:
                     if parts:
-                        yield from finish(at[1], at[2], code, parts)
-                    at, code, parts = key, defaultdict(count().__next__), []
-                    code[b""]
-                c = np.frombuffer(row["counts"], np.int64)
-                kind = np.uint16 if len(row["places"]) == 2 * SPAN * len(c) else np.int32
-                known = np.fromiter(map(code.__getitem__, row["words"]), np.int32, len(row["words"]))
-                parts.append((known[np.frombuffer(row["places"], kind).reshape(-1, SPAN)], c))
+                        yield from finish(at[1], at[2], names(), parts)
+                    at, code, parts = key, defaultdict(count(len(fixed)).__next__), []
+                places, counts = unpacked(row)
+                own = np.fromiter(map(code.__getitem__, row["words"]), np.int32, len(row["words"]))
+                local = places >= len(fixed)
+                places[local] = own[places[local] - len(fixed)]
+                parts.append((places, counts))
         if parts:
-            yield from finish(at[1], at[2], code, parts)
+            yield from finish(at[1], at[2], names(), parts)
 
     return rows.mapInArrow(frugal(run), "lang string, phrase string, a long")
 
 
-def ngram_counts(docs: DataFrame, least: int = LEAST, slots: int = SLOTS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def ngram_counts(docs: DataFrame, least: int = LEAST, slots: int = SLOTS, bucket: int = BUCKET, known: int = KNOWN) -> tuple[DataFrame, DataFrame]:
     """(lang, word, n) of all words, and (lang, phrase, a) of the n-grams that occur at least so often; both stored."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -284,25 +299,28 @@ def ngram_counts(docs: DataFrame, least: int = LEAST, slots: int = SLOTS, bucket
     words = stored(words.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
     rarity = spark.sparkContext.broadcast(rarity_table(words, least, slots))
-    parts = max(partitions(spark), -(-total // bucket))
-    rows = routed(chunks, rarity, total, parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "lang", "wide")
+    most = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(known).collect()
+    common = spark.sparkContext.broadcast([r.word.encode() for r in most])
+    buckets = max(1, -(-total // bucket))
+    rows = routed(chunks, rarity, common, total, buckets).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "lang", "wide")
     # Wide pivots' parts come together; all other counts are alone here.
-    grams = stored(mined(rows, least).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    grams = stored(mined(rows, common, least).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     dropped(chunks)
     return words, grams
 
 
 def collocations(
-    docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COVERED, scale: int = SCALE, slots: int = SLOTS, bucket: int = BUCKET
+    docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COVERED, scale: int = SCALE, slots: int = SLOTS, bucket: int = BUCKET, known: int = KNOWN
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases.
 
     A-Z become a-z; texts are split at separators and line ends, pieces at spaces and tabs; phrases do not cross pieces. A
     null lang is `und`, together with rows that say so; null and empty texts have no words; a language without phrases has
     no row. Of equal scores the more frequent phrase is first, then the first in byte order. Repeated rows count again.
-    Other columns, doc_id included, are ignored. Tasks hold a chunk or a bucket; the driver holds the table of counts.
+    Other columns, doc_id included, are ignored. Tasks hold a chunk or a bucket; the driver holds the table of counts and
+    the commonest words, both of fixed size.
     """
-    words, grams = ngram_counts(docs, least, slots, bucket)
+    words, grams = ngram_counts(docs, least, slots, bucket, known)
     grams = grams.withColumn("ws", F.split("phrase", " "))
     n = F.size("ws")
     inner = F.flatten(
@@ -310,7 +328,7 @@ def collocations(
     )
     holders = grams.where(n > 2).select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = grams.join(holders, ["lang", "phrase"], "left").where(F.coalesce(F.col("longer") * 100 < F.col("a") * covered, F.lit(True)))
-    known = words.where(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(
+    counts = words.where(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(
         grams.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     )
     cuts = kept.select("lang", "phrase", "a", "ws", F.explode(F.sequence(F.lit(1), n - 1)).alias("k")).select(
@@ -318,7 +336,7 @@ def collocations(
         F.array_join(F.slice("ws", F.col("k") + 1, n), " ").alias("rest")
     )
     for side, name in (("first", "l"), ("rest", "r")):
-        cuts = cuts.join(known.select("lang", F.col("part").alias(side), F.col("f").alias(name)), ["lang", side])
+        cuts = cuts.join(counts.select("lang", F.col("part").alias(side), F.col("f").alias(name)), ["lang", side])
     score = F.expr(f"(CAST({2 * scale} AS DECIMAL(10,0)) * CAST(a AS DECIMAL(20,0))) DIV (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.cast("long").alias("score"), "k", "l", "r")).alias("cut"))
     best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
