@@ -59,16 +59,25 @@ def shared_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys)).agg(F.count("*").alias("shared_runs"))
 
 
-def impute(df: DataFrame, group: str, columns: list[str], most: float = 0.3) -> DataFrame:
-    """Missing values become their group's median; a column that a group lacks in more than the share of rows goes there."""
-    g = df.groupBy(group).agg(*(F.median(c).alias(f"_m_{c}") for c in columns), *(F.avg(F.col(c).isNull().cast("double")).alias(f"_g_{c}") for c in columns))
+def impute(df: DataFrame, group: str, columns: list[str], most: float = 0.3, quantiles=None) -> DataFrame:
+    """Missing values become their group's median; a column that a group lacks in more than the share of rows goes there.
+
+    quantiles: selection.quantiles where groups have too many different values for percentile()'s table of them.
+    """
+    gaps = [F.avg(F.col(c).isNull().cast("double")).alias(f"_g_{c}") for c in columns]
+    if quantiles:
+        found = quantiles(df, [group], columns, [0.5]).select(F.col(group).alias("_group"), *(F.get(c, F.lit(0)).alias(f"_m_{c}") for c in columns))
+        g = df.groupBy(group).agg(*gaps).join(found, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    else:
+        g = df.groupBy(group).agg(*(F.median(c).alias(f"_m_{c}") for c in columns), *gaps)
     kept = [c for c in df.columns if c not in columns]
     return df.join(g, group).select(*kept, *(F.when(F.col(f"_g_{c}") <= most, F.coalesce(c, f"_m_{c}")).alias(c) for c in columns))
 
 
-def robust_scale(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
-    """Median and quartiles of the training rows only; a column without spread keeps its scale."""
-    q = train.agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(c) for c in columns)).first()
+def robust_scale(df: DataFrame, train: DataFrame, columns: list[str], quantiles=None) -> DataFrame:
+    """Median and quartiles of the training rows only; a column without spread keeps its scale. quantiles: as in impute()."""
+    at = [0.25, 0.5, 0.75]
+    q = (quantiles(train, [], columns, at) if quantiles else train.agg(*(F.percentile(c, F.array(*map(F.lit, at))).alias(c) for c in columns))).first()
     scaled = lambda c, low, mid, high: ((F.col(c) - F.lit(mid)) / F.lit(high - low if high > low else 1.0)).alias(c)
     return df.select(
         *(c for c in df.columns if c not in columns),
@@ -109,24 +118,21 @@ def bootstrap_weights(days: int, reps: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).multinomial(days, np.full(days, 1 / days), size=reps)
 
 
-def paired_bootstrap(df: DataFrame, weights: DataFrame, day: str = "day", y: str = "y", a: str = "a", b: str = "b") -> DataFrame:
-    """Differences of mae and rmse of two predictions with 95% intervals from day blocks.
-
-    Rows are summed by day first; weights (rep, day, w) then join the days' sums, so only replicates times days rows meet.
-    """
+def _day_sums(df: DataFrame, day: str, y: str, a: str, b: str) -> DataFrame:
     err = lambda c: F.col(c) - F.col(y)
-    d = df.groupBy(day).agg(
+    return df.groupBy(day).agg(
         F.count("*").alias("n"), *(F.sum(F.abs(err(c))).alias(f"{c}1") for c in (a, b)),
         *(F.sum(err(c) * err(c)).alias(f"{c}2") for c in (a, b))
     )
-    sums = lambda w: [F.sum(F.col(c) * w).alias(c) for c in ("n", f"{a}1", f"{b}1", f"{a}2", f"{b}2")]
+
+
+def _intervals(seen: DataFrame, reps: DataFrame, a: str, b: str) -> DataFrame:
+    """(metric, difference, low, high, reps) from the sums of all days and those of each replicate."""
     delta = [
         (F.col(f"{a}1") / F.col("n") - F.col(f"{b}1") / F.col("n")).alias("mae"),
         (F.sqrt(F.col(f"{a}2") / F.col("n")) - F.sqrt(F.col(f"{b}2") / F.col("n"))).alias("rmse")
     ]
-    reps = d.join(weights, day).groupBy("rep").agg(*sums(F.col("w"))).select(*delta)
-    seen = d.agg(*sums(F.lit(1))).select(*delta)
-    out = None
+    seen, reps, out = seen.select(*delta), reps.select(*delta), None
     for m in ("mae", "rmse"):
         q = reps.agg(F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("reps"))
         row = seen.select(F.lit(m).alias("metric"), F.col(m).alias("difference")).join(q).select(
@@ -136,6 +142,64 @@ def paired_bootstrap(df: DataFrame, weights: DataFrame, day: str = "day", y: str
     return out
 
 
+def paired_bootstrap(df: DataFrame, weights: DataFrame, day: str = "day", y: str = "y", a: str = "a", b: str = "b") -> DataFrame:
+    """Differences of mae and rmse of two predictions with 95% intervals from day blocks.
+
+    Rows are summed by day first; weights (rep, day, w) then join the days' sums, so only replicates times days rows meet.
+    """
+    d = _day_sums(df, day, y, a, b)
+    sums = lambda w: [F.sum(F.col(c) * w).alias(c) for c in ("n", f"{a}1", f"{b}1", f"{a}2", f"{b}2")]
+    return _intervals(d.agg(*sums(F.lit(1))), d.join(weights, day).groupBy("rep").agg(*sums(F.col("w"))), a, b)
+
+
+#: Days whose weights are drawn together.
+DAY_BLOCK = 1024
+
+
+def block_draws(days: int, block: int, reps: int, seed: int, size: int = DAY_BLOCK) -> np.ndarray:
+    """(replicate, day of the block) how often each day is drawn, of as many draws with replacement as there are days.
+
+    The draws go down a binary tree over blocks: at each node a binomial number goes left, with a generator seeded by the
+    node. A block needs the nodes above it only, so any task can make any block's weights, and always the same ones.
+    """
+    left, right, draws = 0, -(-days // size), np.full(reps, days)
+    while right - left > 1:
+        middle = (left + right) // 2
+        here = min(right * size, days) - left * size
+        down = np.random.default_rng([seed, left, right]).binomial(draws, (middle - left) * size / here)
+        left, right, draws = (left, middle, down) if block < middle else (middle, right, draws - down)
+    here = min(right * size, days) - left * size
+    return np.random.default_rng([seed, left, right, 1]).multinomial(draws, np.full(here, 1 / here))
+
+
+def multinomial_bootstrap(
+    df: DataFrame, reps: int = 2000, seed: int = 42, day: str = "day", y: str = "y", a: str = "a", b: str = "b", size: int = DAY_BLOCK
+) -> DataFrame:
+    """As paired_bootstrap, with multinomial weights that each task makes for its own blocks of days.
+
+    No table of weights exists: a block of days' sums times its weights gives one row for each replicate, and these are added.
+    Weights depend on the order of the days and the seed alone. A null day is a day. Without rows there is no replicate.
+    """
+    from ..functions.storage import stored
+    from ..operators.ingest import row_ids
+
+    d = stored(row_ids(_day_sums(df, day, y, a, b), [day], "_at"))
+    days = d.count()
+    names = ["n", f"{a}1", f"{b}1", f"{a}2", f"{b}2"]
+
+    def replicates(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_at")
+        w = block_draws(days, int(pdf["_at"].iloc[0]) // size, reps, seed, size)
+        out = pd.DataFrame(w @ pdf[names].to_numpy(float), columns=names)
+        out.insert(0, "rep", np.arange(reps))
+        return out
+
+    parts = d.groupBy(F.floor(F.col("_at") / size).alias("_block")).applyInPandas(replicates, "rep long, " + ", ".join(f"`{c}` double" for c in names))
+    return _intervals(d.agg(*(F.sum(c).alias(c) for c in names)), parts.groupBy("rep").agg(*(F.sum(c).alias(c) for c in names)), a, b)
+
+
 def largest_errors(df: DataFrame, k: int = 20, y: str = "y", p: str = "p", tie: str = "row_id") -> DataFrame:
     return df.withColumn("abs_error", F.abs(F.col(y) - F.col(p))).orderBy(F.desc("abs_error"), tie).limit(k)
 
@@ -148,11 +212,13 @@ def input_ages(df: DataFrame, prediction: str, stamps: list[str]) -> DataFrame:
     )
 
 
-def audit_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, n, mean, low quartile, median, high quartile, least, most) of columns, in one scan."""
+def audit_summary(df: DataFrame, columns: list[str], quantiles=None) -> DataFrame:
+    """(name, n, mean, low quartile, median, high quartile, least, most) of columns, in one scan; with quantiles as in impute(), in some."""
+    at = [0.25, 0.5, 0.75]
+    known = quantiles(df, [], columns, at).first() if quantiles else None
 
     def summary(c):
-        q = F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+        q = F.lit(known[c]).cast("array<double>") if known else F.percentile(c, F.array(*map(F.lit, at)))
         parts = {"name": F.lit(c), "n": F.count(c), "mean": F.avg(c).cast("double")}
         parts |= {name: F.get(q, F.lit(k)) for k, name in enumerate(("q25", "q50", "q75"))}
         parts |= {"least": F.min(c).cast("double"), "most": F.max(c).cast("double")}

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import MINUTE, yes
@@ -108,12 +109,64 @@ def rule_grid(caps=(10.0, 20.0, 30.0), thresholds=(120.0, 180.0, 240.0, 300.0),
 
 
 def grid_scores(df: DataFrame, rules: list[Rule], p: str = "p", y: str = "y", fold: str = "fold") -> DataFrame:
-    """(cap, threshold, multiplier, mean_rmse): rules are literals of one pass; each row is judged by all of them, sums meet by fold."""
-    e = [F.struct(F.lit(k).alias("k"), ((F.col(y) - r(F.col(p))) * (F.col(y) - r(F.col(p)))).alias("e")) for k, r in enumerate(rules)]
-    g = df.select(fold, F.explode(F.array(*e)).alias("x")).groupBy(fold, "x.k").agg(F.avg("x.e").alias("m"))
-    scores = g.groupBy("k").agg(F.avg(F.sqrt("m")).alias("mean_rmse"))
-    spec = F.array(*(F.struct(F.lit(r.cap).alias("cap"), F.lit(r.threshold).alias("threshold"), F.lit(r.multiplier).alias("multiplier")) for r in rules))
-    return scores.withColumn("_s", F.get(spec, F.col("k"))).select("_s.cap", "_s.threshold", "_s.multiplier", "mean_rmse")
+    """(cap, threshold, multiplier, mean_rmse) of each rule on one column of predictions."""
+    return rule_search(df, {p: p}, rules, y, fold).drop("configuration", "rank")
+
+
+def rule_search(df: DataFrame, configurations: dict[str, str], rules: list[Rule], y: str = "y", fold: str = "fold") -> DataFrame:
+    """(configuration, cap, threshold, multiplier, mean_rmse, rank) of every rule on every column of predictions, the best first.
+
+    Caps, thresholds and multipliers cut the rows' order into cells: how many caps lie below a prediction, how many thresholds
+    below the minutes pending, how many multiples of these reach the prediction. Of a cell a rule needs to know only sums, of
+    y, its square and its products with the minutes, or of the squared error as it is. So a row is read once for each
+    configuration, whatever the number of rules, sums are combined before they move, and rules meet cells, not rows. The
+    scores are means over folds of each fold's rmse. Rows without a label count for nothing; a missing prediction is replaced where a rule
+    applies and has no error otherwise.
+    """
+    if not configurations or not rules:
+        raise ValueError("configurations and rules are needed")
+    caps = sorted({r.cap for r in rules if r.cap is not None})
+    thresholds = sorted({r.threshold for r in rules if r.threshold is not None})
+    multipliers = sorted({r.multiplier for r in rules if r.threshold is not None})
+    how_many = lambda tests: sum((yes(t).cast("int") for t in tests), F.lit(0))
+    each = F.array(*(F.struct(F.lit(name).alias("configuration"), F.col(c).cast("double").alias("p")) for name, c in configurations.items()))
+    rows = df.where(F.col(y).isNotNull()).select(
+        F.col(fold).alias("fold"), F.col(y).cast("double").alias("y"), F.col("oldest_pending_minutes").cast("double").alias("q"),
+        (F.col("history_count") > 0).alias("history"), yes(F.col("is_departure") == 1).alias("departure"), F.inline(each)
+    )
+    capped, floored = yes(~F.col("history")) & F.col("departure"), yes(F.col("history")) & F.col("q").isNotNull()
+    p, q, v = F.col("p"), F.col("q"), F.col("y")
+    error = (v - p) * (v - p)
+    cells = rows.groupBy(
+        "configuration", "fold", F.when(capped, how_many((p > c) | p.isNull() for c in caps)).otherwise(0).alias("caps"),
+        F.when(floored, how_many(q > t for t in thresholds)).otherwise(0).alias("thresholds"),
+        F.when(floored, how_many(q * m <= p for m in multipliers)).otherwise(0).alias("multipliers")
+    ).agg(
+        F.count("*").alias("n"), F.count(error).alias("ne"), F.sum(error).alias("e2"), F.sum("y").alias("y1"), F.sum(v * v).alias("y2"),
+        F.sum(v * q).alias("yq"), F.sum(q * q).alias("q2")
+    )
+    at = lambda values, x: values.index(x) if x is not None else len(values)
+    spec = F.array(
+        *(
+            F.struct(
+                F.lit(k).alias("k"), F.lit(r.cap).cast("double").alias("cap"), F.lit(r.threshold).cast("double").alias("threshold"),
+                F.lit(r.multiplier).cast("double").alias("multiplier"), F.lit(at(caps, r.cap)).alias("cap_at"), F.lit(at(thresholds, r.threshold)).alias("threshold_at"),
+                F.lit(at(multipliers, r.multiplier) if r.threshold is not None else 0).alias("multiplier_at")
+            ) for k, r in enumerate(rules)
+        )
+    )
+    met = cells.select("*", F.inline(spec))
+    cap = F.col("cap_at") < F.col("caps")
+    floor = (F.col("threshold_at") < F.col("thresholds")) & (F.col("multiplier_at") >= F.col("multipliers"))
+    c, m = F.col("cap"), F.col("multiplier")
+    sse = F.when(cap, F.col("y2") - 2 * c * F.col("y1") + c * c * F.col("n")).when(floor, F.col("y2") - 2 * m * F.col("yq") + m * m * F.col("q2")).otherwise(F.col("e2"))
+    names = ["configuration", "k", "cap", "threshold", "multiplier"]
+    scores = met.groupBy(*names, "fold").agg(F.sum(sse).alias("e2"), F.sum(F.when(cap | floor, F.col("n")).otherwise(F.col("ne"))).alias("n"))
+    # Differences of sums may fall a little below nothing.
+    scores = scores.groupBy(*names).agg(F.avg(F.sqrt(F.greatest(F.col("e2"), F.lit(0.0)) / F.nullif(F.col("n"), F.lit(0)))).alias("mean_rmse"))
+    # As many rows as rules and configurations.
+    ranked = scores.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_last("mean_rmse"), "configuration", "k")).cast("long"))
+    return ranked.drop("k")
 
 
 def provenance_violations(df: DataFrame, cut: str, stamps: dict[str, int], counts: dict[str, list[str]] | None = None) -> DataFrame:
