@@ -290,8 +290,8 @@ def test_streams(spark, tmp_path):
     for k, part in enumerate((df.where("n = 1"), df.where("n = 2"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
-    got = streams.run_to_end(streams.run_sessions(stream, gap="30 minutes"), "sessions_test").collect()
+    got = streams.run_to_end(streams.run_sessions(stream, gap="30 minutes")).collect()
     assert sorted((r.n, r.events, r.mean_delay) for r in got)[:3] == [(1, 1, 5.0), (1, 1, 50.0), (1, 2, 5.0)]
     plan = stream.select("d", "n", "st", "ty", "s", F.col("known_at").alias("planned_at")).where("delay in (0.0, 50.0)")
-    both = streams.run_to_end(streams.reports_within(plan, stream, 2), "interval_test").where("delay is not null").collect()
+    both = streams.run_to_end(streams.reports_within(plan, stream, 2)).where("delay is not null").collect()
     assert sorted((r.planned_at.minute, r.delay) for r in both) == [(0, 0.0), (0, 10.0), (0, 50.0), (50, 50.0)]

@@ -189,12 +189,12 @@ def test_streams(spark, tmp_path):
     rows = [{"d": "2024-01-01", "n": 1, "s": s, "done": done} for s, done in ((10, False), (20, False), (30, False), (20, True))]
     (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)))
     stream = spark.readStream.schema("d date, n long, s long, done boolean").json(str(tmp_path))
-    got = st.run_to_end(st.pending(stream), "pending_now", "update").collect()
+    got = st.run_to_end(st.pending(stream), mode="update").collect()
     assert [(r.n, r.pending_count, r.oldest_scheduled, r.done_until) for r in got] == [(1, 1, 30, 20)]
     ev = [{"st": 1, "known_at": f"2024-01-01T1{h}:05:00", "delay": float(h), "k": h // 2} for h in range(8)]
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "b.json").write_text("\n".join(map(json.dumps, ev)))
     s2 = spark.readStream.schema("st int, known_at timestamp, delay double, k int").json(str(tmp_path / "b"))
-    w = st.run_to_end(st.station_windows(s2), "windows_now", "append")
+    w = st.run_to_end(st.station_windows(s2))
     assert w.count() > 0 and w.agg(F.max("n")).first()[0] == 3
-    assert st.run_to_end(st.once(s2, ["k"]), "once_now").count() == 4
+    assert st.run_to_end(st.once(s2, ["k"])).count() == 4

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..functions.clock import MINUTE
 from ..operators import feed as fd
 from ..operators import ingest, provenance, route, weather, wide
 from ..streaming import pending as streams
+from ..streaming import history_log, timed
 from . import adapter, evaluate, policy
 from .queries import BASE, CONTEXT, INBOUND, ROUTE, SQL, TERMINAL, home, query, tidy
 from .study_queries import PARAMETERS, PRED, SERIES, controls
@@ -287,7 +289,7 @@ def messages(spark, sf_dir):
 )
 def stream_station_windows(spark, sf_dir):
     """The sliding context as a stream, run to its end."""
-    out = streams.run_to_end(streams.station_windows(messages(spark, sf_dir)), f"station_windows_{abs(hash(sf_dir))}", "complete")
+    out = streams.run_to_end(streams.station_windows(messages(spark, sf_dir)), mode="complete")
     return tidy(out.select("st", F.unix_micros("window.start").alias("start_us"), "n", "mean_delay", "max_delay"), 6)
 
 
@@ -297,7 +299,7 @@ def stream_station_windows(spark, sf_dir):
 )
 def stream_pending(spark, sf_dir):
     """Pending events as keyed state, after the last message of each run."""
-    out = streams.run_to_end(streams.pending(messages(spark, sf_dir).select("d", "n", "s", "done")), f"pending_{abs(hash(sf_dir))}", "update")
+    out = streams.run_to_end(streams.pending(messages(spark, sf_dir).select("d", "n", "s", "done")), mode="update")
     return out.withColumn("d", F.col("d").cast("string"))
 
 
@@ -305,9 +307,57 @@ def stream_pending(spark, sf_dir):
 def stream_once(spark, sf_dir):
     """A stream that repeats itself, without its repeats."""
     rows = messages(spark, sf_dir)
-    return streams.run_to_end(
-        streams.once(rows.unionByName(rows), ["n", "st", "known_at"], "400 days"), f"once_{abs(hash(sf_dir))}"
-    ).agg(F.count("*").alias("events"))
+    return streams.run_to_end(streams.once(rows.unionByName(rows), ["n", "st", "known_at"], "400 days")).agg(F.count("*").alias("events"))
+
+
+@query(
+    "stream_runs_over",
+    "WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id % 25 AS n, epoch_us(ts) AS s, event_id % 4 = 0 AS done FROM events), m AS (SELECT d, n, max(s) FILTER (done) AS done_until, max(s) AS last FROM e GROUP BY ALL), x AS (SELECT max(s) AS now FROM e), p AS (SELECT m.d, m.n, count(DISTINCT e.s) AS pending_count, min(e.s) AS oldest_scheduled, max(e.s) AS latest, any_value(m.done_until) AS done_until, any_value(m.last) AS last FROM m LEFT JOIN e ON e.d = m.d AND e.n = m.n AND NOT e.done AND (m.done_until IS NULL OR e.s > m.done_until) GROUP BY m.d, m.n) SELECT CAST(d AS VARCHAR) AS d, n, pending_count, oldest_scheduled, done_until FROM p, x WHERE greatest(coalesce(latest // 1000 + 86400000, 0), last // 1000 + 7200000) <= now // 1000 - 7200000"
+)
+def stream_runs_over(spark, sf_dir):
+    """What was pending when each run's timer ended it; runs whose time is not up have no row."""
+    out = streams.run_to_end(timed.pending_runs(messages(spark, sf_dir).select("d", "n", "s", "done", "known_at")), mode="update")
+    return out.where("over").drop("over")
+
+
+@query(
+    "stream_sessions",
+    "WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id % 25 AS n, epoch_us(ts) AS t, value FROM events), b AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY d, n ORDER BY t) >= 5400000000, true) AS fresh FROM e), s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY d, n ORDER BY t) AS k FROM b), x AS (SELECT max(t) - 7200000000 AS mark FROM e) SELECT CAST(d AS VARCHAR) AS d, n, min(t) AS start_us, max(t) + 5400000000 AS end_us, count(*) AS events, round(avg(value), 6) AS mean_delay, max(value) AS max_delay FROM s, x GROUP BY d, n, k, mark HAVING max(t) + 5400000000 <= mark"
+)
+def stream_sessions(spark, sf_dir):
+    """Reports of a run without a gap, given when the watermark has passed their end."""
+    out = streams.run_to_end(streams.run_sessions(messages(spark, sf_dir)))
+    return tidy(out.select(F.col("d").cast("string").alias("d"), "n", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "mean_delay", "max_delay"), 6)
+
+
+LOG = """WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id % 25 AS n, CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 200 WHEN 'signup' THEN 300 WHEN 'purchase' THEN 370 WHEN 'error' THEN 400 END AS st, epoch_us(ts) AS s, event_id AS id, CASE WHEN event_id % 17 <> 0 THEN round(value, 3) END AS v FROM events),
+r AS (SELECT d, n, st, s, v AS delay, id AS known, id % 3 + 1 AS version FROM e WHERE id % 3 < 2 UNION ALL SELECT d, n, st, s, v + 5, id + 10000000, 3 FROM e WHERE id % 6 = 1 UNION ALL SELECT d, n, st, s, v + 9, id - 10000000, 3 FROM e WHERE id % 30 = 3),
+l AS (SELECT version AS upto, r.* FROM r UNION ALL SELECT 2, r.* FROM r WHERE version = 1 UNION ALL SELECT 3, r.* FROM r WHERE version < 3),
+x AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY upto, d, n, st, s ORDER BY known DESC, version DESC) = 1)
+"""
+
+
+@query(
+    "history_versions",
+    LOG + "SELECT CAST(upto AS BIGINT) AS version, CAST(st AS BIGINT) AS st, count(*) AS events, count(delay) AS reported, round(avg(delay), 6) AS mean_delay, round(sum(delay * delay), 3) AS squares FROM x GROUP BY upto, st"
+)
+def history_versions(spark, sf_dir):
+    """What three versions of a log knew of the stations: reports, more reports, then corrections and stale ones."""
+    events = adapter.read(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("d"), (F.col("user_id") % 25).alias("n"), adapter.chosen("event_type", adapter.STATIONS).alias("st"),
+        F.lit("ARRIVAL").alias("ty"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), F.lit(None).cast("long").alias("act"),
+        F.when(F.col("event_id") % 17 != 0, F.round("value", 3)).alias("delay"), F.col("event_id").alias("known_at")
+    )
+    k, apart = F.col("known_at"), 10_000_000
+    late = events.where(k % 6 == 1).withColumn("delay", F.col("delay") + 5).withColumn("known_at", k + apart)
+    stale = events.where(k % 30 == 3).withColumn("delay", F.col("delay") + 9).withColumn("known_at", k - apart)
+    log = history_log.HistoryLog(spark, storage.new_path(spark))
+    out = None
+    for batch in (events.where(k % 3 == 0), events.where(k % 3 == 1), late.unionByName(stale)):
+        version = log.append(batch)
+        now = log.summary("stations", version).withColumn("version", F.lit(version).cast("long"))
+        out = now if out is None else out.unionByName(now)
+    return out.select("version", "st", "events", "reported", F.round("mean_delay", 6).alias("mean_delay"), F.round("squares", 3).alias("squares"))
 
 
 @query("boosted_scores")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .timed import run_to_end  # noqa: F401  part of this module's interface
+
 
 def once(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Events of a stream without repeats of a key within the watermark; stream has a timestamp column known_at."""
@@ -75,10 +77,3 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 def pending(stream: DataFrame) -> DataFrame:
     """(d, n, s, done) messages to the run's pending events after each batch (update mode). State is one run's open schedule times."""
     return stream.groupBy("d", "n").applyInPandasWithState(_step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def run_to_end(df: DataFrame, name: str, mode: str = "append"):
-    """Drives a bounded stream to its end into a table in memory; for tests and replays."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
