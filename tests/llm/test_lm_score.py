@@ -105,16 +105,39 @@ def test_what_occurs_twice_scores_higher(spark, monkeypatch):
 
 
 def test_every_document_trains(spark):
-    """Words that no sampled prefix holds change the network too."""
+    """Every token of every text is a training window in just one round, late words of long texts too."""
     long = "a b " * 60_000
-    docs = spark.createDataFrame([(i, long) for i in range(4)] + [(9, "a b " * 60_000 + "late words here " * 50)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, long) for i in range(4)] + [(9, "a b " * 60_000 + "late words here " * 50), (None, "c"), (10, None)], "doc_id long, text string")
     model = lm.fit(docs)
-    before = lm.WindowModel(sorted([(b"a", 300_000), (b"b", 300_000), (b"here", 50), (b"late", 50), (b"words", 50)], key=lambda x: (-x[1], x[0])), 0, 0)
+    before = lm.WindowModel(sorted([(b"a", 300_000), (b"b", 300_000), (b"here", 50), (b"late", 50), (b"words", 50), (b"c", 1)], key=lambda x: (-x[1], x[0])), 0, 0)
     assert model.words == before.words
     for w in (b"late", b"words", b"here"):
         assert np.abs(model.tables[:, model.words[w]] - before.tables[:, model.words[w]]).max() > 1e-3
 
 
+def test_rounds_take_each_token_once(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).repartition(5)
+    trained = []
+
+    def note(rows, model):
+        trained.append([r.text for r in rows.collect()])
+
+    monkeypatch.setattr(lm, "train_on_all", note)
+    lm.fit(docs)
+    assert len(trained) == len(lm.ROUNDS) and all(trained)
+    assert sorted(t for part in trained for t in part) == sorted(r.text for r in docs.collect())
+
+
+def test_partitions_change_scores_little(spark):
+    """The rows' tasks decide what is averaged with what: scores per token move by a fifth of their spread over documents at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = ({r.doc_id: r.pll / max(1, r.n_tokens) for r in lm.scored(docs, lm.fit(docs.repartition(n, "doc_id")), None, False).collect()} for n in (2, 6))
+    some = list(one)
+    a, b = (np.array([x[i] for i in some]) for x in (one, two))
+    assert np.abs((a - a.mean()) - (b - b.mean())).mean() < 0.2 * a.std() and np.corrcoef(a, b)[0, 1] > 0.95
+
+
 def test_edges(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a"), (2, None), (3, " !!"), (4, "z " * 90_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))

@@ -116,6 +116,31 @@ def test_pieces():
     assert b"".join(warc.inflated(io.BytesIO(packed))) == recs
 
 
+def test_damaged_length_is_bounded(monkeypatch):
+    """A length of terabytes costs the bytes ahead, not the rest of the file, and no other record; a record that holds records stays whole."""
+    monkeypatch.setattr(warc, "AHEAD", 1 << 16)
+    monkeypatch.setattr(warc, "PIECE", 1 << 12)
+    rec = lambda body, n=None: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body) if n is None else n, body)
+    bodies = [b"%d " % i * 300 for i in range(2000)]
+    nested = rec(b"inner") * 20
+    data = rec(nested) + rec(b"damaged", 10**12) + b"".join(map(rec, bodies))
+    given = 0
+
+    def pieces():
+        nonlocal given
+        for k in range(0, len(data), 4096):
+            given += 1
+            yield data[k : k + 4096]
+
+    source, most, got = warc.Source(pieces()), 0, []
+    for _, _, block, _ in warc.records(source):
+        got.append(block)
+        most = max(most, len(source.held))
+        if block == b"damaged":
+            assert given * 4096 < 3 * (1 << 16)
+    assert got == [nested, b"damaged", *bodies] and most < 3 * (1 << 16)
+
+
 def test_edges(spark):
     rows = [(None, None, None), (None, "u", "x"), (1, None, "y"), (1, None, "y"), (2, "é\n", "é" * 40000), (-5, "u", "z"), (9_000_000, "u", "long " * 100_000)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, offset int")

@@ -11,8 +11,9 @@ little and are left to the network, and so no window that is looked up is a larg
 
 Counted over all documents: every word, for the vocabulary, the classes and the share of a word in its class. Words
 outside the vocabulary have one class and one row of the network, and their own counts, which are joined. The network
-starts from a fit on a small sample and is then trained on every token of all documents: each task goes over its own,
-and the changes are averaged, each row of a table by how often a task used it.
+is trained on every token of all documents, in rounds: a hash deals the documents to rounds, each task goes over its own
+documents of the round, and the changes are averaged, each row of a table by how often a task used it. How documents lie in
+tasks changes the averages a little, and so the scores.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import as_bytes, frugal, mix, partitions, small_batches, stored
 
 #: Words of the vocabulary, classes that are one word, classes of the rest; hidden units; words on each side.
 VOCABULARY, SINGLE, SHARED, HIDDEN, SIDE = 16384, 40, 23, 16, 2
-#: The start of the network: documents, about; windows of all of them that a pass takes; passes and step.
-SAMPLE_DOCS, SAMPLE_TOKENS, PASSES, RATE = 400, 200_000, 3, 0.05
+#: Where the rounds of training end, as shares of the documents; step.
+ROUNDS, RATE = (1 / 16, 1 / 4, 1.0), 0.05
 #: Less than one in so many tokens is an uncommon word. How many other windows weigh as much as the network.
 UNCOMMON, BALANCE = 1 << 17, 1.0
 #: Distinct words that a task counts before it hands them on; tokens taken together, tokens scored at once.
@@ -128,16 +129,6 @@ class WindowModel:
         h += self.bias
         return np.tanh(h, out=h)
 
-    def train(self, parts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 6, most: int | None = None) -> None:
-        """Adagrad on the cross-entropy of the masked token's class, in mini-batches; on at most so many windows a pass, drawn from all of the texts."""
-        memory = self.memory()
-        rng = np.random.default_rng(seed)
-        padded, places = self.windows(parts)
-        for _ in range(passes):
-            order = rng.permutation(places)[:most]
-            for lo in range(0, len(order), 256):
-                self.step(padded, order[lo : lo + 256], memory, rate)
-
     def bounded(self) -> bool:
         """Whether no score of a class can leave a float's range as an exponent: hidden units are between -1 and 1."""
         return float(np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max()) < 60
@@ -275,21 +266,16 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, counts: DataFrame | None = None) -> WindowModel:
-    """Counts all words of all documents, then trains the network: a start on the sample, a pass over all documents."""
+    """Counts all words of all documents, then trains the network on each document once: a sixteenth of them, then more, then the rest."""
     rows = plain(docs)
     counts = counted(docs) if counts is None else counts
     # The network's vocabulary is bounded, so these rows are.
     words = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     total = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     model = WindowModel(words, total.words - len(words), total.tokens - sum(n for _, n in words))
-    n = rows.count()
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Rows that repeat an id are one, so that no id brings more than its share.
-    some = rows.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (lot * n <= SAMPLE_DOCS))
-    sample = some.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    each = SAMPLE_TOKENS // max(1, len(sample))
-    model.train([model.ids(r.text.encode())[:each] for r in sorted(sample, key=lambda r: (r.doc_id, r.text))])
-    train_on_all(rows, model)
+    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    for low, high in zip((0.0, *ROUNDS), ROUNDS):
+        train_on_all(rows.where((lot >= low) & (lot < high)), model)
     return model
 
 
@@ -312,7 +298,7 @@ def change_row(block: int, salt: int, v: np.ndarray):
 
 
 def train_on_all(rows: DataFrame, model: WindowModel) -> None:
-    """A pass over every token: tasks' changes are summed by block, by lots of tasks first, so the driver gets one model."""
+    """A pass over every token of the rows: tasks' changes are summed by block, by lots of tasks first, so the driver gets one model."""
     from pyspark import TaskContext
 
     small_batches(rows.sparkSession, 256)

@@ -28,6 +28,8 @@ LOOSE, LOOSE_SHARDS = -(1 << 56), 1024
 RECORD = -1
 GZIP, PIECE = b"\x1f\x8b\x08", 1 << 20
 CLOSE, NEXT = b"\r\n\r\n", re.compile(rb"WARC/1\.\d\r?\n")
+#: The end of a record and the beginning of the next; how far a length may reach past that.
+BETWEEN, AHEAD = re.compile(rb"\r\n\r\nWARC/1\.\d\r?\n"), 16 << 20
 ID = re.compile(r"^<urn:page:(-?\d+)>$")
 LEAF = "page_id long, digest string, length long"
 NODE = "level int, key long, page_id long, digest string, length long, copies long, start long, stop long"
@@ -37,40 +39,51 @@ class Source:
     """Bytes from pieces; what was read may be put back."""
 
     def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held, self.at = pieces, b"", 0
+        self.pieces, self.held, self.pos, self.at = pieces, b"", 0, 0
 
     def more(self) -> bool:
         piece = next(self.pieces, None)
-        self.held += piece or b""
+        self.held = self.held[self.pos :] + (piece or b"")
+        self.pos = 0
         return piece is not None
 
     def take(self, n: int) -> bytes:
-        out, self.held = self.held[:n], self.held[n:]
+        out = self.held[self.pos : self.pos + n]
+        self.pos += len(out)
         self.at += len(out)
         return out
 
     def read(self, n: int) -> bytes:
-        parts, size = [self.held], len(self.held)
-        while size < n and (piece := next(self.pieces, None)) is not None:
-            parts.append(piece)
-            size += len(piece)
-        self.held = b"".join(parts)
-        return self.take(n)
+        """n bytes, or what is left."""
+        parts, size = [], 0
+        while size < n:
+            part = self.take(n - size)
+            parts.append(part)
+            size += len(part)
+            if size < n and not self.more():
+                break
+        return b"".join(parts)
 
     def line(self) -> bytes:
-        while b"\n" not in self.held and self.more():
+        while (end := self.held.find(b"\n", self.pos)) < 0 and self.more():
             pass
-        return self.take(self.held.find(b"\n") + 1 or len(self.held))
+        return self.take((end + 1 or len(self.held)) - self.pos)
 
     def back(self, data: bytes) -> None:
-        self.held = data + self.held
+        """data: the bytes before the next one to be read."""
+        if len(data) <= self.pos:
+            self.pos -= len(data)
+        else:
+            self.held, self.pos = data + self.held[self.pos :], 0
         self.at -= len(data)
 
 
 def records(source: Source) -> Iterator[tuple[int, dict, bytes, bytes]]:
     """(offset, headers, block, all bytes with the closing lines) of each record; damaged stretches are skipped to the next record.
 
-    A record whose length is wrong ends where the next one begins. One record at a time is in memory.
+    A record whose length is wrong ends where the next one begins. A length is taken as wrong, too, if it reaches more than
+    AHEAD bytes past the first end of a record with the beginning of another; so one record at a time is in memory, and
+    AHEAD bytes of others, whatever a damaged length says.
     """
     while line := source.line():
         if not line.startswith(b"WARC/"):
@@ -83,18 +96,26 @@ def records(source: Source) -> Iterator[tuple[int, dict, bytes, bytes]]:
         head.append(line)
         size = headers.get("content-length", "")
         n = int(size) if size.isascii() and size.isdigit() else 0
-        block = source.read(n)
-        close = source.read(4)
+        block, other = bytearray(), None
+        while len(block) < n and (other is None or len(block) - other <= AHEAD) and (part := source.read(min(PIECE, n - len(block)))):
+            block += part
+            if other is None and (m := BETWEEN.search(block, max(0, len(block) - len(part) - 32))):
+                other = m.start()
+        close = source.read(4) if len(block) == n else b""
         if close != CLOSE:
             # The length is wrong, or the record is cut off: it ends where the next one begins.
-            rest, at = block + close, 0
-            while (m := NEXT.search(rest, max(0, at))) is None and (source.held or source.more()):
-                at = len(rest) - 16
-                rest += source.take(len(source.held))
-            source.back(rest[m.start() :] if m else b"")
-            rest = rest[: m.start()] if m else rest
-            block, close = (rest[:-4], CLOSE) if rest.endswith(CLOSE) else (rest, b"")
-        yield start, headers, block, b"".join((*head, block, close))
+            block += close
+            at = 0
+            while (m := NEXT.search(block, max(0, at))) is None and (part := source.read(PIECE)):
+                at = len(block) - 16
+                block += part
+            if m:
+                source.back(bytes(block[m.start() :]))
+                del block[m.start() :]
+            close = CLOSE if block.endswith(CLOSE) else b""
+            if close:
+                del block[-4:]
+        yield start, headers, bytes(block), b"".join((*head, block, close))
 
 
 def inflated(stream) -> Iterator[bytes]:
