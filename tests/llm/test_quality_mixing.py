@@ -74,14 +74,21 @@ def test_clean_group_has_low_limits(spark):
     rows = [(i, words(i), "en", "ab"[i % 2]) for i in range(400)]
     rows += [(1000 + i, words(1000 + i) + " ##" * 12, "en", "a") for i in range(40)]
     rows += [(2000, words(2000) + " # &", "en", "a"), (2001, words(2001), None, None)]
+    # In proportion: three symbols of a short text are too many, those of a long one are not, and a short text without any stays.
+    rows += [(2002, " ".join(f"v{k}" for k in range(55)) + " ###", "en", "a"), (2003, " ".join(f"z{k}" for k in range(700)) + " # $ %", "en", "a"), (2004, " ".join("q%d" % (k % 60) for k in range(60)), "en", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}
-    assert kept == {*range(400), 2000, 2001}
+    assert kept == {*range(400), 2000, 2001, 2003, 2004}
     assert {r.doc_id for r in quality.quality_filter(docs).collect()} == kept
 
 
 def test_limits_decide_on_table(spark):
+    """Limits differ by group, are above nothing and mostly below the cap; what the labels call bad goes, what they call good stays."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    limits = quality.thresholds(quality.stored(quality.with_rates(quality.measured(docs)))).collect()
+    for m in quality.GAPS:
+        found = [r[f"_max_{m}"] for r in limits]
+        assert min(found) > 0 and len(set(found)) > len(found) / 4 and found.count(max(found)) < len(found) / 2, m
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed").collect()
     bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))

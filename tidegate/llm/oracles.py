@@ -39,7 +39,8 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
 
 def quality_sql() -> str:
     """The counts, and the limits from sorted lists where the engine has sketches."""
-    spare, levels = quality.EXCUSED, ", ".join(map(str, quality.LEVELS))
+    levels = ", ".join(map(str, quality.LEVELS))
+    rate = lambda m, size: f"1000.0::DOUBLE * ({m} + {quality.PRIOR[m][0]}) / ({size} + {quality.PRIOR[m][1]})"
     gaps = " ".join(f"WHEN '{m}' THEN {gap}" for m, gap in quality.GAPS.items())
     at = lambda column, p: f"{column}[greatest(1, CAST(ceil(CAST({p} AS DOUBLE) * len({column})) AS BIGINT))]"
     return f"""
@@ -48,7 +49,7 @@ w3 AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM
 again AS (SELECT doc_id, unnest(list(i)) AS i FROM w3 GROUP BY doc_id, g HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
 m AS (SELECT d.doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ln) AS lines FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
-x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, 1000.0::DOUBLE * greatest(n_symbols - {spare["n_symbols"]}, 0) / greatest(word_chars, 1) AS symbol_rate, 1000.0::DOUBLE * greatest(n_dup_lines - {spare["n_dup_lines"]}, 0) / (lines + 2) AS dup_line_rate, 1000.0::DOUBLE * greatest(n_repeat_words - {spare["n_repeat_words"]}, 0) / greatest(n_words, 1) AS repeat_rate FROM m),
+x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, {rate("n_symbols", "word_chars")} AS symbol_rate, {rate("n_dup_lines", "lines")} AS dup_line_rate, {rate("n_repeat_words", "n_words")} AS repeat_rate FROM m),
 v0 AS (UNPIVOT (SELECT doc_id, lang, source, failed, symbol_rate, dup_line_rate, repeat_rate FROM x) ON symbol_rate, dup_line_rate, repeat_rate INTO NAME metric VALUE raw),
 v AS (SELECT *, ceil(raw * {float(quality.STEPS)}::DOUBLE) / {float(quality.STEPS)} AS rate FROM v0),
 own AS (SELECT lang, source, metric, list_sort(list(rate)) AS a, list_sort(list(rate) FILTER (NOT failed)) AS g FROM v GROUP BY ALL),
@@ -58,7 +59,7 @@ lv AS (SELECT own.lang, own.source, own.metric, k, ({at("g", "p")} * len(g) + {a
 st AS (SELECT *, b - lag(b) OVER (PARTITION BY lang, source, metric ORDER BY k) > CASE metric {gaps} END AS gap FROM lv),
 ed AS (SELECT lang, source, metric, max(b) FILTER (k < coalesce(stop, 99)) AS finish FROM (SELECT *, min(k) FILTER (gap) OVER (PARTITION BY lang, source, metric) AS stop FROM st) GROUP BY ALL),
 li AS (SELECT own.lang, own.source, own.metric, greatest(coalesce({quality.SLACK} * finish, -1), {quality.SLACK} * {at("a", 0.75)} + {quality.REACH} * ({at("a", 0.75)} - {at("a", 0.5)})) AS most, {at("c", quality.CAP)} AS cap FROM own JOIN ca ON ca.metric = own.metric LEFT JOIN ed ON ed.lang IS NOT DISTINCT FROM own.lang AND ed.source IS NOT DISTINCT FROM own.source AND ed.metric = own.metric),
-ok AS (SELECT v.doc_id, bool_and(raw <= CASE WHEN cap IS NULL THEN most ELSE least(most, cap) END) AS fine FROM v JOIN li ON li.lang IS NOT DISTINCT FROM v.lang AND li.source IS NOT DISTINCT FROM v.source AND li.metric = v.metric GROUP BY v.doc_id)
+ok AS (SELECT v.doc_id, bool_and(CASE v.metric WHEN 'symbol_rate' THEN x.n_symbols WHEN 'dup_line_rate' THEN x.n_dup_lines ELSE x.n_repeat_words END = 0 OR raw <= CASE WHEN cap IS NULL THEN most ELSE least(most, {quality.SLACK} * cap) END) AS fine FROM v JOIN x ON x.doc_id = v.doc_id JOIN li ON li.lang IS NOT DISTINCT FROM v.lang AND li.source IS NOT DISTINCT FROM v.source AND li.metric = v.metric GROUP BY v.doc_id)
 SELECT x.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND fine AS kept FROM x JOIN ok ON ok.doc_id = x.doc_id
 """
 

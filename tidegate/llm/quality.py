@@ -18,14 +18,18 @@ SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
 GAPS = {"symbol_rate": 10.0, "dup_line_rate": 100.0, "repeat_rate": 100.0}
 #: Quantiles walked to the end of the clean mass. A threshold is SLACK times the value there, or for a group that has
 #: the like in a quarter of its documents SLACK times its upper quartile plus REACH times the distance from the median
-#: to it; at most the CAP quantile of all documents.
+#: to it; at most SLACK times the CAP quantile of all documents.
 LEVELS, SLACK, REACH, CAP = [0.5, 0.75, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99, 0.995], 2.0, 6.0, 0.999
 #: Steps of a sketch for one per thousand.
 STEPS = 100
 #: A group's quantiles count as its rows, its language's as so many.
 BACKING = 100.0
-#: Occurrences that any text may have: symbols, one repeated line, two repeats of a window of three words.
-EXCUSED = {"n_symbols": 2, "n_dup_lines": 1, "n_repeat_words": 12}
+#: Every text counts as if it had so many more occurrences in so much more text (characters, lines, words): two symbols, a repeated
+#: line, a repeated window. So a text without any has a rate that falls with its length, and a clean group's limits are above
+#: nothing: they allow a few occurrences, more in longer texts. A text without any passes, however short.
+PRIOR = {"n_symbols": (2, 200), "n_dup_lines": (1, 10), "n_repeat_words": (3, 50)}
+#: What each rate counts.
+OF = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words"}
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -83,12 +87,11 @@ def let(value, body):
 
 
 def with_rates(df: DataFrame) -> DataFrame:
-    over = {m: F.lit(1000.0) * F.greatest(F.col(f"_{m}") - F.lit(n), F.lit(0)) for m, n in EXCUSED.items()}
+    rate = lambda m, size: F.lit(1000.0) * (F.col(f"_{m}") + F.lit(PRIOR[m][0])) / (F.col(size) + F.lit(PRIOR[m][1]))
     return df.withColumns(
         {
-            "_symbol_rate": over["n_symbols"] / F.greatest(F.col("_word_chars"), F.lit(1)),
-            "_dup_line_rate": over["n_dup_lines"] / (F.col("_n_lines") + F.lit(2)),
-            "_repeat_rate": over["n_repeat_words"] / F.greatest(F.col("_n_words"), F.lit(1)),
+            "_symbol_rate": rate("n_symbols", "_word_chars"), "_dup_line_rate": rate("n_dup_lines", "_n_lines"),
+            "_repeat_rate": rate("n_repeat_words", "_n_words"),
             "_base_failed": (F.col("_n_words") < 50) | (F.lit(100) * F.col("_n_repeat_words") > F.lit(50) * F.col("_n_words")),
         }
     )
@@ -136,7 +139,7 @@ def thresholds(rated: DataFrame) -> DataFrame:
     gap, cap = F.lit(None).cast("double"), F.lit(None).cast("double")
     for m in GAPS:
         gap = F.when(F.col("_metric") == m, F.lit(GAPS[m])).otherwise(gap)
-        cap = F.when(F.col("_metric") == m, F.lit(caps[m]).cast("double")).otherwise(cap)
+        cap = F.when(F.col("_metric") == m, F.lit(SLACK) * F.lit(caps[m]).cast("double")).otherwise(cap)
 
     def walk(levels):
         start = F.struct(F.get(levels, F.lit(0)).alias("end"), F.lit(True).alias("on"))
@@ -176,8 +179,8 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     r, t = rows.alias("r"), limits.alias("t")
     joined = r.join(t, F.col("r._lang").eqNullSafe(F.col("t._lang")) & F.col("r._source").eqNullSafe(F.col("t._source")), "left")
     ok = F.lit(True)
-    for m in GAPS:
-        ok = ok & (F.col(f"_{m}") <= F.col(f"_max_{m}"))
+    for m, counted in OF.items():
+        ok = ok & ((F.col(f"_{counted}") == 0) | (F.col(f"_{m}") <= F.col(f"_max_{m}")))
     return joined.select("r.*", (~F.col("_base_failed") & F.coalesce(ok, F.lit(False))).alias("_kept"))
 
 
