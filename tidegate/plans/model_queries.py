@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..operators import ingest
+from ..sources import windows
 from . import adapter, evaluate, policy, selection, trees
 from .queries import query, tidy
 from .study_queries import CONTROLS, PRED, controls
@@ -113,3 +115,15 @@ def multinomial_bootstrap(spark, sf_dir):
     """Two predictions compared over days drawn with replacement; the weights come from a seeded generator that SQL does not have."""
     rows = adapter.predictions(spark, sf_dir).withColumn("day", F.floor(F.col("t") / F.lit(86_400_000_000)))
     return tidy(evaluate.multinomial_bootstrap(rows, 500, a="p", b="b"), 6)
+
+
+@query("published_orders", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def published_orders(spark, sf_dir):
+    """Orders published as two versions, the second of which is read back after its blocks were verified."""
+    rows = adapter.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    at = storage.new_path(spark)
+    windows.publish(rows.where("o_orderstatus = 'F'"), at)
+    version = windows.publish(rows, at)
+    if windows.verify_published(spark, at, version).count():
+        raise ValueError("blocks differ from what was written")
+    return windows.read_published(spark, at, version)
