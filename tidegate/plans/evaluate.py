@@ -15,7 +15,8 @@ def chronological(df: DataFrame, n: int, share: float = 0.8) -> DataFrame:
 
 def hashed(df: DataFrame, keys: list[str], parts: int, seed: int = 42, name: str = "fold") -> DataFrame:
     """Shuffled folds: by hash, so a row's fold does not depend on the others."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(parts)).cast("int"))
+    text = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed)))
+    return df.withColumn(name, (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % parts).cast("int"))
 
 
 def expanding(df: DataFrame, n: int, k: int, time: str = "t") -> DataFrame:

@@ -259,17 +259,10 @@ def model_matrix(spark, sf_dir):
     return tidy(out)
 
 
-@query("shuffled_folds")
+@query("shuffled_folds", "SELECT o_orderkey, CAST('0x' || substr(md5(o_orderkey || '|42'), 1, 8) AS BIGINT) % 5 AS fold FROM orders")
 def shuffled_folds(spark, sf_dir):
-    """Folds by hash, whose sizes SQL cannot give."""
-    return evaluate.hashed(adapter.predictions(spark, sf_dir), ["o_orderkey"], 5).groupBy("fold").agg(F.count("*").alias("rows"))
-
-
-@query("sampled_candidates")
-def sampled_candidates(spark, sf_dir):
-    """Random candidates of a search: the first of a longer list are those of a shorter one."""
-    rows = evaluate.sampled_parameters({"depth": [3, 4, 5, 6], "rate": [0.03, 0.1, 0.3], "rounds": [100, 300]}, 50)
-    return spark.createDataFrame([(k, r["depth"], r["rate"], r["rounds"]) for k, r in enumerate(rows)], "candidate long, depth long, rate double, rounds long")
+    """Each row's fold, by hash of its key."""
+    return tidy(evaluate.hashed(adapter.predictions(spark, sf_dir), ["o_orderkey"], 5).select("o_orderkey", "fold"))
 
 
 def messages(spark, sf_dir):

@@ -107,7 +107,25 @@ def rule_search(spark, sf_dir):
     names = {f"c{i:02d}": i / (CONFIGURATIONS - 1) for i in range(CONFIGURATIONS)}
     rows = controls(spark, sf_dir).where("fold >= 0")
     blends = {c: F.when(F.col("o_orderkey") % 23 != i, F.col("p") * F.lit(w) + F.col("b") * F.lit(1 - w)) for i, (c, w) in enumerate(names.items())}
-    return tidy(policy.rule_search(rows.withColumns(blends), {c: c for c in names}, policy.rule_grid()).drop("rank"), 6)
+    return tidy(policy.rule_search(rows.withColumns(blends), {c: c for c in names}, policy.rule_grid()).drop("rule", "rank"), 6)
+
+
+#: Random candidates; the first of a longer list are those of a shorter one.
+CANDIDATES = evaluate.sampled_parameters({"cap": [5.0, 10.0, 20.0, 40.0], "threshold": [60.0, 120.0, 300.0], "multiplier": [0.25, 0.5, 1.0, 1.5]}, 40)
+
+
+@query(
+    "sampled_candidates", CONTROLS + ", r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c['cap']}, {c['threshold']}, {c['multiplier']})" for k, c in enumerate(CANDIDATES)) + """) v(candidate, cap, threshold, multiplier)),
+j AS (SELECT candidate, fold, y - CASE WHEN history_count > 0 THEN CASE WHEN oldest_pending_minutes > threshold THEN greatest(p, multiplier * oldest_pending_minutes) ELSE p END WHEN is_departure = 1 THEN least(p, cap) ELSE p END AS e FROM c, r WHERE fold >= 0),
+g AS (SELECT candidate, fold, sqrt(avg(e * e)) AS m FROM j GROUP BY ALL), s AS (SELECT candidate, avg(m) AS score FROM g GROUP BY candidate)
+SELECT CAST(candidate AS BIGINT) AS candidate, round(score, 6) AS score, round(min(score) OVER (ORDER BY candidate), 6) AS best FROM s"""
+)
+def sampled_candidates(spark, sf_dir):
+    """Forty random rules scored on the table's folds, with the best so far."""
+    rules = [policy.Rule(c["cap"], c["threshold"], c["multiplier"]) for c in CANDIDATES]
+    scores = policy.rule_search(controls(spark, sf_dir).where("fold >= 0"), {"p": "p"}, rules).select(F.col("rule").alias("candidate"), F.col("mean_rmse").alias("score"))
+    best = evaluate.best_prefix(scores, budgets=tuple(range(1, len(rules) + 1)))
+    return tidy(scores.join(best.withColumn("candidate", F.col("budget").cast("long") - 1).drop("budget"), "candidate"), 6)
 
 
 @query("multinomial_bootstrap")

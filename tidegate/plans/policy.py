@@ -110,11 +110,11 @@ def rule_grid(caps=(10.0, 20.0, 30.0), thresholds=(120.0, 180.0, 240.0, 300.0),
 
 def grid_scores(df: DataFrame, rules: list[Rule], p: str = "p", y: str = "y", fold: str = "fold") -> DataFrame:
     """(cap, threshold, multiplier, mean_rmse) of each rule on one column of predictions."""
-    return rule_search(df, {p: p}, rules, y, fold).drop("configuration", "rank")
+    return rule_search(df, {p: p}, rules, y, fold).drop("configuration", "rule", "rank")
 
 
 def rule_search(df: DataFrame, configurations: dict[str, str], rules: list[Rule], y: str = "y", fold: str = "fold") -> DataFrame:
-    """(configuration, cap, threshold, multiplier, mean_rmse, rank) of every rule on every column of predictions, the best first.
+    """(configuration, rule, cap, threshold, multiplier, mean_rmse, rank) of every rule, by its place in rules, on every column of predictions.
 
     Caps, thresholds and multipliers cut the rows' order into cells: how many caps lie below a prediction, how many thresholds
     below the minutes pending, how many multiples of these reach the prediction. Of a cell a rule needs to know only sums, of
@@ -149,7 +149,7 @@ def rule_search(df: DataFrame, configurations: dict[str, str], rules: list[Rule]
     spec = F.array(
         *(
             F.struct(
-                F.lit(k).alias("k"), F.lit(r.cap).cast("double").alias("cap"), F.lit(r.threshold).cast("double").alias("threshold"),
+                F.lit(k).cast("long").alias("rule"), F.lit(r.cap).cast("double").alias("cap"), F.lit(r.threshold).cast("double").alias("threshold"),
                 F.lit(r.multiplier).cast("double").alias("multiplier"), F.lit(at(caps, r.cap)).alias("cap_at"), F.lit(at(thresholds, r.threshold)).alias("threshold_at"),
                 F.lit(at(multipliers, r.multiplier) if r.threshold is not None else 0).alias("multiplier_at")
             ) for k, r in enumerate(rules)
@@ -160,13 +160,13 @@ def rule_search(df: DataFrame, configurations: dict[str, str], rules: list[Rule]
     floor = (F.col("threshold_at") < F.col("thresholds")) & (F.col("multiplier_at") >= F.col("multipliers"))
     c, m = F.col("cap"), F.col("multiplier")
     sse = F.when(cap, F.col("y2") - 2 * c * F.col("y1") + c * c * F.col("n")).when(floor, F.col("y2") - 2 * m * F.col("yq") + m * m * F.col("q2")).otherwise(F.col("e2"))
-    names = ["configuration", "k", "cap", "threshold", "multiplier"]
+    names = ["configuration", "rule", "cap", "threshold", "multiplier"]
     scores = met.groupBy(*names, "fold").agg(F.sum(sse).alias("e2"), F.sum(F.when(cap | floor, F.col("n")).otherwise(F.col("ne"))).alias("n"))
     # Differences of sums may fall a little below nothing.
     scores = scores.groupBy(*names).agg(F.avg(F.sqrt(F.greatest(F.col("e2"), F.lit(0.0)) / F.nullif(F.col("n"), F.lit(0)))).alias("mean_rmse"))
     # As many rows as rules and configurations.
-    ranked = scores.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_last("mean_rmse"), "configuration", "k")).cast("long"))
-    return ranked.drop("k")
+    ranked = scores.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_last("mean_rmse"), "configuration", "rule")).cast("long"))
+    return ranked
 
 
 def provenance_violations(df: DataFrame, cut: str, stamps: dict[str, int], counts: dict[str, list[str]] | None = None) -> DataFrame:
