@@ -47,13 +47,10 @@ def brute_quality(rows):
     for row in rows:
         n, chars, sym, dup, rep = brute_counts(row[1])
         lines = sum(1 for x in (row[1] or "").split("\n") if WORD.search(x))
-        spare = quality.EXCUSED
-        rate = (
-            1000 * max(sym - spare["n_symbols"], 0) / max(chars, 1), 1000 * max(dup - spare["n_dup_lines"], 0) / (lines + 2),
-            1000 * max(rep - spare["n_repeat_words"], 0) / max(n, 1)
-        )
+        found, sizes = (sym, dup, rep), (chars, lines, n)
+        rate = tuple(1000 * (x + more) / (size + extra) for x, size, (more, extra) in zip(found, sizes, quality.PRIOR.values()))
         failed = n < 50 or 100 * rep > 50 * n
-        rates[id(row)] = (rate, failed)
+        rates[id(row)] = (rate, found, failed)
         for k, v in enumerate(math.ceil(x * quality.STEPS) / quality.STEPS for x in rate):
             own[row[2], row[3]][k].append(v)
             if not failed:
@@ -74,12 +71,12 @@ def brute_quality(rows):
                     break
                 end = x
             best = max(best, quality.SLACK * end)
-        return min(best, at(clean["all"][k], quality.CAP))
+        return min(best, quality.SLACK * at(clean["all"][k], quality.CAP))
 
     kept = []
     for row in rows:
-        rate, failed = rates[id(row)]
-        if not failed and all(rate[k] <= limit(row, k, gap) for k, gap in enumerate(quality.GAPS.values())):
+        rate, found, failed = rates[id(row)]
+        if not failed and all(not found[k] or rate[k] <= limit(row, k, gap) for k, gap in enumerate(quality.GAPS.values())):
             kept.append(row)
     return kept
 
