@@ -324,14 +324,15 @@ class Recipe:
     def write(self, path: str) -> str:
         import json
 
+        from ..sources.shared import put_whole
+
         body = {"name": self.name, "features": list(self.features), "policy": self.policy, "files": self.files}
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(body | {"digest": _digest(body)}, f, indent=1, sort_keys=True)
+        put_whole(path, json.dumps(body | {"digest": _digest(body)}, indent=1, sort_keys=True).encode())
         return _digest(body)
 
     @classmethod
     def load(cls, path: str, directory: str, digest: str | None = None) -> Recipe:
-        """The recipe at path, or an error if it, or a file that it names in the directory, is not as it was.
+        """The recipe at path, or an error if it, or a file that it names in the directory, is not as it was; both may be on shared storage.
 
         digest: the one that is expected from elsewhere; the file's own only shows accidents.
         """
@@ -339,8 +340,12 @@ class Recipe:
         import json
         import os
 
-        with open(path, encoding="utf-8") as f:
-            body = json.load(f)
+        from ..sources.shared import read_bytes, storage
+
+        found = read_bytes(path)
+        if found is None:
+            raise ValueError(f"no recipe at {path}")
+        body = json.loads(found)
         own = body.pop("digest", None)
         if set(body) != {"name", "features", "policy", "files"}:
             raise ValueError(f"not a recipe: {sorted(body)}")
@@ -352,7 +357,8 @@ class Recipe:
             if os.path.basename(name) != name:
                 raise ValueError(f"not a file of the directory: {name}")
             h = hashlib.sha256()
-            with open(os.path.join(directory, name), "rb") as f:
+            files, at = storage(f"{directory.rstrip('/')}/{name}")
+            with files.open_input_stream(at, compression=None) as f:
                 while piece := f.read(1 << 20):
                     h.update(piece)
             if h.hexdigest() != want:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import MINUTE
 from ..operators.feed import KEY
+from .shared import put_whole, read_bytes
 
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+
+
 def observations(text: str):
     """(parameter, station, time, value) of each point of each member of a feature collection, whatever lies between them.
 
@@ -201,22 +204,22 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SearchLog:
-    """Append-only results of a search: a resumed one must have the same configuration and continues after what is there."""
+    """Results of a search on shared storage, a file for each: a resumed search must have the same configuration and continues
+    after what is there."""
 
     def __init__(self, directory: str, config: dict):
-        os.makedirs(directory, exist_ok=True)
-        at, self.path = os.path.join(directory, "config.json"), os.path.join(directory, "search.jsonl")
-        if os.path.exists(at):
-            with open(at, encoding="utf-8") as f:
-                if json.load(f) != config:
-                    raise ValueError("the search was begun with another configuration")
-        else:
-            with open(at, "w", encoding="utf-8") as f:
-                json.dump(config, f)
+        self.directory = directory.rstrip("/")
+        found = read_bytes(f"{self.directory}/config.json")
+        if found is None:
+            put_whole(f"{self.directory}/config.json", json.dumps(config).encode())
+        elif json.loads(found) != config:
+            raise ValueError("the search was begun with another configuration")
         self.done = []
-        if os.path.exists(self.path):
-            with open(self.path, encoding="utf-8") as f:
-                self.done = [json.loads(x) for x in f if x.strip()]
+        while (result := read_bytes(self._at(len(self.done)))) is not None:
+            self.done.append(json.loads(result))
+
+    def _at(self, k: int) -> str:
+        return f"{self.directory}/results/{k:06d}.json"
 
     def run(self, candidates: list, score) -> list[dict]:
         for k, c in enumerate(candidates):
@@ -225,8 +228,7 @@ class SearchLog:
                     raise ValueError(f"result {k} belongs to another candidate")
                 continue
             self.done.append({"candidate": c, "score": score(c)})
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps(self.done[-1]) + "\n")
+            put_whole(self._at(k), json.dumps(self.done[-1]).encode())
         return self.done
 
 

@@ -17,37 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .archive import http_get, wait_of, weekly_windows
+from .shared import put_whole, read_bytes, storage
 
 #: Bytes that are hashed as one block.
 BLOCK = 8 << 20
 
 
-def storage(path: str):
-    """(file system, path) of a path or URI."""
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path if re.match(r"^[a-z][a-z0-9+.-]*:", path) else f"file://{path}"))
-
-
-def read_bytes(path: str) -> bytes | None:
-    files, at = storage(path)
-    try:
-        with files.open_input_stream(at, compression=None) as f:
-            return f.read()
-    except FileNotFoundError:
-        return None
-
-
-def put_whole(path: str, data: bytes) -> None:
-    """Writes beside the path and moves there, so that no reader finds half of it."""
-    files, at = storage(path)
-    files.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    staged = f"{at}.{uuid.uuid4().hex}"
-    with files.open_output_stream(staged, compression=None) as f:
-        f.write(data)
-    files.move(staged, at)
-
-
 class Window(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
