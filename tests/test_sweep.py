@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators import feed as fd
-from tidegate.operators import history, sweep
+from tidegate.operators import history, route, sweep
 
 from .test_temporal import SCHEMA, at, row
 
@@ -78,3 +78,47 @@ def test_spans_and_stabs():
     least = g.integers(0, 45, 80)
     some = (start < cut[:, None]) & (key >= least[:, None])
     assert sweep.dominant(start, key, [value], cut, least)[0].tolist() == [int(value[h].max()) if h.any() else sweep.NONE for h in some]
+
+
+def test_enriched_meets_no_pair(sides):
+    q, f, asked, events = sides
+    df = route.enriched(q, f)
+    assert "Join" not in plan(df)
+    got = {r.qid: r for r in df.collect()}
+    assert len(got) == len(asked)
+    for x in asked:
+        r, k = got[x.qid], sorted(of_run(x, events), key=lambda e: (e.s, e.st, e.ty, e.ord))
+        done = [e for e in k if e.s < x.s and e.act is not None and e.act < x.cut]
+        u = [e for e in reversed(done) if e.delay is not None]
+        m = max((e.s for e in done), default=-1)
+        p = [e for e in k if e.s < min(x.s, x.cut) and e.s > m and e not in done]
+        assert (r.clean_pending_count, r.planned_total_events or 0, r.planned_total_stations or 0) == (len(p), len(k), len({e.st for e in k}))
+        assert (r.latest_pending_station, r.last_scheduled_station) == (p[-1].st if p else None, u[0].st if u else None)
+        assert (r.enriched_latest_act, r.enriched_latest_acc) == (max((e.act for e in done), default=None), max((e.acc for e in k), default=None))
+        if not u:
+            assert r.planned_dwell_after_source_minutes is None and r.recent5_mean_delay is None
+            continue
+        d, src = [e.delay for e in u[:5]], u[0].s
+        assert r.recent5_mean_delay == pytest.approx(np.mean(d)) and r.recent5_std_delay == pytest.approx(np.std(d))
+        assert r.recent3_median_delay == np.median(d[:3])
+        came = lambda st, to: max((e.s for e in k if e.ty == "ARRIVAL" and e.st == st and src <= e.s < to), default=to)
+        dwell = sum(e.s - min(e.s, came(e.st, e.s + 1)) for e in k if e.ty == "DEPARTURE" and src < e.s < x.s)
+        if x.ty == "DEPARTURE" and any((e.st, e.ty, e.s) == (x.st, x.ty, x.s) for e in k):
+            dwell += x.s - came(x.st, x.s)
+        assert r.planned_dwell_after_source_minutes == pytest.approx(dwell / 6e7)
+        ahead = [e for e in k if src < e.s <= x.s]
+        assert (r.next_scheduled_event_station, r.planned_events_after_source) == (ahead[0].st if ahead else None, sum(e.s < x.s for e in ahead))
+
+
+def test_route_stations_meet_no_pair(sides):
+    q, f, asked, events = sides
+    df = route.route_stations(q, f)
+    assert "Join" not in plan(df)
+    want = []
+    for x in asked:
+        k = sorted((e for e in of_run(x, events) if e.s <= x.s), key=lambda e: (e.s, e.st, e.ty, e.ord))
+        done = [e for e in k if e.s < x.s and e.act is not None and e.act < x.cut]
+        ahead = list(dict.fromkeys(e.st for e in k if not done or e.s > done[-1].s))[:3]
+        want += [(x.qid, "previous_station", e.st) for e in done[-1:]] + [(x.qid, "next_station", s) for s in ahead[:1]]
+        want += [(x.qid, "route_ahead", s) for s in ahead]
+    assert sorted((r.qid, r.context, r.station) for r in df.collect()) == sorted(want)

@@ -262,9 +262,7 @@ def pack(names: dict[str, str], columns: dict) -> pa.Table:
             continue
         values, known = x if isinstance(x, tuple) else (x, np.ones(len(x), bool))
         kind = KINDS[kind]
-        if kind != pa.string():
-            values = np.where(known, values, 0).astype(kind.to_pandas_dtype())
-        out.append(pa.array(values, kind, mask=~known))
+        out.append(pa.array(np.where(known, values, 0).astype(kind.to_pandas_dtype()), kind, mask=~known))
     return pa.table(out, names=list(names))
 
 
@@ -301,7 +299,7 @@ def by_run(q: DataFrame, feed: DataFrame, names: dict[str, str], see, gated: boo
 
     def sweep(asked: pa.Table, events: pa.Table) -> pa.Table:
         if not asked.num_rows:
-            return pack(names, {c: np.empty(0) for c in names})
+            return pa.schema([(c, KINDS[k]) for c, k in names.items()]).empty_table()
         if not events.num_rows:  # such a side comes without columns
             events = pa.table([pa.array([], KINDS[k]) for k in kinds.values()], names=list(kinds))
         run, out = Run(events.select(list(kinds)).rename_columns(list(EVENT)), gated), []
