@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators import feed as fd
-from tidegate.operators import history, route, sweep
+from tidegate.operators import history, provenance, route, sweep, turnaround
 
 from .test_temporal import SCHEMA, at, row
 
@@ -168,3 +168,30 @@ def test_network_meets_no_pair(sides):
             r, last = got[qid, context], max(seen, key=lambda e: (e.act, -e.s, -e.st, e.delay), default=None)
             assert (r[f"{w}m_count"], r[f"{w}m_pending_count"]) == (len(seen), len(open_))
             assert r[f"{w}m_last_delay"] == (last.delay if last else None)
+
+
+def test_provenance_and_kinds_meet_no_pair(sides):
+    q, f, asked, events = sides
+    df = provenance.network(q, f)
+    assert "o_act" not in plan(df).split("FlatMapCoGroups")[0]
+    stamps = {r.qid: r for r in df.collect()}
+    kinds = {(r.qid, r.kind, r.window): r for r in turnaround.context(q, f).collect()}
+    at = [(r.qid, r.station) for r in route.route_stations(q, f).collect()]
+    for x in asked:
+        own = [e for e in of_run(x, events) if e.s <= x.s]
+        done = [e for e in own if e.s < x.s and e.act is not None and e.act < x.cut]
+        act, acc, n_act, n_acc = [e.act for e in done], [e.acc for e in own], len(done), len(own)
+        for st in (s for k, s in at if k == x.qid):
+            seen, open_, by, n = around(x, st, events)
+            near = [e for e in events if e.st == st and (e.d, e.n) != (x.d, x.n) and e.acc < x.cut and x.cut - 180 * 60_000_000 <= e.s < x.cut]
+            old = [e for e in near if e.act is not None and e.act < x.cut]
+            told = [e for e in seen if e.delay is not None]
+            act += [e.act for e in told + old + by]
+            acc += [e.acc for e in near + told + by]
+            n_act += len(told) + len(old) + n
+            n_acc += len(told) + len(near) + n
+        r = stamps[x.qid]
+        assert (r.latest_act, r.latest_acc, r.used_act, r.used_acc) == (max(act, default=None), max(acc, default=None), n_act, n_acc)
+        for w in (60, 180):
+            seen, open_, *_ = around(x, 370, [e for e in events if e.ty == "ARRIVAL" or e.st != 370], w)
+            assert kinds[x.qid, "ARRIVAL", w].observed_count == len(seen)

@@ -11,11 +11,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import MINUTE, yes
+from ..functions.clock import MINUTE
+from . import sweep
 from .feed import HOME
-from .history import others_due, others_seen, resolved, run_events
+from .history import others_due, others_seen, resolved
 from .origin import decisions, inbound
 from .route import WINDOWS, home_origin, own_route, route_stations
+from .station import shown
 from .turnaround import terminating
 
 
@@ -43,12 +45,39 @@ def waiting(due: DataFrame, feed: DataFrame, keys: list[str]) -> list[DataFrame]
 def network(q: DataFrame, feed: DataFrame, windows: tuple = WINDOWS) -> DataFrame:
     """Of the route's own accepted plan and reports, and of the events at its stations."""
     at, longest = route_stations(q, feed), max(windows)
-    own = run_events(q, feed).where(F.col("known") & yes(F.col("e_s") <= F.col("s")))
-    done = yes(F.col("e_s") < F.col("s")) & yes(F.col("e_act") < F.col("cut"))
-    seen = others_seen(at, feed, longest, "station").where("o_delay is not null")
-    due = others_due(at, feed, longest, "station")
-    parts = [uses(own, F.when(done, F.col("e_act")), "e_acc"), uses(seen, "o_act", "o_acc"), uses(due.where("old"), "o_act", "o_acc")]
-    return latest(q, parts + waiting(due.where("not old"), feed, ["qid", "context"]))
+
+    def route(own, run, cut, s):
+        reached, done = sweep.Timeline(run.reached), sweep.Timeline(run.done)
+        act, acc = done.latest(run.act, cut), reached.latest(run.acc, cut)
+        known = lambda x: (x, x > sweep.NONE)
+        return {"qid": own["qid"], "act": known(act), "acc": known(acc), "used_act": done.count(cut), "used_acc": reached.count(cut)}
+
+    own = sweep.by_run(q, feed, {c: "long" for c in ("qid", *STAMP)}, route)
+    rows = shown(at, feed, ["qid", "context"], "station", (longest,), clocks=True)
+    return stamped(
+        q, [
+            own, stamp(rows, "told_act", "told_acc", "told", "told"), stamp(rows, "old_act", "old_acc", "old", "old"),
+            stamp(rows, None, "wait_acc", None, F.col("pending") + F.col("resolved")), stamp(rows, "by_act", "by_acc", "resolved", "resolved")
+        ]
+    )
+
+
+STAMP = ("act", "acc", "used_act", "used_acc")
+
+
+def stamp(rows: DataFrame, *columns) -> DataFrame:
+    """(qid, STAMP) of rows that stand for many: their latest clocks and how many had one."""
+    pick = lambda c: F.lit(None).cast("long") if c is None else F.col(c) if isinstance(c, str) else c
+    return rows.select("qid", *(pick(c).alias(name) for c, name in zip(columns, STAMP)))
+
+
+def stamped(q: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """latest() of such rows."""
+    g = reduce(DataFrame.unionByName, parts).groupBy("qid").agg(
+        *(F.max(c).alias(f"latest_{c}") for c in STAMP[:2]), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STAMP[2:])
+    )
+    out = q.select("qid").join(g, "qid", "left")
+    return out.select("qid", "latest_act", "latest_acc", *(F.coalesce(c, F.lit(0)).alias(c) for c in STAMP[2:]))
 
 
 def turnaround(q: DataFrame, feed: DataFrame, home: int = HOME) -> DataFrame:
