@@ -195,3 +195,30 @@ def test_provenance_and_kinds_meet_no_pair(sides):
         for w in (60, 180):
             seen, open_, *_ = around(x, 370, [e for e in events if e.ty == "ARRIVAL" or e.st != 370], w)
             assert kinds[x.qid, "ARRIVAL", w].observed_count == len(seen)
+
+
+def test_turnarounds_meet_no_pair(spark):
+    g, rows = np.random.default_rng(3), []
+    for n in range(40):
+        begin = int(g.integers(0, 240))
+        stops = [370, 100, 200] if n % 2 else [100, 370, 200, 370]
+        for k, st in enumerate(stops):
+            s = at(8) + (begin + 15 * k) * 60_000_000
+            act = None if g.random() < 0.3 else s + int(g.integers(0, 30)) * 60_000_000
+            rows.append(row(len(rows), n, st, "DEPARTURE" if k == 0 else "ARRIVAL", s, act, float(g.integers(0, 40)) if g.random() < 0.8 else None, at(7)))
+    f = spark.createDataFrame(rows, SCHEMA).cache()
+    q, events = asks(f), f.collect()
+    ends = turnaround.terminating(q, f)
+    df = turnaround.candidates(q, ends, f)
+    got, pairs = {r.qid: r for r in df.collect()}, {r.qid: r for r in turnaround.reported(q, ends, f).collect()}
+    assert sum(r.candidate_count or 0 for r in got.values()) > 50
+    for x in q.collect():
+        may = [e for e in events if e.st == 370 and e.ty == "ARRIVAL" and e.n % 2 == 0 and e.n != x.n and x.s - 180 * 60_000_000 <= e.s <= x.s - 20 * 60_000_000]
+        told = [[c for c in events if c.n == e.n and c.delay is not None and c.act is not None and c.act < x.cut and c.s <= e.s] for e in may]
+        r, p = got[x.qid], pairs.get(x.qid)
+        assert (p.pairs if p else 0) == sum(map(len, told))
+        assert (p.act if p else None) == max((c.act for t in told for c in t), default=None)
+        if r.origin_departure == 1:
+            assert r.candidate_count == len(may)
+            late = [max(0.0, max(t, key=lambda c: c.s).delay + 30 - (x.s - e.s) / 6e7) for e, t in zip(may, told) if t]
+            assert r.worst_projected_departure_delay == (pytest.approx(max(late)) if late else None)

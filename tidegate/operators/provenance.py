@@ -11,14 +11,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import MINUTE
 from . import sweep
 from .feed import HOME
-from .history import others_due, others_seen, resolved
 from .origin import decisions, inbound
 from .route import WINDOWS, home_origin, own_route, route_stations
 from .station import shown
-from .turnaround import terminating
+from .turnaround import at_ends, reported, terminating
 
 
 def uses(df: DataFrame, act=None, acc=None, ready=None) -> DataFrame:
@@ -36,12 +34,6 @@ def latest(q: DataFrame, parts: list[DataFrame], columns: tuple = ("act", "acc")
     return out.select("qid", *(f"latest_{c}" for c in columns), *(F.coalesce(f"used_{c}", F.lit(0)).alias(f"used_{c}") for c in columns))
 
 
-def waiting(due: DataFrame, feed: DataFrame, keys: list[str]) -> list[DataFrame]:
-    """What pending events and what resolved them stand for."""
-    rows = resolved(due, feed, keys)
-    return [uses(rows, None, "o_acc"), uses(rows.where("by_act is not null"), "by_act", "by_acc")]
-
-
 def network(q: DataFrame, feed: DataFrame, windows: tuple = WINDOWS) -> DataFrame:
     """Of the route's own accepted plan and reports, and of the events at its stations."""
     at, longest = route_stations(q, feed), max(windows)
@@ -82,23 +74,18 @@ def stamped(q: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 def turnaround(q: DataFrame, feed: DataFrame, home: int = HOME) -> DataFrame:
     """Of the events at home, the runs that end there, and the candidates for the query's own train set."""
-    at = q.withColumn("home", F.lit(home)).select("qid", "d", "n", "cut", "home")
-    seen = others_seen(at, feed, 180, "home")
-    due = others_due(at, feed, 180, "home").where("not old")
     ends = terminating(q, feed, home)
-    recent = ends.where(F.col("old") & (F.col("o_act") >= F.col("cut") - F.lit(180 * MINUTE)) & F.col("o_delay").isNotNull())
-    first = home_origin(q, feed, home).where("origin_departure = 1").select("qid")
-    some = ends.join(first, "qid", "left_semi").where((F.col("o_s") >= F.col("s") - F.lit(180 * MINUTE)) & (F.col("o_s") <= F.col("s") - F.lit(20 * MINUTE)))
-    told = feed.where("act is not null and delay is not null and acc is not null").select(
-        *(F.col(a).alias(b) for a, b in (("d", "o_d"), ("n", "o_n"), ("s", "c_s"), ("act", "c_act"), ("acc", "c_acc")))
+    first = q.join(home_origin(q, feed, home).where("origin_departure = 1").select("qid"), "qid", "left_semi")
+    rows, near = shown(q.withColumn("home", F.lit(home)), feed, ["qid"], "home", (180,), clocks=True, home=home), at_ends(q, ends, feed, False)
+    return stamped(
+        q, [
+            stamp(own_route(q, feed), None, "accepted", None, F.lit(1)), stamp(rows, "seen_act", "seen_acc", "seen", "seen"),
+            stamp(near, None, "ends_acc", None, "ends"), stamp(near, "recent_act", None, "recent", None),
+            stamp(reported(first, ends, feed), "act", "acc", "pairs", "pairs"), stamp(rows, None, "wait_acc", None, F.col("pending") + F.col("resolved")),
+            stamp(rows, "by_act", "by_acc", "resolved", "resolved"),
+            stamp(near, None, None, "resolved", "resolved")  # their clocks are among those of all at home
+        ]
     )
-    known = some.select("qid", "o_d", "o_n", "o_s", "cut").join(told, ["o_d", "o_n"]).where("c_act < cut and c_acc < cut and c_s <= o_s")
-    parts = [
-        uses(own_route(q, feed), None, "accepted"), uses(seen, "o_act", "o_acc"), uses(ends, None, "accepted"), uses(recent, "o_act"),
-        uses(known, "c_act", "c_acc")
-    ]
-    parts += waiting(due, feed, ["qid"]) + waiting(ends.where("o_s < cut and not old"), feed, ["qid"])[1:]
-    return latest(q, parts)
 
 
 def origin(q: DataFrame, feed: DataFrame) -> DataFrame:

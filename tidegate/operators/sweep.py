@@ -129,10 +129,11 @@ def seen_in(start: np.ndarray, end: np.ndarray, cut: np.ndarray, weight: np.ndar
     return Timeline(start).total(weight, cut) - Timeline(end).total(weight, cut)
 
 
-def successive(known: Spans, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def successive(known: Spans, at: np.ndarray, stop: np.ndarray, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of queries that want the last known row before stop and have at (or -1) to begin with: (query, row, from, to), each
-    row that is the last known one in its turn and the moments between which it is. Rows get known at the moments of known."""
+    row that is the last known one in its turn and the moments between which it is. Rows get known at the moments of known; after limit nothing is followed."""
     query, out = np.arange(len(at)), []
+    limit = np.full(len(at), FAR) if limit is None else limit
     at, since = at.astype(np.int64), np.full(len(at), NONE)
     while len(query):
         more = at + 1 < stop
@@ -141,7 +142,7 @@ def successive(known: Spans, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarr
             when[more] = known.lowest(at[more] + 1, stop[more])
             nxt[more] = known.before(stop[more], when[more] + 1)
         out.append((query, at, since, when))
-        go = when < FAR
+        go = when < limit[query]
         query, at, since, stop = query[go], nxt[go], when[go], stop[go]
     both = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
     some = both[1] >= 0
@@ -223,7 +224,7 @@ class Stabs:
 
 
 def dominant(at: np.ndarray, key: np.ndarray, values: list[np.ndarray], cut: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
-    """The greatest of each of values over rows with at < cut and key >= least; NONE if there are none. Prefixes in order of at are
+    """The greatest of each of values over rows with at < cut and key >= least, NONE if there are none; without values the number of such rows. Prefixes in order of at are
     blocks of powers of two, each sorted by key."""
     line = Timeline(at)
     n, size = line.count(cut), len(at)
@@ -232,7 +233,7 @@ def dominant(at: np.ndarray, key: np.ndarray, values: list[np.ndarray], cut: np.
     place = np.empty(size, np.int64)
     place[by] = np.arange(size)
     floor = np.searchsorted(key_[by], least)  # rows with at least this place qualify
-    out = [np.full(len(cut), NONE) for _ in values]
+    out, total = [np.full(len(cut), NONE) for _ in values], np.zeros(len(cut), np.int64)
     for k in range(size.bit_length()):
         asks = np.flatnonzero((n >> k) & 1)
         if not len(asks):
@@ -243,13 +244,14 @@ def dominant(at: np.ndarray, key: np.ndarray, values: list[np.ndarray], cut: np.
         which = (n[asks] >> (k + 1)) << 1
         end = np.searchsorted(ids, which * (size + 1) + (size - floor[asks]), "right")
         begin = which << k
+        total[asks] += end - begin
         for o, v in zip(out, facts):
             width = 1 << k
             padded = np.full(-(-size // width) * width, NONE)
             padded[:size] = v[inner]
             most = np.maximum.accumulate(padded.reshape(-1, width), axis=1).ravel()
             o[asks] = np.maximum(o[asks], np.where(end > begin, most[np.maximum(end, 1) - 1], NONE))
-    return out
+    return out or [total]
 
 
 def pack(names: dict[str, str], columns: dict) -> pa.Table:
