@@ -1,5 +1,8 @@
 """Sweeps: the same values as by all pairs, on clocks with ties and gaps, and plans in which queries and events are not joined."""
 
+import datetime as dt
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +225,55 @@ def test_turnarounds_meet_no_pair(spark):
             assert r.candidate_count == len(may)
             late = [max(0.0, max(t, key=lambda c: c.s).delay + 30 - (x.s - e.s) / 6e7) for e, t in zip(may, told) if t]
             assert r.worst_projected_departure_delay == (pytest.approx(max(late)) if late else None)
+
+
+def test_service_history_takes_no_step_for_each_pair(spark):
+    """Days, ties, late clocks, infinite and missing numbers, queries that may not ask: as by all pairs, with one sweep a group."""
+    g = np.random.default_rng(3)
+    base, minute = at(12), 60_000_000
+    day = lambda s: None if s is None else dt.date(1970, 1, 1) + dt.timedelta(s // (1440 * minute))
+    rows = []
+    for k in range(400):
+        s = base + int(g.integers(0, 9)) * 12 * 1440 * minute + int(g.integers(0, 4)) * 600 * minute
+        cut, act = s - 30 * minute, None if g.random() < 0.1 else s + int(g.integers(-2, 3)) * 45 * minute
+        pick = lambda *x: x[int(g.integers(len(x)))]
+        rows.append((k, day(s) if g.random() < 0.97 else None, pick(1, 1, 1, 2, None), pick("A", "A", "D"), s, cut, act, pick(None, 0.5, -3.0, 4.25, 11.0, 11.0, float("inf")), pick(True, True, True, False, None), pick(None, 0, 2), pick(0, 3), pick(None, 1.5, 7.0)))
+    names = "qid long, d date, n long, ty string, s long, cut long, act long, delay double, known boolean, history_count long, pending_count long, previous_age_minutes double"
+    got = {r.qid: r for r in history.service_history(spark.createDataFrame(rows, names)).collect()}
+    assert len(got) == len(rows)
+    span, seen = 28 * 1440 * minute, 0
+    for qid, d, n, ty, _, cut, *_, known, _, _, _ in rows:
+        past = [r for r in rows if known and d and n and r[1] and r[2] == n and r[3] == ty and r[1] != d and r[6] is not None and r[6] < cut and r[4] < cut and r[6] >= cut - span]
+        r = got[qid]
+        if not past:
+            assert all(r[c] is None for c in history.SERVICE)
+            continue
+        seen += 1
+        numbers = lambda i: [p[i] for p in past if p[i] is not None]  # noqa: E731, B023
+        same = lambda x, f, y: x is None if not y else x == pytest.approx(f(y), nan_ok=True)
+        last = max(past, key=lambda p: (p[6], -p[0]))
+        delays = numbers(7)
+        assert same(r.service_mean_delay, np.mean, delays) and same(r.service_max_delay, np.max, delays) and same(r.service_median_delay, np.median, delays)
+        if np.isfinite(delays).all():
+            assert same(r.service_p90_delay, lambda y: np.quantile(y, 0.9), delays)
+        assert (r.service_observed_runs, r.service_last_delay) == (len(past), last[7])
+        assert r.service_latest == max(last[6], *(p[4] for p in past)) and r.service_last_age_minutes == pytest.approx((cut - last[6]) / minute)
+        assert same(r.service_history_coverage, lambda y: np.mean(np.array(y) > 0), numbers(9))
+        assert same(r.service_mean_pending, np.mean, numbers(10)) and same(r.service_mean_previous_age, np.mean, numbers(11))
+    assert seen > 150
+
+
+def test_service_history_work_grows_with_rows():
+    """A number with 60,000 queries and outcomes of one month: by all pairs this took minutes."""
+    g, n = np.random.default_rng(4), 60_000
+    minute = 60_000_000
+    act = np.sort(g.integers(0, 30 * 1440, n)) * minute
+    past = {c: g.integers(0, 50, n).astype(float) for c in history.OUTCOME} | {"qid": np.arange(n), "act": act, "s": act - minute, "d": act // (1440 * minute)}
+    began = time.process_time()
+    out = history.service_sweep(act, past["d"], past, 28 * 1440 * minute)
+    assert time.process_time() - began < 30
+    k = n - 1
+    low = np.searchsorted(act, act[k] - 28 * 1440 * minute)
+    mine = low + np.flatnonzero((act[low:] < act[k]) & (past["d"][low:] != past["d"][k]))
+    assert out["service_observed_runs"][0][k] == len(mine)
+    assert out["service_p90_delay"][0][k] == pytest.approx(np.quantile(past["delay"][mine], 0.9))

@@ -222,6 +222,30 @@ class Stabs:
         x = np.where((first >= 0) & (group_at[first] == self.own), second, first)
         return self.back(either(x, by, -1))
 
+    def least(self, start, end, group, values, ranks: list[np.ndarray]) -> list[np.ndarray]:
+        """For each query the values of its rows at each of these places of their order, from 0 on; what lies beyond them means nothing.
+        All queries halve the different values at once: a step counts the rows of each query's lower half."""
+        kinds, code = np.unique(values, return_inverse=True)
+        if not len(kinds):
+            return [np.full(self.n, np.nan) for _ in ranks]
+        low, high = np.searchsorted(self.cut, start, "right"), np.searchsorted(self.cut, end, "right")
+        high, size = np.maximum(low, high), self.n + 1
+        groups = int(max(group.max(), self.own.max(initial=0))) + 1
+        at, own = np.tile(np.arange(self.n), len(ranks)), np.tile(self.own, len(ranks))
+        left, half = np.concatenate([r[self.order] for r in ranks]), np.zeros(len(at), np.int64)
+
+        def seen(rows, wanted):
+            rows, wanted = rows * size, wanted * size + at
+            return np.searchsorted(np.sort(rows + low), wanted, "right") - np.searchsorted(np.sort(rows + high), wanted, "right")
+
+        for bit in range((len(kinds) - 1).bit_length() - 1, -1, -1):
+            part, half = code >> bit, half << 1
+            n = seen(part, half) - seen(part * groups + group, half * groups + own)
+            up = left >= n
+            left, half = left - np.where(up, n, 0), half + up
+        found = kinds[np.minimum(half, len(kinds) - 1)]
+        return [self.back(x) for x in np.split(found, len(ranks))]
+
 
 def dominant(at: np.ndarray, key: np.ndarray, values: list[np.ndarray], cut: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
     """The greatest of each of values over rows with at < cut and key >= least, NONE if there are none; without values the number of such rows. Prefixes in order of at are
