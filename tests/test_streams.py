@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,45 @@ def test_timers_and_restart(spark, tmp_path):
     assert left == {3, 5}
 
 
+
+def test_state_is_asked_for_what_stays_open():
+    """Of a batch of 20,000 messages only those open at its end cost a call to the state, in whatever order the frames come."""
+
+    class Map(dict):
+        calls = 0
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            self.calls += 1
+            del self[k]
+
+    class Value(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self[0]
+
+        def update(self, x):
+            self[:] = [x]
+
+    class Timers(list):
+        registerTimer, deleteTimer = list.append, list.remove
+
+    machine = timed.Pending(1000, 10_000)
+    machine.handle, machine.open, machine.until, machine.alarm = Timers(), Map(), Value(), Value()
+    frames = [pd.DataFrame({"s": range(k, 20_000, 4), "done": [k == 1] * 5000, "at_ms": [7] * 5000}) for k in (0, 1, 2, 3)]
+    (out,) = machine.handleInputRows(("d", 1), iter(frames), None)
+    assert out.iloc[0].tolist() == ["d", 1, 2, 19_998, 19_997, False]
+    assert machine.open.keys() == {(19_998,), (19_999,)} and machine.open.calls == 2 and machine.handle == [10_019]
+    more = [pd.DataFrame({"s": [19_998, 30_000, 19_999], "done": [True, False, False], "at_ms": [90_000] * 3})]
+    (out,) = machine.handleInputRows(("d", 1), iter(more), None)
+    assert out.iloc[0].tolist() == ["d", 1, 2, 19_999, 19_998, False] and machine.open.keys() == {(19_999,), (30_000,)} and machine.handle == [91_000]
+
+
 def test_sink_without_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "n long, v double")
     empty.write.parquet(str(tmp_path / "none"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,42 +29,48 @@ class Pending(StatefulProcessor):
         self.until = handle.getValueState("until", "s long")
         self.alarm = handle.getValueState("alarm", "at long")
 
-    def row(self, key: tuple, over: bool) -> pd.DataFrame:
-        left = sorted(k[0] for k in self.open.keys())
-        until = self.until.get()[0] if self.until.exists() else None
+    def row(self, key: tuple, left: list[int], until: int | None, over: bool) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "d": [key[0]], "n": [key[1]], "pending_count": [len(left)], "oldest_scheduled": pd.array([left[0] if left else None], "Int64"),
+                "d": [key[0]], "n": [key[1]], "pending_count": [len(left)], "oldest_scheduled": pd.array([min(left, default=None)], "Int64"),
                 "done_until": pd.array([until], "Int64"), "over": [over]
             }
         )
 
+    def known(self) -> tuple[list[int], int | None]:
+        return [k[0] for k in self.open.keys()], self.until.get()[0] if self.until.exists() else None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.until.get()[0] if self.until.exists() else None
-        last = 0
+        """Only what is open after the whole batch goes to the state, as each of its calls is a round trip to Spark."""
+        old, until = self.known()
+        last, fresh = 0, []
         for frame in rows:
-            for s, done, at in zip(frame["s"], frame["done"], frame["at_ms"]):
-                last = max(last, int(at))
-                if done:
-                    until = int(s) if until is None else max(until, int(s))
-                elif until is None or s > until:
-                    self.open.updateValue((int(s),), (1,))
+            s, done = frame["s"].to_numpy(np.int64), frame["done"].to_numpy(bool)
+            last = max(last, int(frame["at_ms"].max()))
+            if done.any():
+                top = int(s[done].max())
+                until = top if until is None else max(until, top)
+            fresh.append(np.unique(s[~done] if until is None else s[~done & (s > until)]))
+        new = np.unique(np.concatenate(fresh)) if fresh else np.empty(0, np.int64)
+        new = {int(s) for s in (new if until is None else new[new > until])}
         if until is not None:
             self.until.update((until,))
-            for (s,) in list(self.open.keys()):
-                if s <= until:
-                    self.open.removeKey((s,))
-        left = [k[0] for k in self.open.keys()]
+        kept = {s for s in old if until is None or s > until}
+        for s in set(old) - kept:
+            self.open.removeKey((s,))
+        for s in new - kept:
+            self.open.updateValue((s,), (1,))
+        left = list(kept | new)
         due = max(left) // 1000 + self.limit_ms if left else 0
         at = max(due, last + self.quiet_ms)
         if self.alarm.exists():
             self.handle.deleteTimer(self.alarm.get()[0])
         self.handle.registerTimer(at)
         self.alarm.update((at,))
-        yield self.row(key, False)
+        yield self.row(key, left, until, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self.row(key, True)
+        out = self.row(key, *self.known(), True)
         self.open.clear(), self.until.clear(), self.alarm.clear()
         yield out
 
