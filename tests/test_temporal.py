@@ -215,3 +215,15 @@ def test_ingest(spark):
     assert ingest.previous_source("matched_data_flat_2020_01.parquet") == ("matched_data_flat_2019_12.parquet", "2020-01-01")
     with pytest.raises(ValueError):
         ingest.previous_source("other.parquet")
+
+
+def test_conflicts_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Tasks grow in number with the rows, a key's rows meet in one of them, and missing values and keys count."""
+    monkeypatch.setattr(ingest, "TASK_ROWS", 100)
+    rows = [(k % 400, None if k % 5 == 0 else "x", float(k // 400 % 3) if k % 7 else None) for k in range(2000)] + [(None, None, 1.0), (None, None, 2.0)]
+    out = ingest.conflicts(spark.createDataFrame(rows, "a long, b string, v double"), ["a", "b"], "v")
+    want = {}
+    for a, b, v in rows:
+        want.setdefault((a, b), set()).add(v)
+    assert {(r.a, r.b): r["values"] for r in out.collect()} == {k: len(v) for k, v in want.items() if len(v) > 1}
+    assert out.rdd.getNumPartitions() >= 20

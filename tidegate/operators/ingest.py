@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import MINUTE
 from .feed import RUN
 
+#: Rows of a task that keeps a table of them.
+TASK_ROWS = 1_250_000
 MONTH_FILE = r"matched_data_flat_(\d{4})_(\d{2})\.parquet$"
 
 
@@ -32,9 +34,14 @@ def duplicates(df: DataFrame, columns: list[str], order: str) -> DataFrame:
 
 
 def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Keys with more than one different value; a missing value is one too."""
+    """Keys with more than one different value; a missing value is one too.
+
+    Rows go by key to tasks of about TASK_ROWS, as keys are hardly ever equal: adding up before the shuffle would hold a table of all
+    that a task reads, and merged small partitions one of all that fits into them.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
     v = F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))
-    return df.groupBy(*keys).agg(v.alias("values")).where("values > 1")
+    return df.select(*keys, value).repartition(n, *keys).groupBy(*keys).agg(v.alias("values")).where("values > 1")
 
 
 def row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
