@@ -1,7 +1,9 @@
 """Hand-computed values, strict boundaries and perturbations of the point-in-time operators."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +229,20 @@ def test_conflicts_in_tasks_of_bounded_rows(spark, monkeypatch):
         want.setdefault((a, b), set()).add(v)
     assert {(r.a, r.b): r["values"] for r in out.collect()} == {k: len(v) for k, v in want.items() if len(v) > 1}
     assert out.rdd.getNumPartitions() >= 20
+
+
+def test_rolling_holds_two_windows_of_values(spark):
+    """A slice is as long as the longest window, and a sum does not depend on what came before the window."""
+    g, hour = np.random.default_rng(1), 60 * MINUTE
+    t = np.sort(g.choice(24 * 30 * 60, 3000, replace=False)) * MINUTE
+    value = np.where(g.random(3000) < 0.02, 1e9, g.integers(0, 999, 3000) / 100)
+    cut = g.integers(0, 24 * 30, 200) * hour
+    alone = {k: math.fsum(value[(t < c) & (t >= c - 24 * hour)]) for k, c in enumerate(cut - hour)}
+    found = weather.windows_of(t, value, cut - hour, 24 * hour)
+    assert {int(k): s for k, s in zip(found["at"], found["sum"])} == {k: s for k, s in alone.items() if s}
+    series = spark.createDataFrame([("t2m", int(a), float(b)) for a, b in zip(t, value)], "parameter string, t long, value double")
+    out = weather.rolling(spark.createDataFrame([(k, int(c)) for k, c in enumerate(cut)], "qid long, cut long"), series, ["t2m"], stale=24 * 60)
+    got = {r.qid: r["sum"] for r in out.where("hours = 24").collect() if r["sum"] is not None}
+    assert len(got) > 150 and all(s == alone[k] for k, s in got.items())
+    text = out._jdf.queryExecution().analyzed().toString()
+    assert str(24 * hour) in text and str(96 * hour) not in text

@@ -46,15 +46,14 @@ def latest(q: DataFrame, series: DataFrame, parameters: list[str], stale: int =
 
 def extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray, pick) -> np.ndarray:
     """The least or greatest value of each range [low, high), none empty: two overlapping spans of a power of two cover it."""
-    levels = [values]
-    while 2 << len(levels) - 1 <= len(values):
-        last, half = levels[-1], 1 << len(levels) - 1
-        levels.append(pick(last[: len(last) - half], last[half:]))
     k = np.frexp(high - low)[1] - 1
-    out = np.empty(len(low))
-    for level in np.unique(k):
-        at = k == level
-        out[at] = pick(levels[level][low[at]], levels[level][high[at] - (1 << level)])
+    out, level = np.empty(len(low)), values
+    for now in range(int(k.max(initial=-1)) + 1):
+        if now:  # spans twice as long; shorter ones are not needed any more
+            half = 1 << now - 1
+            level = pick(level[:-half], level[half:])
+        at = np.flatnonzero(k == now)
+        out[at] = pick(level[low[at]], level[high[at] - (1 << now)])
     return out
 
 
@@ -63,9 +62,12 @@ def windows_of(t: np.ndarray, value: np.ndarray, at: np.ndarray, width: int) ->
     low, high = np.searchsorted(t, at - width), np.searchsorted(t, at)
     some = np.flatnonzero(high > low)
     low, high = low[some], high[some]
-    # Running sums in extended precision: differences keep a double's digits.
-    sums = np.concatenate([[0], np.cumsum(value, dtype=np.longdouble)])
-    total = (sums[high] - sums[low]).astype(float)
+    # Running sums of whole 2**-20ths, which are exact, and of what is left, so that a window's sum is the same wherever the slice begins.
+    unit = float(1 << 20)
+    small = len(value) * np.abs(value).max(initial=0) < 1 << 42
+    whole = np.floor(value * unit).astype(np.int64) if small else np.zeros(len(value), np.int64)
+    steps, sums = (np.concatenate([[0], np.cumsum(x, dtype=x.dtype)]) for x in (whole, (value - whole / unit).astype(np.longdouble)))
+    total = ((steps[high] - steps[low]) / np.longdouble(unit) + (sums[high] - sums[low])).astype(float)
     return {
         "at": some, "n": high - low, "min": extremes(value, low, high, np.minimum), "max": extremes(value, low, high, np.maximum),
         "sum": total, "mean": total / (high - low), "change": value[high - 1] - value[low], "used": t[high - 1]
@@ -78,11 +80,12 @@ def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple
     Summaries are null unless three quarters of the hours are covered and the last value is fresh; n always counts.
     Queries and values meet by parameter in slices of time, values in the slice after theirs too, as in as_of(). Inside a
     slice running sums and ranges of powers of two answer each query in a few steps, however dense the values are: a frame
-    of Spark's would be gone over again for every row.
+    of Spark's would be gone over again for every row. Slices are as long as the longest window, the shortest that have values in two
+    slices only, so a task holds the queries of one window and the values of two.
     """
     import pyarrow as pa
 
-    width = 4 * max(hours) * HOUR
+    width = max(hours) * HOUR
     asked = deadlines(q, lag).select(
         F.col("qid").cast("long").alias("qid"), F.col("deadline").alias("t"), F.explode(F.array(*map(F.lit, parameters))).alias("parameter")
     )
@@ -108,12 +111,13 @@ def rolling(q: DataFrame, series: DataFrame, parameters: list[str], hours: tuple
             n = np.zeros(len(at), np.int64)
             n[found["at"]] = found["n"]
             cols = {
-                "qid": pa.array(ids), "parameter": pa.array([key[0].as_py()] * len(at), pa.string()),
+                "qid": pa.array(ids), "parameter": pa.repeat(key[0], len(at)),
                 "hours": pa.array(np.full(len(at), h, np.int32)), "n": pa.array(n)
             }
             for name in ("mean", "min", "max", "sum", "change", "used"):
-                full = np.zeros(len(at), found[name].dtype)
-                full[found["at"]] = found[name]
+                one = found.pop(name)
+                full = np.zeros(len(at), one.dtype)
+                full[found["at"]] = one
                 cols[name] = pa.array(full, mask=n == 0)
             parts.append(pa.table(cols | {"deadline": pa.array(at)}))
         return pa.concat_tables(parts)
