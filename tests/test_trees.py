@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate.functions import storage
 from tidegate.plans import selection
 from tidegate.plans.trees import Boosted, Categorical, ordered_statistics, permutation_importances
 
@@ -211,3 +212,20 @@ def test_quantiles_without_value_maps(spark, by):
     want = finite.groupBy(*by).agg(*(F.percentile(c, F.array(*map(F.lit, at))).alias(c) for c in "uvw")).collect()
     assert sorted(selection.quantiles(df, by, ["u", "v", "w"], at, 64 if by else 4096).collect(), key=str) == sorted(want, key=str)
     assert len(selection.quantiles(df.limit(0), by, ["u"], at).collect()) == (not by)
+
+
+def test_a_value_looks_at_the_intervals_of_its_bin(spark, monkeypatch):
+    """63 quantiles leave up to 126 open intervals; later passes look them up by bin, and the values are numpy's."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return storage.stored(df)
+
+    monkeypatch.setattr(selection, "stored", noted)
+    x = np.random.default_rng(6).lognormal(0, 3, 500)
+    p = [k / 64 for k in range(1, 64)]
+    got = selection.quantiles(spark.createDataFrame([(float(v),) for v in x], "v double"), [], ["v"], p, bins=64).first().v
+    assert np.allclose(got, np.quantile(x, p), rtol=1e-12, atol=0)
+    passes = [t for t in plans if "posexplode" in t or "explode" in t]
+    assert len(passes) > 1 and all("element_at" in t for t in passes)

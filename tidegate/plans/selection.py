@@ -30,24 +30,30 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int, by_size: bool) -> Column:
 
 def order_statistics(values: DataFrame, ranks: DataFrame, bins: int = BINS) -> DataFrame:
     """(g, c, rank, value) for values (g, c, v) and ranks (g, c, n, ranks, lo, hi): the rank-th least v from 0; stored."""
-    state = stored(ranks.select("g", "c", "lo", "hi", F.lit(0).cast("long").alias("below"), F.array_distinct("ranks").alias("ranks")))
+    start = ("lo", "hi", F.col("lo").alias("low"), F.col("hi").alias("high"))
+    state = stored(ranks.select("g", "c", *start, F.lit(0).cast("long").alias("below"), F.array_distinct("ranks").alias("ranks")))
     done, turn = [], 0
     while True:
         done.append(state.where("lo = hi").select("g", "c", F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
         open_ = state.where("lo < hi")
         if open_.isEmpty():
             break
-        intervals = open_.groupBy("g", "c").agg(F.collect_list(F.struct("lo", "hi", "below", "ranks")).alias("i"))
-        rows = values.join(intervals, ["g", "c"]).select("g", "c", "v", F.explode(F.filter("i", lambda i: (i.lo <= F.col("v")) & (F.col("v") <= i.hi))).alias("i"))
+        # After the first pass an interval lies in one bin of it; a value looks at the intervals of its own bin only.
+        first = lambda v: _bin(F.col(v), F.col("low"), F.col("high"), bins, False) if turn else F.lit(0)  # noqa: E731, B023
+        whole = ["g", "c", "low", "high"]
+        intervals = open_.groupBy(*whole, first("lo").cast("long").alias("k")).agg(F.collect_list(F.struct("lo", "hi")).alias("i"))
+        intervals = intervals.groupBy(*whole).agg(F.map_from_entries(F.collect_list(F.struct("k", "i"))).alias("m"))
+        near = F.try_element_at("m", first("v").cast("long"))
+        rows = values.join(intervals, ["g", "c"]).select("g", "c", "v", F.explode(F.filter(near, lambda i: (i.lo <= F.col("v")) & (F.col("v") <= i.hi))).alias("i"))
         at = _bin(F.col("v"), F.col("i.lo"), F.col("i.hi"), bins, bool(turn % 2))
         found = rows.select("g", "c", "v", F.col("i.lo").alias("from"), at.alias("bin")).groupBy("g", "c", "from", "bin").agg(
             F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
         )
         before = F.sum("n").over(W.partitionBy("g", "c", "from").orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
-        found = found.withColumn("before", F.coalesce(before, F.lit(0))).join(open_.select("g", "c", F.col("lo").alias("from"), "below", "ranks"), ["g", "c", "from"])
-        found = found.select("g", "c", "lo", "hi", (F.col("below") + F.col("before")).alias("start"), "n", "ranks")
+        found = found.withColumn("before", F.coalesce(before, F.lit(0))).join(open_.select(*whole, F.col("lo").alias("from"), "below", "ranks"), ["g", "c", "from"])
+        found = found.select(*whole, "lo", "hi", (F.col("below") + F.col("before")).alias("start"), "n", "ranks")
         inside = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
-        state = stored(found.select("g", "c", "lo", "hi", F.col("start").alias("below"), inside.alias("ranks")).where(F.size("ranks") > 0))
+        state = stored(found.select(*whole, "lo", "hi", F.col("start").alias("below"), inside.alias("ranks")).where(F.size("ranks") > 0))
         turn += 1
     out = done[0]
     for more in done[1:]:
